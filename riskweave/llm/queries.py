@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
-from .common import table, utf8
+from . import quality_rules, sharding
+from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,17 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    stats = written(quality_rules.text_stats(docs).drop("text"), "rule-stats")
+    cuts = written(quality_rules.cutoffs(stats.join(labels, "doc_id"), "lang", "good"), "rule-cuts")
+    out = quality_rules.judged(stats, cuts, "lang")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"cut_{r}" for r in quality_rules.LADDERS])
+
+
 QUERIES: dict[str, Query] = {
+    "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
 }
 ORACLES: dict[str, str] = {}
