@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def _offsets(slices: DataFrame, keys: list[str], order: str, groups: int = 512) -> DataFrame:
