@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import decontaminate, quality_rules, sharding
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        decontaminate.items_digest().alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        "n_near",
+    )
+
+
 def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
@@ -36,6 +49,7 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op7_positional_index": op7_positional_index,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
 }
