@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, sharding
+from . import decontaminate, near_copies, quality_rules, sharding
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return near_copies.near_copies(docs).withColumnRenamed("doc", "doc_id")
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -49,6 +54,7 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_multi_order_jaccard": op6_multi_order_jaccard,
     "op7_positional_index": op7_positional_index,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
