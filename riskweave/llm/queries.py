@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_copies, quality_rules, sharding
+from . import decontaminate, near_copies, packing, quality_rules, sharding
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,18 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file on this machine; the executors are expected to hold the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return packing.packed(docs, tokenizer_path()).withColumnRenamed("doc", "doc_id")
+
+
 def op6_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return near_copies.near_copies(docs).withColumnRenamed("doc", "doc_id")
@@ -54,6 +66,7 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_multi_order_jaccard": op6_multi_order_jaccard,
     "op7_positional_index": op7_positional_index,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
