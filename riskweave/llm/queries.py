@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_copies, packing, quality_rules, sharding
+from . import decontaminate, near_copies, packing, quality_rules, sharding, warc
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,24 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"cut_{r}" for r in quality_rules.LADDERS])
 
 
+def op9_boundary_chain_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload"))
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return warc.round_trip(pages).select(
+        number("record").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.when(F.col("refers").isNotNull(), number("refers")).alias("refers_to"),
+        "digest_ok",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_multi_order_jaccard": op6_multi_order_jaccard,
     "op7_positional_index": op7_positional_index,
+    "op9_boundary_chain_warc": op9_boundary_chain_warc,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
 }
