@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_copies, packing, quality_rules, sharding, warc
+from . import decontaminate, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer_path()).withColumnRenamed("doc", "doc_id")
 
 
+#: For the registered queries only; a deployment passes its own secret.
+DEMO_KEY = b"riskweave demonstration key"
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymized(docs, DEMO_KEY, spans="spans")
+    return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_pii"), secrets.joined("spans").alias("spans"))
+
+
 def op6_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return near_copies.near_copies(docs).withColumnRenamed("doc", "doc_id")
@@ -78,11 +88,28 @@ def op9_boundary_chain_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    out = secrets.scan(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return out.select(
+        F.col("doc").alias("doc_id"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_multi_order_jaccard": op6_multi_order_jaccard,
     "op7_positional_index": op7_positional_index,
     "op9_boundary_chain_warc": op9_boundary_chain_warc,
+    "op10_token_efficiency_secrets": op10_token_efficiency_secrets,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
 }
