@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
+from . import decontaminate, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language_id.held_out(), F.lit(False)))
+    labelled = docs.where("not held_out and lang is not null").select(F.col("doc_id").alias("id"), "text", "lang")
+    net = language_id.trained(language_id.training_sample(labelled))
+    return language_id.identified(docs, net, ["doc_id", "held_out"])
+
+
 def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -104,6 +111,7 @@ def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op2_byte_bigru": op2_byte_bigru,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_multi_order_jaccard": op6_multi_order_jaccard,
