@@ -20,6 +20,7 @@ document then finds its own decision by length and rank, distributed.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,35 +33,95 @@ from .common import written
 
 CAPACITY = 2048
 SLICE_ROWS = 2_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
-class _Words(dict):
-    """word -> its token ids as little-endian unsigned 32-bit bytes, by the tokenizer on a miss; cleared when it is full."""
+#: Letters whose lower case is one letter of the same kind wherever they stand, then characters that are neither letters, digits nor space.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s]*)")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+class WordIds:
+    """Ids of whole texts, packed as little-endian unsigned 32-bit numbers, by way of a cache of words.
+
+    The tokenizer drops white space and never joins across it, so words are encoded apart.  A run of plain letters is one piece to
+    the tokenizer and ends in its only word-end token, which tells many new runs apart that are encoded together; what
+    follows it without letters, digits or spaces is encoded apart from it.  All other words are encoded as they are.
+    """
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        if len(word) <= 64:
-            self[word] = v
-        return v
+        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for k in range(0, len(runs), 2000):
+            part = runs[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                packed, start = ids.tobytes(), 0
+                for run, stop in zip(part, (4 * stops).tolist()):
+                    self.runs[run] = packed[start:stop]
+                    start = stop
+            else:
+                self.runs.update((run, self._one(run)) for run in part)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > self.limit:
+            self.words = {"": b""}
+        if len(self.runs) > self.limit:
+            self.runs = {}
+        plain, other = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        self._learn_runs(list({run for _, run, _ in plain if run not in self.runs}))
+        for w, run, tail in plain:
+            if tail and tail not in self.runs:
+                self.runs[tail] = self._one(tail)
+            self.words[w] = self.runs[run] + self.runs[tail] if tail else self.runs[run]
+        for w in other:
+            self.words[w] = self._one(w)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        known = self.words
+        new = {w for words in split for w in words if w not in known}
+        if new:
+            asked = set().union(*split) if len(known) + len(new) > self.limit else new
+            self._learn(list(asked))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 @functools.cache
-def _words(path: str) -> _Words:
-    return _Words(path)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of the whole text, packed.  The tokenizer drops white space and never joins across it, so words are encoded one by one."""
-    return b"".join(map(_words(path).__getitem__, (text or "").replace("\n", " ").split(" ")))
+def _groups(docs, texts, characters: int = 1_000_000) -> Iterator[tuple[list, list]]:
+    """Documents in groups of about so many characters, so that few words are held at once."""
+    ids, held, size = [], [], 0
+    for doc, text in zip(docs, texts):
+        ids.append(doc)
+        held.append(text)
+        size += len(text or "")
+        if size >= characters:
+            yield ids, held
+            ids, held, size = [], [], 0
+    if ids:
+        yield ids, held
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -69,10 +130,10 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     width = 4 * capacity
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = word_ids(path)
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc"], batch["text"]):
-                ids = token_bytes(text, path) + end
+            for doc, ids in ((d, x + end) for docs, texts in _groups(batch["doc"], batch["text"]) for d, x in zip(docs, encoder.encode(texts))):
                 out += [(doc, k // width, k // 4, len(x) // 4, zlib.crc32(x)) for k in range(0, len(ids), width) for x in (ids[k : k + width],)]
             yield pd.DataFrame(out, columns=["doc", "piece", "start", "length", "ids_crc32"])
 
