@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,11 +40,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+class Tables:
+    """Tables in the shared folder that a computation drops itself as soon as it needs them no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = scratch(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes the tables, and lets Spark's cleaner remove the shuffle files of what has been written meanwhile."""
+        for name in names:
+            _remove(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a table in the shared folder: cuts lineage, survives lost executors, computes once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

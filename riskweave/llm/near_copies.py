@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 from .components import components
 
 SHINGLE = 5
@@ -40,24 +40,26 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 500_000
 
 
+class _Hashes(dict):
+    """word -> its 64-bit hash; cleared when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        v = self[word] = xxhash.xxh64_intdigest(word)
+        return v
+
+
 class Shingler:
-    """Sets of hashed shingles, as sorted arrays; word hashes are kept in a bounded cache."""
+    """Sets of hashed shingles, as sorted arrays."""
 
     def __init__(self, words: int = SHINGLE):
-        self.words, self.cache = words, {}
-
-    def _hash(self, word: bytes) -> int:
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            v = self.cache[word] = xxhash.xxh64_intdigest(word)
-        return v
+        self.words, self.hashes = words, _Hashes()
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; a text with fewer words has its whole sequence as the one shingle, none if it has no word."""
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split(b" ")
-        h = np.fromiter((self._hash(w) for w in words if w), np.uint64)
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
+        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         if not len(h):
             return h
         k = min(self.words, len(h))
@@ -138,37 +140,43 @@ def near_copies(docs: DataFrame, percent: int = 80, region: float = REGION, freq
     Null, empty and wordless texts have an empty set and are linked with nothing; equal texts share a component; rows with
     one id are one document when their sets are equal.  An empty table gives an empty result.
     """
-    sk = written(sketches(docs.select("doc", "text"), region, percent), "near-sketches")
-    classes = written(sk.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "near-classes")
+    made = Tables(docs.sparkSession)
+    full = made.write(sketches(docs.select("doc", "text"), region, percent), "near-sketches")
+    sk = made.write(full.select("doc", "n", "cls"), "near-sets")
+    classes = made.write(sk.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "near-classes")
     # postings of tokens that at least two classes hold
-    posted = sk.where("tokens is not null").select(F.col("cls"), F.col("n").cast("int").alias("n"), "n_low", F.posexplode("tokens").alias("rank", "token"))
+    posted = full.where("tokens is not null").select("cls", F.col("n").cast("int").alias("n"), "n_low", F.posexplode("tokens").alias("rank", "token"))
     lists = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").cast("int").alias("size")).where("low <> high").select("token", "size")
-    shared = written(posted.join(lists, "token").distinct(), "near-postings")
-    placed = written(_positions(shared, frequent, region, percent), "near-placed")
+    shared = made.write(posted.join(lists, "token").distinct(), "near-postings")
+    made.drop("near-sketches")
+    placed = made.write(_positions(shared, frequent, region, percent), "near-placed")
+    made.drop("near-postings")
 
     # 1. the most central member of each list, offered to the others
     centre = placed.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"))
     offered = placed.join(centre, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.at").alias("ib"))
-    star = written(_paired(offered.where("a <> b").where(_possible(percent))), "near-star")
-    edges = written(verified(docs, classes, star, percent), "near-edges")
+    star = made.write(_paired(offered.where("a <> b").where(_possible(percent))), "near-star")
+    edges = verified(docs, classes, star, percent)
     comps = components(edges)
 
     # 2. all remaining pairs between different components; the shorter set's token stands among its first n / 9
     labels = classes.join(comps, classes.rep == comps.node, "left").select("cls", F.coalesce("label", "rep").alias("comp"))
     members = placed.join(labels, "cls")
     open_lists = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    members = written(members.join(open_lists, "token"), "near-members")
+    members = made.write(members.join(open_lists, "token"), "near-members")
+    made.drop("near-placed")
     few = F.col("n") - F.col("at") >= F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))
     short = members.where(few).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
     other = members.select(F.col("token").alias("t2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"))
-    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & _possible(percent))
-    rest = written(_paired(crossing).join(star, ["a", "b"], "left_anti"), "near-crossing")
-    more = written(edges.union(verified(docs, classes, rest, percent)), "near-all-edges")
-    final = components(more)
-
-    named = classes.join(final, classes.rep == final.node, "left").select("cls", F.coalesce("label", "rep").alias("component"))
-    named = written(named, "near-named")
-    filled = sk.where("cls is not null").select("doc", "n", "cls").join(named, "cls").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ordered & _possible(percent))
+    rest = made.write(_paired(crossing).join(star, ["a", "b"], "left_anti"), "near-crossing")
+    made.drop("near-members")
+    final = components(edges.union(verified(docs, classes, rest, percent)))
+
+    named = made.write(classes.join(final, classes.rep == final.node, "left").select("cls", F.coalesce("label", "rep").alias("component")), "near-named")
+    made.drop("near-classes", "near-star", "near-crossing")
+    filled = sk.where("cls is not null").join(named, "cls").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     return filled.union(sk.where("cls is null").select("doc", "n", "doc"))
 
 
@@ -186,8 +194,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     """The pairs of classes that pass orders 2 and 3 and whose whole sets are linked, as edges (a, b) between representatives."""
     rep = classes.select("cls", "rep")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(rep, "cls")
-    wanted = written(wanted.select(F.col("rep").alias("doc"), "cls"), "near-wanted")
-    ids = wanted.select("doc").distinct()
+    made = Tables(docs.sparkSession)
+    ids = made.write(wanted.select(F.col("rep").alias("doc")).distinct(), "near-wanted")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select("doc", "text").join(F.broadcast(ids) if small else ids, "doc", "left_semi")
 
@@ -204,7 +212,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
                 }
             )
 
-    whole = written(texts.mapInPandas(sets, "doc long, cls long, half int, tokens array<long>"), "near-sets")
+    whole = made.write(texts.mapInPandas(sets, "doc long, cls long, half int, tokens array<long>"), "near-shingles")
     left = whole.select(F.col("cls").alias("a"), F.col("doc").alias("ra"), F.col("half").alias("ha"), F.col("tokens").alias("ta"))
     right = whole.select(F.col("cls").alias("b"), F.col("doc").alias("rb"), F.col("half").alias("hb"), F.col("tokens").alias("tb"))
     sizes = F.size("ta"), F.size("tb")
@@ -220,7 +228,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
         return F.slice(wrapped, F.lit(1), n - need + 1)
 
     both = F.size(F.array_intersect("ta", "tb"))
-    return (
+    edges = (
         pairs.join(left, "a")
         .join(right, "b")
         .where((sizes[0] >= need) & (sizes[1] >= need))
@@ -230,3 +238,6 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
         .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         .distinct()
     )
+    edges = made.write(edges, "near-edges")
+    made.drop("near-wanted", "near-shingles")
+    return edges
