@@ -27,6 +27,7 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 MIN_BYTES = 1000
 JOINT = 1 << 20
+GROUPS = 500_000
 
 
 def record_kinds(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -39,7 +40,10 @@ def record_kinds(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = pages.select("id", "url", body.alias("payload"), F.sha1(utf8(body)).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     large = F.col("bytes") >= min_bytes
     groups = rows.where(large).groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
-    joined = rows.join(groups, ["digest", "bytes"], "left")
+    groups = written(groups, "warc-groups")
+    # few groups go to every task, so that no payload is shuffled; more are joined by digest
+    few = groups.limit(GROUPS + 1).count() <= GROUPS
+    joined = rows.join(F.broadcast(groups) if few else groups, ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & (F.col("id") < F.col("first"))
     return joined.select("*", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"), F.when(revisit, F.col("first")).alias("refers")).drop("first")
 
