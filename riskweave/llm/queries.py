@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
+from . import decontaminate, importance, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
 from .common import table, utf8, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled good and not toxic are what the sample is to look like."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select(F.col("doc_id").alias("doc"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return importance.resampled(docs, good_labels(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
 def op2_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language_id.held_out(), F.lit(False)))
     labelled = docs.where("not held_out and lang is not null").select(F.col("doc_id").alias("id"), "text", "lang")
@@ -111,6 +122,7 @@ def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_byte_bigru": op2_byte_bigru,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
