@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,10 @@ BLOCK_WORDS = 200_000
 ITEM_WORDS = 1_000_000
 #: Upper-case ASCII is lowered, other ASCII than digits and letters becomes a space, the bytes of other characters stay.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-INDEX_SCHEMA = "doc_ids binary, doc_starts binary, n_words long, terms binary, list_starts binary, places binary"
+INDEX_SCHEMA = "doc_ids array<long>, doc_starts binary, n_words long, terms binary, list_starts binary, places binary"
+INDEX_ARROW = pa.schema(
+    [("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("n_words", pa.int64()), ("terms", pa.binary()), ("list_starts", pa.binary()), ("places", pa.binary())]
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,7 +80,7 @@ def item_blocks(items: DataFrame, item_words: int = ITEM_WORDS, id_col: str = "i
         yield block
 
 
-def _index_block(docs: list[tuple], numbers: list[np.ndarray]) -> dict:
+def _index_block(docs: list[int | None], numbers: list[np.ndarray]) -> dict:
     """docs: ids; numbers: each document's words as term numbers, -1 for words of no test item."""
     lengths = np.fromiter((len(x) for x in numbers), np.int64, len(numbers))
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -86,7 +90,7 @@ def _index_block(docs: list[tuple], numbers: list[np.ndarray]) -> dict:
     order = np.argsort(terms, kind="stable")
     found, first = np.unique(terms[order], return_index=True)
     return {
-        "doc_ids": np.array(docs, np.int64).tobytes(),
+        "doc_ids": docs,
         "doc_starts": starts.tobytes(),
         "n_words": int(starts[-1]),
         "terms": found.astype(np.int32).tobytes(),
@@ -96,25 +100,25 @@ def _index_block(docs: list[tuple], numbers: list[np.ndarray]) -> dict:
 
 
 def build_index(docs: DataFrame, plan: Plan, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index blocks over the whole texts of docs(id_col, text_col), written to the shared folder.  Ids must be integers and not null."""
+    """The index blocks over the whole texts of docs(id_col, text_col), written to the shared folder.  Ids are integers or null."""
     terms = plan.terms
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, ids, numbers, size = terms.get, [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["id"], batch["text"]):
+            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
                 numbers.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
                 ids.append(doc)
                 size += len(words) + 50
                 if size >= block_words:
-                    yield pd.DataFrame([_index_block(ids, numbers)])
+                    yield pa.RecordBatch.from_pylist([_index_block(ids, numbers)], INDEX_ARROW)
                     ids, numbers, size = [], [], 0
         if ids:
-            yield pd.DataFrame([_index_block(ids, numbers)])
+            yield pa.RecordBatch.from_pylist([_index_block(ids, numbers)], INDEX_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInPandas(build, INDEX_SCHEMA), "positional-index")
+    return written(rows.mapInArrow(build, INDEX_SCHEMA), "positional-index")
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -135,13 +139,13 @@ def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
 
 
 class Block:
-    """An index block as read back."""
+    """An index block as read back; row: a mapping of its columns."""
 
     def __init__(self, row):
-        self.docs, self.starts = np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.doc_starts, np.int64)
-        self.lists = np.frombuffer(row.list_starts, np.int64)
-        self.at = {t: k for k, t in enumerate(np.frombuffer(row.terms, np.int32).tolist())}
-        self.places = np.frombuffer(row.places, np.int64 if row.n_words > 2**31 - 1 else np.int32)
+        self.docs, self.starts = row["doc_ids"], np.frombuffer(row["doc_starts"], np.int64)
+        self.lists = np.frombuffer(row["list_starts"], np.int64)
+        self.at = {t: k for k, t in enumerate(np.frombuffer(row["terms"], np.int32).tolist())}
+        self.places = np.frombuffer(row["places"], np.int64 if row["n_words"] > 2**31 - 1 else np.int32)
 
     def postings(self, term: int) -> np.ndarray:
         k = self.at.get(term)
@@ -180,6 +184,7 @@ class Block:
         return here
 
 
+MATCHES_ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())
 MATCHES = "doc_id long, n_words long, item_id long, kind string, start long, length int"
 VERDICTS = "doc_id long, n_words long, n_hit long, item_ids array<long>, n_near long"
 
@@ -200,21 +205,21 @@ def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
     windows, owners, items = plan.windows, plan.owners, plan.items
     rare = [sorted(ts, key=lambda t: (counts[t], t))[:near_terms] for ts in plan.item_terms]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 b, out = Block(row), []
                 for j in live:
                     starts = b.phrase(windows[j], orders[j])
                     for s, d in zip(starts.tolist(), b.doc_of(starts).tolist()):
-                        out += [(b.docs[d], b.starts[d + 1] - b.starts[d], items[i], "phrase", s - b.starts[d], len(windows[j])) for i in owners[j]]
+                        out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "phrase", int(s - b.starts[d]), len(windows[j])) for i in owners[j]]
                 for i, ts in enumerate(rare):
                     if len(ts) == near_terms:
                         starts = b.near(ts, near_span)
-                        out += [(b.docs[d], b.starts[d + 1] - b.starts[d], items[i], "near", s - b.starts[d], 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")])
+                        out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "near", int(s - b.starts[d]), 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, MATCHES_ARROW)], [c.split()[0] for c in MATCHES.split(", ")])
 
-    return index.mapInPandas(find, MATCHES)
+    return index.mapInArrow(find, MATCHES)
 
 
 def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int = 40) -> DataFrame:
@@ -225,9 +230,9 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
     windows, owners, items = plan.windows, plan.owners, plan.items
     rare = [sorted(ts, key=lambda t: (counts[t], t))[:near_terms] for ts in plan.item_terms]
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 b = Block(row)
                 edges = np.zeros(int(b.starts[-1]) + 1, np.int32)
                 of: dict[int, set[int]] = {}
@@ -244,17 +249,16 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                         near[np.unique(b.doc_of(b.near(ts, near_span)))] += 1
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
                 lengths = np.diff(b.starts)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b.docs,
-                        "n_words": lengths,
-                        "n_hit": hit[b.starts[1:]] - hit[b.starts[:-1]],
-                        "item_ids": [sorted(of.get(d, ()), key=str) for d in range(len(b.docs))],
-                        "n_near": near,
-                    }
-                )
-
-    return index.mapInPandas(judge, VERDICTS)
+                columns = [
+                    pa.array(b.docs, pa.int64()),
+                    pa.array(lengths),
+                    pa.array(hit[b.starts[1:]] - hit[b.starts[:-1]]),
+                    pa.array([sorted(of.get(d, ()), key=str) for d in range(len(b.docs))], pa.list_(pa.int64())),
+                    pa.array(near),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "n_near"])
+
+    return index.mapInArrow(judge, VERDICTS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_words: int = ITEM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,13 +156,14 @@ def weighted(docs: DataFrame, model: Model, column: str = "log_weight") -> DataF
     """docs(text and any other columns) with the text's log weight; null and empty texts weigh 0."""
     from pyspark.sql import types as T
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            yield batch.assign(**{column: np.array([model.weight(features.of(t)) for t in batch["text"]], np.float64)})
+            found = pa.array([model.weight(features.of(t)) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, column])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInPandas(weigh, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(weigh, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:

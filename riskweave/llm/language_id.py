@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,14 +226,14 @@ def identified(docs: DataFrame, net: BiGRU, carry: list[str] = ()) -> DataFrame:
     in alphabetical order.  Only the text decides.
     """
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         table = np.zeros((0, len(net.languages) + 1), np.float32)
         for batch in batches:
             if len(known) > CACHE_SEGMENTS:
                 known, table = {}, table[:0]
             ids = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 ids.append(np.fromiter((known.setdefault(w, len(known)) for w in segments(text)), np.int64))
             new = list(itertools.islice(known, len(table), None))
             if new:
@@ -249,12 +250,13 @@ def identified(docs: DataFrame, net: BiGRU, carry: list[str] = ()) -> DataFrame:
                     langs.append(net.languages[best])
                     scores.append(float(min(1.0, mean[best])))
                 places.append(int(sums[-1]))
-            yield pd.DataFrame({**{c: batch[c] for c in carry}, "lang_pred": langs, "score": scores, "positions": places})
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *found], [*carry, "lang_pred", "score", "positions"])
 
     kept = docs.select("text", *carry)
     types = dict(kept.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in carry], "lang_pred string, score double, positions long"])
-    return kept.mapInPandas(label, schema)
+    return kept.mapInArrow(label, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,17 +90,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def _inputs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc").cast("long").alias("doc"), "text")
+
+
 def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> DataFrame:
     """doc, n, cls (the set's hash; null if empty), and for the first copy a task meets tokens, the set's lowest hashes, of which n_low are in the region."""
     if not 0 < region < 0.5:
         raise ValueError("region must be between 0 and 0.5")
     top = np.uint64(int(region * 2**64))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(), set()
         for batch in batches:
             ns, ids, tokens, lows = [], [], [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 s = shingler.set_of(text)
                 ns.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
@@ -114,9 +118,12 @@ def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> Data
                 lows.append(int(np.searchsorted(s, top)))
                 keep = max(lows[-1], longest_prefix(len(s), percent))
                 tokens.append(s[:keep].view(np.int64))
-            yield pd.DataFrame({"doc": batch["doc"], "n": ns, "cls": pd.array(ids, dtype="Int64"), "n_low": lows, "tokens": tokens})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(lows, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                ["doc", "n", "cls", "n_low", "tokens"],
+            )
 
-    return docs.mapInPandas(sketch, "doc long, n long, cls long, n_low int, tokens array<long>")
+    return docs.mapInArrow(sketch, "doc long, n long, cls long, n_low int, tokens array<long>")
 
 
 def _positions(posted: DataFrame, frequent: int, region: float, percent: int) -> DataFrame:
@@ -141,7 +148,7 @@ def near_copies(docs: DataFrame, percent: int = 80, region: float = REGION, freq
     one id are one document when their sets are equal.  An empty table gives an empty result.
     """
     made = Tables(docs.sparkSession)
-    full = made.write(sketches(docs.select("doc", "text"), region, percent), "near-sketches")
+    full = made.write(sketches(_inputs(docs), region, percent), "near-sketches")
     sk = made.write(full.select("doc", "n", "cls"), "near-sets")
     classes = made.write(sk.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "near-classes")
     # postings of tokens that at least two classes hold
@@ -197,22 +204,21 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     made = Tables(docs.sparkSession)
     ids = made.write(wanted.select(F.col("rep").alias("doc")).distinct(), "near-wanted")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select("doc", "text").join(F.broadcast(ids) if small else ids, "doc", "left_semi")
+    texts = _inputs(docs).join(F.broadcast(ids) if small else ids, "doc", "left_semi")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            found = [shingler.set_of(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc": batch["doc"],
-                    "cls": pd.array([set_id(s) if len(s) else None for s in found], dtype="Int64"),
-                    "half": [int(np.searchsorted(s, np.uint64(1 << 63))) for s in found],
-                    "tokens": [s.view(np.int64) for s in found],
-                }
-            )
-
-    whole = made.write(texts.mapInPandas(sets, "doc long, cls long, half int, tokens array<long>"), "near-shingles")
+            found = [shingler.set_of(t) for t in batch.column("text").to_pylist()]
+            columns = [
+                batch.column("doc"),
+                pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
+                pa.array([int(np.searchsorted(s, np.uint64(1 << 63))) for s in found], pa.int32()),
+                pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "cls", "half", "tokens"])
+
+    whole = made.write(texts.mapInArrow(sets, "doc long, cls long, half int, tokens array<long>"), "near-shingles")
     left = whole.select(F.col("cls").alias("a"), F.col("doc").alias("ra"), F.col("half").alias("ha"), F.col("tokens").alias("ta"))
     right = whole.select(F.col("cls").alias("b"), F.col("doc").alias("rb"), F.col("half").alias("hb"), F.col("tokens").alias("tb"))
     sizes = F.size("ta"), F.size("tb")

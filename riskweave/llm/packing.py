@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,18 +111,16 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _groups(docs, texts, characters: int = 1_000_000) -> Iterator[tuple[list, list]]:
-    """Documents in groups of about so many characters, so that few words are held at once."""
-    ids, held, size = [], [], 0
-    for doc, text in zip(docs, texts):
-        ids.append(doc)
-        held.append(text)
+def _groups(texts: list[str | None], characters: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in groups of about so many characters, with the number of the first, so that few words are held at once."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
         size += len(text or "")
         if size >= characters:
-            yield ids, held
-            ids, held, size = [], [], 0
-    if ids:
-        yield ids, held
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -129,15 +128,24 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
         for batch in batches:
-            out = []
-            for doc, ids in ((d, x + end) for docs, texts in _groups(batch["doc"], batch["text"]) for d, x in zip(docs, encoder.encode(texts))):
-                out += [(doc, k // width, k // 4, len(x) // 4, zlib.crc32(x)) for k in range(0, len(ids), width) for x in (ids[k : k + width],)]
-            yield pd.DataFrame(out, columns=["doc", "piece", "start", "length", "ids_crc32"])
-
-    return docs.mapInPandas(pieces, "doc long, piece int, start long, length long, ids_crc32 long")
+            rows, starts, lengths, sums = [], [], [], []
+            for first, texts in _groups(batch.column("text").to_pylist()):
+                for row, ids in enumerate(encoder.encode(texts), first):
+                    ids += end
+                    for k in range(0, len(ids), width):
+                        x = ids[k : k + width]
+                        rows.append(row)
+                        starts.append(k // 4)
+                        lengths.append(len(x) // 4)
+                        sums.append(zlib.crc32(x))
+            start = np.array(starts, np.int64)
+            columns = [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids_crc32"])
+
+    return docs.mapInArrow(pieces, "doc long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
@@ -243,7 +251,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     are interchangeable); an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = written(tokenized(docs.select("doc", "text"), path, capacity, end_id), "pack-pieces")
+    pieces = written(tokenized(docs.select(F.col("doc").cast("long").alias("doc"), "text"), path, capacity, end_id), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     decisions, _, _ = best_fit_rounds(counts, capacity)
     schema = "length long, first long, many long, sequence long, offset long"

@@ -14,7 +14,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
@@ -234,6 +234,7 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), spans
 
 
+ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -247,12 +248,16 @@ def pseudonymized(docs: DataFrame, key: bytes, text: str = "text", spans: str |
 
     fields = list(docs.schema.fields) + ([T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else [])
 
-    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonyms(key)
         for batch in batches:
-            both = [p.replaced(t) for t in batch[text]]
-            out = batch.assign(**{text: pd.Series([b[0] for b in both], dtype=object, index=batch.index)})
-            yield out.assign(**{spans: [[{"kind": k, "start": s, "end": e} for s, e, k, _ in b[1]] for b in both]}) if spans else out
+            both = [p.replaced(t) for t in batch.column(text).to_pylist()]
+            columns = [pa.array([b[0] for b in both], pa.string()) if name == text else batch.column(name) for name in batch.schema.names]
+            names = list(batch.schema.names)
+            if spans:
+                columns.append(pa.array([[{"kind": k, "start": s, "end": e} for s, e, k, _ in b[1]] for b in both], ARROW_SPANS))
+                names.append(spans)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    return docs.mapInPandas(replace, nullable)
+    return docs.mapInArrow(replace, nullable)

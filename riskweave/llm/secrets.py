@@ -12,7 +12,7 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 EFFICIENCY = 2.0
+ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -76,17 +77,17 @@ def scan(docs: DataFrame, path: str, pattern: str, efficiency: float = EFFICIENC
     assign, access and hex spans are those of the fixed patterns; random ones are added where they overlap none of those.
     """
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
         for batch in batches:
             spans = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 base = base_spans(text) if text else []
                 more = random_runs(text, base, encode, efficiency) if text else []
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + more)])
-            yield pd.DataFrame({"doc": batch["doc"], "spans": spans})
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, ARROW_SPANS)], ["doc", "spans"])
 
-    return docs.select("doc", "text").mapInPandas(find, f"doc long, spans {SPANS}")
+    return docs.select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(find, f"doc long, spans {SPANS}")
 
 
 def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
