@@ -10,7 +10,9 @@ required = ceil(4 (n + m) / 9) is the overlap they need.  Candidates must do so
    documents come late and most unrelated documents never meet.  The positions in a posting also bound the possible overlap.
 2. hash descending, and 3. hash ascending from the middle of the hash space on, wrapping round: tested on the pairs from 1.
 
-A pair that passes all three is verified on the whole sets.
+Pairs must also pass a bitmap bound: each set has the parities of its tokens' counts in BITS hash classes, and the
+number of parities in which two sets differ is at most the size of their symmetric difference.  A pair that passes all is verified on
+the whole sets.
 
 Large groups of near copies are not expanded into pairs.  Every posting list first offers only its most central member to the
 others; what is verified there is united.  Then the lists that still hold several components offer the remaining pairs,
@@ -31,7 +33,8 @@ from .common import Tables
 from .components import components
 
 SHINGLE = 5
-REGION = 0.3
+REGION = 0.25
+BITS = 256
 FREQUENT = 50
 BROADCAST_IDS = 2_000_000
 #: Words end at ASCII white space.
@@ -84,6 +87,12 @@ def longest_prefix(n: int, percent: int = 80) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """The parities of the counts of tokens in BITS classes, as 64-bit integers."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
     """The plain test on two sets, for small tables and tests."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -103,11 +112,12 @@ def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> Data
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(), set()
         for batch in batches:
-            ns, ids, tokens, lows = [], [], [], []
+            ns, ids, tokens, lows, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler.set_of(text)
                 ns.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
+                bits.append(parities(s) if len(s) else None)
                 if not len(s) or ids[-1] in met:
                     tokens.append(None)
                     lows.append(0)
@@ -119,11 +129,11 @@ def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> Data
                 keep = max(lows[-1], longest_prefix(len(s), percent))
                 tokens.append(s[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(lows, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                ["doc", "n", "cls", "n_low", "tokens"],
+                [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(lows, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc", "n", "cls", "n_low", "tokens", "bits"],
             )
 
-    return docs.mapInArrow(sketch, "doc long, n long, cls long, n_low int, tokens array<long>")
+    return docs.mapInArrow(sketch, "doc long, n long, cls long, n_low int, tokens array<long>, bits array<long>")
 
 
 def _positions(posted: DataFrame, frequent: int, region: float, percent: int) -> DataFrame:
@@ -150,7 +160,8 @@ def near_copies(docs: DataFrame, percent: int = 80, region: float = REGION, freq
     made = Tables(docs.sparkSession)
     full = made.write(sketches(_inputs(docs), region, percent), "near-sketches")
     sk = made.write(full.select("doc", "n", "cls"), "near-sets")
-    classes = made.write(sk.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "near-classes")
+    first = F.any_value("bits").alias("bits")  # the same for all documents of a class
+    classes = made.write(full.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), first), "near-classes")
     # postings of tokens that at least two classes hold
     posted = full.where("tokens is not null").select("cls", F.col("n").cast("int").alias("n"), "n_low", F.posexplode("tokens").alias("rank", "token"))
     lists = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").cast("int").alias("size")).where("low <> high").select("token", "size")
@@ -162,21 +173,24 @@ def near_copies(docs: DataFrame, percent: int = 80, region: float = REGION, freq
     # 1. the most central member of each list, offered to the others
     centre = placed.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"))
     offered = placed.join(centre, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.at").alias("ib"))
-    star = made.write(_paired(offered.where("a <> b").where(_possible(percent))), "near-star")
+    star = _paired(offered.where("a <> b").where(_possible(percent)))
+    for side in "ab":
+        star = star.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"s{side}")), side)
+    star = made.write(star.where(_alike(percent)).select("a", "b"), "near-star")
     edges = verified(docs, classes, star, percent)
     comps = components(edges)
 
     # 2. all remaining pairs between different components; the shorter set's token stands among its first n / 9
-    labels = classes.join(comps, classes.rep == comps.node, "left").select("cls", F.coalesce("label", "rep").alias("comp"))
+    labels = classes.join(comps, classes.rep == comps.node, "left").select("cls", "bits", F.coalesce("label", "rep").alias("comp"))
     members = placed.join(labels, "cls")
     open_lists = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     members = made.write(members.join(open_lists, "token"), "near-members")
     made.drop("near-placed")
     few = F.col("n") - F.col("at") >= F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))
-    short = members.where(few).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
-    other = members.select(F.col("token").alias("t2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"))
+    short = members.where(few).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"), F.col("bits").alias("sa"))
+    other = members.select(F.col("token").alias("t2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"), F.col("bits").alias("sb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ordered & _possible(percent))
+    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ordered & _possible(percent) & _alike(percent))
     rest = made.write(_paired(crossing).join(star, ["a", "b"], "left_anti"), "near-crossing")
     made.drop("near-members")
     final = components(edges.union(verified(docs, classes, rest, percent)))
@@ -193,6 +207,13 @@ def _possible(percent: int):
     return (F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need)
 
 
+def _alike(percent: int):
+    """Whether the parities sa and sb leave room for the overlap that sets of na and nb need."""
+    differ = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    return differ <= F.col("na") + F.col("nb") - 2 * need
+
+
 def _paired(offers: DataFrame) -> DataFrame:
     return offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
