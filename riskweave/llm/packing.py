@@ -19,7 +19,6 @@ document then finds its own decision by length and rank, distributed.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -78,12 +77,13 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > self.limit:
             self.words = {"": b""}
-        if len(self.runs) > self.limit:
+        if len(self.runs) + len(words) > self.limit:
             self.runs = {}
         plain, other = [], []
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
+            if w.isascii() and w.isalpha():
+                plain.append((w, w.lower(), ""))
+            elif m := _PLAIN.fullmatch(w):
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
@@ -98,19 +98,13 @@ class WordIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
+        asked = set().union(*split)
+        new = asked - self.words.keys()
         if new:
-            asked = set().union(*split) if len(known) + len(new) > self.limit else new
-            self._learn(list(asked))
+            self._learn(list(asked if len(self.words) + len(new) > self.limit else new))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def _groups(texts: list[str | None], characters: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in groups of about so many characters, with the number of the first, so that few words are held at once."""
     first, size = 0, 0
@@ -129,7 +123,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     width = 4 * capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
+        encoder = WordIds(path)  # with a cache for this task
         for batch in batches:
             rows, starts, lengths, sums = [], [], [], []
             for first, texts in _groups(batch.column("text").to_pylist()):
