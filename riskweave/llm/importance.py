@@ -35,7 +35,7 @@ WORD_BITS = 17
 PAIR_BITS = 17
 TABLES = 2
 SHAPES = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,6 +48,11 @@ class _Hashes(dict):
         return v
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Features:
     """The distinct n-grams of a text as buckets, (TABLES, n) numbers: each n-gram has a bucket of its own in every table.
 
@@ -64,23 +69,23 @@ class Features:
     def of(self, text: str | None) -> np.ndarray:
         tokens = _TOKEN.findall((text or "").lower())
         h = np.fromiter(map(self.hashes.__getitem__, tokens), np.uint64, len(tokens))
-        words = np.unique(h)
+        words = _distinct(h)
         if len(h) < 2:
-            return self._buckets(words, WORD_BITS)
-        pairs = np.unique(((h[:-1] ^ (h[:-1] >> np.uint64(31))) * _MIX + h[1:]) * _MIX)
-        tenth = 10 * len(pairs) // len(h)
-        shape = [tenth * 20 + min(19, len(h).bit_length())]
+            return self._buckets(words, WORD_BITS, 0)
+        pairs = _distinct(((h[:-1] ^ (h[:-1] >> np.uint64(31))) * _MIX + h[1:]) * _MIX)
+        shape = [self.shapes_from + (10 * len(pairs) // len(h)) * 20 + min(19, len(h).bit_length())]
         if np.count_nonzero(h[:-1] == h[1:]) * 20 > len(h):
-            shape.append(SHAPES - 1)
-        shapes = np.tile(np.array(shape) + self.shapes_from, (TABLES, 1))
-        return np.concatenate([self._buckets(words, WORD_BITS), self._buckets(pairs, PAIR_BITS) + self.pairs_from, shapes], axis=1)
+            shape.append(self.shapes_from + SHAPES - 1)
+        shapes = np.array([shape] * TABLES)
+        return np.concatenate([self._buckets(words, WORD_BITS, 0), self._buckets(pairs, PAIR_BITS, self.pairs_from), shapes], axis=1)
 
     @staticmethod
-    def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    def _buckets(hashes: np.ndarray, bits: int, start: int) -> np.ndarray:
         out = np.empty((TABLES, len(hashes)), np.int64)
         for k in range(TABLES):
-            out[k] = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            out[k] = hashes >> np.uint64(64 - bits)
             hashes = (hashes ^ (hashes >> np.uint64(29))) * _MIX
+        out += start
         return out
 
 
@@ -117,7 +122,7 @@ def ngram_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     flagged = docs.select("doc", "text").join(F.broadcast(fit), "doc", "left").select("text", F.coalesce("row", F.lit(0)).alias("row"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, sums = Features(), np.zeros((TABLES, 3, Features.size), np.int64)
+        features, sums = Features(), np.zeros((TABLES, 3, Features.size), np.int32)
         for batch in batches:
             for text, row in zip(batch["text"], batch["row"]):
                 for table, found in zip(sums, features.of(text)):

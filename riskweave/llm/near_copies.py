@@ -40,7 +40,7 @@ BROADCAST_IDS = 2_000_000
 #: Words end at ASCII white space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class _Hashes(dict):
