@@ -19,6 +19,8 @@ document then finds its own decision by length and rank, distributed.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,39 +42,46 @@ CACHE_WORDS = 600_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s]*)")
 
 
+#: A byte-level vocabulary writes printable bytes as they are and numbers the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Ids of whole texts, packed as little-endian unsigned 32-bit numbers, by way of a cache of words.
 
     The tokenizer drops white space and never joins across it, so words are encoded apart.  A run of plain letters is one piece to
-    the tokenizer and ends in its only word-end token, which tells many new runs apart that are encoded together; what
-    follows it without letters, digits or spaces is encoded apart from it.  All other words are encoded as they are.
+    the tokenizer, so that its model can be asked directly; what follows it without letters, digits or spaces is encoded
+    apart from it.  All other words are encoded as they are.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tokenizer, self.limit = _tokenizer(path), cache_words
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        # the model sees bytes as characters; if it doesn't agree with the tokenizer, that one is asked for every run
+        self.direct = all(self._run(w) == self._one(w) for w in ("a", "word", "straße", "éàñü"))
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _run(self, run: str) -> bytes:
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return b"".join([self.packed[t.id] for t in self.tokenize(run)])
+
     def _learn_runs(self, runs: list[str]) -> None:
-        for k in range(0, len(runs), 2000):
-            part = runs[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                packed, start = ids.tobytes(), 0
-                for run, stop in zip(part, (4 * stops).tolist()):
-                    self.runs[run] = packed[start:stop]
-                    start = stop
-            else:
-                self.runs.update((run, self._one(run)) for run in part)
+        one = self._run if self.direct else self._one
+        self.runs.update((run, one(run)) for run in runs)
 
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > self.limit:
@@ -144,10 +153,56 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
     """counts: pieces a length (1 to capacity).  Returns decisions (length, first rank, count, first sequence, offset), the number of
-    sequences and of rounds.  Sequences are numbered from 0."""
-    waiting = {n: [0, c] for n, c in sorted(counts.items()) if c}  # length -> next rank, pieces left
-    if any(not 1 <= n <= capacity for n in waiting):
+    sequences and of rounds.  Sequences are numbered from 0.  Of rounds over all lengths at once and rounds over one length, the
+    longest first, those that need fewer sequences are taken."""
+    if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("lengths must be from 1 to the capacity")
+    return min(_all_lengths(counts, capacity), _one_length_a_round(counts, capacity), key=lambda plan: plan[1])
+
+
+def _one_length_a_round(counts: dict[int, int], capacity: int) -> tuple[list, int, int]:
+    """In each round the pieces of one length go to their successors among the sorted gaps, run by run, by rank; each sequence takes as many as fit."""
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first sequence, sequences)
+    order: list[int] = []  # the gaps, sorted
+    out: list[tuple[int, int, int, int, int]] = []
+    opened = rounds = 0
+
+    def keep(gap: int, first: int, many: int) -> None:
+        if gap and many:
+            if gap not in gaps:
+                bisect.insort(order, gap)
+                gaps[gap] = []
+            gaps[gap].append((first, many))
+
+    for length in sorted((n for n, c in counts.items() if c), reverse=True):
+        rank, left = 0, counts[length]
+        rounds += 1
+        while left:
+            k = bisect.bisect_left(order, length)
+            if k < len(order):
+                gap = order[k]
+                first, many = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], order[k]
+            else:
+                gap, first, many = capacity, opened, -(-left // (capacity // length))
+                opened += many
+            fit = gap // length
+            full = min(many, left // fit)
+            rest = min(left - full * fit, fit) if full < many else 0
+            for sequences, start, each in ((full, first, fit), (1 if rest else 0, first + full, rest)):
+                for slot in range(each if sequences else 0):
+                    out.append((length, rank, sequences, start, capacity - gap + slot * length))
+                    rank += sequences
+                    left -= sequences
+                keep(gap - each * length, start, sequences)
+            used = full + (rest > 0)
+            keep(gap, first + used, many - used)
+    return out, opened, rounds
+
+
+def _all_lengths(counts: dict[int, int], capacity: int) -> tuple[list, int, int]:
+    waiting = {n: [0, c] for n, c in sorted(counts.items()) if c}  # length -> next rank, pieces left
     gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences), equal gaps may be in several runs
     out: list[tuple[int, int, int, int, int]] = []
     opened, rounds = 0, 0
