@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, importance, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
 from .common import table, utf8, written
+from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,7 +81,6 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         decontaminate.items_digest().alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
-        "n_near",
     )
 
 
@@ -133,4 +133,3 @@ QUERIES: dict[str, Query] = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
 }
-ORACLES: dict[str, str] = {}
