@@ -112,3 +112,10 @@ def estimated_cc(text: Column) -> Column:
 def message_complexity(message: Column) -> Column:
     """The number in `complexity of N`."""
     return F.regexp_extract(message, r"(?i)complexity of (\d+)", 1).try_cast("double")
+
+
+def html_escaped(text: Column) -> Column:
+    out = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out

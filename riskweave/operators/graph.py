@@ -38,6 +38,34 @@ def callers_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("callee").agg(F.transform(ordered, lambda x: x["caller"]).alias("callers"))
 
 
+def incoming(edges: DataFrame) -> DataFrame:
+    """callee, callers: distinct callers, in the order in which they first appear."""
+    return callers_of(distinct_edges(edges))
+
+
+def preferred(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The edges of a better source, such as a language server's, or those of the other where it has none or fails."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return fallback if primary.isEmpty() else primary
+    except PySparkException:
+        return fallback
+
+
+def hierarchy_edges(calls: DataFrame, scope: str | None = None) -> DataFrame:
+    """calls(ord, caller_uri, caller_line, caller_char, callee_uri, callee_line, callee_char), as a language server's call hierarchy tells them:
+    edges between the places of names, without self-calls; callers outside the scope are left out, callees are not.  Only files and
+    unsaved documents count."""
+    from riskweave.functions.text import symbol_id
+    from riskweave.sources.files import in_scope, readable_scheme
+
+    end = lambda e: symbol_id(F.col(f"{e}_uri"), F.col(f"{e}_line"), F.col(f"{e}_char"))
+    kept = calls.where(readable_scheme(F.col("caller_uri")) & readable_scheme(F.col("callee_uri")))
+    kept = kept if scope is None else kept.where(in_scope(F.col("caller_uri"), scope))
+    return without_self_edges(kept.select("ord", end("caller").alias("caller"), end("callee").alias("callee")))
+
+
 def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("callee") == symbol).select("ord", "caller")
 

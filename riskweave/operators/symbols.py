@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import metrics as M
@@ -49,6 +49,23 @@ def slice_text(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
+#: Kinds of editor symbols that are functions.
+FUNCTION_KINDS = ("Function", "Method", "Constructor")
+
+
+def flattened_symbols(nested: DataFrame) -> DataFrame:
+    """nested(uri, path array<int>, kind, name, ...): the functions among an editor's nested symbols, outer before inner; path is the way through
+    the children.  Adds ord."""
+    found = nested.where(F.col("kind").isin(*FUNCTION_KINDS))
+    return found.withColumn("ord", F.row_number().over(Window.partitionBy("uri").orderBy("path")) - 1)
+
+
+def first_selected(metrics: DataFrame, ids: list[str]) -> DataFrame:
+    """The metrics of the first of the selected ids that is a symbol."""
+    wanted = F.array_position(F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<string>"), F.col("id"))
+    return last_by_id(metrics).where(wanted > 0).orderBy(wanted).limit(1)
+
+
 def symbol_inputs(documents: DataFrame, functions: DataFrame, statements: DataFrame, by_line: DataFrame, by_name: DataFrame, fallback_t: float = 0.0) -> DataFrame:
     """One row a function of a known document: id, uri, name, cc, t, file order and function order."""
     own = functions.join(documents.select("uri", F.col("ord").alias("file_ord"), "lines"), "uri")

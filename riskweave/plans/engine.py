@@ -12,6 +12,7 @@ from riskweave import model
 from riskweave.functions.text import path_uri
 from riskweave.model import Settings
 from riskweave.operators import graph, resolution, symbols
+from riskweave.plans import providers
 from riskweave.sources import coverage, extract, files, tools
 
 
@@ -91,21 +92,31 @@ class RiskEngine:
         statements = self.reports(root)
         churn = None
         if s.churn.enabled:
-            since = (now or datetime.datetime.now()) - datetime.timedelta(days=s.churn.lookback_days)
-            churn = tools.commit_counts(tools.commit_log(self.spark, root, since.isoformat()), path_uri(root.rstrip("/")))
+            since = providers.cutoff(s.churn.lookback_days, now or datetime.datetime.now())
+            churn = providers.churn_or_none(lambda: tools.commit_counts(tools.commit_log(self.spark, root, since.isoformat()), path_uri(root.rstrip("/"))))
         edges = self.call_graph(whole) if call_graph else self._empty(model.EDGES)
         return self.analyze(documents, statements, edges, churn=churn)
 
-    def reports(self, root: str, limit: int = 50) -> DataFrame | None:
+    def reports(self, root: str, jacoco: bool = False, limit: int = 50) -> DataFrame | None:
+        """The statements of the LCOV reports below root and, where asked for, of JaCoCo reports after them, at most `limit` of each kind."""
+        found = self._texts(root, self.settings.coverage.lcov_glob, limit)
+        statements = None if found is None else coverage.at_uris(coverage.lcov_statements(found), root)
+        if jacoco and (found := self._texts(root, self.settings.coverage.jacoco_glob, limit)) is not None:
+            more = coverage.suffix_uris(coverage.jacoco_statements(found), files.discover(self.spark, root, self.settings.max_files, False))
+            statements = more if statements is None else coverage.merged(statements, more)
+        return statements
+
+    def _texts(self, root: str, pattern: str, limit: int) -> DataFrame | None:
+        """report, content of the files of a pattern such as **/folder/name, by path; none if there is none."""
         from pyspark.errors import AnalysisException
 
-        name = self.settings.coverage.lcov_glob.rsplit("/", 1)[-1]
-        folder = self.settings.coverage.lcov_glob.rsplit("/", 1)[0].rsplit("/", 1)[-1]
+        *above, name = pattern.split("/")
+        folder = above[-1] if above and above[-1] != "**" else None
+        report = F.col("_metadata.file_path")
         try:
             found = self.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
         except AnalysisException:
             return None
-        report = F.col("_metadata.file_path")
-        wanted = report.rlike(f"/{folder}/[^/]*$") if folder not in ("", "**") else F.lit(True)
-        texts = found.where(wanted & ~report.contains("/node_modules/")).select(report.alias("report"), F.col("value").alias("content")).orderBy("report").limit(limit)
-        return coverage.at_uris(coverage.lcov_statements(texts), root)
+        wanted = report.rlike(f"/{folder}/[^/]*$") if folder else F.lit(True)
+        texts = found.where(wanted & ~report.contains("/node_modules/")).select(report.alias("report"), F.col("value").alias("content"))
+        return texts.orderBy("report").limit(limit)

@@ -6,6 +6,7 @@ files, line items are statements, events are commits, transitions between event
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import metrics as M
 from riskweave.functions import text as X
 from riskweave.operators import callers, graph, resolution, symbols
-from riskweave.plans import views
+from riskweave.plans import providers, views
 from riskweave.sources import coverage, files, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +485,42 @@ def caller_index(spark, d):
     return graph.callers_of(transitions(spark, d)).select("callee", F.array_join("callers", ",").alias("callers"))
 
 
+@registered(f"WITH e AS ({TRANSITIONS}) SELECT callee, string_agg(caller, ',' ORDER BY ord) AS callers FROM e GROUP BY 1")
+def incoming_lists(spark, d):
+    return graph.incoming(graph.without_self_edges(steps_of_users(spark, d))).select("callee", F.array_join("callers", ",").alias("callers"))
+
+
+@registered("SELECT 'file:///' || l_partkey || '#' || l_linenumber || ':0' AS caller, 'file:///' || l_suppkey || '#0:1' AS callee FROM lineitem WHERE l_quantity > 10")
+def hierarchy_edges(spark, d):
+    uri = lambda c: F.concat(F.when(F.col("l_quantity") > 10, "file:///").otherwise("git:///"), F.col(c).cast("string"))
+    calls = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("ord"), uri("l_partkey").alias("caller_uri"), F.col("l_linenumber").alias("caller_line"), F.lit(0).alias("caller_char"), uri("l_suppkey").alias("callee_uri"), F.lit(0).alias("callee_line"), F.lit(1).alias("callee_char"))
+    return graph.hierarchy_edges(calls).select("caller", "callee")
+
+
+@registered("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS escaped FROM documents")
+def html_escape(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.html_escaped(F.col("text")).alias("escaped"))
+
+
+@registered(f"SELECT CAST(user_id AS VARCHAR) AS uri, count(*) AS commits FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
+def commits_since(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("uri"), "ts")
+    return providers.commits_since(e, providers.cutoff(10, datetime.datetime(2024, 1, 30)))
+
+
+@registered("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ord FROM conversations WHERE role = 'assistant'")
+def editor_symbols(spark, d):
+    c = t(spark, d, "conversations")
+    nested = c.select(F.col("conv_id").cast("string").alias("uri"), "conv_id", "turn", F.array(F.col("turn").cast("int")).alias("path"), F.when(F.col("role") == "assistant", "Method").otherwise("Class").alias("kind"))
+    return symbols.flattened_symbols(nested).select("conv_id", "turn", "ord")
+
+
+@registered(f"{CHURNED}, ru AS (SELECT uri, max(f_prime) AS m FROM churned GROUP BY 1) SELECT n_name AS uri, CASE WHEN m >= 150 THEN 'error' WHEN m >= 50 THEN 'warn' ELSE 'none' END AS tier FROM nation LEFT JOIN ru ON 'Brand#' || n_nationkey = ru.uri".replace("SELECT n_name AS uri", "SELECT 'Brand#' || n_nationkey AS uri"))
+def editor_decorations(spark, d):
+    docs = t(spark, d, "nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("uri"))
+    return views.decorations(docs, symbols.file_rollup(churned_metrics(spark, d)))
+
+
 @registered(f"{TREE} SELECT root, array_to_string(path, '.') AS path, id, parent_id, CAST(depth AS INT) AS depth, recursive FROM tree")
 def caller_tree(spark, d):
     return purchase_tree(spark, d).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "id", "parent_id", "depth", "recursive")
