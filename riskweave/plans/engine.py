@@ -107,7 +107,7 @@ class RiskEngine:
         return statements
 
     def _texts(self, root: str, pattern: str, limit: int) -> DataFrame | None:
-        """report, content of the files of a pattern such as **/folder/name, by path; none if there is none."""
+        """report, content of the files of a pattern such as **/folder/name, by path; none if the folder can't be read as text."""
         from pyspark.errors import AnalysisException
 
         *above, name = pattern.split("/")

@@ -69,4 +69,4 @@ def test_jacoco_follows_lcov(spark, tmp_path):
         (tmp_path / name).write_text(text)
     e = RiskEngine(spark)
     assert {(r["start_line"], r["executed"]) for r in e.reports(str(tmp_path), jacoco=True).collect()} == {(1, False), (2, True)}
-    assert e.reports(str(tmp_path)).count() == 1 and e.reports(str(tmp_path / "src")) is None
+    assert e.reports(str(tmp_path)).count() == 1 and e.reports(str(tmp_path / "src")).count() == 0
