@@ -38,12 +38,17 @@ def jacoco_statements(reports: DataFrame) -> DataFrame:
     Attributes are expected in the order nr, mi, ci.  A package ends at the first closing tag after its start, or with the text.  Of a
     file that a report names twice with lines, the last place counts; files without lines are left out.
     """
-    after = F.filter(F.split("content", r"(?=<package\s+name=\"[^\"]*\"[^>]*>)"), lambda p: p.rlike(r"^<package\s+name="))
-    packages = reports.select("report", F.posexplode(after).alias("p", "body"))
-    # the text from a package's start to the first closing tag behind it may hold further starts; those are packages of their own too
-    starts = packages.select("report", "p", F.regexp_extract("body", r"^<package\s+name=\"([^\"]*)\"", 1).alias("package"), "body")
-    tail = Window.partitionBy("report").orderBy("p").rowsBetween(0, Window.unboundedFollowing)
-    whole = starts.withColumn("rest", F.array_join(F.collect_list("body").over(tail), "")).withColumn("rest", F.substring_index("rest", "</package>", 1))
+    pieces = F.filter(F.split("content", r"(?=<package\s+name=\"[^\"]*\"[^>]*>)"), lambda p: p.rlike(r"^<package\s+name="))
+    # from the last piece to the first: a package whose piece has no closing tag goes on through what follows, up to a closing tag
+    until = lambda p, rest: F.when(p.contains("</package>"), F.substring_index(p, "</package>", 1)).otherwise(F.concat(p, rest))
+    start = F.struct(F.array().cast("array<string>").alias("bodies"), F.lit("").alias("rest"))
+
+    def back(acc: Column, piece: Column) -> Column:
+        body = until(piece, acc["rest"])
+        return F.struct(F.array_append(acc["bodies"], body).alias("bodies"), body.alias("rest"))
+
+    bodies = F.reverse(F.aggregate(F.reverse(pieces), start, back, lambda acc: acc["bodies"]))
+    whole = reports.select("report", F.posexplode(bodies).alias("p", "rest")).withColumn("package", F.regexp_extract("rest", r"^<package\s+name=\"([^\"]*)\"", 1))
     files = whole.select("report", "p", "package", F.posexplode(F.regexp_extract_all("rest", F.lit(r"(?s)<sourcefile\s+name=\"[^\"]*\"[^>]*>.*?</sourcefile>"), 0)).alias("s", "source"))
     name = F.regexp_extract("source", r"<sourcefile\s+name=\"([^\"]*)\"", 1)
     lines = files.select("report", "p", "s", F.when(F.col("package") == "", name).otherwise(F.concat_ws("/", "package", name)).alias("file"), F.posexplode(F.regexp_extract_all("source", F.lit(r"<line\s+nr=\"\d+\"\s+mi=\"\d+\"\s+ci=\"\d+\"[^/]*/>"), 0)).alias("ord", "line"))
