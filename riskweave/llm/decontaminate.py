@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
@@ -118,7 +118,7 @@ def build_index(docs: DataFrame, plan: Plan, block_words: int = BLOCK_WORDS, id_
             yield pa.RecordBatch.from_pylist([_index_block(ids, numbers)], INDEX_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(build, INDEX_SCHEMA), "positional-index")
+    return written(rows.mapInArrow(lean(build), INDEX_SCHEMA), "positional-index")
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                         out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "near", int(s - b.starts[d]), 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, MATCHES_ARROW)], [c.split()[0] for c in MATCHES.split(", ")])
 
-    return index.mapInArrow(find, MATCHES)
+    return index.mapInArrow(lean(find), MATCHES)
 
 
 def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int = 40) -> DataFrame:
@@ -258,7 +258,7 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "n_near"])
 
-    return index.mapInArrow(judge, VERDICTS)
+    return index.mapInArrow(lean(judge), VERDICTS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_words: int = ITEM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

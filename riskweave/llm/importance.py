@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, lean, written
 
 LABEL_ROWS = 50_000
 WORD_BITS = 17
@@ -121,20 +120,21 @@ def ngram_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     fit = labels.where("role = 'target'").select("doc", F.when(F.col("good"), 1).otherwise(2).alias("row"))
     flagged = docs.select("doc", "text").join(F.broadcast(fit), "doc", "left").select("text", F.coalesce("row", F.lit(0)).alias("row"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, sums = Features(), np.zeros((TABLES, 3, Features.size), np.int32)
         for batch in batches:
-            for text, row in zip(batch["text"], batch["row"]):
+            for text, row in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist()):
                 for table, found in zip(sums, features.of(text)):
                     table[0][found] += 1  # once a document, however many n-grams share the bucket
                     if row:
                         table[row][found] += 1
         for k in range(TABLES):
             some = np.flatnonzero(sums[k, 0])
-            yield pd.DataFrame({"bucket": some + k * Features.size, "raw": sums[k, 0, some], "good": sums[k, 1, some], "bad": sums[k, 2, some]})
+            columns = [some + k * Features.size, *(sums[k, row, some].astype(np.int64) for row in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "raw", "good", "bad"])
 
     names = ("raw", "good", "bad")
-    summed = flagged.mapInPandas(count, "bucket long, raw long, good long, bad long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    summed = flagged.mapInArrow(lean(count), "bucket long, raw long, good long, bad long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
     out = np.zeros((3, TABLES * Features.size))
     for r in summed.toLocalIterator():  # at most as many rows as buckets
         out[:, r["bucket"]] = r["raw"], r["good"], r["bad"]
@@ -168,7 +168,7 @@ def weighted(docs: DataFrame, model: Model, column: str = "log_weight") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, column])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(weigh, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(lean(weigh), T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 HIDDEN = 16
 MAX_SEGMENT = 48
 SAMPLE_DOCS = 300
@@ -256,7 +258,7 @@ def identified(docs: DataFrame, net: BiGRU, carry: list[str] = ()) -> DataFrame:
     kept = docs.select("text", *carry)
     types = dict(kept.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in carry], "lang_pred string, score double, positions long"])
-    return kept.mapInArrow(label, schema)
+    return kept.mapInArrow(lean(label), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, lean
 from .components import components
 
 SHINGLE = 5
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> Data
                 ["doc", "n", "cls", "n_low", "tokens", "bits"],
             )
 
-    return docs.mapInArrow(sketch, "doc long, n long, cls long, n_low int, tokens array<long>, bits array<long>")
+    return docs.mapInArrow(lean(sketch), "doc long, n long, cls long, n_low int, tokens array<long>, bits array<long>")
 
 
 def _positions(posted: DataFrame, frequent: int, region: float, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "cls", "half", "tokens"])
 
-    whole = made.write(texts.mapInArrow(sets, "doc long, cls long, half int, tokens array<long>"), "near-shingles")
+    whole = made.write(texts.mapInArrow(lean(sets), "doc long, cls long, half int, tokens array<long>"), "near-shingles")
     left = whole.select(F.col("cls").alias("a"), F.col("doc").alias("ra"), F.col("half").alias("ha"), F.col("tokens").alias("ta"))
     right = whole.select(F.col("cls").alias("b"), F.col("doc").alias("rb"), F.col("half").alias("hb"), F.col("tokens").alias("tb"))
     sizes = F.size("ta"), F.size("tb")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 CAPACITY = 2048
 SLICE_ROWS = 2_000
@@ -148,7 +148,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             columns = [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(pieces, "doc long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(pieces), "doc long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int, int]:

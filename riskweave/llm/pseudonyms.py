@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 ROUNDS = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -260,4 +262,4 @@ def pseudonymized(docs: DataFrame, key: bytes, text: str = "text", spans: str |
             yield pa.RecordBatch.from_arrays(columns, names)
 
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    return docs.mapInArrow(replace, nullable)
+    return docs.mapInArrow(lean(replace), nullable)

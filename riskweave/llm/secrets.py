@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, path: str, pattern: str, efficiency: float = EFFICIENC
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + more)])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, ARROW_SPANS)], ["doc", "spans"])
 
-    return docs.select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(find, f"doc long, spans {SPANS}")
+    return docs.select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(lean(find), f"doc long, spans {SPANS}")
 
 
 def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:

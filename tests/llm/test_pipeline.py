@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from riskweave.llm import near_copies, pseudonyms, queries
