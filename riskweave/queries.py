@@ -532,13 +532,23 @@ def rooted_tree(spark, d):
     return x.groupBy("root").agg(F.count_if(F.col("depth") == 1).alias("below"), F.min_by("id", "depth").alias("id"), F.min("depth").alias("depth")).select("id", "depth", "below")
 
 
+#: The ordered walk as a recursion over the rows in depth-first order, with the ids met and the path being skipped as its state.
+WALK = f"""{TREE}, dfs AS (SELECT id, path, row_number() OVER (ORDER BY path) AS rn FROM tree),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT[]) AS skip
+  UNION ALL SELECT d.rn,
+    CASE WHEN coalesce(d.path[1:len(w.skip)] = w.skip, false) OR list_contains(w.seen, d.id) THEN w.seen ELSE list_append(w.seen, d.id) END,
+    CASE WHEN coalesce(d.path[1:len(w.skip)] = w.skip, false) THEN w.skip WHEN list_contains(w.seen, d.id) THEN d.path ELSE NULL END
+  FROM walk w JOIN dfs d ON d.rn = w.rn + 1),
+met AS (SELECT unnest(seen) AS id FROM walk WHERE rn = (SELECT max(rn) FROM walk))"""
+
+
+@registered(f"""{WALK} SELECT 'purchase' AS root, (SELECT count(*) FROM tree WHERE depth = 1) AS direct_callers, count(*) AS total_affected, {q4('sum(coalesce(f, 0))')} AS combined_f
+FROM met LEFT JOIN ({EVENT_METRICS}) USING (id)""")
 def impact_summary(spark, d):
     return callers.impact_summary(purchase_tree(spark, d), event_metrics(spark, d)).select("root", "direct_callers", "total_affected", r4(F.col("combined_f")).alias("combined_f"))
 
 
-QUERIES["impact_summary"] = impact_summary
-
-
 @registered(f"{TREE} SELECT array_to_string(path, '.') AS path, id, repeat('$(indent)', depth - 1) || name || '|F=' || CAST(CAST(f AS BIGINT) AS VARCHAR) || '.0 (depth ' || depth || ')' || CASE WHEN recursive THEN ' 🔄 RECURSIVE' ELSE '' END AS item FROM tree JOIN ({EVENT_METRICS}) USING (id)")
 def flatten_tree(spark, d):
     x = callers.flattened(purchase_tree(spark, d), event_metrics(spark, d))
