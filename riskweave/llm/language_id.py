@@ -13,7 +13,6 @@ SAMPLE_SEGMENTS segments evenly over the whole text.
 from __future__ import annotations
 
 import itertools
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,22 +31,24 @@ SAMPLE_TOTAL = 20_000
 SAMPLE_SEGMENTS = 256
 TRAIN_SEGMENTS = 60_000
 CACHE_SEGMENTS = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def segments(text: str | None) -> list[bytes]:
+    """The runs between ASCII white space; pieces of long ones end between characters."""
     out = []
     for w in (text or "").encode("utf-8", "surrogatepass").split():
-        if len(w) <= MAX_SEGMENT:
-            out.append(w)
-        else:
-            out += [w[k : k + MAX_SEGMENT] for k in range(0, len(w), MAX_SEGMENT)]
+        while len(w) > MAX_SEGMENT:
+            end = MAX_SEGMENT
+            while w[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(w[:end])
+            w = w[end:]
+        out.append(w)
     return out
 
 
 def has_letter(segment: bytes) -> bool:
-    """Whether a segment has a letter; a character that a cut has split counts as one."""
-    return bool(_LETTER.search(segment.decode("utf-8", "replace").replace("�", "x")))
+    return any(map(str.isalpha, segment.decode("utf-8", "replace")))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,8 @@ def test_segments():
     long = "é" * 100
     assert b"".join(language_id.segments(f" a\n{long}\tb ")) == f"a{long}b".encode() and max(map(len, language_id.segments(long))) <= language_id.MAX_SEGMENT
     assert language_id.has_letter("1é".encode()) and not language_id.has_letter(b"12!_")
-    assert language_id.segments(None) == []
+    assert language_id.segments(None) == [] and not any(map(language_id.has_letter, language_id.segments("½²→" * 50)))
+    assert all(x.decode() for x in language_id.segments("a→é😀" * 50))
 
 
 def corpus(n, seed=0):
