@@ -34,7 +34,7 @@ from .components import components
 
 SHINGLE = 5
 REGION = 0.25
-BITS = 256
+BITS = 1024
 FREQUENT = 50
 BROADCAST_IDS = 2_000_000
 #: Words end at ASCII white space.
