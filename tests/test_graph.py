@@ -12,7 +12,10 @@ def edges(spark, pairs):
 
 
 def ranks(spark, pairs, **options):
-    return {r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), **options).collect()}
+    """In one task and distributed, which must agree."""
+    one, many = ({r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), small_edges=n, **options).collect()} for n in (1000, -1))
+    assert one == pytest.approx(many)
+    return one
 
 
 def test_rank_examples(spark):
