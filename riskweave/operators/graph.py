@@ -74,8 +74,8 @@ def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("callee") == symbol).select("ord", "caller")
 
 
-#: A graph of at most so many edges (16 bytes each) is ranked in one task; jobs would take longer than its steps.
-SMALL_EDGES = 1_000_000
+#: A graph of at most so many edges (some 30 bytes each with short ids) is ranked in one task; jobs would take longer than its steps.
+SMALL_EDGES = 4_000_000
 
 
 def _rank_in_one_task(weighted: DataFrame, max_iterations: int, epsilon: float) -> DataFrame:
