@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +48,11 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def _marked(tail: str) -> bool:
+    """Whether a combining mark is there, which the tokenizer's NFC may join to the letter before it."""
+    return not tail.isascii() and any(unicodedata.category(c)[0] == "M" for c in tail)
+
+
 @functools.cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -58,8 +64,8 @@ class WordIds:
     """Ids of whole texts, packed as little-endian unsigned 32-bit numbers, by way of a cache of words.
 
     The tokenizer drops white space and never joins across it, so words are encoded apart.  A run of plain letters is one piece to
-    the tokenizer, so that its model can be asked directly; what follows it without letters, digits or spaces is encoded
-    apart from it.  All other words are encoded as they are.
+    the tokenizer, so that its model can be asked directly; what follows it without letters, digits, combining marks or spaces is
+    encoded apart from it.  All other words are encoded as they are.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -92,7 +98,7 @@ class WordIds:
         for w in words:
             if w.isascii() and w.isalpha():
                 plain.append((w, w.lower(), ""))
-            elif m := _PLAIN.fullmatch(w):
+            elif (m := _PLAIN.fullmatch(w)) and not _marked(m[2]):
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)

@@ -26,6 +26,12 @@ def test_ids_are_the_tokenizers(odd_texts):
         assert [np.frombuffer(x, "<u4").tolist() + [0] for x in packing.WordIds(PATH, cache).encode(texts)] == ids_of(texts)
 
 
+def test_ids_of_decomposed_letters():
+    words = ["cafe\u0301", "perche\u0301", "cafe\u0301.", "e\u0323\u0301!", "é\u0323", "x\u0301", "a.\u0301", "CAFE\u0301 nai\u0308ve", "A\u030a", "ß\u0308\u2019s"]
+    texts = words + [" ".join(words), " ".join(f"{a}{chr(m)}" for a in "aeiouncyzAEIOUNCYZéñ" for m in range(0x300, 0x370))]
+    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in packing.WordIds(PATH).encode(texts)] == ids_of(texts)
+
+
 def check(rows, texts, capacity):
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
