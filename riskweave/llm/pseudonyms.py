@@ -75,21 +75,43 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def _alnum_at(text: str, at: int) -> bool:
+    c = text[at : at + 1]
+    return c.isascii() and c.isalnum()
+
+
 def iban_check(country: str, account: str) -> str:
     number = int("".join(str(int(c, 36)) for c in account + country + "00"))
     return f"{98 - number % 97:02d}"
 
 
+#: The length of a country's IBANs.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+#: How cards are written in groups; one group of all digits is another way.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
+
+
 class Pseudonyms:
     """Finds and replaces values in texts.  key: secret bytes, at most 64 of which count."""
 
     # What stands around an @: names joined by single dots on the left, at most 64 characters of them; a domain on the right.
     LOCAL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*$")
     DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-    # Longer formats stand first; of overlapping matches the earlier start, then the earlier kind wins.  Addresses come before all.
+    # An IBAN's start, whose ends are searched group by group; digits joined by single blanks or hyphens, which may hold cards among other numbers.
+    IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
+    IBAN_GROUP = re.compile(r" ?([A-Z0-9]{1,4})")
+    DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?:[ -][0-9]+)*")
+    # Longer formats stand first; of overlapping matches the earlier start, then the earlier kind wins.  Addresses come before all,
+    # then IBANs, then cards.
     PATTERNS = {
-        "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-        "card": re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"),
         "phone": re.compile(r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])"),
         "e164": re.compile(r"(?<![A-Za-z0-9+])\+[1-9][0-9]{7,14}(?![A-Za-z0-9])"),
         "ssn": re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
@@ -151,6 +173,55 @@ class Pseudonyms:
                 yield at - len(local[0]), domain.end()
             at = text.find("@", at + 1)
 
+    def _ibans(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """At each start the end at the country's length, else the last one whose check digits are right."""
+        m = self.IBAN.search(text)
+        while m:
+            ends, at, size = [], m.end(), 4
+            while size < 34 and (g := self.IBAN_GROUP.match(text, at)):
+                at, size = g.end(), size + len(g[1])
+                if 15 <= size <= 34 and not _alnum_at(text, at):
+                    ends.append((size, at))
+                if len(g[1]) < 4:
+                    break
+            ends.sort(key=lambda e: (e[0] != _IBAN_LENGTHS.get(m[0][:2]), -e[0]))
+            stop = m.end()
+            for _, end in ends:
+                new = self.iban(text[m.start() : end])
+                if new is not None:
+                    yield m.start(), end, new
+                    stop = end
+                    break
+            m = self.IBAN.search(text, stop)
+
+    def _cards(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Of each row of digit groups: the whole row, else cards as they are usually written, else other runs of groups from left to right, longest first."""
+        for run in self.DIGITS.finditer(text):
+            if run.end() - run.start() < 13:
+                continue
+            groups = [(m.start(), m.end()) for m in re.compile("[0-9]+").finditer(text, run.start(), run.end())]
+            if _alnum_at(text, groups[-1][1]):
+                groups.pop()
+            found = []
+            for i in range(len(groups)):
+                size = 0
+                for j in range(i, len(groups)):
+                    size += groups[j][1] - groups[j][0]
+                    if size > 19:
+                        break
+                    if size < 13:
+                        continue
+                    start, end = groups[i][0], groups[j][1]
+                    new = self.card(text[start:end])
+                    if new is not None:
+                        usual = i == j or tuple(b - a for a, b in groups[i : j + 1]) in _CARD_GROUPS
+                        found.append((0 if j - i + 1 == len(groups) else 1 if usual else 2, start, -end, new))
+            taken = []
+            for _, start, end, new in sorted(found):
+                if all(-end <= s or e <= start for s, e in taken):
+                    taken.append((start, -end))
+                    yield start, -end, new
+
     def iban(self, v: str) -> str | None:
         flat = v.replace(" ", "")
         if not 15 <= len(flat) <= 34 or iban_check(flat[:2], flat[4:]) != flat[2:4]:
@@ -219,7 +290,9 @@ class Pseudonyms:
         if not text or not ("@" in text or re.search("[0-9]", text)):
             return []
         found = [(start, -1, end, "email", self.email(text[start:end])) for start, end in self._emails(text)]
-        for rank, (kind, pattern) in enumerate(self.PATTERNS.items()):
+        found += [(start, 0, end, "iban", new) for start, end, new in self._ibans(text)]
+        found += [(start, 1, end, "card", new) for start, end, new in self._cards(text)]
+        for rank, (kind, pattern) in enumerate(self.PATTERNS.items(), 2):
             for m in pattern.finditer(text):
                 new = getattr(self, kind)(m[0])
                 if new is not None:

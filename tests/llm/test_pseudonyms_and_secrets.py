@@ -54,6 +54,25 @@ def test_invalid_values_stay(value):
     assert P.replaced(f"a {value} b")[0] == f"a {value} b"
 
 
+@pytest.mark.parametrize(
+    "text, start, value",
+    [
+        ("4111 1111 1111 1111 12/27", 0, "4111 1111 1111 1111"),
+        ("4111111111111111 123", 0, "4111111111111111"),
+        ("7 4111 1111 1111 1111", 2, "4111 1111 1111 1111"),
+        ("12345 4111 1111 1111 1111 99 3x", 6, "4111 1111 1111 1111"),
+        ("12 3782-822463-10005 4", 3, "3782-822463-10005"),
+        ("AT61 1904 3002 3457 3201 EUR", 0, "AT61 1904 3002 3457 3201"),
+        ("DE89 3704 0044 0532 0130 00 VIA BANK", 0, "DE89 3704 0044 0532 0130 00"),
+        ("AB12 CDEF DE89 3704 0044 0532 0130 00", 10, "DE89 3704 0044 0532 0130 00"),
+    ],
+)
+def test_values_among_other_groups(text, start, value):
+    new, spans = P.replaced(text)
+    end = start + len(value)
+    assert [s[:2] for s in spans] == [(start, end)] and new == text[:start] + P.replaced(value)[0] + text[end:] and value not in new
+
+
 def test_addresses_after_dots():
     text, spans = P.replaced("so...that.92@mail2.example.com. x..y@c.de@")
     assert [s[:3] for s in spans] == [(5, 30, "email"), (35, 41, "email")] and text.startswith("so...") and "that.92" not in text and "mail2" not in text
