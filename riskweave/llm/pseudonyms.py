@@ -9,9 +9,12 @@ inverted; with it, it can (the rounds run backwards).
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from .common import lean
 
 ROUNDS = 8
+#: Characters of an address's local part that are permuted together.
+LOCAL_PART = 64
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -75,6 +80,27 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+@functools.cache
+def _alphabet(c: str) -> str:
+    """The characters that c may become: ASCII letters of its case, digits, or letters and digits of its category and 128 neighbours; others stay."""
+    if not c.isalnum():
+        return c
+    if c.isascii():
+        return string.digits if c.isdigit() else string.ascii_lowercase if c.islower() else string.ascii_uppercase
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if x.isalnum() and unicodedata.category(x) == unicodedata.category(c) and _unspaced(x) == _unspaced(c))
+
+
+@functools.cache
+def _unspaced(c: str) -> bool:
+    """Of a script written without spaces between words."""
+    return unicodedata.name(c, "").startswith(("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR"))
+
+
+def _in_local(c: str) -> bool:
+    return c.isalnum() or c in "_%+-" or not c.isascii() and unicodedata.category(c)[0] == "M"
+
+
 def _alnum_at(text: str, at: int) -> bool:
     c = text[at : at + 1]
     return c.isascii() and c.isalnum()
@@ -102,8 +128,7 @@ _CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4
 class Pseudonyms:
     """Finds and replaces values in texts.  key: secret bytes, at most 64 of which count."""
 
-    # What stands around an @: names joined by single dots on the left, at most 64 characters of them; a domain on the right.
-    LOCAL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*$")
+    # What stands around an @: names joined by single dots on the left (see _local); a domain on the right.
     DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
     # An IBAN's start, whose ends are searched group by group; digits joined by single blanks or hyphens, which may hold cards among other numbers.
     IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
@@ -133,24 +158,19 @@ class Pseudonyms:
         return f
 
     def _classes(self, name: str, value: str) -> str:
-        """Letters and digits permuted together, each staying what it is: lower case, upper case or digit."""
-        radix = [26 if c.isalpha() else 10 for c in value if c.isalnum()]
-        size = math.prod(radix)
+        """Letters and digits permuted together, each staying what it is: lower case, upper case or digit, of its block of Unicode."""
+        alphabets = [_alphabet(c) for c in value]
+        size = math.prod(map(len, alphabets))
         if size < 2:
             return value
         x = 0
-        shape = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in value)
-        for c, s in zip(value, shape):
-            if c.isalnum():
-                x = x * (10 if s == "0" else 26) + ord(c) - ord(s)
-        x = self._feistel(f"{name}:{shape}", size).permute(x)
+        for c, among in zip(value, alphabets):
+            x = x * len(among) + among.index(c)
+        x = self._feistel(f"{name}:{''.join(a[0] for a in alphabets)}", size).permute(x)
         out = []
-        for s in reversed(shape):
-            if s in "aA0":
-                x, r = divmod(x, 10 if s == "0" else 26)
-                out.append(chr(ord(s) + r))
-            else:
-                out.append(s)
+        for among in reversed(alphabets):
+            x, r = divmod(x, len(among))
+            out.append(among[r])
         return "".join(reversed(out))
 
     @staticmethod
@@ -163,14 +183,35 @@ class Pseudonyms:
         local, domain = v.rsplit("@", 1)
         names, top = domain.rsplit(".", 1)
         # names are permuted as wholes, so that equal domains stay equal
-        return f"{self._classes('local', local)}@{self._classes('domain', names)}.{top}"
+        # long names are permuted in parts, each under a key made of all that stands before it
+        parts, before = [self._classes("local", local[:LOCAL_PART])], hashlib.blake2b(local[:LOCAL_PART].encode("utf-8", "surrogatepass"))
+        for k in range(LOCAL_PART, len(local), LOCAL_PART):
+            part = local[k : k + LOCAL_PART]
+            parts.append(self._classes(f"local:{before.hexdigest()}", part))
+            before.update(part.encode("utf-8", "surrogatepass"))
+        return f"{''.join(parts)}@{self._classes('domain', names)}.{top}"
+
+    @staticmethod
+    def _local(text: str, at: int) -> int:
+        """The start of the names before the @ at this place: letters and digits of all scripts with their marks, and _%+-, joined by single dots.
+        Where a script without spaces meets another one, the words before an address are no part of it."""
+        start, after = at, ""
+        while start:
+            c = text[start - 1]
+            if c == ".":
+                if start == at or after == "." or start < 2 or not _in_local(text[start - 2]):
+                    break
+            elif not _in_local(c) or after and not c.isascii() and _unspaced(c) and not _unspaced(after) and after.isalnum():
+                break
+            start, after = start - 1, c
+        return start
 
     def _emails(self, text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@")
         while at >= 0:
-            local, domain = self.LOCAL.search(text[max(0, at - 64) : at]), self.DOMAIN.match(text, at + 1)
-            if local and domain:
-                yield at - len(local[0]), domain.end()
+            domain = self.DOMAIN.match(text, at + 1)
+            if domain and (start := self._local(text, at)) < at:
+                yield start, domain.end()
             at = text.find("@", at + 1)
 
     def _ibans(self, text: str) -> Iterator[tuple[int, int, str]]:

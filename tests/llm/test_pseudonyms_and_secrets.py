@@ -78,6 +78,21 @@ def test_addresses_after_dots():
     assert [s[:3] for s in spans] == [(5, 30, "email"), (35, 41, "email")] and text.startswith("so...") and "that.92" not in text and "mail2" not in text
 
 
+@pytest.mark.parametrize("local", ["josé.garcía", "jose\u0301.garci\u0301a", "ÅSA", "юрий.2", "用户", "x" * 65 + ".tail", "ab1." * 500 + "z"])
+def test_whole_local_parts(local):
+    address = f"{local}@mail.example.com"
+    text, spans = P.replaced(f"to <{address}>, {address}")
+    assert [s[:3] for s in spans] == [(4, 4 + len(address), "email"), (7 + len(address), 7 + 2 * len(address), "email")] and spans[0][3] == spans[1][3]
+    new = spans[0][3]
+    assert len(new) == len(address) and P.spans(new)[0][:2] == (0, len(new)) and not any(name in new for name in local.split(".") if len(name) > 3)
+
+
+def test_local_parts_are_a_permutation():
+    values = [f"{a}{b}" for a in "éàüñø" for b in "01ab"] + ["x" * 64 + c for c in "abc"] + ["y" * 64 + c for c in "abc"]
+    assert len({P.email(f"{v}@a.example.com") for v in values}) == len(values)
+    assert [P.replaced("请联系zhang@x.com")[1][0][:2]] == [(3, 14)]
+
+
 def test_dates_are_a_permutation_of_valid_dates():
     days = [datetime.date(1999, 1, 1) + datetime.timedelta(d) for d in range(500)]
     for layout in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"):
