@@ -1,8 +1,8 @@
 """Secrets in whole texts: fixed patterns, and random strings exposed by token efficiency.
 
 Natural language is cheap for a byte-pair vocabulary, about three to five characters a token; random strings are dear.  A run of
-key characters with letters and digits is reported when its characters a token are fewer than `efficiency`, unless it is a digest of
-a known length, a UUID, or only a part of a span that a fixed pattern has already found.
+key characters with letters, or a window of it between separators, is reported when its characters a token are fewer than `efficiency`,
+unless it is a digest of a known length, a UUID, or overlaps a span that a fixed pattern has already found.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -59,20 +60,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _windows(parts: list[tuple[int, int]], costs: list[float]) -> Iterator[tuple[int, int]]:
+    """Of consecutive parts the window of at least 16 characters that lies farthest below the efficiency, then those left and right of it.
+    costs: what the text up to each part's start, then up to each part's end, lies below it."""
+    todo = [(0, len(parts))]
+    while todo:
+        low, high = todo.pop()
+        best, least, next_ = None, None, low
+        for j in range(low, high):
+            while next_ <= j and parts[j][1] - parts[next_][0] >= 16:
+                if least is None or costs[next_] < costs[least]:
+                    least = next_
+                next_ += 1
+            if least is not None and (gain := costs[len(parts) + j] - costs[least]) > 0 and (best is None or gain > best[0]):
+                best = gain, least, j + 1
+        if best:
+            _, i, j = best
+            yield parts[i][0], parts[j - 1][1]
+            todo += [(low, i), (j, high)]
+
+
 def random_runs(text: str, base: list[tuple[int, int, int]], encode, efficiency: float = EFFICIENCY) -> list[tuple[int, int, int]]:
+    """Whole runs below the efficiency; of other runs the windows between separators that are below it, so that a name or a path beside a random
+    string doesn't pay for it."""
     out = []
     for m in _RUN.finditer(text):
         run = m[0].strip("-_=+/")
-        if len(run) < 16 or not re.search("[0-9]", run) or known_identifier(run):
+        if len(run) < 16 or known_identifier(run):
             continue
         start = m.start() + m[0].index(run)
-        if any(s < start + len(run) and start < e for s, _, e in base):
-            continue
-        if len(run) < efficiency * len(encode(run)):
+        taken = [(s - start, e - start) for s, _, e in base if s < start + len(run) and start < e]
+        if not taken and len(run) < efficiency * len(encode(run)):
             out.append((start, 3, start + len(run)))
+            continue
+        # no window goes over a fixed pattern's span, a UUID or a digest
+        closed = sorted(taken + [u.span() for u in _UUID.finditer(run)] + [p.span() for p in _PART.finditer(run) if len(p[0]) in DIGESTS and known_identifier(p[0])])
+        at = 0
+        for s, e in [*closed, (len(run), len(run))]:
+            if s - at >= 16:
+                out += [(start + a, 3, start + b) for a, b in _scored(run, at, s, encode, efficiency)]
+            at = max(at, e)
     return out
 
 
+def _scored(run: str, low: int, high: int, encode, efficiency: float) -> Iterator[tuple[int, int]]:
+    parts = [p.span() for p in _PART.finditer(run, low, high)]
+    starts, ends, cost, before = [], [], 0.0, low
+    for s, e in parts:
+        cost += efficiency * len(encode(run[before:s])) - (s - before)
+        starts.append(cost)
+        cost += efficiency * len(encode(run[s:e])) - (e - s)
+        ends.append(cost)
+        before = e
+    for s, e in _windows(parts, starts + ends):
+        # parts were encoded apart; the window itself decides
+        if not known_identifier(run[s:e]) and e - s < efficiency * len(encode(run[s:e])):
+            yield s, e
+
+
 def scan(docs: DataFrame, path: str, pattern: str, efficiency: float = EFFICIENCY) -> DataFrame:
     """docs(doc, text): doc, spans by start and then kind, in code points with exclusive ends; null texts have none.
 

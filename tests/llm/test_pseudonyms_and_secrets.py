@@ -151,3 +151,15 @@ def test_secrets(spark):
     assert digest == hashlib.sha256(b"").hexdigest()
     assert secrets.redact("a secret b", [{"start": 2, "end": 5}, {"start": 4, "end": 8}]) == "a [SECRET] b" and secrets.redact(None, []) is None
     assert secrets.scan(df.limit(0), queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_random_strings_beside_names_and_paths():
+    import public_tokenizers
+
+    encode = secrets.encoding(queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    found = lambda text: [text[s:e] for s, _, e in secrets.random_runs(text, secrets.base_spans(text), encode)]
+    path, key = "/downloads/documents/shared/", "q7xvb2nlp9rtz4mk"
+    assert found(f"see {path}{key} now") == [key] and found(f"{path}{key}{path}") == [key] and found(f"{path}{key}{path}{key[::-1]}") == [key, key[::-1]]
+    assert found("qXvBwnLpHRtZjmKcGWdYsFHx") == ["qXvBwnLpHRtZjmKcGWdYsFHx"]
+    known = ["123e4567-e89b-12d3-a456-426614174000", "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"]
+    assert not found(" ".join(f"{path}{k}{path}" for k in known)) and not found(f"{path}internationalization understandable_words")
