@@ -7,7 +7,7 @@ posting is shuffled.  A block holds about block_words words or one longer docume
 
 Querying: the corpus frequency of each term is summed over all blocks.  For each window of a test item the lists
 are intersected from the rarest term on, each shifted back by the term's offset in the window, until nothing is left or all
-terms agree: an exact phrase.  Proximity matches ask that the rarest terms of an item stand within a span, in any order.
+terms agree: an exact phrase.  Proximity matches ask that the rarest occurring terms of an item stand within a span, in any order.
 
 Test items are taken in blocks of at most item_words words; each such block is a pass over the corpus, so that what is sent to the
 tasks stays bounded however large the test set is.
@@ -198,12 +198,22 @@ def _live(plan: Plan, counts: np.ndarray) -> list[int]:
     return [j for j, w in enumerate(plan.windows) if all(counts[t] for t in w)]
 
 
+def _rarest(plan: Plan, counts: np.ndarray, near_terms: int) -> list[list[int]]:
+    """Each item's rarest terms of those that occur at all, rarest first, fewer where it has no more; none for an item of several terms of which
+    only one occurs, as nothing is there to meet."""
+    out = []
+    for terms in plan.item_terms:
+        held = sorted((t for t in terms if counts[t]), key=lambda t: (counts[t], t))[:near_terms]
+        out.append(held if len(held) > 1 or len(terms) == 1 else [])
+    return out
+
+
 def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int = 40) -> DataFrame:
     """Each exact occurrence of a window (kind phrase) and each close meeting of an item's rarest terms (kind near), with word positions."""
     counts = term_frequencies(index, len(plan.terms))
     orders, live = _ordered(plan, counts), _live(plan, counts)
     windows, owners, items = plan.windows, plan.owners, plan.items
-    rare = [sorted(ts, key=lambda t: (counts[t], t))[:near_terms] for ts in plan.item_terms]
+    rare = _rarest(plan, counts, near_terms)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +224,7 @@ def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                     for s, d in zip(starts.tolist(), b.doc_of(starts).tolist()):
                         out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "phrase", int(s - b.starts[d]), len(windows[j])) for i in owners[j]]
                 for i, ts in enumerate(rare):
-                    if len(ts) == near_terms:
+                    if ts:
                         starts = b.near(ts, near_span)
                         out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "near", int(s - b.starts[d]), 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, MATCHES_ARROW)], [c.split()[0] for c in MATCHES.split(", ")])
@@ -228,7 +238,7 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
     counts = term_frequencies(index, len(plan.terms))
     orders, live = _ordered(plan, counts), _live(plan, counts)
     windows, owners, items = plan.windows, plan.owners, plan.items
-    rare = [sorted(ts, key=lambda t: (counts[t], t))[:near_terms] for ts in plan.item_terms]
+    rare = _rarest(plan, counts, near_terms)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +255,7 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                         for d in np.unique(b.doc_of(starts)).tolist():
                             of.setdefault(d, set()).update(items[i] for i in owners[j])
                 for ts in rare:
-                    if len(ts) == near_terms:
+                    if ts:
                         near[np.unique(b.doc_of(b.near(ts, near_span)))] += 1
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
                 lengths = np.diff(b.starts)

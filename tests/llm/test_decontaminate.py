@@ -69,3 +69,12 @@ def test_matches_and_rule(spark):
     assert {r["item_id"] for r in found.where("kind = 'near'").collect()} == {7, 8}
     rule = spark.createDataFrame([(0, 0), (1, 20), (1, 21), (2, 40)], "n_hit long, n_words long").select(decontaminate.contaminated().alias("c"))
     assert [r["c"] for r in rule.collect()] == [False, True, False, True]
+
+
+def test_near_copies_of_items_with_a_replaced_word(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta"), (2, "kappa lambda"), (3, "absent sigma nowhere else"), (4, "never seen")]
+    rows = [(1, "x alpha beta gamma other epsilon zeta y"), (2, "lambda of kappa"), (3, "sigma"), (4, "alpha beta " + "y " * 60 + "epsilon zeta gamma")]
+    plan, docs = decontaminate.Plan(items), spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontaminate.build_index(docs, plan)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(index, plan).where("kind = 'near'").collect()} == {(1, 1), (2, 2)}
+    assert {r["doc_id"]: r["n_near"] for r in decontaminate.verdicts(index, plan).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
