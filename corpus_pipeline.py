@@ -20,10 +20,10 @@ ORACLE_SQL = None
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ids(doc_id), a written table."""
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs less the rows whose key is in ids(key), a written table."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, key, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +39,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents go of whose words 5 percent or more stand in benchmark windows."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = written(found.where(decontaminate.contaminated()).select("doc_id").distinct(), "pipeline-contaminated")
-    return _without(docs, gone)
+    """Operator 7: documents go of whose words 5 percent or more stand in benchmark windows.
+
+    A verdict hangs on the text alone, so rows go by a hash (64 bits) of it: ids may be null or repeated."""
+    key = F.xxhash64("text")
+    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = written(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_text_key")).distinct(), "pipeline-contaminated")
+    return _without(docs.withColumn("_text_key", key), gone, "_text_key").drop("_text_key")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ tasks stays bounded however large the test set is.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -277,26 +278,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     Null and wordless texts have no words and no hits; without items nothing is hit; rows with one doc_id are judged each.
     With several item blocks the hit words of a document are united over the blocks.
     """
+    blocks = item_blocks(items, item_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        plan = Plan(first, window)
+        return verdicts(build_index(docs, plan, block_words), plan)
+    # passes are united by a key of the row, as ids may be null or repeated
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "contamination-rows")
     passes = []
-    for block in item_blocks(items, item_words):
+    for block in itertools.chain([first, second], blocks):
         plan = Plan(block, window)
-        passes.append((plan, build_index(docs, plan, block_words)))
-    if not passes:
-        plan = Plan([], window)
-        return verdicts(build_index(docs, plan, block_words), plan)
-    if len(passes) == 1:
-        return verdicts(passes[0][1], passes[0][0])
-    return _united(docs, passes)
+        passes.append((plan, build_index(keyed, plan, block_words, "row")))
+    return _united(keyed, passes)
 
 
-def _united(docs: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame:
-    """Several item blocks: words hit by windows of any block count once, so their intervals are merged a document."""
+def _united(keyed: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame:
+    """Several item blocks over keyed(row, doc_id, text): words hit by windows of any block count once, so their intervals are merged a row."""
     found = None
     for plan, index in passes:
-        m = matches(index, plan)
+        m = matches(index, plan).withColumnRenamed("doc_id", "row")
         found = m if found is None else found.unionByName(m)
     found = written(found, "contamination")
-    spans = found.where("kind = 'phrase'").groupBy("doc_id").agg(
+    spans = found.where("kind = 'phrase'").groupBy("row").agg(
         F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids")
     )
     covered = F.aggregate(
@@ -308,13 +311,13 @@ def _united(docs: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    near = found.where("kind = 'near'").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
+    near = found.where("kind = 'near'").groupBy("row").agg(F.countDistinct("item_id").alias("n_near"))
     plan, index = passes[0]
-    base = verdicts(index, plan).select("doc_id", "n_words")
+    base = verdicts(index, plan).select(F.col("doc_id").alias("row"), "n_words").join(keyed.select("row", "doc_id"), "row")
     by_text = F.transform(F.array_sort(F.transform("item_ids", lambda i: F.struct(i.cast("string").alias("s"), i.alias("i")))), lambda x: x["i"])
     return (
-        base.join(spans.select("doc_id", covered.alias("n_hit"), by_text.alias("item_ids")), "doc_id", "left")
-        .join(near, "doc_id", "left")
+        base.join(spans.select("row", covered.alias("n_hit"), by_text.alias("item_ids")), "row", "left")
+        .join(near, "row", "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     )
 

@@ -78,3 +78,16 @@ def test_near_copies_of_items_with_a_replaced_word(spark):
     index = decontaminate.build_index(docs, plan)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(index, plan).where("kind = 'near'").collect()} == {(1, 1), (2, 2)}
     assert {r["doc_id"]: r["n_near"] for r in decontaminate.verdicts(index, plan).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_null_and_repeated_ids_are_judged_each(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, "alpha beta gamma"), (2, "delta epsilon zeta")]
+    rows = [(None, "alpha beta gamma"), (None, "clean"), (5, "delta epsilon zeta"), (5, "also clean"), (5, "x alpha beta gamma"), (5, None), (5, "also clean")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, ITEMS)
+    found = decontaminate.decontaminate(docs, bench, item_words=3)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in found.collect()), key=str) == brute(rows, items)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, "clean"), (5, "also clean"), (5, None), (5, "also clean")], key=str)
