@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,16 +50,20 @@ class Tables:
         self.spark, self.paths = spark, {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name] = path = scratch(self.spark, name)
-        df.write.parquet(path)
+        """df as a table; a table of the same name is forgotten but stays until the driver's Python ends."""
+        path = scratch(self.spark, name)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # Spark removes the shuffle files of this write at its end
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes the tables, and lets Spark's cleaner remove the shuffle files of what has been written meanwhile."""
         for name in names:
             _remove(self.spark, self.paths.pop(name))
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,18 +5,22 @@ hash, and only classes are compared.  Under any total order of all tokens, two s
 100 * |intersection| >= 80 * |union| share a token within the first n - required + 1 tokens of each, where
 required = ceil(4 (n + m) / 9) is the overlap they need.  Candidates must do so under three orders:
 
-1. (frequent?, hash ascending), where only the lowest REGION of the hash space comes before the rest.  Its prefixes are
-   posted by token; a token is frequent when many classes have it in their region, so that passages shared by many
-   documents come late and most unrelated documents never meet.  The positions in a posting also bound the possible overlap.
-2. hash descending, and 3. hash ascending from the middle of the hash space on, wrapping round: tested on the pairs from 1.
+1. rarest first: by the number of tokens of all classes in the token's one of 2^BUCKET_BITS buckets, then by the hash.  The prefixes
+   are posted by token, and the positions in a posting also bound the possible overlap.
+2. and 3. by the magnitude of the bucket's number, then by two other hashes.  A pair's prefixes under these are compared by 32-bit
+   fingerprints before the whole sets are fetched.
 
-Pairs must also pass a bitmap bound: each set has the parities of its tokens' counts in BITS hash classes, and the
-number of parities in which two sets differ is at most the size of their symmetric difference.  A pair that passes all is verified on
-the whole sets.
+What the three filters leave is verified: first by the parities of the tokens' counts in BITS hash classes (two sets differ in no more
+parities than their symmetric difference has tokens), then on the whole sets.
+
+The bucket numbers are one array of fixed size, summed over all documents.  Passages that many documents share come last in all orders.
 
 Large groups of near copies are not expanded into pairs.  Every posting list first offers only its most central member to the
-others; what is verified there is united.  Then the lists that still hold several components offer the remaining pairs,
-all of them, but only between different components.  Since a link inside a component changes nothing, no link is lost.
+others, and what is verified there is united.  In lists that still hold several components, members outside the list's
+largest component then meet a few other members of that component in turn, and at last, where they are still outside, all members
+of other components.  Since a link inside a component changes nothing, no link is lost.
+
+No key is hot: tokens of buckets far above the average are dealt over several salted lists, and so are classes with many partners.
 """
 
 from __future__ import annotations
@@ -33,13 +37,18 @@ from .common import Tables, lean
 from .components import components
 
 SHINGLE = 5
-REGION = 0.25
 BITS = 1024
-FREQUENT = 50
+BUCKET_BITS = 18
+#: Members of a posting list, or partners of a class, in one salted part; of lists also at least so many times the average bucket.
+PART_MEMBERS = 1_000
+PART_AVERAGES = 8
+#: How many further centres are tried before all remaining pairs are compared.
+CENTRES = 2
 BROADCAST_IDS = 2_000_000
+MET_CLASSES = 1_000_000
 #: Words end at ASCII white space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 CACHE_WORDS = 250_000
 
 
@@ -103,102 +112,174 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc").cast("long").alias("doc"), "text")
 
 
-def sketches(docs: DataFrame, region: float = REGION, percent: int = 80) -> DataFrame:
-    """doc, n, cls (the set's hash; null if empty), and for the first copy a task meets tokens, the set's lowest hashes, of which n_low are in the region."""
-    if not 0 < region < 0.5:
-        raise ValueError("region must be between 0 and 0.5")
-    top = np.uint64(int(region * 2**64))
+def token_counts(docs: DataFrame, made: Tables, bits: int = BUCKET_BITS) -> tuple[DataFrame, np.ndarray]:
+    """docs(doc, text): a written table of doc, n, cls (the set's hash; null if empty), and the number of tokens in each of 2^bits buckets.
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, met = Shingler(), set()
+    A class is counted once a task.  The numbers of a task follow its documents, in a row with an array of buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, met, held, sums = Shingler(), set(), [], np.zeros(1 << bits, np.int64)
+        shift = np.uint64(64 - bits)
+        names = ["doc", "n", "cls", "buckets", "hits"]
+        lists = lambda rows: [pa.array(rows, pa.list_(pa.int32())), pa.array([None if r is None else r.astype(np.int64) for r in rows], pa.list_(pa.int64()))]
         for batch in batches:
-            ns, ids, tokens, lows, bits = [], [], [], [], []
+            ns, ids = [], []
             for text in batch.column("text").to_pylist():
                 s = shingler.set_of(text)
                 ns.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
-                bits.append(parities(s) if len(s) else None)
-                if not len(s) or ids[-1] in met:
-                    tokens.append(None)
-                    lows.append(0)
+                if len(s) and ids[-1] not in met:
+                    if len(met) >= MET_CLASSES:
+                        met.clear()
+                    met.add(ids[-1])
+                    held.append((s >> shift).astype(np.int64))
+            if held:
+                sums += np.bincount(np.concatenate(held), minlength=1 << bits)
+                held.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *lists([None] * len(ns))], names)
+        some = np.flatnonzero(sums)
+        if len(some):
+            columns = [pa.array([None], pa.int64()) for _ in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([sums[some]], pa.list_(pa.int64()))], names)
+
+    full = made.write(docs.mapInArrow(lean(count), "doc long, n long, cls long, buckets array<int>, hits array<long>"), "near-sets")
+    each = full.where("buckets is not null").select(F.explode(F.arrays_zip("buckets", "hits")).alias("x"))
+    summed = each.groupBy("x.buckets").agg(F.sum("x.hits").alias("n")).toArrow()  # at most 2^bits rows
+    out = np.zeros(1 << bits, np.int64)
+    out[summed["buckets"].to_numpy()] = summed["n"].to_numpy()
+    return full.where("buckets is null").select("doc", "n", "cls"), out
+
+
+class Orders:
+    """The three global orders of tokens, and the parts that a token's list is dealt over."""
+
+    def __init__(self, counts: np.ndarray, frequent: int = PART_MEMBERS):
+        self.shift = np.uint64(65 - len(counts).bit_length())
+        self.counts = counts
+        self.magnitude = np.log2(np.maximum(counts, 1)).astype(np.int8) // 2
+        unit = max(frequent, PART_AVERAGES * int(counts.mean()))
+        self.parts = np.minimum(-(-counts // unit), 2**31 - 1).astype(np.int32)
+
+    def rarest(self, tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens of a sorted set under order 1, and the parts of their lists."""
+        at = (tokens >> self.shift).astype(np.int64)
+        first = np.argsort(self.counts[at], kind="stable")[:length]
+        return tokens[first], self.parts[at[first]]
+
+    def fingerprints(self, tokens: np.ndarray, length: int) -> list[np.ndarray]:
+        """The first tokens under orders 2 and 3, as 32 bits each."""
+        size = self.magnitude[(tokens >> self.shift).astype(np.int64)]
+        out = []
+        for key in (tokens * _MIX, ~(tokens * _OTHER)):
+            first = np.lexsort((key, size))[:length]
+            out.append((key[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        return out
+
+
+def prefixes(docs: DataFrame, orders: Orders, percent: int = 80) -> DataFrame:
+    """cls, n, tokens (its prefix under order 1), parts; a row for the first copy of each class that a task meets."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, met = Shingler(), set()
+        for batch in batches:
+            ids, ns, tokens, parts = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingler.set_of(text)
+                if not len(s) or (cls := set_id(s)) in met:
                     continue
-                if len(met) >= 1_000_000:
+                if len(met) >= MET_CLASSES:
                     met.clear()  # a copy more is posted; the lists are made distinct later
-                met.add(ids[-1])
-                lows.append(int(np.searchsorted(s, top)))
-                keep = max(lows[-1], longest_prefix(len(s), percent))
-                tokens.append(s[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(lows, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc", "n", "cls", "n_low", "tokens", "bits"],
-            )
+                met.add(cls)
+                t, p = orders.rarest(s, longest_prefix(len(s), percent))
+                ids.append(cls)
+                ns.append(len(s))
+                tokens.append(t.view(np.int64))
+                parts.append(p if p.max() > 1 else None)
+            columns = [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "tokens", "parts"])
 
-    return docs.mapInArrow(lean(sketch), "doc long, n long, cls long, n_low int, tokens array<long>, bits array<long>")
+    return docs.select("text").mapInArrow(lean(sketch), "cls long, n int, tokens array<long>, parts array<int>")
 
 
-def _positions(posted: DataFrame, frequent: int, region: float, percent: int) -> DataFrame:
-    """posted(token, cls, n, n_low, rank by hash, size of the token's list).  Adds at: the place under order 1, within the prefix.
+def _postings(docs: DataFrame, orders: Orders, percent: int, made: Tables) -> DataFrame:
+    """token, salt, parts, cls, n, at (the place under order 1) of the tokens in the prefixes of several classes."""
+    sketched = made.write(prefixes(docs, orders, percent), "near-prefixes")
+    posted = sketched.select("cls", "n", "parts", F.posexplode("tokens").alias("at", "token"))
+    posted = posted.withColumn("parts", F.greatest(F.coalesce(F.get("parts", F.col("at")), F.lit(1)), F.lit(1)))
+    posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    lists = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("parts").alias("parts")).where("low <> high")
+    found = made.write(posted.join(_salted(lists.select("token", "parts")), ["token", "salt"]).distinct(), "near-postings")
+    made.drop("near-prefixes")
+    return found
 
-    A set's order is: tokens of the region that are not frequent, those that are, then the tokens above the region.
-    """
-    low = (F.col("token") >= 0) & (F.col("token") < int(region * 2**64))
-    is_late = low & (F.col("size") > frequent)
-    late = posted.where(is_late).groupBy("cls").agg(F.collect_list("rank").alias("late"))
-    x = posted.join(late, "cls", "left").withColumn("late", F.coalesce("late", F.array().cast("array<int>")))
-    before = F.size(F.filter("late", lambda r: r < F.col("rank")))
-    at = F.when(is_late, F.col("n_low") - F.size("late") + before).when(low, F.col("rank") - before).otherwise(F.col("rank"))
-    longest = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    return x.withColumn("at", at.cast("int")).where(F.col("at") < longest).select("token", "cls", "n", "at")
+
+def _salted(lists: DataFrame) -> DataFrame:
+    """A row for each part of a list."""
+    return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def near_copies(docs: DataFrame, percent: int = 80, region: float = REGION, frequent: int = FREQUENT) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = 80, frequent: int = PART_MEMBERS, bits: int = BUCKET_BITS) -> DataFrame:
     """docs(doc long, text): doc, n_shingles, component_id (the smallest doc that is reached by links, itself included).
 
     Null, empty and wordless texts have an empty set and are linked with nothing; equal texts share a component; rows with
-    one id are one document when their sets are equal.  An empty table gives an empty result.
+    one id are one document when their sets are equal; the smallest doc is null only where all of a component are.  An empty table gives an
+    empty result.  Lists of about `frequent` members or more are dealt over several parts.
     """
-    made = Tables(docs.sparkSession)
-    full = made.write(sketches(_inputs(docs), region, percent), "near-sketches")
-    sk = made.write(full.select("doc", "n", "cls"), "near-sets")
-    first = F.any_value("bits").alias("bits")  # the same for all documents of a class
-    classes = made.write(full.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), first), "near-classes")
-    # postings of tokens that at least two classes hold
-    posted = full.where("tokens is not null").select("cls", F.col("n").cast("int").alias("n"), "n_low", F.posexplode("tokens").alias("rank", "token"))
-    lists = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").cast("int").alias("size")).where("low <> high").select("token", "size")
-    shared = made.write(posted.join(lists, "token").distinct(), "near-postings")
-    made.drop("near-sketches")
-    placed = made.write(_positions(shared, frequent, region, percent), "near-placed")
-    made.drop("near-postings")
+    made, docs = Tables(docs.sparkSession), _inputs(docs)
+    sets, counts = token_counts(docs, made, bits)
+    orders = Orders(counts, frequent)
+    classes = made.write(sets.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep")), "near-classes")
+    postings = _postings(docs, orders, percent, made)
+    verify = Verifier(docs, classes, orders, percent, made, frequent)
 
     # 1. the most central member of each list, offered to the others
-    centre = placed.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"))
-    offered = placed.join(centre, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.at").alias("ib"))
-    star = _paired(offered.where("a <> b").where(_possible(percent)))
-    for side in "ab":
-        star = star.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"s{side}")), side)
-    star = made.write(star.where(_alike(percent)).select("a", "b"), "near-star")
-    edges = verified(docs, classes, star, percent)
-    comps = components(edges)
-
-    # 2. all remaining pairs between different components; the shorter set's token stands among its first n / 9
-    labels = classes.join(comps, classes.rep == comps.node, "left").select("cls", "bits", F.coalesce("label", "rep").alias("comp"))
-    members = placed.join(labels, "cls")
-    open_lists = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    members = made.write(members.join(open_lists, "token"), "near-members")
-    made.drop("near-placed")
-    few = F.col("n") - F.col("at") >= F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))
-    short = members.where(few).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"), F.col("bits").alias("sa"))
-    other = members.select(F.col("token").alias("t2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"), F.col("bits").alias("sb"))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ordered & _possible(percent) & _alike(percent))
-    rest = made.write(_paired(crossing).join(star, ["a", "b"], "left_anti"), "near-crossing")
-    made.drop("near-members")
-    final = components(edges.union(verified(docs, classes, rest, percent)))
-
-    named = made.write(classes.join(final, classes.rep == final.node, "left").select("cls", F.coalesce("label", "rep").alias("component")), "near-named")
-    made.drop("near-classes", "near-star", "near-crossing")
-    filled = sk.where("cls is not null").join(named, "cls").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    return filled.union(sk.where("cls is null").select("doc", "n", "doc"))
+    centre = postings.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"), F.max("parts").alias("parts"))
+    verify.test(_meetings(postings, _salted(centre), percent))
+    comps = components(verify.edges)
+    # 2. members outside a list's largest component meet other members of it
+    for turn in range(CENTRES):
+        members, main = _open_lists(postings, comps, made)
+        place = F.xxhash64("token", "cls", F.lit(turn)).alias("part")
+        centre = members.join(main, ["token", "salt"]).where("comp = main").groupBy("token").agg(F.min(F.struct(place, "cls", "n", "at")).alias("c"), F.max("parts").alias("parts"))
+        outside = members.join(main, ["token", "salt"]).where("comp <> main")
+        more = verify.test(_meetings(outside, _salted(centre), percent))
+        made.drop("near-members", "near-main")
+        if not more:
+            break
+        comps = components(verify.edges)
+    # 3. all that are still outside, with all members of other components
+    members, main = _open_lists(postings, comps, made)
+    dealt = members.join(main, ["token", "salt"]).select("*", (F.col("comp") != F.col("main")).alias("out"))
+    short = dealt.where("out").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    short = short.select("token", "salt", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
+    other = dealt.select(F.col("token").alias("t2"), F.col("salt").alias("s2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"), F.col("out").alias("ob"))
+    once = ~F.col("ob") | (F.col("a") < F.col("b"))
+    crossing = short.join(other, (F.col("token") == F.col("t2")) & (F.col("salt") == F.col("s2")) & (F.col("ca") != F.col("cb")) & once & _possible(percent))
+    final = components(verify.edges) if verify.test(crossing) else comps
+    made.drop("near-members", "near-main")
+
+    joined = classes.join(final, classes.cls == final.node, "left").select("cls", "rep", F.coalesce("label", "cls").alias("comp"))
+    least = joined.groupBy("comp").agg(F.min("rep").alias("component"))
+    named = made.write(joined.join(least, "comp").select("cls", "component"), "near-named")
+    verify.drop()
+    made.drop("near-classes", "near-postings")
+    filled = sets.where("cls is not null").join(named, "cls").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return filled.union(sets.where("cls is null").select("doc", "n", "doc"))
+
+
+def _meetings(members: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
+    """The members of each list with its centre."""
+    offered = members.join(centre, ["token", "salt"]).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.at").alias("ib"))
+    return offered.where("a <> b").where(_possible(percent))
+
+
+def _open_lists(postings: DataFrame, comps: DataFrame, made: Tables) -> tuple[DataFrame, DataFrame]:
+    """The members, with comp, of lists of three or more (a pair has met already) in several components, and the lists' largest ones."""
+    members = postings.join(comps, postings.cls == comps.node, "left").select(*postings.columns, F.coalesce("label", "cls").alias("comp"))
+    sizes = members.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
+    lists = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("x"), F.max("parts").alias("parts"))
+    main = made.write(_salted(lists.where("comps > 1 and all > 2").select("token", F.col("x.comp").alias("main"), "parts")), "near-main")
+    return made.write(members.join(main.select("token", "salt"), ["token", "salt"]), "near-members"), main
 
 
 def _possible(percent: int):
@@ -207,64 +288,96 @@ def _possible(percent: int):
     return (F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need)
 
 
-def _alike(percent: int):
-    """Whether the parities sa and sb leave room for the overlap that sets of na and nb need."""
-    differ = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    return differ <= F.col("na") + F.col("nb") - 2 * need
-
-
-def _paired(offers: DataFrame) -> DataFrame:
-    return offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes that pass orders 2 and 3 and whose whole sets are linked, as edges (a, b) between representatives."""
-    rep = classes.select("cls", "rep")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(rep, "cls")
-    made = Tables(docs.sparkSession)
-    ids = made.write(wanted.select(F.col("rep").alias("doc")).distinct(), "near-wanted")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = _inputs(docs).join(F.broadcast(ids) if small else ids, "doc", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            found = [shingler.set_of(t) for t in batch.column("text").to_pylist()]
-            columns = [
-                batch.column("doc"),
-                pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                pa.array([int(np.searchsorted(s, np.uint64(1 << 63))) for s in found], pa.int32()),
-                pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "cls", "half", "tokens"])
-
-    whole = made.write(texts.mapInArrow(lean(sets), "doc long, cls long, half int, tokens array<long>"), "near-shingles")
-    left = whole.select(F.col("cls").alias("a"), F.col("doc").alias("ra"), F.col("half").alias("ha"), F.col("tokens").alias("ta"))
-    right = whole.select(F.col("cls").alias("b"), F.col("doc").alias("rb"), F.col("half").alias("hb"), F.col("tokens").alias("tb"))
-    sizes = F.size("ta"), F.size("tb")
-    need = F.ceil(F.lit(percent) * (sizes[0] + sizes[1]) / (100 + percent)).cast("int")
-
-    def last(tokens: str):
-        p = F.size(tokens) - need + 1
-        return F.slice(tokens, -p, p)
-
-    def from_middle(tokens: str, half: str):
-        n = F.size(tokens)
-        wrapped = F.concat(F.slice(tokens, F.col(half) + 1, n - F.col(half)), F.slice(tokens, F.lit(1), F.col(half)))
-        return F.slice(wrapped, F.lit(1), n - need + 1)
-
-    both = F.size(F.array_intersect("ta", "tb"))
-    edges = (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where((sizes[0] >= need) & (sizes[1] >= need))
-        .where(F.arrays_overlap(last("ta"), last("tb")))
-        .where(F.arrays_overlap(from_middle("ta", "ha"), from_middle("tb", "hb")))
-        .where(100 * both >= percent * (sizes[0] + sizes[1] - both))
-        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        .distinct()
-    )
-    edges = made.write(edges, "near-edges")
-    made.drop("near-wanted", "near-shingles")
-    return edges
+class Verifier:
+    """Candidates of order 1 against orders 2 and 3 and then the whole sets; remembers what has been tested, fetched and linked."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, orders: Orders, percent: int, made: Tables, frequent: int = PART_MEMBERS):
+        self.docs, self.classes, self.orders, self.percent, self.made, self.frequent = docs, classes, orders, percent, made, frequent
+        self.turn, self.tested, self.whole = 0, None, None
+        self.edges = docs.sparkSession.createDataFrame([], "a long, b long")
+
+    def test(self, offers: DataFrame) -> bool:
+        """offers(a, b) of classes, in any order and repeated: whether there are new links, which join the edges."""
+        made, k = self.made, self.turn
+        self.turn += 1
+        pairs = made.write(offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"near-offers-{k}")
+        if self.tested is not None:
+            pairs = made.write(pairs.join(self.tested, ["a", "b"], "left_anti"), f"near-new-{k}")
+        if pairs.isEmpty():
+            return False
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self._fetch(pairs, k)
+        found = made.write(self._linked(pairs, k), f"near-edges-{k}")
+        made.drop(f"near-met-{k}")
+        self.edges = self.edges.union(found)
+        return not found.isEmpty()
+
+    def _fetch(self, pairs: DataFrame, k: int) -> None:
+        """Adds to whole(cls, n, second, third, bits, tokens) the classes of pairs that it lacks, from the texts of their smallest ids."""
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        if self.whole is not None:
+            wanted = wanted.join(self.whole.select("cls"), "cls", "left_anti")
+        ids = self.made.write(wanted.join(self.classes, "cls"), f"near-wanted-{k}")
+        if ids.isEmpty() and self.whole is not None:
+            return
+        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        reps, hint = ids.select("rep").distinct(), F.broadcast if small else lambda x: x
+        texts = self.docs.join(hint(reps), self.docs.doc.eqNullSafe(reps.rep), "left_semi").select("text")
+        orders, percent = self.orders, self.percent
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, met = Shingler(), set()
+            for batch in batches:
+                columns = [[], [], [], [], [], []]
+                for text in batch.column("text").to_pylist():
+                    s = shingler.set_of(text)
+                    if not len(s) or (cls := set_id(s)) in met:
+                        continue
+                    if len(met) >= MET_CLASSES:
+                        met.clear()
+                    met.add(cls)
+                    row = cls, len(s), *orders.fingerprints(s, longest_prefix(len(s), percent)), parities(s), s.view(np.int64)
+                    for column, x in zip(columns, row):
+                        column.append(x)
+                types = pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["cls", "n", "second", "third", "bits", "tokens"])
+
+        found = texts.mapInArrow(lean(sets), "cls long, n int, second array<int>, third array<int>, bits array<long>, tokens array<long>")
+        # rows may share an id with a wanted one, and null ids name no row of their own
+        found = found.join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
+        found = self.made.write(found, f"near-whole-{k}")
+        self.whole = found if self.whole is None else self.whole.union(found)
+
+    def _with(self, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
+        """pairs with columns of whole for a or b, named a_n and so on; a class with many partners is dealt over several parts."""
+        whole = self.whole.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        if pairs.count() <= self.frequent:
+            return pairs.join(whole, side)
+        hot = pairs.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > self.frequent).select(side, F.ceil(F.col("m") / self.frequent).cast("int").alias("parts"))
+        hot = self.made.write(hot, f"near-hot-{side}")
+        many = hot.limit(BROADCAST_IDS + 1).count()
+        if not many:
+            return pairs.join(whole, side)
+        hot = F.broadcast(hot) if many <= BROADCAST_IDS else hot
+        parts = F.coalesce("parts", F.lit(1))
+        other = "b" if side == "a" else "a"
+        dealt = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+        spread = whole.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        return dealt.join(spread, [side, "salt"]).drop("salt")
+
+    def _linked(self, pairs: DataFrame, k: int) -> DataFrame:
+        n = F.col("a_n"), F.col("b_n")
+        need = F.ceil(F.lit(self.percent) * (n[0] + n[1]) / (100 + self.percent)).cast("int")
+
+        def share(order: str):
+            return F.arrays_overlap(*[F.slice(f"{side}_{order}", F.lit(1), size - need + 1) for side, size in zip("ab", n)])
+
+        differ = sum((F.bit_count(F.get("a_bits", F.lit(j)).bitwiseXOR(F.get("b_bits", F.lit(j)))) for j in range(BITS // 64)), F.lit(0))
+        sketch = ["n", "second", "third", "bits"]
+        x = self._with(self._with(pairs, "a", sketch), "b", sketch).where((n[0] >= need) & (n[1] >= need)).where(share("second")).where(share("third"))
+        met = self.made.write(x.where(differ <= n[0] + n[1] - 2 * need).select("a", "b"), f"near-met-{k}")
+        both, sizes = F.size(F.array_intersect("a_tokens", "b_tokens")), F.size("a_tokens") + F.size("b_tokens")
+        return self._with(self._with(met, "a", ["tokens"]), "b", ["tokens"]).where(100 * both >= self.percent * (sizes - both)).select("a", "b")
+
+    def drop(self) -> None:
+        self.made.drop(*[n for n in list(self.made.paths) if n.startswith(("near-offers-", "near-new-", "near-edges-", "near-wanted-", "near-whole-", "near-hot-"))])

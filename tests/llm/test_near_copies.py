@@ -96,3 +96,37 @@ def test_hot_group_makes_few_pairs(spark):
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(300)]
     df = spark.createDataFrame(rows, "doc long, text string").repartition(4)
     assert near_copies.near_copies(df).agg(F.countDistinct("component_id")).first()[0] == 1
+
+
+def test_candidates_grow_with_the_group_and_not_with_its_square(spark, monkeypatch):
+    """One group of near copies at the edge of the similarity, one passage in many other texts, one very long text in two versions."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    long = " ".join(f"long{i % 997}x{i}" for i in range(30_000))
+    for n in (60, 120):
+        rng, words = random.Random(n), [f"w{i}" for i in range(150)]
+        rows = [(3 * i, " ".join(f"e{i}" if rng.random() < 0.015 else w for w in words)) for i in range(n)]
+        rows += [(3 * i + 1, " ".join([f"a{i}x{k}" for k in range(50)] + [passage] + [f"b{i}x{k}" for k in range(20)])) for i in range(n)]
+        rows += [(100_000, long), (100_001, f"{long} end"), (None, rows[0][1]), (8, rows[0][1]), (8, "another text under the same id")]
+        pairs, once = [], near_copies.Verifier.test
+
+        def test(self, offers):
+            before = 0 if self.tested is None else self.tested.count()
+            found = once(self, offers)
+            pairs.append((0 if self.tested is None else self.tested.count()) - before)
+            return found
+
+        monkeypatch.setattr(near_copies.Verifier, "test", test)
+        df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+        got = near_copies.near_copies(df, frequent=20).collect()
+        monkeypatch.setattr(near_copies.Verifier, "test", once)
+        want = brute([(i, t) for i, t in rows if i not in (None, 8)])
+        assert {r["doc"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc"] not in (None, 8)} == want
+        assert [(r["component_id"]) for r in got if r["doc"] is None] == [want[0][1]] and sorted(r["component_id"] for r in got if r["doc"] == 8) == [want[0][1], 8]
+        assert 0 < sum(pairs) <= 5 * n  # all pairs of the group are 30 and 60 a member
+
+
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(64)]
+    rows = [(5, " ".join(words)), (None, " ".join(words[6:] + [f"x{j}" for j in range(6)])), (9, " ".join(words[12:] + [f"x{j}" for j in range(12)])), (None, "alone here"), (None, "alone here")]
+    got = sorted(((r["doc"], r["component_id"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc long, text string")).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (9, 5), (None, None), (None, None)], key=str)
