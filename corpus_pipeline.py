@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's docs.  All stages but the last return the columns of documents.  Null texts weigh 0 in the first stage, have an
 empty shingle set in the second (linked with nothing, so kept), no words in the third, stay null in the fourth and are packed as
-empty documents by the last; rows that repeat an id with the same text are one document for the second stage.
+empty documents by the last.  Stages remove rows, not ids: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate, importance, near_copies, packing, pseudonyms, queries
-from riskweave.llm.common import Tables, table, written
+from riskweave.llm.common import Tables, free_name, table, written
 
 #: No SQL can express the pipeline; tests hold it against a brute-force version.
 ORACLE_SQL = None
@@ -32,10 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each component of linked documents the one with the smallest id stays."""
-    found = near_copies.near_copies(docs.select(F.col("doc_id").alias("doc"), "text"))
-    gone = written(found.where("doc <> component_id").select(F.col("doc").alias("doc_id")), "pipeline-copies")
-    return _without(docs, gone)
+    """Operator 6: of each component of linked documents the one with the smallest id stays.
+
+    Rows get keys of their own, as ids may be null or repeated: of rows with one id the first stays, one without an id only where none of its
+    component has one."""
+    made, row = Tables(spark), free_name(docs, "_row")
+    keyed = made.write(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = made.write(near_copies.near_copies(keyed.select(F.col(row).alias("doc"), "text")).select(F.col("doc").alias("_k"), "component_id"), "pipeline-components")
+    several = found.groupBy("component_id").agg(F.count("*").alias("_m")).where("_m > 1").select("component_id")
+    linked = found.join(several, "component_id").join(keyed.select(F.col(row).alias("_k"), F.col("doc_id").alias("_d")), "_k")
+    kept = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull().alias("unnamed"), "_d", "_k")).alias("x"))
+    gone = made.write(linked.select("component_id", "_k").join(kept, "component_id").where("_k <> x._k").select(F.col("_k").alias(row)), "pipeline-copies")
+    made.drop("pipeline-components")
+    return _without(keyed, gone, row).drop(row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
