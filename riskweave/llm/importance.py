@@ -1,18 +1,20 @@
 """Importance resampling of documents: the ratio of two hashed n-gram models as weight, Gumbel top-k as sample.
 
-The target model counts the hashed words and word pairs of labelled good documents, the raw model those of all documents, each n-gram
-once a document, so that counts are of independent documents.  A text's log weight is the sum over its distinct n-grams of log p_target - log p_raw.  A bucket's ratio only counts where it is more than chance: with
-e = raw count * target total / raw total, its term is 0 unless |target count - e| >= certain * sqrt(e + 1) and |ratio| >= least, and
-the labelled bad documents depart from the good ones in the other direction just as surely.  So the noise of thousands of
-ordinary words doesn't drown a few telling ones, a text's length alone has no weight, and neither has a passage that is only copied
-more often in the corpus than among the labels.  Besides words and pairs there is a bucket for pairs of one word twice, and
-one for the share of distinct pairs among all pairs, in tenths by length.
+Both models are generative: a document draws its set of hashed words and word pairs, each n-gram once.  The target model is
+estimated from labelled good documents, the raw model from all documents.  A text's log weight is the sum over its distinct n-grams of
+log p_target - log p_raw.  With c target documents in a bucket and e = raw count * target total / raw total of them expected, the
+estimate of a bucket's term is log((c + smooth) / (e + smooth)), shrunk towards 0 by the positive-part rule
+1 - certain^2 / deviance, where deviance = 2 (c log(c / e) - c + e) is large where c is far from e for its size.  This is one formula at
+every size: with few labels the terms of ordinary words, which are mostly chance, don't drown a few telling ones, and with many the shrinkage
+vanishes.  Besides words and pairs there is a bucket for pairs of one word twice, and one for the share of distinct pairs among all pairs,
+in tenths by length.
 
 The sample is the k documents with the largest keys weight / temperature + Gumbel noise: k draws without replacement from
-probabilities proportional to exp(weight / temperature).  k is the number of documents whose weight reaches a cut, set where good and
-bad documents of a labelled holdout part best.  The k-th key is found exactly by narrowing histograms; no row is sorted or collected.
+probabilities proportional to exp(weight / temperature), so that documents near the cut are in by chance.  k is the number of documents
+whose weight reaches a cut, set on a labelled holdout where the share of bad documents below it less keep_good times the share of good
+ones is largest.  The k-th key is found exactly by narrowing histograms; no row is sorted or collected.
 
-Labels are read up to LABEL_ROWS rows, chosen by a hash; of these two thirds make the target model and a third is the holdout.
+Labels are read up to LABEL_ROWS rows, chosen by a hash; of these two thirds are for the target model and a third is the holdout.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ WORD_BITS = 17
 PAIR_BITS = 17
 TABLES = 2
 SHAPES = 256
+#: In units of log weight; a document this far below the cut has about a third of the odds of one at it.
+TEMPERATURE = 0.25
+#: So much more weighs a good document lost than a bad one kept.
+KEEP_GOOD = 3.0
 CACHE_WORDS = 250_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +100,7 @@ class Model:
 
     terms: np.ndarray
     cut: float = 0.0
-    temperature: float = 0.05
+    temperature: float = TEMPERATURE
     seed: int = 0
 
     def weight(self, buckets: np.ndarray) -> float:
@@ -116,44 +122,41 @@ def labelled_sample(labels: DataFrame, rows: int = LABEL_ROWS) -> DataFrame:
 
 
 def ngram_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """docs(doc, text), all of them, and a labelled sample: counts (table, 3, bucket) of each bucket in all, in good and in bad documents."""
-    fit = labels.where("role = 'target'").select("doc", F.when(F.col("good"), 1).otherwise(2).alias("row"))
+    """docs(doc, text), all of them, and a labelled sample: counts (table, 2, bucket) of each bucket in all and in target documents."""
+    fit = labels.where("role = 'target' and good").select("doc", F.lit(1).alias("row"))
     flagged = docs.select("doc", "text").join(F.broadcast(fit), "doc", "left").select("text", F.coalesce("row", F.lit(0)).alias("row"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, sums = Features(), np.zeros((TABLES, 3, Features.size), np.int32)
+        features, sums = Features(), np.zeros((TABLES, 2, Features.size), np.int32)
         for batch in batches:
             for text, row in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist()):
                 for table, found in zip(sums, features.of(text)):
                     table[0][found] += 1  # once a document, however many n-grams share the bucket
                     if row:
-                        table[row][found] += 1
+                        table[1][found] += 1
         for k in range(TABLES):
             some = np.flatnonzero(sums[k, 0])
-            columns = [some + k * Features.size, *(sums[k, row, some].astype(np.int64) for row in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "raw", "good", "bad"])
+            columns = [some + k * Features.size, *(sums[k, row, some].astype(np.int64) for row in range(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "raw", "good"])
 
-    names = ("raw", "good", "bad")
-    summed = flagged.mapInArrow(lean(count), "bucket long, raw long, good long, bad long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
-    out = np.zeros((3, TABLES * Features.size))
-    for r in summed.toLocalIterator():  # at most as many rows as buckets
-        out[:, r["bucket"]] = r["raw"], r["good"], r["bad"]
-    return out.reshape(3, TABLES, Features.size).transpose(1, 0, 2)
+    names = ("raw", "good")
+    summed = flagged.mapInArrow(lean(count), "bucket long, raw long, good long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    out, found = np.zeros((2, TABLES * Features.size)), summed.toArrow()  # at most as many rows as buckets
+    out[:, found["bucket"].to_numpy()] = found["raw"].to_numpy(), found["good"].to_numpy()
+    return out.reshape(2, TABLES, Features.size).transpose(1, 0, 2)
 
 
-def log_ratios(counts: np.ndarray, certain: float = 4.0, least: float = 0.5, smooth: float = 0.5) -> np.ndarray:
-    """Words, pairs and shapes are models of their own, each with its own totals."""
+def log_ratios(counts: np.ndarray, certain: float = 3.0, smooth: float = 0.5) -> np.ndarray:
+    """counts (2, bucket) in all and in target documents.  Words, pairs and shapes are models of their own, each with its own totals."""
     out = np.zeros(counts.shape[1], np.float32)
     for part in (slice(0, Features.pairs_from), slice(Features.pairs_from, Features.shapes_from), slice(Features.shapes_from, None)):
-        raw, good, bad = counts[:, part]
-        if not raw.sum() or not good.sum() or not bad.sum():
+        raw, good = counts[:, part]
+        if not raw.sum() or not good.sum():
             continue
         expected = raw * (good.sum() / raw.sum())
         ratio = np.log((good + smooth) / (expected + smooth))
-        usual = good * (bad.sum() / good.sum())
-        sure = np.abs(good - expected) >= certain * np.sqrt(expected + 1)
-        apart = (np.abs(bad - usual) >= certain * np.sqrt(usual + 1)) & (np.sign(bad - usual) == -np.sign(ratio))
-        out[part] = np.where(sure & apart & (np.abs(ratio) >= least), ratio, 0)
+        far = 2 * (good * np.log(np.where(good > 0, good, 1) / np.where(expected > 0, expected, 1)) - good + expected)
+        out[part] = ratio * np.maximum(0, 1 - certain**2 / np.maximum(far, 1e-9))
     return out
 
 
@@ -171,13 +174,14 @@ def weighted(docs: DataFrame, model: Model, column: str = "log_weight") -> DataF
     return docs.mapInArrow(lean(weigh), T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the widest place where the share of good documents at or above, less that of bad ones, is largest; -inf without both kinds."""
+def best_cut(weights: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
+    """The middle of the place where the share of bad documents below, less keep_good times that of good ones, is largest; -inf without
+    both kinds, or where nothing is gained."""
     if not len(weights) or good.all() or not good.any():
         return float("-inf")
     levels = np.unique(weights)
     g, b = np.sort(weights[good]), np.sort(weights[~good])
-    gain = (np.searchsorted(b, levels) / len(b)) - (np.searchsorted(g, levels) / len(g))  # bad below less good below
+    gain = np.searchsorted(b, levels) / len(b) - keep_good * np.searchsorted(g, levels) / len(g)
     best = int(gain.argmax())
     if gain[best] <= 0:
         return float("-inf")
@@ -211,29 +215,35 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024, few: int = 10_000) ->
             above += counts[b]["n"]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, seed: int = 0) -> tuple[Model, DataFrame, float]:
-    """docs(doc, text), labels(doc, good): the model, a table of doc, log_weight and key for all documents, and the k-th largest key.
-
-    With no usable labels every document is kept; a sample of k documents keeps more only where keys tie with the k-th.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = 0) -> Model:
+    """docs(doc, text), labels(doc, good): the two models' ratio, with the cut set on the holdout, which is bounded."""
     sample = written(labelled_sample(labels), "importance-labels")
     model = Model(np.stack([log_ratios(c) for c in ngram_counts(docs, sample)]), temperature=temperature, seed=seed)
-    weights = weighted(docs.select("doc", "text"), model).select("doc", "log_weight")
-    scored = written(weights.withColumn("key", gumbel_key(F.col("log_weight"), F.col("doc"), temperature, seed)), "importance-scores")
-    held = scored.join(F.broadcast(sample.where("role = 'holdout'")), "doc").select("log_weight", "good").toPandas()
-    model.cut = best_cut(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))
-    k = scored.where(F.col("log_weight") >= model.cut).count()
-    return model, scored, kth_largest(scored, k)
+    held = docs.select("doc", "text").join(F.broadcast(sample.where("role = 'holdout'").select("doc", "good")), "doc")
+    found = weighted(held, model).select("log_weight", "good").toPandas()
+    model.cut = best_cut(found["log_weight"].to_numpy(float), found["good"].to_numpy(bool))
+    return model
+
+
+def sampled(docs: DataFrame, model: Model, id_col: str, weight: str, key: str, kept: str, columns: list[str] | None = None) -> DataFrame:
+    """docs(id_col, text, ...), or of it the columns named, with weight, key and kept; the texts are weighed once and the table is written.
+
+    Without usable labels every document is kept; more than k documents are kept only where keys tie with the k-th.
+    """
+    scored = weighted(docs, model, weight).select(*(columns or docs.columns), weight)
+    scored = written(scored.withColumn(key, gumbel_key(F.col(weight), F.col(id_col), model.temperature, model.seed)), "importance-scores")
+    k = scored.where(F.col(weight) >= model.cut).count()
+    return scored.withColumn(kept, F.col(key) >= kth_largest(scored.select(F.col(key).alias("key")), k))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, seed: int = 0) -> DataFrame:
-    """docs(doc, text): doc, log_weight, key, kept for every document."""
-    _, scored, least = fitted(docs, labels, temperature, seed)
-    return scored.withColumn("kept", F.col("key") >= least)
+def resampled(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+    """docs(doc, text): doc, log_weight, key, kept for every document; null and empty texts weigh 0, and equal rows draw alike."""
+    texts = docs.select("doc", "text")
+    return sampled(texts, fitted(texts, labels, temperature, seed), "doc", "log_weight", "key", "kept", ["doc"])
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", temperature: float = 0.05, seed: int = 0) -> DataFrame:
-    """The rows of docs(id_col, text, ...) in the sample, with their columns.  The texts are weighed again, which needs no join."""
-    model, _, least = fitted(docs.select(F.col(id_col).alias("doc"), "text"), labels, temperature, seed)
-    column = free_name(docs, "log_weight")
-    return weighted(docs, model, column).where(gumbel_key(F.col(column), F.col(id_col), temperature, seed) >= least).select(*docs.columns)
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+    """The rows of docs(id_col, text, ...) in the sample, with their columns."""
+    model = fitted(docs.select(F.col(id_col).alias("doc"), "text"), labels, temperature, seed)
+    names = [free_name(docs, c) for c in ("log_weight", "gumbel_key", "in_sample")]
+    return sampled(docs, model, id_col, *names).where(F.col(names[2])).select(*docs.columns)
