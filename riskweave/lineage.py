@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -22,7 +24,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table written just now."""
+    """The same rows, read from a table written just now, which is removed when the driver's Python ends."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
+        return
+
+
+def placed(df: DataFrame, *by, name: str = "place", first: int = 0) -> DataFrame:
+    """Adds each row's place in the order `by`, without gaps.
+
+    Rows are range-partitioned and sorted once; a place is the rows of earlier partitions plus the place in the own one, so that no task
+    sees all rows.
+    """
+    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", (before + first).alias("_before"))  # a row a partition
+    own = F.col("_row").bitwiseAND((1 << 33) - 1)
+    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_row", "_before")

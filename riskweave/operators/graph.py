@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,46 +70,19 @@ def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("callee") == symbol).select("ord", "caller")
 
 
-#: A graph of at most so many edges (some 30 bytes each with short ids) is ranked in one task; jobs would take longer than its steps.
-SMALL_EDGES = 4_000_000
-
-
-def _rank_in_one_task(weighted: DataFrame, max_iterations: int, epsilon: float) -> DataFrame:
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if not sum(b.num_rows for b in rows):
-            return
-        table = pa.Table.from_batches(rows)
-        ends = pa.chunked_array([*table["caller"].chunks, *table["callee"].chunks]).combine_chunks().dictionary_encode()
-        number = ends.indices.to_numpy()
-        caller, callee, share = number[: table.num_rows], number[table.num_rows :], table["share"].to_numpy()
-        r = np.ones(len(ends.dictionary))
-        for _ in range(max_iterations):
-            new = 1 + np.bincount(callee, share * r[caller], len(r))
-            moved = np.abs(new - r).max()
-            r = new
-            if moved < epsilon:
-                break
-        yield pa.RecordBatch.from_arrays([ends.dictionary, pa.array(r)], ["id", "r"])
-
-    return weighted.repartition(1).mapInArrow(steps, "id string, r double")
-
-
-def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, block: int = 5, small_edges: int = SMALL_EDGES) -> DataFrame:
+def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, block: int = 5) -> DataFrame:
     """edges(caller, callee): id, r for every node.
 
     Ranks start at 1 and become, all at once, 1 plus the sum over distinct callers of their rank over their distinct callees.  The
     first step after which no rank has moved by epsilon or more is the last.  Nothing damps the ranks, so they grow in
     cycles for as long as there are iterations.  `block` steps are one plan, written once; each node keeps its ranks
-    in the block, and the step that settled is picked afterwards.  A graph of up to small_edges edges is ranked in one task.
+    in the block, and the step that settled is picked afterwards.  Edges with a null end are none.
     """
     if max_iterations < 0 or block < 1:
         raise ValueError("max_iterations must not be negative and block must be positive")
-    pairs = edges.select("caller", "callee").distinct()
+    pairs = edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()
     degree = pairs.groupBy("caller").agg(F.count("*").alias("degree"))
     weighted = cut(pairs.join(degree, "caller").select("caller", "callee", (1 / F.col("degree")).alias("share")))
-    if weighted.limit(small_edges + 1).count() <= small_edges:
-        return _rank_in_one_task(weighted, max_iterations, epsilon)
     ranks = cut(node_ids(weighted).select("id", F.array(F.lit(1.0)).alias("h")))
     done = 0
     while done < max_iterations:

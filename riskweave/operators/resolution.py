@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import symbol_id
-from riskweave.lineage import cut
+from riskweave.lineage import placed
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """Edges without self-calls, the first of equal ones, numbered in the order of files and calls."""
+    """Edges without self-calls, the first of equal ones, numbered in the order of files and calls: files have numbers without gaps, so that
+    40 bits hold a trillion of them beside the calls of each and the language."""
     kept = found.where(F.col("callee").isNotNull() & (F.col("caller") != F.col("callee")))
     first = kept.groupBy("caller", "callee").agg(F.min(F.struct("file_ord", "call")).alias("at"))
     return first.select((F.shiftleft(F.col("at.file_ord"), 20) + F.col("at.call")).alias("ord"), "caller", "callee")
@@ -83,19 +84,7 @@ def first_matching(symbols: DataFrame, path: str, name: str) -> DataFrame:
 
 
 def ordered_by(metrics: DataFrame, field: str) -> DataFrame:
-    """Adds place, from 1: descending by a metric, equal ones in input order.
-
-    Rows are range-partitioned and sorted once; a place is the rows of earlier partitions plus the place in the own one, so that no task
-    sees all rows.
-    """
+    """Adds place, from 1: descending by a metric, equal ones in input order."""
     if field not in ("f", "f_prime", "g", "cc", "crap"):
         raise ValueError(f"can't sort by {field}")
-    by = F.col(field).desc(), F.col("ord")
-    dealt = metrics.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
-    dealt = cut(dealt)
-    part = F.shiftright("_row", 33)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))  # a row a partition
-    own = F.col("_row").bitwiseAND((1 << 33) - 1)
-    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_before") + own + 1).drop("_part", "_row", "_before")
+    return placed(metrics, F.col(field).desc(), F.col("ord"), first=1)

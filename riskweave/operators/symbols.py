@@ -49,6 +49,12 @@ def slice_text(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
+def clamped_text(lines: Column, first: Column, last: Column) -> Column:
+    """As slice_text, for places from an editor that may lie outside: first and last are moved to the lines there are."""
+    inside = lambda x: F.least(F.greatest(x, F.lit(0)), F.size(lines) - 1)
+    return slice_text(lines, inside(first), inside(last))
+
+
 #: Kinds of editor symbols that are functions.
 FUNCTION_KINDS = ("Function", "Method", "Constructor")
 

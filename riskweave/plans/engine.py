@@ -81,10 +81,11 @@ class RiskEngine:
         script = resolution.script_edges(declared, called, extract.imports(documents))
         return resolution.united(script, resolution.java_edges(declared, called, extract.fields(documents)))
 
-    def analyze_folder(self, root: str, call_graph: bool = True, with_tests_in_graph: bool = True, now: datetime.datetime | None = None, scope: str | None = None) -> Analysis:
+    def analyze_folder(self, root: str, call_graph: bool = True, with_tests_in_graph: bool = True, now: datetime.datetime | None = None, scope: str | None = None, registry: providers.CcRegistry | None = None) -> Analysis:
         """The files of a folder on a path that Spark reads, with its LCOV reports, and its commits if churn is enabled.
 
-        The call graph is of all files found, tests and ignored files included.
+        The call graph is of all files found, tests and ignored files included.  A registry's tools measure complexity; without one, or where they
+        say nothing, it is estimated.
         """
         s = self.settings
         documents = files.discover(self.spark, root, s.max_files, s.exclude_tests, s.file_filter.respect_gitignore, scope)
@@ -95,7 +96,8 @@ class RiskEngine:
             since = providers.cutoff(s.churn.lookback_days, now or datetime.datetime.now())
             churn = providers.churn_or_none(lambda: tools.commit_counts(tools.commit_log(self.spark, root, since.isoformat()), path_uri(root.rstrip("/"))))
         edges = self.call_graph(whole) if call_graph else self._empty(model.EDGES)
-        return self.analyze(documents, statements, edges, churn=churn)
+        by_line, by_name = registry.tables(documents) if registry else (None, None)
+        return self.analyze(documents, statements, edges, by_line, by_name, churn=churn)
 
     def reports(self, root: str, jacoco: bool = False, limit: int = 50) -> DataFrame | None:
         """The statements of the LCOV reports below root and, where asked for, of JaCoCo reports after them, at most `limit` of each kind."""

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import datetime
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave import model
+from riskweave.functions.text import SCRIPT_LANGUAGES, decoded_path
+from riskweave.sources import tools
+from riskweave.sources.tools import run_tool
 
 #: documents -> (cc by line, cc by name)
 CcProvider = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -36,6 +40,38 @@ class CcRegistry:
         return by_line, by_name
 
 
+#: How the tools are called, <file> being a path, and how many seconds they have.
+ESLINT = (["<file>", "-f", "json", "--no-error-on-unmatched-pattern", "--no-warn-ignored"], 20.0)
+RADON = (["-m", "radon", "cc", "-j", "<file>"], 15.0)
+PMD = (["check", "-d", "<file>", "-R", "category/java/design.xml", "-f", "xml", "--no-cache"], 30.0)
+
+
+def tool_reports(documents: DataFrame, program: str, call: tuple[list[str], float], cwd: str | None = None) -> DataFrame:
+    """documents(uri): uri, path, content, what a tool prints for each file.  The tool runs on the executors, which must see the files; documents
+    that are no files, and files for which it prints nothing, have no row."""
+    arguments, timeout = call
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            printed = [run_tool([program, *(path if a == "<file>" else a for a in arguments)], cwd, timeout) for path in batch["path"]]
+            yield batch.assign(content=printed)
+
+    paths = documents.where(F.col("uri").startswith("file:")).select("uri", decoded_path(F.col("uri")).alias("path"))
+    return paths.mapInPandas(run, "uri string, path string, content string").where("content <> ''")
+
+
+def tool_registry(spark: SparkSession, settings: model.Settings, cwd: str | None = None) -> CcRegistry:
+    """The tools that the settings name, by language: ESLint unless it is switched off, radon and PMD."""
+    registry, cc = CcRegistry(spark), settings.cc
+    no_lines, no_names = spark.createDataFrame([], model.CC_BY_LINE), spark.createDataFrame([], model.CC_BY_NAME)
+    if cc.use_eslint_for_ts_js:
+        for language in SCRIPT_LANGUAGES:
+            registry.register(language, lambda d: (tools.eslint_complexity(tool_reports(d, cc.eslint_path, ESLINT, cwd)), no_names))
+    registry.register("python", lambda d: (no_lines, tools.radon_complexity(tool_reports(d, cc.python_path, RADON, cwd), F.col("path"))))
+    registry.register("java", lambda d: (tools.pmd_complexity(tool_reports(d, cc.pmd_path, PMD, cwd)), no_names))
+    return registry
+
+
 def churn_or_none(provider: Callable[[], DataFrame]) -> DataFrame | None:
     """A provider's counts, or none with a warning if it fails: churn is optional."""
     try:

@@ -103,9 +103,11 @@ def node_ids(spark, d):
     return graph.node_ids(supply_edges(spark, d))
 
 
-@registered("SELECT 's' || s_suppkey AS caller, 'n' || s_nationkey AS callee FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+@registered("""SELECT 'c' || o_custkey AS caller, 'p' || l_partkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation""")
 def edge_union(spark, d):
-    parts = [p.withColumn("ord", F.lit(0)) for p in supply_parts(spark, d)[2:]]
+    parts = [p.withColumn("ord", F.lit(0)) for p in supply_parts(spark, d)]
     return resolution.united(*parts).select("caller", "callee")
 
 
@@ -134,9 +136,12 @@ def rank_cyclic_10(spark, d):
     return graph.rank(transitions(spark, d), 10).select("id", r4(F.col("r")).alias("r"))
 
 
-@registered("SELECT p_brand AS caller, 'p' || min(p_partkey) AS callee FROM part GROUP BY 1")
+@registered("SELECT p_brand AS caller, 'p' || p_partkey AS callee FROM part")
 def edges_from_callees(spark, d):
-    rows = t(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k")).select(F.lit(0).alias("ord"), F.col("p_brand").alias("caller"), F.array("p_brand", F.concat(F.lit("p"), F.col("k").cast("string"))).alias("callees"))
+    """Callees of each brand in hundreds; the brand itself among them is no edge."""
+    p = t(spark, d, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 100).alias("ord"))
+    ids = F.collect_list(F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    rows = p.agg(ids.alias("ids")).select("ord", F.col("p_brand").alias("caller"), F.array_append("ids", F.col("p_brand")).alias("callees"))
     return graph.edges_from_callees(rows).select("caller", "callee")
 
 
@@ -315,20 +320,23 @@ def last_by_id(spark, d):
 
 
 @registered("""WITH l AS (SELECT CAST(s_suppkey AS BIGINT) % 500 AS k, max(CAST(s_nationkey AS DOUBLE)) AS c1 FROM supplier GROUP BY 1),
-n AS (SELECT o_orderkey AS k, CAST(length(o_orderpriority) AS DOUBLE) AS c2 FROM orders WHERE o_orderkey % 3 = 0)
+n AS (SELECT 3 * o_orderkey AS k, CAST(length(o_orderpriority) AS DOUBLE) AS c2 FROM orders)
 SELECT 'p' || p_partkey AS id, coalesce(l.c1, n.c2, CAST(1 AS DOUBLE)) AS cc FROM part LEFT JOIN l ON l.k = p_partkey LEFT JOIN n ON n.k = p_partkey""")
 def cc_resolve(spark, d):
     fn = bodies(spark, d).select("id", F.lit("u").alias("uri"), "name", F.col("ord").cast("int").alias("sel_line"))
     by_line = t(spark, d, "supplier").select(F.lit("u").alias("uri"), (F.col("s_suppkey") % 500 + 1).cast("int").alias("line1"), F.col("s_nationkey").cast("double").alias("cc"))
-    named = t(spark, d, "orders").where("o_orderkey % 3 = 0").join(t(spark, d, "part"), F.col("o_orderkey") == F.col("p_partkey"))
+    named = t(spark, d, "orders").join(t(spark, d, "part"), 3 * F.col("o_orderkey") == F.col("p_partkey"))
     by_name = named.select(F.lit("u").alias("uri"), F.concat_ws(":", (F.col("p_partkey") + 1).cast("string"), F.col("p_name")).alias("key"), F.length("o_orderpriority").cast("double").alias("cc"))
     return symbols.resolved_cc(fn, by_line, by_name, F.lit("")).select("id", "cc")
 
 
 @registered("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, max(CAST(json_extract(props, '$.k') AS DOUBLE)) AS cc FROM events GROUP BY 1, 2")
 def cc_json_max(spark, d):
-    e = t(spark, d, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), F.from_json("props", "k double").alias("p"))
-    return e.groupBy("user_id", "day").agg(F.max("p.k").alias("cc"))
+    """Reports of days, with all messages of a user on the line of their number."""
+    message = F.struct(F.lit("complexity").alias("ruleId"), F.col("user_id").alias("line"), F.concat(F.lit("complexity of "), F.get_json_object("props", "$.k")).alias("message"))
+    days = t(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("uri")).agg(F.collect_list(message).alias("messages"))
+    found = tools.eslint_complexity(days.select("uri", F.to_json(F.array(F.struct("messages"))).alias("content")))
+    return found.select(F.col("line1").cast("bigint").alias("user_id"), F.col("uri").alias("day"), "cc")
 
 
 @registered("SELECT CAST(user_id AS VARCHAR) AS uri, CAST(trunc(value) AS INT) AS line1, max(CAST(json_extract(props, '$.k') AS DOUBLE)) AS cc FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
@@ -368,8 +376,7 @@ def cc_estimate(spark, d):
 @registered("""WITH x AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations)
 SELECT conv_id, turn, first_value(CASE WHEN role = 'user' THEN text ELSE '' END) OVER (PARTITION BY conv_id, grp ORDER BY turn) AS head FROM x""")
 def forward_fill(spark, d):
-    over = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(over)
+    head = coverage.last_seen(F.when(F.col("role") == "user", F.col("text")), ["conv_id"], "turn")
     return t(spark, d, "conversations").select("conv_id", "turn", F.coalesce(head, F.lit("")).alias("head"))
 
 

@@ -14,6 +14,11 @@ def read_reports(spark: SparkSession, path: str | list[str], limit: int | None =
     return df.orderBy("report").limit(limit) if limit is not None else df
 
 
+def last_seen(head: Column, keys: list[str], order: str) -> Column:
+    """The last value of head that is not null, up to and with the row."""
+    return F.last(head, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def lcov_statements(reports: DataFrame) -> DataFrame:
     """reports(report, content): report, file, ord, executed, start_line, end_line of all DA records with a file.
 
@@ -22,8 +27,7 @@ def lcov_statements(reports: DataFrame) -> DataFrame:
     """
     lines = reports.select("report", F.posexplode(F.split("content", "\r?\n")).alias("ord", "line"))
     head = F.when(F.col("line").startswith("SF:"), F.trim(F.substr("line", F.lit(4)))).when(F.trim("line") == "end_of_record", F.lit(""))
-    upto = Window.partitionBy("report").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    held = lines.withColumn("file", F.last(head, ignorenulls=True).over(upto)).where(F.col("line").startswith("DA:") & (F.col("file") != ""))
+    held = lines.withColumn("file", last_seen(head, ["report"], "ord")).where(F.col("line").startswith("DA:") & (F.col("file") != ""))
     rest = F.substr("line", F.lit(4))
     comma = F.instr(rest, ",")
     number = leading_int(F.substr(rest, F.lit(1), comma - 1))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import LANGUAGES, is_test_file, language_of, path_uris
+from riskweave.lineage import placed
 from riskweave.sources.ignore import is_ignored
 
 #: Folders that discovery never enters, for the command line and for editors.
@@ -35,7 +34,7 @@ def discover(spark: SparkSession, root: str, max_files: int = 400, exclude_tests
     keep: Column = F.lit(True)
     if exclude_tests:
         keep = keep & ~is_test_file(F.col("uri"))
-    if respect_gitignore and (text := ignore_text(root)):
+    if respect_gitignore and (text := ignore_text(spark, root)):
         from riskweave.functions.text import path_uri
 
         keep = keep & ~is_ignored(F.col("uri"), path_uri(root.rstrip("/")), text)
@@ -44,17 +43,23 @@ def discover(spark: SparkSession, root: str, max_files: int = 400, exclude_tests
     return numbered(files.select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), F.split("text", "\r?\n").alias("lines")))
 
 
-def ignore_text(root: str) -> str:
-    """The root's ignore file; nothing if there is none, while other errors are raised."""
-    try:
-        return (Path(root) / ".gitignore").read_text()
-    except FileNotFoundError:
+def ignore_text(spark: SparkSession, root: str) -> str:
+    """The root's ignore file on any file system that Spark reads; nothing if there is none, while other errors are raised."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
         return ""
+    stream = system.open(path)  # Spark's readers skip hidden files
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """Adds ord, a number that rises with uri (not without gaps, so that nothing is sorted in one task)."""
-    return files.repartitionByRange("uri").sortWithinPartitions("uri").select(F.monotonically_increasing_id().alias("ord"), *files.columns)
+    """Adds ord, the place by uri.  The files are read once: what is made of them starts from a written table."""
+    return placed(files, "uri", name="ord").select("ord", *files.columns)
 
 
 def in_scope(uri: Column, root_uri: str) -> Column:

@@ -50,6 +50,19 @@ def pmd_symbols(reports: DataFrame) -> DataFrame:
     return first.select("uri", "ord", "name", F.col("body_start").alias("sel_line"), F.lit(0).alias("sel_char"), "body_start", F.coalesce("_e._end", "body_start").alias("body_end"))
 
 
+def python_symbols(reports: DataFrame) -> DataFrame:
+    """reports(uri, content as a JSON array): the functions among its entries, in their order; those that lack one of the five fields, or hold it in
+    another type, are left out, and broken JSON gives nothing."""
+    numbers = ("selectionStartLine", "selectionStartCharacter", "bodyStartLine", "bodyEndLine")
+    entries = reports.select("uri", F.posexplode(F.from_json("content", "array<string>")).alias("ord", "e"))
+    typed = entries.select("uri", "ord", F.try_parse_json("e").alias("v")).where(F.schema_of_variant(F.try_variant_get("v", "$.name", "variant")) == "STRING")
+    number = lambda n: F.schema_of_variant(F.try_variant_get("v", f"$.{n}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT|INT)$")
+    for n in numbers:
+        typed = typed.where(number(n))
+    get = lambda n: F.try_variant_get("v", f"$.{n}", "int")
+    return typed.select("uri", "ord", F.try_variant_get("v", "$.name", "string").alias("name"), *[get(n).alias(c) for n, c in zip(numbers, ("sel_line", "sel_char", "body_start", "body_end"))])
+
+
 def commit_counts(log_lines: DataFrame, root: str | None = None) -> DataFrame:
     """log_lines(value): one path a line, as the version control's log lists the files of its commits: uri, commits.
 

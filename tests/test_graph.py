@@ -12,8 +12,8 @@ def edges(spark, pairs):
 
 
 def ranks(spark, pairs, **options):
-    """In one task and distributed, which must agree."""
-    one, many = ({r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), small_edges=n, **options).collect()} for n in (1000, -1))
+    """With one step a plan and with several, which must agree."""
+    one, many = ({r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), block=n, **options).collect()} for n in (1, 5))
     assert one == pytest.approx(many)
     return one
 
@@ -30,6 +30,11 @@ def test_rank_examples(spark):
     assert ranks(spark, []) == {}
 
 
+def test_rank_drops_edges_without_an_end(spark):
+    rows = [(0, "a", "b"), (1, None, "b"), (2, "a", None), (3, "c", "b")]
+    assert {r["id"]: r["r"] for r in graph.rank(spark.createDataFrame(rows, EDGES)).collect()} == {"a": 1, "b": 3, "c": 1}
+
+
 def test_rank_grows_in_cycles(spark):
     assert ranks(spark, [("A", "B"), ("B", "A")], max_iterations=12) == {"A": 13, "B": 13}
     assert ranks(spark, [("A", "A")], max_iterations=7) == {"A": 8}

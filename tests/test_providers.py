@@ -70,3 +70,31 @@ def test_jacoco_follows_lcov(spark, tmp_path):
     e = RiskEngine(spark)
     assert {(r["start_line"], r["executed"]) for r in e.reports(str(tmp_path), jacoco=True).collect()} == {(1, False), (2, True)}
     assert e.reports(str(tmp_path)).count() == 1 and e.reports(str(tmp_path / "src")).count() == 0
+
+
+def test_tools_run_by_language(spark, tmp_path):
+    """A stand-in for the tools prints a report for the file it is given."""
+    import os
+
+    from riskweave.model import CcSettings, Settings
+    from riskweave.plans.engine import RiskEngine
+
+    tool = tmp_path / "tool"
+    tool.write_text(
+        "#!/usr/bin/env python3\nimport json, sys\na = sys.argv[1:]\n"
+        "if a[0] == 'check': print('<pmd><violation beginline=\"2\" rule=\"CyclomaticComplexity\">has a cyclomatic complexity of 9.</violation></pmd>')\n"
+        "elif a[0] == '-m': print(json.dumps({a[-1]: [{'name': 'g', 'lineno': 1, 'complexity': 8}]}))\n"
+        "else: print(json.dumps([{'messages': [{'ruleId': 'complexity', 'line': 1, 'message': 'has a complexity of 7'}]}]))\nsys.exit(1)\n"
+    )
+    os.chmod(tool, 0o755)
+    root = tmp_path / "project"
+    root.mkdir()
+    (root / "a.ts").write_text("function f() { return 1; }\n")
+    (root / "b.py").write_text("def g(): pass\n")
+    (root / "C.java").write_text("class C {\n  int h() {\n    return 1;\n  }\n}\n")
+    settings = Settings(cc=CcSettings(str(tool), str(tool), str(tool)), exclude_tests=False)
+    found = RiskEngine(spark, settings).analyze_folder(str(root), registry=providers.tool_registry(spark, settings)).symbols
+    assert {r["name"]: r["cc"] for r in found.collect()} == {"f": 7, "g": 8, "h": 9}
+    off = Settings(cc=CcSettings(str(tool), "no-such-tool", str(tool), use_eslint_for_ts_js=False), exclude_tests=False)
+    found = RiskEngine(spark, off).analyze_folder(str(root), registry=providers.tool_registry(spark, off)).symbols
+    assert {r["name"]: r["cc"] for r in found.collect()} == {"f": 1, "g": 1, "h": 9}
