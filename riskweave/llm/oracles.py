@@ -50,7 +50,7 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 _CONTROL = Q.RiskControl()
 _RUNGS = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, ladder in _CONTROL.ladders.items() for i, c in enumerate(ladder))
-_RISK = f"CAST({_CONTROL.risk} AS DOUBLE)"
+_RISK = f"CAST({_CONTROL.rule_risk} AS DOUBLE)"
 #: Sums of binomial terms by logarithms of factorials.
 _CDF = f"""CASE WHEN n_good = 0 OR k >= n_good * {_RISK} THEN CAST(1 AS DOUBLE) ELSE least(1, list_sum(list_transform(range(k + 1), lambda j:
   exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({_RISK}) + (n_good - j) * ln(1 - {_RISK}))))) END"""

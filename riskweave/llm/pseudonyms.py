@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data: validated values are permuted within their own format by a keyed Feistel network.
 
 A value becomes a number below the size of its format, the network permutes those numbers, and the result is written
-in the same format, so that a pseudonym is valid where its value was, equal values get equal pseudonyms in all documents, and
+in the same format and layout (a day or a phone number is one value in all its layouts), so that a pseudonym is valid where its value was, equal values get equal pseudonyms in all documents, and
 different values of a format different ones.  Values that fail validation are left alone.  Without the key the mapping can't be
 inverted; with it, it can (the rounds run backwards).
 """
@@ -138,10 +138,10 @@ class Pseudonyms:
     # then IBANs, then cards.
     PATTERNS = {
         "phone": re.compile(r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])"),
-        "e164": re.compile(r"(?<![A-Za-z0-9+])\+[1-9][0-9]{7,14}(?![A-Za-z0-9])"),
+        "e164": re.compile(r"(?<![A-Za-z0-9+])\+(?:[1-9][0-9]{7,14}|[2-9][0-9]{0,2}(?:[ .-]\(?[0-9]{1,4}\)?){2,5})(?![A-Za-z0-9])"),
         "ssn": re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
         "ipv4": re.compile(r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])"),
-        "date": re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9])"),
+        "date": re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:)|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9]))"),
     }
 
     def __init__(self, key: bytes):
@@ -287,8 +287,14 @@ class Pseudonyms:
         return self._fill(v, f"{digits[:-10]}{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}")
 
     def e164(self, v: str) -> str | None:
-        n = len(v) - 2
-        return f"{v[:2]}{self._feistel('e164', 10**n).permute(int(v[2:])):0{n}d}"
+        """Numbers with a country code, however they are grouped; one of the North American plan is the same value as without the code."""
+        digits = re.sub("[^0-9]", "", v)
+        if not 8 <= len(digits) <= 15:
+            return None
+        if re.fullmatch("1[2-9][0-9]{2}[2-9][0-9]{6}", digits):
+            return self.phone(v)
+        n = len(digits) - 1
+        return self._fill(v, f"{digits[0]}{self._feistel('e164', 10**n).permute(int(digits[1:])):0{n}d}")
 
     def ssn(self, v: str) -> str | None:
         area, group, serial = map(int, v.split("-"))
@@ -309,20 +315,23 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, v: str) -> str | None:
-        sep = v[4] if v[4] == "-" else v[2]
-        orders = ("ymd",) if sep == "-" else ("dmy", "mdy")
-        for order in orders:
-            part = dict(zip(order, map(int, v.split(sep))))
+        """The day is permuted, whatever its layout, so that one day stays one in all of them.  Month first is only read where day first can't be;
+        for that, days after the twelfth stay such days, and others others."""
+        sep = v[4] if v[4] == "-" else "/" if "/" in v else "."
+        fields = v.split(sep)
+        for order in ("ymd",) if sep == "-" else ("dmy", "mdy"):
+            part = dict(zip(order, map(int, fields)))
             try:
-                day = datetime.date(part["y"], part["m"], part["d"]).toordinal() - _FIRST_DAY
+                day = datetime.date(part["y"], part["m"], part["d"])
             except ValueError:
                 continue
-            if not 0 <= day < _DAYS:
+            x = day.toordinal() - _FIRST_DAY
+            if not 0 <= x < _DAYS:
                 return None
-            # month first is only read where day first can't be, and the pseudonym is of that kind again
             of = lambda x: datetime.date.fromordinal(x + _FIRST_DAY)
-            new = of(self._feistel(f"date:{order}", _DAYS).permute(day, (lambda x: of(x).day > 12) if order == "mdy" else lambda x: True))
-            text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            new = of(self._feistel("date", _DAYS).permute(x, lambda x: (of(x).day > 12) == (day.day > 12)))
+            wide = 2 if sep == "-" or len(fields[0]) == len(fields[1]) == 2 else 1
+            text = {"y": f"{new.year:04d}", "m": f"{new.month:0{wide}d}", "d": f"{new.day:0{wide}d}"}
             return sep.join(text[c] for c in order)
         return None
 
@@ -364,10 +373,12 @@ def pseudonymized(docs: DataFrame, key: bytes, text: str = "text", spans: str |
     """docs with personal data in the text column replaced; all other columns pass through.
 
     spans names a column to add with the kinds and places of the values in the original text (code points, exclusive ends).
-    Null stays null; an empty table gives an empty result; rows are independent of each other.
+    Null stays null; an empty table gives an empty result; rows are independent of each other.  A column of the name of spans is an error.
     """
     from pyspark.sql import types as T
 
+    if spans and spans.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {spans} already")
     fields = list(docs.schema.fields) + ([T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else [])
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,11 @@
 
 Each rule rejects a text whose statistic is at or above a cutoff.  The cutoffs are chosen for each stratum from a fixed ladder on
 labelled holdout documents.  Walking from the loosest rung to the strictest, a rung is taken while the exact binomial test
-P(Bin(n, risk) <= rejected good documents) <= delta / (rules * strata) holds, and the walk ends at the first rung that fails.
+P(Bin(n, risk / rules) <= rejected good documents) <= delta / (rules * strata) holds, and the walk ends at the first rung that fails.
 Of the certified rungs the one that rejects most bad documents net of good ones is used (the loosest on a tie; none
 if it gains nothing).  A ladder walked in a fixed order needs no further correction; rules and strata are corrected by Bonferroni.  So, with
-probability 1 - delta over the holdout, every rule in every stratum falsely rejects at most `risk` of the good documents, and
-all rules together at most rules * risk.  A stratum with too few labels gets no cutoff and rejects nothing.
+probability 1 - delta over the holdout, in every stratum each rule falsely rejects at most risk / rules of the good documents, and so
+all rules together at most `risk`.  A stratum with too few labels gets no cutoff and rejects nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 BROADCAST_STRATA = 10_000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: Ladders, loosest rung first, of statistics that grow with junk.
 LADDERS: dict[str, tuple[float, ...]] = {
@@ -33,12 +34,17 @@ LADDERS: dict[str, tuple[float, ...]] = {
 
 @dataclass(frozen=True)
 class RiskControl:
-    """risk: the largest false-rejection rate a rule; delta: the probability with which any bound may fail."""
+    """risk: the largest false-rejection rate of all rules together in a stratum; delta: the probability with which any bound may fail."""
 
-    risk: float = 0.03
+    risk: float = 0.04
     delta: float = 0.1
     ladders: dict[str, tuple[float, ...]] = field(default_factory=lambda: LADDERS)
 
+    @property
+    def rule_risk(self) -> float:
+        """A rule's share of the risk: what several rules reject is at most the sum."""
+        return self.risk / len(self.ladders)
+
 
 def _hash_windows() -> Column:
     """A hash of each 8-word window; empty with fewer words."""
@@ -69,9 +75,11 @@ def _repeat_words() -> Column:
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of the whole text; a null text has none of each.
 
-    Words are runs of other characters than ASCII white space; characters are code points.  Other columns pass through.
+    Words are runs of other characters than ASCII white space; characters are code points.  Other columns pass through, but columns of these
+    names are replaced.  Rows are counted each, whatever repeats; an empty table gives an empty result.
     """
-    kept = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    others = [c for c in docs.columns if c.lower() not in STATISTICS]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     split = kept.select(
         "row",
         F.regexp_extract_all("_t", F.lit(f"[^{SPACE}]+"), 0).alias("_words"),
@@ -159,7 +167,7 @@ def cutoffs(labelled: DataFrame, stratum: str, good: str, control: RiskControl =
         tried = F.array(
             *[
                 F.struct(
-                    (binomial_cdf(F.col(f"k_{rule}_{i}"), F.col("n_good"), control.risk) <= level).alias("passed"),
+                    (binomial_cdf(F.col(f"k_{rule}_{i}"), F.col("n_good"), control.rule_risk) <= level).alias("passed"),
                     (F.col(f"b_{rule}_{i}") - F.col(f"k_{rule}_{i}")).alias("gain"),
                     F.lit(c).alias("cut"),
                 )

@@ -163,3 +163,67 @@ def test_random_strings_beside_names_and_paths():
     assert found("qXvBwnLpHRtZjmKcGWdYsFHx") == ["qXvBwnLpHRtZjmKcGWdYsFHx"]
     known = ["123e4567-e89b-12d3-a456-426614174000", "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"]
     assert not found(" ".join(f"{path}{k}{path}" for k in known)) and not found(f"{path}internationalization understandable_words")
+
+
+def test_one_value_in_several_layouts():
+    same = [["+17435553824", "743-555-3824", "(743) 555-3824", "+1 743.555.3824"], ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"]]
+    for values in same:
+        assert len({re.sub(r"\D", "", P.spans(v)[0][3])[-10:] for v in values}) == 1
+    day = datetime.date(1980, 3, 25)
+    layouts = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y"]
+    found = {datetime.datetime.strptime(P.spans(day.strftime(x))[0][3], x).date() for x in layouts}
+    assert len(found) == 1 and found != {day}
+    assert P.spans("5/3/1980")[0][:2] == (0, 8) and datetime.datetime.strptime(P.spans("5/3/1980")[0][3], "%d/%m/%Y") == datetime.datetime.strptime(P.spans("05/03/1980")[0][3], "%d/%m/%Y")
+    new = P.replaced("2024-02-29T10:00:00Z")[0]
+    assert new.endswith("T10:00:00Z") and new[:10] == P.date("2024-02-29")
+
+
+def test_planted_values_against_a_plain_replacement():
+    """Values between neutral words: what is found, and nothing else, are the planted places, and each becomes what it becomes alone."""
+    import random
+
+    rng, values = random.Random(3), [(k, v) for k, vs in VALID.items() for v in vs] + [("e164", "+44 20 7946 0958"), ("date", "5/3/1980")]
+    words = "plain words, (such as these) stay. 12 of 7 x9 3.5 1,000 a-b #4".split()
+    for _ in range(200):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 40)):
+            if rng.random() < 0.3:
+                kind, v = rng.choice(values)
+                want.append((len(text), len(text) + len(v), kind, P.replaced(v)[0]))
+            else:
+                v = rng.choice(words)
+            text += v + rng.choice([" so ", "\nand ", " é "])
+        assert P.replaced(text)[1] == want, text
+
+
+def test_windows_are_the_best_ones():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        parts, at = [], 0
+        for _ in range(rng.randrange(1, 9)):
+            n = rng.randrange(1, 14)
+            parts.append((at, at + n))
+            at += n + 1
+        steps = [rng.uniform(-3, 3) for _ in range(2 * len(parts))]
+        sums, total = [], 0.0
+        for s in steps:
+            total += s
+            sums.append(total)
+        costs = sums[::2] + sums[1::2]
+        options = [(costs[len(parts) + j] - costs[i], parts[i][0], parts[j][1]) for i in range(len(parts)) for j in range(i, len(parts)) if parts[j][1] - parts[i][0] >= 16]
+        best = max((o for o in options if o[0] > 0), default=None)
+        found = list(secrets._windows(parts, costs))
+        assert (best is None) == (not found) and (best is None or found[0] == best[1:])
+        assert all(a[1] <= b[0] or b[1] <= a[0] for k, a in enumerate(found) for b in found[:k])
+
+
+def test_very_long_texts():
+    import public_tokenizers
+
+    long = "filler words here " * 60_000
+    text, spans = P.replaced(f"{long}4111 1111 1111 1111 {long}a.b@c.example.com")
+    assert [s[2] for s in spans] == ["card", "email"] and spans[0][0] == len(long) and spans[1][0] == 2 * len(long) + 20
+    encode = secrets.encoding(queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    assert [s[0] for s in secrets.random_runs(f"{long}q7XvB2nLp9RtZ4mKc8WdYs5H", [], encode)] == [len(long)]

@@ -74,3 +74,18 @@ def test_only_dataframe_functions(spark, docs):
     found = Q.text_stats(docs)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_all_rules_together_keep_the_risk(spark):
+    """Each of two rules alone would reject three of a hundred good documents; together that is too much for a risk of four in a hundred."""
+    row = lambda good, symbols, upper, n: [("en", good, 100, 500, symbols, upper, 10, 0, 0)] * n
+    rows = row(True, 5, 5, 9400) + row(True, 60, 5, 300) + row(True, 5, 400, 300) + row(False, 60, 400, 3000)
+    got = cuts(spark, rows, risk=0.04)["en"]
+    assert got["cut_symbol_ratio"] is None and got["cut_upper_ratio"] is None
+    wide = cuts(spark, rows, risk=0.16)["en"]
+    assert wide["cut_symbol_ratio"] == 0.6 and wide["cut_upper_ratio"] == 0.8
+
+
+def test_columns_of_the_statistics_names_are_replaced(spark):
+    df = spark.createDataFrame([("a b", "x", 1), (None, "y", 2)], "text string, N_Words string, row int")
+    assert sorted((r["row"], r["n_words"]) for r in Q.text_stats(df).collect()) == [(1, 2), (2, 0)]
