@@ -1,41 +1,41 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of fixed capacity.
 
-Documents longer than the capacity are cut into full pieces, each a sequence of its own, and a last piece.  The pieces below
-the capacity are range-sorted by length and ranked inside each length, distributed.  As lengths are integers up to the
-capacity, the sorted documents are at most `capacity` runs of equal lengths, and the open sequences are kept as runs
-of equal gaps in the same way.  In each round
-
-* every gap offers slots: one as long as the longest waiting piece asks for most of it, else as many as such pieces fit;
-* a sweep over the merged, sorted runs gives each slot the longest waiting piece that fits and each piece the nearest slot
-  that holds it (a piece meets its successor among the slots; of the pieces that meet one run of slots the first
-  by rank win, the others go on to the next run, or wait);
-* the gaps of the sequences that took pieces shrink, and when pieces wait that no gap holds, new sequences are opened, as
-  many as the waiting tokens need at least;
-
-and the rounds go on until no piece waits.  What a round decides is "ranks r to r + k of length l go to sequences q to q + k at
-offset o".  The table of these decisions is bounded by the capacity and the number of rounds, not by the documents; each
-document then finds its own decision by length and rank, distributed.
+Documents longer than the capacity are cut into full pieces, each a sequence of its own, and a last piece.  Pieces over half the
+capacity never share with one another: each opens a sequence.  Then, in rounds,
+
+* every open sequence's gap offers slots: one as long as the longest waiting piece asks for most of it, else as many as such pieces fit;
+* waiting pieces and slots are range-sorted together, from the longest down, and each partition is swept: a slot goes on a stack, a piece
+  takes the top of it, which is its successor, the smallest free slot that holds it.  Of the pieces that meet one slot the first by rank
+  wins, and the others go on to the next larger one;
+* what a partition can't match inside is a number of pieces, which come first, and of slots, which come last.  From these two numbers a
+  partition, the sweep is carried on across partitions: pieces take the slots that earlier partitions left, the last ones first;
+* the gaps of the sequences that took pieces shrink, and the longest waiting pieces open new sequences, not more than the waiting tokens
+  need at least beyond the room that is left;
+
+and the rounds go on until no piece waits.  Only the numbers of the partitions come to the driver.  Each round is a written table, and a range
+partition splits equal lengths too, so that no length and no gap is hot.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
+import itertools
+import math
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import Tables, lean, written
 
 CAPACITY = 2048
-SLICE_ROWS = 2_000
+#: New sequences are opened for this share of the tokens that wait: less makes for more rounds and better fits.
+OPEN_FOR = 0.8
 CACHE_WORDS = 600_000
 
 
@@ -157,164 +157,157 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     return docs.mapInArrow(lean(pieces), "doc long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
-    """counts: pieces a length (1 to capacity).  Returns decisions (length, first rank, count, first sequence, offset), the number of
-    sequences and of rounds.  Sequences are numbered from 0.  Of rounds over all lengths at once and rounds over one length, the
-    longest first, those that need fewer sequences are taken."""
-    if any(not 1 <= n <= capacity for n in counts):
-        raise ValueError("lengths must be from 1 to the capacity")
-    return min(_all_lengths(counts, capacity), _one_length_a_round(counts, capacity), key=lambda plan: plan[1])
-
-
-def _one_length_a_round(counts: dict[int, int], capacity: int) -> tuple[list, int, int]:
-    """In each round the pieces of one length go to their successors among the sorted gaps, run by run, by rank; each sequence takes as many as fit."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first sequence, sequences)
-    order: list[int] = []  # the gaps, sorted
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = rounds = 0
-
-    def keep(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, many))
-
-    for length in sorted((n for n, c in counts.items() if c), reverse=True):
-        rank, left = 0, counts[length]
-        rounds += 1
-        while left:
-            k = bisect.bisect_left(order, length)
-            if k < len(order):
-                gap = order[k]
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[k]
-            else:
-                gap, first, many = capacity, opened, -(-left // (capacity // length))
-                opened += many
-            fit = gap // length
-            full = min(many, left // fit)
-            rest = min(left - full * fit, fit) if full < many else 0
-            for sequences, start, each in ((full, first, fit), (1 if rest else 0, first + full, rest)):
-                for slot in range(each if sequences else 0):
-                    out.append((length, rank, sequences, start, capacity - gap + slot * length))
-                    rank += sequences
-                    left -= sequences
-                keep(gap - each * length, start, sequences)
-            used = full + (rest > 0)
-            keep(gap, first + used, many - used)
-    return out, opened, rounds
-
-
-def _all_lengths(counts: dict[int, int], capacity: int) -> tuple[list, int, int]:
-    waiting = {n: [0, c] for n, c in sorted(counts.items()) if c}  # length -> next rank, pieces left
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences), equal gaps may be in several runs
-    out: list[tuple[int, int, int, int, int]] = []
-    opened, rounds = 0, 0
-
-    def open_with(length: int, many: int) -> None:
-        nonlocal opened
-        rank, left = waiting[length]
-        out.append((length, rank, many, opened, 0))
-        if length < capacity:
-            gaps.append((capacity - length, opened, many))
-        opened += many
-        if left == many:
-            del waiting[length]
+Link = tuple[int, int, int, int, int]
+
+
+def swept(rows: Iterator[tuple[int, bool]]) -> Iterator[tuple[int, int]]:
+    """rows(number, slot?) from the largest value down, slots before pieces of the same value: (piece, slot) for each piece that finds a slot
+    among the rows, (piece, -1) for the others, and then (-1, slot) for the slots that are left."""
+    free: list[int] = []
+    for number, slot in rows:
+        if slot:
+            free.append(number)
         else:
-            waiting[length] = [rank + many, left - many]
-
-    # pieces over half the capacity never share a sequence
-    for length in [n for n in waiting if 2 * n > capacity]:
-        open_with(length, waiting[length][1])
-    while waiting:
-        rounds += 1
-        gaps.sort()
-        gaps, placed = _sweep(gaps, waiting, out, capacity)
-        if not waiting:
+            yield number, free.pop() if free else -1
+    yield from ((-1, number) for number in free)
+
+
+def across(parts: list[tuple[int, int, int]]) -> list[Link]:
+    """parts(part, pieces, slots) that are left, in order: links (part, first piece, many, other part, slot): its pieces from the first on take
+    that slot of an earlier part and those before it, one each."""
+    out, free = [], []
+    for part, pieces, slots in parts:
+        first = 0
+        while first < pieces and free:
+            other, held = free.pop()
+            many = min(held, pieces - first)
+            out.append((part, first, many, other, held - 1))
+            first += many
+            if many < held:
+                free.append((other, held - many))
+        if slots:
+            free.append((part, slots))
+    return out
+
+
+def opening(parts: list[tuple[int, int, int]], need: int) -> list[tuple[int, int, int]]:
+    """parts(part, first piece still waiting, pieces): (part, first, end) of the `need` longest of them, which open sequences."""
+    out = []
+    for part, first, pieces in parts:
+        many = min(need, pieces - first)
+        need -= many
+        out.append((part, first, first + many))
+    return out
+
+
+def needed(tokens: int, pieces: int, room: int, placed: bool, capacity: int) -> int:
+    """How many sequences so many waiting pieces with so many tokens open, where so much room is left; one at least where none was placed."""
+    return max(0 if placed else 1, min(pieces, math.ceil((OPEN_FOR * tokens - room) / capacity)))
+
+
+SWEPT = "part long, what string, rid long, length long, seq long, slot long, place long"
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    """rows(value, slot, id, k), dealt and sorted: matched pieces (what = m), pieces (d) and slots (s) that are left, with their place among them."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, places = TaskContext.get().partitionId(), {"m": 0, "d": 0, "s": 0}
+        seen: dict[int, tuple[int, int, int]] = {}  # pieces in question and free slots
+        numbers = itertools.count()
+
+        def read() -> Iterator[tuple[int, bool]]:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    n = next(numbers)
+                    seen[n] = row[0], row[2], row[3]
+                    yield n, row[1]
+
+        def found() -> Iterator[tuple]:
+            for piece, slot in swept(read()):
+                what = "s" if piece < 0 else "d" if slot < 0 else "m"
+                length, rid, _ = seen.pop(piece) if piece >= 0 else (None, None, None)
+                _, seq, k = seen.pop(slot) if slot >= 0 else (None, None, None)
+                yield part, what, rid, length, seq, k, places[what]
+                places[what] += 1
+
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 5]
+        rows_found = found()
+        while chunk := list(itertools.islice(rows_found, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], [c.split()[0] for c in SWEPT.split(", ")])
+
+    return rows.mapInArrow(sweep, SWEPT)
+
+
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces(rid, length), rid a key of the row: rid, sequence_id (the rid of the sequence's first piece), offset.  An empty table gives an empty result."""
+    spark, made = pieces.sparkSession, Tables(pieces.sparkSession)
+    if pieces.where(f"length < 1 or length > {capacity}").limit(1).count():
+        raise ValueError("lengths must be from 1 to the capacity")
+    alone = pieces.where(2 * F.col("length") > capacity)
+    gaps = made.write(alone.where(F.col("length") < capacity).select(F.col("rid").alias("seq"), F.col("length").alias("used")), "pack-gaps-0")
+    zero = F.lit(0).cast("long")
+    placed = alone.select("rid", F.col("rid").alias("sequence_id"), zero.alias("offset"))
+    waiting = made.write(pieces.where(2 * F.col("length") <= capacity), "pack-waiting")
+    many, shortest, longest = waiting.agg(F.count("*"), F.min("length"), F.max("length")).first()
+    turn = 0
+    while many:
+        turn += 1
+        # 1. pieces and slots in one order, swept
+        open_ = gaps.withColumn("gap", capacity - F.col("used")).where(F.col("gap") >= shortest).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int"))
+        slots = open_.select(F.floor(F.col("gap") / F.col("slots")).cast("long").alias("value"), F.lit(True).alias("slot"), F.col("seq").alias("id"), F.explode(F.sequence(zero, (F.col("slots") - 1).cast("long"))).alias("k"))
+        rows = slots.unionByName(waiting.select(F.col("length").alias("value"), F.lit(False).alias("slot"), F.col("rid").alias("id"), zero.alias("k")))
+        order = F.col("value").desc(), F.col("slot").desc(), F.col("id"), F.col("k")
+        found = made.write(_sweep(rows.repartitionByRange(*order).sortWithinPartitions(*order)), f"pack-swept-{turn}")
+        # 2. the same sweep across partitions: three rows a partition
+        counted = {(r["part"], r["what"]): r for r in found.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("length").alias("low"), F.max("length").alias("high")).collect()}
+        parts, left = sorted({p for p, _ in counted}), {k: r["n"] for k, r in counted.items()}
+        links = across([(p, left.get((p, "d"), 0), left.get((p, "s"), 0)) for p in parts])
+        first = dict.fromkeys(parts, 0)
+        for p, j, n, _, _ in links:
+            first[p] = j + n
+        link = spark.createDataFrame(links, "part long, first long, many long, other long, last long")
+        pieces_left, slots_left = found.where("what = 'd'"), found.where("what = 's'").select(F.col("part").alias("other"), F.col("place").alias("at"), "seq", "slot")
+        meets = pieces_left.select("part", "place", "rid", "length").join(F.broadcast(link), "part").where("place >= first and place < first + many")
+        taken = meets.withColumn("at", F.col("last") - (F.col("place") - F.col("first"))).join(slots_left, ["other", "at"]).select("rid", "length", "seq", "slot")
+        taken = taken.unionByName(found.where("what = 'm'").select("rid", "length", "seq", "slot"))
+        # 3. gaps shrink
+        before = F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), zero)
+        inside = taken.withColumn("before", before).withColumn("more", F.sum("length").over(Window.partitionBy("seq")))
+        now = gaps.join(inside, "seq", "left")
+        news = F.array(F.struct(F.lit(True).alias("piece"), "rid", (F.col("used") + F.col("before")).alias("at")), F.when(F.coalesce("before", zero) == 0, F.struct(F.lit(False).alias("piece"), F.lit(None).cast("long").alias("rid"), (F.col("used") + F.coalesce("more", zero)).alias("at"))))
+        state = made.write(now.select("seq", F.explode(news).alias("x")).where("x is not null and (x.rid is not null or not x.piece)").select("seq", "x.*"), f"pack-state-{turn}")
+        gaps = state.where(f"not piece and at < {capacity}").select("seq", F.col("at").alias("used"))
+        placed = placed.unionByName(state.where("piece").select("rid", F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
+        # 4. the pieces that wait on, and those that open sequences
+        rest = sum(left.get((p, "d"), 0) - first[p] for p in parts)
+        if not rest:
             break
-        if not placed:
-            tokens = sum(n * c for n, (_, c) in waiting.items())
-            need = -(-tokens // capacity)
-            while need and waiting:
-                longest = max(waiting)
-                many = min(need, waiting[longest][1])
-                open_with(longest, many)
-                need -= many
-    return out, opened, rounds
-
-
-def _sweep(gaps: list, waiting: dict, out: list, capacity: int) -> tuple[list, int]:
-    """One round: the sorted runs of slots are swept upwards, with the shorter pieces that found no slot so far on a stack, longest on top."""
-    lengths = sorted(waiting)
-    longest, shortest = lengths[-1], lengths[0]
-    stack: list[int] = []
-    kept, placed, k = [], 0, 0
-    todo = list(gaps)
-    for gap, first, many in todo:
-        if gap < shortest:
-            continue  # nothing that waits fits; closed for good, since waiting lengths only vanish
-        slots = max(1, gap // longest)
-        slot = gap // slots
-        while k < len(lengths) and lengths[k] <= slot:
-            stack.append(lengths[k])
-            k += 1
-        # runs of sequences with equal contents so far: (first, count, used)
-        runs = [(first, many, 0)]
-        for _ in range(slots):
-            split = []
-            for f, m, used in runs:
-                while m and stack:
-                    length = stack[-1]
-                    rank, left = waiting[length]
-                    take = min(m, left)
-                    out.append((length, rank, take, f, capacity - gap + used))
-                    split.append((f, take, used + length))
-                    placed += take
-                    f, m = f + take, m - take
-                    if take == left:
-                        del waiting[length]
-                        stack.pop()
-                    else:
-                        waiting[length] = [rank + take, left - take]
-                if m:
-                    split.append((f, m, used))
-            runs = split
-            if not stack:
-                break
-        kept += [(gap - used, f, m) for f, m, used in runs if gap > used]
-    return kept, placed
-
-
-def ranked(pieces: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds rank (long, from 0 in each length): rows before the row's hash slice plus its place there; a common length is dealt over many slices."""
-    sizes = pieces.groupBy("length").agg(F.count("*").alias("_of")).withColumn("_slices", F.ceil(F.col("_of") / slice_rows))
-    key = F.xxhash64("doc", "piece")
-    keyed = pieces.join(F.broadcast(sizes), "length").withColumn("_slice", F.pmod(key, F.col("_slices")))  # a row a length: at most capacity
-    slices = keyed.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_slice").orderBy("doc", "piece")
-    return keyed.withColumn("_place", F.row_number().over(inside)).join(starts, ["length", "_slice"]).withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_of", "_slices", "_slice", "_place", "_before")
+        shortest = min(counted[p, "d"]["low"] for p in parts if left.get((p, "d"), 0) > first[p])
+        room = gaps.where(capacity - F.col("used") >= shortest).agg(F.coalesce(F.sum(capacity - F.col("used")), zero)).first()[0]
+        starts = spark.createDataFrame(list(first.items()), "part long, first long")
+        tokens = pieces_left.join(F.broadcast(starts), "part").where("place >= first").agg(F.sum("length")).first()[0]
+        need = needed(tokens, rest, room, rest < many, capacity)
+        cut = opening([(p, first[p], left.get((p, "d"), 0)) for p in parts], need)
+        cuts = spark.createDataFrame(cut, "part long, first long, end long")
+        tail = pieces_left.select("part", "place", "rid", "length").join(F.broadcast(cuts), "part")
+        waiting = tail.where("place >= end").select("rid", "length")
+        if need:
+            opened = tail.where("place >= first and place < end").select(F.col("rid").alias("seq"), F.col("length").alias("used"))
+            gaps = gaps.unionByName(opened)
+            placed = placed.unionByName(opened.select(F.col("seq").alias("rid"), F.col("seq").alias("sequence_id"), zero.alias("offset")))
+        many = rest - need
+        longest = max([counted[p, "d"]["high"] for p, _, end in cut if left.get((p, "d"), 0) > end], default=0)
+    return placed
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """docs(doc long, text): doc, piece, start, length, ids_crc32, sequence_id, offset for every piece.
 
-    Full pieces are numbered after the shared sequences.  Null, empty and repeated rows are documents like others (repeated rows
-    are interchangeable); an empty table gives an empty result.
+    Null, empty and repeated rows are documents like others; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    pieces = written(tokenized(docs.select(F.col("doc").cast("long").alias("doc"), "text"), path, capacity, end_id), "pack-pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    decisions, _, _ = best_fit_rounds(counts, capacity)
-    schema = "length long, first long, many long, sequence long, offset long"
-    table = spark.createDataFrame(pd.DataFrame(decisions, columns=["length", "first", "many", "sequence", "offset"]).astype("int64"), schema) if decisions else spark.createDataFrame([], schema)
-    # a decision table of one row a length, its runs sorted by first rank: bounded by the capacity and the rounds
-    runs = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
-    found = ranked(pieces).join(F.broadcast(runs), "length")
-    mine = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
-    return found.withColumn("_m", mine).select(
-        "doc", "piece", "start", "length", "ids_crc32", (F.col("_m.sequence") + F.col("rank") - F.col("_m.first")).alias("sequence_id"), F.col("_m.offset").alias("offset")
-    )
+    cut = tokenized(docs.select(F.col("doc").cast("long").alias("doc"), "text"), path, capacity, end_id)
+    pieces = written(cut.withColumn("rid", F.monotonically_increasing_id()), "pack-pieces")
+    return pieces.join(best_fit(pieces.select("rid", "length"), capacity), "rid").drop("rid")

@@ -75,24 +75,83 @@ def best_fit_decreasing(lengths, capacity):
     return n
 
 
+def rounds(lengths, capacity, parts):
+    """The rounds of best_fit in plain Python, with the rows of each dealt over parts: the sequences, and the number of rounds."""
+    sequences, waiting, turns = [[x] for x in lengths if 2 * x > capacity], sorted((x for x in lengths if 2 * x <= capacity), reverse=True), 0
+    while waiting:
+        turns += 1
+        rows = [(-x, 1, None) for x in waiting]
+        for i, held in enumerate(sequences):
+            gap = capacity - sum(held)
+            if gap >= waiting[-1]:
+                many = max(1, gap // waiting[0])
+                rows += [(-(gap // many), 0, i)] * many
+        rows.sort(key=lambda r: r[:2])
+        size = -(-len(rows) // parts)
+        done, left = [], []
+        for p in range(parts):
+            mine = rows[p * size : (p + 1) * size]
+            found = list(packing.swept((k, r[1] == 0) for k, r in enumerate(mine)))
+            done += [(-mine[a][0], mine[b][2]) for a, b in found if a >= 0 and b >= 0]
+            left.append((p, [-mine[a][0] for a, b in found if b < 0], [mine[b][2] for a, b in found if a < 0]))
+        alone = list(packing.swept((k, r[1] == 0) for k, r in enumerate(rows)))
+        first = [0] * parts
+        for p, j, n, q, last in packing.across([(p, len(d), len(s)) for p, d, s in left]):
+            done += [(left[p][1][j + i], left[q][2][last - i]) for i in range(n)]
+            first[p] = j + n
+        # the sweep over parts is the sweep over all rows
+        assert sorted(done) == sorted((-rows[a][0], rows[b][2]) for a, b in alone if a >= 0 and b >= 0)
+        for x, i in done:
+            sequences[i].append(x)
+        before, waiting = len(waiting), [x for p, d, _ in left for x in d[first[p] :]]
+        if waiting:
+            room = sum(capacity - sum(held) for held in sequences if capacity - sum(held) >= waiting[-1])
+            need = packing.needed(sum(waiting), len(waiting), room, len(waiting) < before, capacity)
+            sequences += [[x] for x in waiting[:need]]
+            waiting = waiting[need:]
+    return sequences, turns
+
+
 @pytest.mark.parametrize("low, high", [(1, 100), (1, 6), (30, 60), (20, 40), (51, 100), (1, 1), (100, 100)])
 def test_rounds(low, high):
     rng = random.Random(high)
     lengths = [rng.randint(low, high) for _ in range(3000)]
-    decisions, opened, rounds = packing.best_fit_rounds(dict(collections.Counter(lengths)), 100)
-    sequences, used = collections.defaultdict(list), collections.Counter()
-    for length, _, many, first, offset in decisions:
-        used[length] += many
-        for k in range(many):
-            sequences[first + k].append((offset, length))
-    assert used == collections.Counter(lengths) and set(sequences) == set(range(opened)) and rounds <= 100
-    for held in sequences.values():
-        held.sort()
-        assert [o for o, _ in held] == [sum(x for _, x in held[:k]) for k in range(len(held))] and sum(x for _, x in held) <= 100
-    assert opened <= 1.02 * best_fit_decreasing(lengths, 100) + 1
+    for parts in (1, 4, 13):
+        sequences, turns = rounds(lengths, 100, parts)
+        assert sorted(x for s in sequences for x in s) == sorted(lengths) and max(map(sum, sequences)) <= 100 and turns <= 100
+        assert len(sequences) <= 1.02 * best_fit_decreasing(lengths, 100) + 1
+
+
+def test_openings():
+    assert packing.opening([(0, 2, 5), (3, 0, 4), (7, 1, 9)], 5) == [(0, 2, 5), (3, 0, 2), (7, 1, 1)]
+
+
+@pytest.mark.parametrize("coalesced", [True, False])
+def test_best_fit(spark, coalesced):
+    """In one range partition and in several; all pieces have places, gapless, and the sequences are hardly more than one after another gives."""
+    rng = random.Random(4)
+    lengths = [rng.choice([rng.randint(1, 100), rng.randint(1, 20), 30]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "rid long, length long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        rows = packing.best_fit(df, 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["rid"]))
+    assert sorted(i for s in held.values() for _, i in s) == list(range(1500))
+    for pieces in held.values():
+        end = 0
+        for offset, i in sorted(pieces):
+            assert offset == end
+            end += lengths[i]
+        assert end <= 100
+    assert len(held) <= 1.02 * best_fit_decreasing(lengths, 100) + 1
 
 
-def test_bad_lengths():
-    assert packing.best_fit_rounds({}, 10) == ([], 0, 0)
+def test_bad_lengths(spark):
+    pieces = spark.createDataFrame([(1, 11)], "rid long, length long")
+    assert packing.best_fit(pieces.limit(0), 10).count() == 0
     with pytest.raises(ValueError):
-        packing.best_fit_rounds({11: 1}, 10)
+        packing.best_fit(pieces, 10)
