@@ -1,15 +1,16 @@
 """Benchmark decontamination with a document-partitioned positional inverted index.
 
-Building: each task turns its documents into index blocks, a block holding for every test term the documents and word positions
-where it occurs (CSR: terms, list starts, word positions in the block).  Blocks are written as a table in the shared folder.
-Documents are never split over blocks, so a frequent term only lengthens its list inside each bounded block and no
-posting is shuffled.  A block holds about block_words words or one longer document.
+Building: each task turns its documents into index blocks, a block holding for every training token the places where it occurs
+(CSR: terms, list starts, word positions in the block).  Terms are 64-bit hashes of words, so that the index knows nothing of any
+test set: it is stored once in the shared folder and answers for all of them.  Documents are never split over blocks, so a frequent term
+only lengthens its list inside each bounded block and no posting is shuffled.  A block holds about block_words words or one longer document.
 
-Querying: the corpus frequency of each term is summed over all blocks.  For each window of a test item the lists
-are intersected from the rarest term on, each shifted back by the term's offset in the window, until nothing is left or all
-terms agree: an exact phrase.  Proximity matches ask that the rarest occurring terms of an item stand within a span, in any order.
+Querying: the corpus frequency of each test term is summed over all blocks.  Each window of a test item is kept under its rarest term, and a
+block looks only at the windows whose rarest term it holds: the lists are intersected from that one on, each shifted back by the term's
+offset in the window, until nothing is left or all terms agree: an exact phrase.  Proximity matches ask that the rarest occurring terms of
+an item stand within a span, in any order.
 
-Test items are taken in blocks of at most item_words words; each such block is a pass over the corpus, so that what is sent to the
+Test items are taken in blocks of at most item_words words; each such block is a pass over the index, so that what is sent to the
 tasks stays bounded however large the test set is.
 """
 
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ from .common import lean, written
 WINDOW = 13
 BLOCK_WORDS = 200_000
 ITEM_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Upper-case ASCII is lowered, other ASCII than digits and letters becomes a space, the bytes of other characters stay.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX_SCHEMA = "doc_ids array<long>, doc_starts binary, n_words long, terms binary, list_starts binary, places binary"
@@ -43,18 +47,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
+def term_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+class _Terms(dict):
+    """word -> its term; cleared when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        t = self[word] = term_of(word)
+        return t
+
+
 class Plan:
-    """The windows of a block of test items, as term numbers."""
+    """The windows of a block of test items, as terms."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        self.terms: dict[bytes, int] = {}
         self.windows: list[tuple[int, ...]] = []
         self.owners: list[list[int]] = []
         known: dict[tuple[int, ...], int] = {}
         self.items = [i for i, _ in items]
         self.item_terms: list[list[int]] = []
         for at, (_, text) in enumerate(items):
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
+            ids = [term_of(w) for w in words_of(text)]
             self.item_terms.append(sorted(set(ids)))
             if not ids:
                 continue
@@ -66,6 +83,7 @@ class Plan:
                     self.owners.append([])
                 if at not in self.owners[j]:
                     self.owners[j].append(at)
+        self.terms = np.array(sorted({t for ts in self.item_terms for t in ts}), np.int64)
 
 
 def item_blocks(items: DataFrame, item_words: int = ITEM_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -81,62 +99,63 @@ def item_blocks(items: DataFrame, item_words: int = ITEM_WORDS, id_col: str = "i
         yield block
 
 
-def _index_block(docs: list[int | None], numbers: list[np.ndarray]) -> dict:
-    """docs: ids; numbers: each document's words as term numbers, -1 for words of no test item."""
-    lengths = np.fromiter((len(x) for x in numbers), np.int64, len(numbers))
+def _index_block(docs: list[int | None], terms: list[np.ndarray], wanted: np.ndarray | None) -> dict:
+    """docs: ids; terms: those of each document's words; wanted: the only terms to hold, else all."""
+    lengths = np.fromiter((len(x) for x in terms), np.int64, len(terms))
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-    places = np.flatnonzero(flat >= 0).astype(np.int64)
-    terms = flat[places]
-    order = np.argsort(terms, kind="stable")
-    found, first = np.unique(terms[order], return_index=True)
+    flat = np.concatenate(terms) if terms else np.empty(0, np.int64)
+    places = np.flatnonzero(np.isin(flat, wanted)) if wanted is not None else np.arange(len(flat))
+    held = flat[places]
+    order = np.argsort(held, kind="stable")
+    found, first = np.unique(held[order], return_index=True)
     return {
         "doc_ids": docs,
         "doc_starts": starts.tobytes(),
         "n_words": int(starts[-1]),
-        "terms": found.astype(np.int32).tobytes(),
+        "terms": found.tobytes(),
         "list_starts": np.append(first, len(order)).astype(np.int64).tobytes(),
         "places": places[order].astype(np.int64 if starts[-1] > 2**31 - 1 else np.int32).tobytes(),
     }
 
 
-def build_index(docs: DataFrame, plan: Plan, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index blocks over the whole texts of docs(id_col, text_col), written to the shared folder.  Ids are integers or null."""
-    terms = plan.terms
+def build_index(docs: DataFrame, plan: Plan | None = None, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index blocks over the whole texts of docs(id_col, text_col), written to the shared folder.  Ids are integers or null.
+
+    A plan limits the index to its terms, for a small index that answers for one test set only."""
+    wanted = None if plan is None else plan.terms
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, ids, numbers, size = terms.get, [], [], 0
+        known, ids, terms, size = _Terms(), [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
-                numbers.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
+                terms.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
                 ids.append(doc)
                 size += len(words) + 50
                 if size >= block_words:
-                    yield pa.RecordBatch.from_pylist([_index_block(ids, numbers)], INDEX_ARROW)
-                    ids, numbers, size = [], [], 0
+                    yield pa.RecordBatch.from_pylist([_index_block(ids, terms, wanted)], INDEX_ARROW)
+                    ids, terms, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_index_block(ids, numbers)], INDEX_ARROW)
+            yield pa.RecordBatch.from_pylist([_index_block(ids, terms, wanted)], INDEX_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(lean(build), INDEX_SCHEMA), "positional-index")
 
 
-def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each test term over all blocks: summed a task, then over tasks."""
+def term_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """Occurrences of each of these sorted terms over all blocks, of those that occur: summed a task, then over tasks."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(n_terms, np.int64)
+        sums = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for terms, starts in zip(batch["terms"], batch["list_starts"]):
-                sums[np.frombuffer(terms, np.int32)] += np.diff(np.frombuffer(starts, np.int64))
+            for held, starts in zip(batch["terms"], batch["list_starts"]):
+                _, mine, theirs = np.intersect1d(terms, np.frombuffer(held, np.int64), assume_unique=True, return_indices=True)
+                sums[mine] += np.diff(np.frombuffer(starts, np.int64))[theirs]
         some = np.flatnonzero(sums)
-        yield pd.DataFrame({"term": some.astype(np.int32), "n": sums[some]})
+        yield pd.DataFrame({"term": terms[some], "n": sums[some]})
 
-    out = np.zeros(n_terms, np.int64)
-    for row in index.select("terms", "list_starts").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row["term"]] = row["n"]
-    return out
+    summed = index.select("terms", "list_starts").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {row["term"]: row["n"] for row in summed.toLocalIterator()}  # at most as many rows as terms
 
 
 class Block:
@@ -145,25 +164,31 @@ class Block:
     def __init__(self, row):
         self.docs, self.starts = row["doc_ids"], np.frombuffer(row["doc_starts"], np.int64)
         self.lists = np.frombuffer(row["list_starts"], np.int64)
-        self.at = {t: k for k, t in enumerate(np.frombuffer(row["terms"], np.int32).tolist())}
+        self.terms = np.frombuffer(row["terms"], np.int64)
         self.places = np.frombuffer(row["places"], np.int64 if row["n_words"] > 2**31 - 1 else np.int32)
 
     def postings(self, term: int) -> np.ndarray:
-        k = self.at.get(term)
-        return self.places[:0] if k is None else self.places[self.lists[k] : self.lists[k + 1]]
+        k = int(np.searchsorted(self.terms, term))
+        if k == len(self.terms) or self.terms[k] != term:
+            return self.places[:0]
+        return self.places[self.lists[k] : self.lists[k + 1]]
+
+    def holds(self, terms: np.ndarray) -> list[int]:
+        """Those of sorted terms that occur in the block."""
+        return np.intersect1d(terms, self.terms, assume_unique=True).tolist()
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
     def phrase(self, window: tuple[int, ...], order: list[int]) -> np.ndarray:
         """Starts of the window in the block, inside one document; order: offsets, rarest term first."""
-        if any(t not in self.at for t in set(window)):
-            return self.places[:0]
         starts = self.postings(window[order[0]]) - order[0]
         for o in order[1:]:
             if not len(starts):
                 return starts
             held = self.postings(window[o])
+            if not len(held):
+                return held
             at = np.searchsorted(held, starts + o)
             starts = starts[(at < len(held)) & (held[np.minimum(at, len(held) - 1)] == starts + o)]
         starts = starts[starts >= 0]
@@ -190,44 +215,57 @@ MATCHES = "doc_id long, n_words long, item_id long, kind string, start long, len
 VERDICTS = "doc_id long, n_words long, n_hit long, item_ids array<long>, n_near long"
 
 
-def _ordered(plan: Plan, counts: np.ndarray) -> list[list[int]]:
-    """For each window its offsets, the rarest term's first."""
-    return [sorted(range(len(w)), key=lambda o: (counts[w[o]], o)) for w in plan.windows]
-
-
-def _live(plan: Plan, counts: np.ndarray) -> list[int]:
-    return [j for j, w in enumerate(plan.windows) if all(counts[t] for t in w)]
-
-
-def _rarest(plan: Plan, counts: np.ndarray, near_terms: int) -> list[list[int]]:
-    """Each item's rarest terms of those that occur at all, rarest first, fewer where it has no more; none for an item of several terms of which
-    only one occurs, as nothing is there to meet."""
-    out = []
-    for terms in plan.item_terms:
-        held = sorted((t for t in terms if counts[t]), key=lambda t: (counts[t], t))[:near_terms]
-        out.append(held if len(held) > 1 or len(terms) == 1 else [])
-    return out
+class Search:
+    """A plan with the corpus frequencies of its terms: windows and items under their rarest terms."""
+
+    def __init__(self, plan: Plan, counts: dict[int, int], near_terms: int):
+        self.plan = plan
+        self.orders: list[list[int]] = [[]] * len(plan.windows)
+        windows, items = defaultdict(list), defaultdict(list)
+        for j, w in enumerate(plan.windows):
+            if all(t in counts for t in w):  # others occur nowhere
+                self.orders[j] = sorted(range(len(w)), key=lambda o: (counts[w[o]], o))
+                windows[w[self.orders[j][0]]].append(j)
+        # each item's rarest terms of those that occur at all, rarest first, fewer where it has no more; an item of several terms of which only one
+        # occurs has none, as nothing is there to meet
+        for i, terms in enumerate(plan.item_terms):
+            held = sorted((t for t in terms if t in counts), key=lambda t: (counts[t], t))[:near_terms]
+            if len(held) > 1 or len(held) == len(terms) == 1:
+                items[held[0]].append((i, held))
+        self.windows, self.items = dict(windows), dict(items)
+        self.window_terms, self.item_terms = (np.array(sorted(x), np.int64) for x in (windows, items))
+
+    def phrases(self, block: Block) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, its starts in the block)."""
+        for t in block.holds(self.window_terms):
+            for j in self.windows[t]:
+                starts = block.phrase(self.plan.windows[j], self.orders[j])
+                if len(starts):
+                    yield j, starts
+
+    def meetings(self, block: Block, span: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, the places of its rarest term where the others are near)."""
+        for t in block.holds(self.item_terms):
+            for i, terms in self.items[t]:
+                places = block.near(terms, span)
+                if len(places):
+                    yield i, places
 
 
 def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int = 40) -> DataFrame:
     """Each exact occurrence of a window (kind phrase) and each close meeting of an item's rarest terms (kind near), with word positions."""
-    counts = term_frequencies(index, len(plan.terms))
-    orders, live = _ordered(plan, counts), _live(plan, counts)
+    search = Search(plan, term_frequencies(index, plan.terms), near_terms)
     windows, owners, items = plan.windows, plan.owners, plan.items
-    rare = _rarest(plan, counts, near_terms)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b, out = Block(row), []
-                for j in live:
-                    starts = b.phrase(windows[j], orders[j])
+                for j, starts in search.phrases(b):
                     for s, d in zip(starts.tolist(), b.doc_of(starts).tolist()):
                         out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "phrase", int(s - b.starts[d]), len(windows[j])) for i in owners[j]]
-                for i, ts in enumerate(rare):
-                    if ts:
-                        starts = b.near(ts, near_span)
-                        out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "near", int(s - b.starts[d]), 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
+                for i, starts in search.meetings(b, near_span):
+                    out += [(b.docs[d], int(b.starts[d + 1] - b.starts[d]), items[i], "near", int(s - b.starts[d]), 1) for s, d in zip(starts.tolist(), b.doc_of(starts).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, MATCHES_ARROW)], [c.split()[0] for c in MATCHES.split(", ")])
 
     return index.mapInArrow(lean(find), MATCHES)
@@ -236,10 +274,8 @@ def matches(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
 def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int = 40) -> DataFrame:
     """A row a document: its words, the words inside any occurring window, the items with such windows (sorted as strings), and the
     number of items whose rarest terms meet closely (n_near)."""
-    counts = term_frequencies(index, len(plan.terms))
-    orders, live = _ordered(plan, counts), _live(plan, counts)
+    search = Search(plan, term_frequencies(index, plan.terms), near_terms)
     windows, owners, items = plan.windows, plan.owners, plan.items
-    rare = _rarest(plan, counts, near_terms)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,16 +284,13 @@ def verdicts(index: DataFrame, plan: Plan, near_terms: int = 4, near_span: int =
                 edges = np.zeros(int(b.starts[-1]) + 1, np.int32)
                 of: dict[int, set[int]] = {}
                 near = np.zeros(len(b.docs), np.int64)
-                for j in live:
-                    starts = b.phrase(windows[j], orders[j])
-                    if len(starts):
-                        np.add.at(edges, starts, 1)
-                        np.add.at(edges, starts + len(windows[j]), -1)
-                        for d in np.unique(b.doc_of(starts)).tolist():
-                            of.setdefault(d, set()).update(items[i] for i in owners[j])
-                for ts in rare:
-                    if ts:
-                        near[np.unique(b.doc_of(b.near(ts, near_span)))] += 1
+                for j, starts in search.phrases(b):
+                    np.add.at(edges, starts, 1)
+                    np.add.at(edges, starts + len(windows[j]), -1)
+                    for d in np.unique(b.doc_of(starts)).tolist():
+                        of.setdefault(d, set()).update(items[i] for i in owners[j])
+                for _, places in search.meetings(b, near_span):
+                    near[np.unique(b.doc_of(places))] += 1
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
                 lengths = np.diff(b.starts)
                 columns = [
@@ -282,23 +315,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         plan = Plan(first, window)
-        return verdicts(build_index(docs, plan, block_words), plan)
+        return verdicts(build_index(docs, None, block_words), plan)
     # passes are united by a key of the row, as ids may be null or repeated
     keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "contamination-rows")
-    passes = []
-    for block in itertools.chain([first, second], blocks):
-        plan = Plan(block, window)
-        passes.append((plan, build_index(keyed, plan, block_words, "row")))
-    return _united(keyed, passes)
+    index = build_index(keyed, None, block_words, "row")
+    return _united(keyed, index, (Plan(block, window) for block in itertools.chain([first, second], blocks)))
 
 
-def _united(keyed: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame:
+def _united(keyed: DataFrame, index: DataFrame, plans: Iterator[Plan]) -> DataFrame:
     """Several item blocks over keyed(row, doc_id, text): words hit by windows of any block count once, so their intervals are merged a row."""
     found = None
-    for plan, index in passes:
-        m = matches(index, plan).withColumnRenamed("doc_id", "row")
+    for plan in plans:
+        m = written(matches(index, plan).withColumnRenamed("doc_id", "row"), "contamination")
         found = m if found is None else found.unionByName(m)
-    found = written(found, "contamination")
     spans = found.where("kind = 'phrase'").groupBy("row").agg(
         F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids")
     )
@@ -312,8 +341,7 @@ def _united(keyed: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame
         lambda acc: acc["n"],
     )
     near = found.where("kind = 'near'").groupBy("row").agg(F.countDistinct("item_id").alias("n_near"))
-    plan, index = passes[0]
-    base = verdicts(index, plan).select(F.col("doc_id").alias("row"), "n_words").join(keyed.select("row", "doc_id"), "row")
+    base = _lengths(index).join(keyed.select("row", "doc_id"), "row")
     by_text = F.transform(F.array_sort(F.transform("item_ids", lambda i: F.struct(i.cast("string").alias("s"), i.alias("i")))), lambda x: x["i"])
     return (
         base.join(spans.select("row", covered.alias("n_hit"), by_text.alias("item_ids")), "row", "left")
@@ -322,6 +350,17 @@ def _united(keyed: DataFrame, passes: list[tuple[Plan, DataFrame]]) -> DataFrame
     )
 
 
+def _lengths(index: DataFrame) -> DataFrame:
+    """row, n_words of every document in the index."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, starts in zip(batch["doc_ids"], batch["doc_starts"]):
+                yield pd.DataFrame({"row": ids, "n_words": np.diff(np.frombuffer(starts, np.int64))})
+
+    return index.select("doc_ids", "doc_starts").mapInPandas(read, "row long, n_words long")
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 

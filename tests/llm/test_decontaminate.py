@@ -91,3 +91,18 @@ def test_null_and_repeated_ids_are_judged_each(spark, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, "clean"), (5, "also clean"), (5, None), (5, "also clean")], key=str)
+
+
+def test_one_stored_index_answers_for_any_items(spark):
+    """The index is built without items; several item blocks, with rows of null and repeated ids and a very long text, equal brute force."""
+    docs, items = corpus(4)
+    docs.append((77, "the of and " * 20_000 + " rare word"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    index = decontaminate.build_index(df, None, 100)
+    for some in (items[:4], items[4:]):
+        got = decontaminate.verdicts(index, decontaminate.Plan(some)).collect()
+        short = [(d, t) for d, t in docs if d != 77]
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got if r["doc_id"] != 77), key=str) == brute(short, some)
+    whole = decontaminate.decontaminate(df, spark.createDataFrame(items, ITEMS), item_words=25).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in whole if r["doc_id"] != 77), key=str) == brute(short, items)
+    assert [(r["n_words"], 5 in r["item_ids"]) for r in whole if r["doc_id"] == 77] == [(60_002, True)]
