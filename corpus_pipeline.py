@@ -39,10 +39,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     made, row = Tables(spark), free_name(docs, "_row")
     keyed = made.write(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     found = made.write(near_copies.near_copies(keyed.select(F.col(row).alias("doc"), "text")).select(F.col("doc").alias("_k"), "component_id"), "pipeline-components")
-    several = found.groupBy("component_id").agg(F.count("*").alias("_m")).where("_m > 1").select("component_id")
-    linked = found.join(several, "component_id").join(keyed.select(F.col(row).alias("_k"), F.col("doc_id").alias("_d")), "_k")
-    kept = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull().alias("unnamed"), "_d", "_k")).alias("x"))
-    gone = made.write(linked.select("component_id", "_k").join(kept, "component_id").where("_k <> x._k").select(F.col("_k").alias(row)), "pipeline-copies")
+    named = found.join(keyed.select(F.col(row).alias("_k"), F.col("doc_id").alias("_d")), "_k")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull().alias("unnamed"), "_d", "_k")).alias("x")).select(F.col("x._k").alias("_k"))
+    gone = made.write(found.join(kept, "_k", "left_anti").select(F.col("_k").alias(row)), "pipeline-copies")  # by rows: a component may be large
     made.drop("pipeline-components")
     return _without(keyed, gone, row).drop(row)
 
