@@ -58,6 +58,15 @@ def test_stages_against_brute_force(spark, folder):
     assert again.count() == packed.count() and again.select("doc_id", "piece", "ids_crc32").exceptAll(packed.select("doc_id", "piece", "ids_crc32")).count() == 0
 
 
+def test_copies_go_by_row(spark, tmp_path):
+    """Null and repeated ids: of each group one row stays, that with the smallest id, and unique texts stay whatever their ids."""
+    same, other, third = "a b c d e f g", "h i j k l m n", "o p q"
+    rows = [(5, same), (5, other), (3, same), (None, same), (None, other), (None, third), (None, third), (7, None), (7, None), (8, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(map(tuple, C.deduplicated(spark, docs, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(3, same), (5, other), (None, third), (7, None), (7, None), (8, "alone here")], key=str)
+
+
 def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     for _, stage in C.STAGES:
