@@ -24,12 +24,38 @@ def test_gradients():
         assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(g[k][at], rel=0.02, abs=2e-6)
 
 
-def test_segments():
-    long = "é" * 100
-    assert b"".join(language_id.segments(f" a\n{long}\tb ")) == f"a{long}b".encode() and max(map(len, language_id.segments(long))) <= language_id.MAX_SEGMENT
+def test_windows():
+    for n in (0, 1, language_id.CORE, language_id.CORE + 1, 5 * language_id.CORE + 7):
+        data = bytes(i % 251 for i in range(n))
+        found = language_id.windows(data)
+        assert b"".join(w[a:b] for w, a, b in found) == data and all(len(w) <= language_id.CORE + 2 * language_id.CONTEXT for w, _, _ in found)
+        assert all(a == language_id.CONTEXT for _, a, _ in found[1:]) and all(len(w) - b == language_id.CONTEXT for w, _, b in found[:-2])
     assert language_id.has_letter("1é".encode()) and not language_id.has_letter(b"12!_")
-    assert language_id.segments(None) == [] and not any(map(language_id.has_letter, language_id.segments("½²→" * 50)))
-    assert all(x.decode() for x in language_id.segments("a→é😀" * 50))
+    assert language_id.encoded(None) == b"" and not language_id.has_letter("½²→".encode() * 50)
+
+
+def test_states_cross_words_and_filling_changes_nothing():
+    net = language_id.BiGRU(["a", "b", "c"], 5)
+    rows = [b"one two three", b"four", b"x", b"one two threes"]
+    x, lengths = language_id.padded(rows)
+    together = net.label(x, lengths)
+    for i, row in enumerate(rows):
+        alone = net.label(np.frombuffer(row, np.uint8)[None])
+        assert np.allclose(alone[:, 0], together[: len(row), i], atol=1e-6)
+    # a byte changes the labels of positions behind white space on both sides
+    a, b = (net.label(np.frombuffer(w, np.uint8)[None])[:, 0] for w in (b"ab cd ef", b"ab xd ef"))
+    assert (np.abs(a - b).max(1) > 1e-6).all()
+
+
+def test_gradients_of_rows_of_several_lengths():
+    net = language_id.BiGRU(["a", "b"], 4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rows, y = [b"abc ab", b"a", b"cab"], np.array([0, 1, 1])
+    x, lengths = language_id.padded(rows)
+    _, g = net.gradients(x, y, lengths)
+    alone = [net.gradients(np.frombuffer(r, np.uint8)[None], y[i : i + 1])[1] for i, r in enumerate(rows)]
+    for k in g:
+        assert np.allclose(g[k], sum(len(r) * a[k] for r, a in zip(rows, alone)) / 10, atol=1e-9)
 
 
 def corpus(n, seed=0):
@@ -56,6 +82,16 @@ def test_held_out_accuracy(spark):
     assert [(r["lang_pred"], r["score"]) for r in got[:3]] == [("und", 0.0)] * 3 and got[3]["lang_pred"] == "de" and got[5]["positions"] == 5000
     assert got[3]["doc_id"] is None and language_id.identified(odd.limit(0), net, ["doc_id"]).count() == 0
     assert net.label(np.frombuffer(b"schung", np.uint8)[None]).shape == (6, 1, 3)
+    # pooled over windows as over the text's positions, one by one
+    text = "schung einkeit " * 40
+    whole, places = np.zeros(3), 0
+    for w, a, b in language_id.windows(text.encode()):
+        p = net.label(np.frombuffer(w, np.uint8)[None])[:, 0]
+        for k in range(a, b):
+            if chr(w[k]).isalpha():
+                whole, places = whole + p[k], places + 1
+    r = language_id.identified(spark.createDataFrame([(text,), (text,)], "text string"), net).collect()[1]
+    assert r["positions"] == places and r["lang_pred"] == net.languages[whole.argmax()] and r["score"] == pytest.approx(whole.max() / places, abs=1e-4)
 
 
 def test_no_labels(spark):
