@@ -159,7 +159,7 @@ SYMBOLS = f"""WITH {rank_ctes(SUPPLY, 6)}, cover AS ({COVER}),
 sym0 AS (SELECT cover.*, coalesce(r6.r, 1) AS r, cc * cc * pow(1 - t, 3) + cc AS crap FROM cover LEFT JOIN r6 USING (id)),
 sym AS (SELECT sym0.*, r * crap AS f, CAST(1 AS DOUBLE) AS g, r * crap AS f_prime FROM sym0)"""
 LAST = "(SELECT max(ts) - INTERVAL 7 DAY FROM events)"
-CHURN = f"SELECT 'Brand#' || (user_id % 25 + 1) AS uri, count(*) AS commits FROM events WHERE ts >= {LAST} AND user_id % 25 < 20 GROUP BY 1"
+CHURN = f"SELECT CASE WHEN user_id % 25 < 20 THEN 'Brand#' ELSE 'Elsewhere#' END || (user_id % 25 + 1) AS uri, count(*) AS commits FROM events WHERE ts >= {LAST} GROUP BY 1"
 CHURNED = f"""{SYMBOLS}, churn AS ({CHURN}),
 churned AS (SELECT sym.* EXCLUDE (g, f_prime), coalesce(1 + ln(1 + CAST(commits AS DOUBLE)), g) AS g, f * coalesce(1 + ln(1 + CAST(commits AS DOUBLE)), g) AS f_prime FROM sym LEFT JOIN churn USING (uri))"""
 
@@ -191,8 +191,10 @@ def part_metrics(spark: SparkSession, d: str) -> DataFrame:
 def churn_counts(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events")
     last = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))
-    recent = e.crossJoin(F.broadcast(last)).where((F.col("ts") >= F.col("since")) & (F.col("user_id") % 25 < 20))  # one row: the cutoff
-    return tools.commit_counts(recent.select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("value")))
+    recent = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("since"))  # one row: the cutoff
+    # five of the files are no part's, and as many brands have no commits
+    folder = F.when(F.col("user_id") % 25 < 20, "Brand#").otherwise("Elsewhere#")
+    return tools.commit_counts(recent.select(F.concat(folder, (F.col("user_id") % 25 + 1).cast("string")).alias("value")))
 
 
 def churned_metrics(spark: SparkSession, d: str) -> DataFrame:
