@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -31,9 +32,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for paths in _collecting:
+        paths.append(path)
     return path
 
 
+_collecting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Notes in paths the scratch tables that are begun meanwhile, for a caller who knows when their results have been used."""
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting[:] = [x for x in _collecting if x is not paths]
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Removes the scratch tables noted in paths, which is emptied."""
+    while paths:
+        _remove(spark, paths.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -147,7 +147,9 @@ def token_counts(docs: DataFrame, made: Tables, bits: int = BUCKET_BITS) -> tupl
     summed = each.groupBy("x.buckets").agg(F.sum("x.hits").alias("n")).toArrow()  # at most 2^bits rows
     out = np.zeros(1 << bits, np.int64)
     out[summed["buckets"].to_numpy()] = summed["n"].to_numpy()
-    return full.where("buckets is null").select("doc", "n", "cls"), out
+    sets = made.write(full.where("buckets is null").select("doc", "n", "cls"), "near-rows")
+    made.drop("near-sets")  # the tasks' counts are far larger than the rows
+    return sets, out
 
 
 class Orders:
