@@ -3,16 +3,20 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's docs.  All stages but the last return the columns of documents.  Null texts weigh 0 in the first stage, have an
 empty shingle set in the second (linked with nothing, so kept), no words in the third, stay null in the fourth and are packed as
-empty documents by the last.  Stages remove rows, not ids: ids may be null or repeated.
+empty documents by the last.  Stages remove rows, not ids: ids may be null or repeated.  As a stage's result is written before the next
+stage begins, a stage drops the scratch tables that the one before it has made.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate, importance, near_copies, packing, pseudonyms, queries
-from riskweave.llm.common import Tables, free_name, table, written
+from riskweave.llm.common import Tables, collecting, dropped, free_name, table, written
 
 #: No SQL can express the pipeline; tests hold it against a brute-force version.
 ORACLE_SQL = None
@@ -69,7 +73,22 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("doc", "doc_id")
 
 
-STAGES = [("quality", quality), ("near_copies", deduplicated), ("decontamination", decontaminated), ("pii", private), ("packing", sequences)]
+_scratch: dict[int, list[str]] = defaultdict(list)
+
+
+def _staged(place: int, stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, which first drops what the stage one place before has left, and notes what it makes itself."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark, _scratch[place - 1])
+        with collecting(_scratch[place]):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+_ORDER = [("quality", quality), ("near_copies", deduplicated), ("decontamination", decontaminated), ("pii", private), ("packing", sequences)]
+STAGES = [(name, _staged(k, stage)) for k, (name, stage) in enumerate(_ORDER)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
