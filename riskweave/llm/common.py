@@ -96,13 +96,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 PART_ROWS = 500
 
 
-def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: f gets batches of at most PART_ROWS rows, and what the task has freed goes back to the system at its end, since the
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = PART_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: f gets batches of at most that many rows, and what the task has freed goes back to the system at its end, since the
     worker process stays for other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batch.slice(k, PART_ROWS) for batch in batches for k in range(0, batch.num_rows, PART_ROWS))
+            yield from f(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
         finally:
             pa.default_memory_pool().release_unused()
             try:

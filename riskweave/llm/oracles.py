@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from . import chat
 from . import quality_rules as Q
 
 #: CRC-32 by its byte table, folded over the bytes of the text.
@@ -86,7 +89,64 @@ g AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id < first_ THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < first_ THEN first_ END AS refers_to, true AS digest_ok FROM g"""
 
+#: The marks of the default template.
+_MARKS = "|".join(re.escape(c[1:]) for c in chat.Template().controls)
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, regexp_replace(text, '([<\[])(\\*)({_MARKS})', '\1\\\2\3', 'g') AS t, regexp_replace(role, '([<\[])(\\*)({_MARKS})', '\1\\\2\3', 'g') AS r FROM c),
+near AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after, row_number() OVER w AS k FROM esc WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+said AS (SELECT *, CASE WHEN before = role THEN '[NEXT]' WHEN role = 'system' THEN '[SYS]' WHEN role = 'user' THEN '[INST]' WHEN role = 'assistant' THEN '<s>' ELSE '[ROLE]' || r || '[TEXT]' END || t
+  || CASE WHEN after = role THEN '' WHEN role = 'system' THEN '[/SYS]' WHEN role = 'user' THEN '[/INST]' WHEN role = 'assistant' THEN '</s>' ELSE '[/ROLE]' END AS piece FROM near)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM counts GROUP BY 1, 2),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN vocabulary USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+whole AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (total + v) AS q FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY 1, 2)
+  JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY 1) USING (lang) JOIN vocabulary USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """Rounds of assignment and means, written out; entries and parts are lists of 16 integers or fewer."""
+    near = "SELECT id, part, entry, d FROM (SELECT v.id, v.part, c.entry, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d, row_number() OVER (PARTITION BY v.id, v.part ORDER BY d, c.entry) AS r FROM cut v JOIN book{k} c ON c.part = v.part) WHERE r = 1"
+    step = """near{k} AS MATERIALIZED ({near}),
+mean{k} AS (SELECT part, entry, list(m ORDER BY j) AS x FROM (SELECT part, entry, j, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT n.part, n.entry, unnest(v.x) AS y, unnest(range(len(v.x))) AS j FROM near{k} n JOIN cut v ON v.id = n.id AND v.part = n.part) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{next} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m ON m.part = b.part AND m.entry = b.entry)"""
+    steps = ",\n".join(step.format(k=k, next=k + 1, near=near.format(k=k)) for k in range(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM kept, range(4) p(part)),
+book0 AS MATERIALIZED (SELECT part, id AS entry, x FROM cut WHERE id < 256),
+{steps},
+last AS MATERIALIZED ({near.format(k=rounds)}),
+out AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY 1),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM out JOIN kept USING (id), digest"""
+
+
 ORACLES = {
+    "op11_relational_chat": CHAT,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_exact_vector_codes": _codes(),
     "op3_stratified_sharding": SHARDING,
     "op6_multi_order_jaccard": NEAR_COPIES,
     "op7_positional_index": CONTAMINATION,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
+from . import chat, codes, decontaminate, divergence, importance, language_id, near_copies, packing, pseudonyms, quality_rules, secrets, sharding, warc
 from .common import table, utf8, written
 from .oracles import ORACLES as ORACLES
 
@@ -121,6 +121,41 @@ def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: A conversation of control strings, which the formatted texts must give back.
+PROBE = "conv_id long, turn long, role string, text string", [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = chat.formatted(rows.unionByName(spark.createDataFrame(PROBE[1], PROBE[0])))
+    back = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+#: Sums by label up to this number are broadcast; more are joined by sorting.
+FEW_LABELS = 200_000
+
+
+def op13_exact_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = codes.trained(vectors)
+    out = written(codes.coded(vectors, books, keep=["vec_id", "label"]), "vector-codes")
+    sums = out.groupBy(F.col("label").alias("_label")).agg(F.try_sum("error").alias("label_error"))
+    few = sums.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    return out.join(F.broadcast(sums) if few else sums, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_byte_bigru": op2_byte_bigru,
@@ -132,4 +167,7 @@ QUERIES: dict[str, Query] = {
     "op10_token_efficiency_secrets": op10_token_efficiency_secrets,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op3_stratified_sharding": op3_stratified_sharding,
+    "op11_relational_chat": op11_relational_chat,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_vector_codes": op13_exact_vector_codes,
 }
