@@ -31,6 +31,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, dropped by it as soon as they are used up; what is left goes when the driver's Python ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, {}, {}
+
+    def _new(self, name: str) -> str:
+        path = self.paths[name] = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(_remove, self.spark, path)
+        return path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._new(name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+        """df with a file for each bucket of key: joins and groups by key with as many shuffle partitions need no exchange of it."""
+        self.tables[name] = table = f"riskweave_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", self._new(name)).format("parquet").saveAsTable(table)
+        return df.sparkSession.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if table := self.tables.pop(name, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _remove(self.spark, self.paths.pop(name))
+
+    def drop_all(self, but: str = "") -> None:
+        self.drop(*[name for name in self.paths if name != but])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from riskweave.lineage import cut
+from riskweave.lineage import Scratch
 
 
 def edges_from_callees(rows: DataFrame) -> DataFrame:
@@ -70,35 +72,87 @@ def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("callee") == symbol).select("ord", "caller")
 
 
-def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, block: int = 5) -> DataFrame:
+#: Edges of a partition, and partitions at most.
+EDGES_PER_PART, MOST_PARTS = 200_000, 20_000
+#: Steps of the first plan; each later one has twice as many, up to `block`.
+FIRST_STEPS = 4
+#: Up to so many edges plans are interpreted: compiling twenty steps takes longer than running them.
+FEW_EDGES = 1_000_000
+
+
+def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, block: int = 20) -> DataFrame:
     """edges(caller, callee): id, r for every node.
 
     Ranks start at 1 and become, all at once, 1 plus the sum over distinct callers of their rank over their distinct callees.  The
     first step after which no rank has moved by epsilon or more is the last.  Nothing damps the ranks, so they grow in
-    cycles for as long as there are iterations.  `block` steps are one plan, written once; each node keeps its ranks
-    in the block, and the step that settled is picked afterwards.  Edges with a null end are none.
+    cycles for as long as there are iterations.  Edges with a null end are none.
+
+    A node carries its rank r and its last move d.  Both follow from its callers' by the same sum; what doesn't come from callers, 1 at
+    first, is a row (k, k, share 0, add) among the edges.  So a step is one join of the edges, bucketed by caller, and one sum by callee, which is the
+    only exchange; steps are chained to one plan.  A node that no longer moves has a rank that is final, as its callers' are: after each plan
+    these nodes are peeled off with their edges, and what they give is added once to the row of the nodes that they call.  What is left in
+    the end are cycles and what they reach.
     """
     if max_iterations < 0 or block < 1:
         raise ValueError("max_iterations must not be negative and block must be positive")
-    pairs = edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()
-    degree = pairs.groupBy("caller").agg(F.count("*").alias("degree"))
-    weighted = cut(pairs.join(degree, "caller").select("caller", "callee", (1 / F.col("degree")).alias("share")))
-    ranks = cut(node_ids(weighted).select("id", F.array(F.lit(1.0)).alias("h")))
-    done = 0
+    spark = edges.sparkSession
+    made = Scratch(spark)
+    pairs = made.write(edges.select("caller", "callee").where("caller is not null and callee is not null").distinct(), "rank-pairs")
+    total = pairs.count()
+    if not max_iterations or not total:
+        return node_ids(pairs).select("id", F.lit(1.0).alias("r"))
+    parts = min(MOST_PARTS, math.ceil(total / EDGES_PER_PART))
+    own = spark.newSession()  # for settings of its own
+    for setting, value in {"adaptive.enabled": False, "shuffle.partitions": parts, "codegen.wholeStage": total > FEW_EDGES, "autoBroadcastJoinThreshold": -1}.items():
+        own.conf.set(f"spark.sql.{setting}", str(value).lower())
+    pairs = own.read.schema(pairs.schema).parquet(made.paths["rank-pairs"])
+    degree = pairs.groupBy(F.col("caller").alias("id")).agg(F.count("*").alias("degree"))
+    names = made.write(node_ids(pairs).join(degree, "id", "left").withColumn("k", F.monotonically_increasing_id()), "rank-names")
+    given = pairs.join(names.select(F.col("id").alias("caller"), "k", (1 / F.col("degree")).alias("share")), "caller")
+    given = given.join(names.select(F.col("id").alias("callee"), F.col("k").alias("v")), "callee").select("k", "v", "share", F.lit(0.0).alias("add"))
+    given = made.bucketed(given.unionByName(names.select("k", F.col("k").alias("v"), F.lit(0.0).alias("share"), F.lit(1.0).alias("add"))), "k", parts, "rank-edges-0")
+    state, settled, done, size, moving, last = names.select("k", F.lit(1.0).alias("r"), F.lit(1.0).alias("d")), {}, 0, FIRST_STEPS, None, None
     while done < max_iterations:
-        steps = min(block, max_iterations - done)
-        now = ranks.select("id", F.array(F.element_at("h", -1)).alias("h"))
-        for _ in range(steps):
-            given = weighted.join(now.select(F.col("id").alias("caller"), F.element_at("h", -1).alias("r")), "caller")
-            sums = given.groupBy(F.col("callee").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-            now = now.join(sums, "id", "left").select("id", F.array_append("h", 1 + F.coalesce("got", F.lit(0.0))).alias("h"))
-        ranks = cut(now)
-        done += steps
-        moved = ranks.agg(*[F.coalesce(F.max(F.abs(F.get("h", F.lit(k + 1)) - F.get("h", F.lit(k)))), F.lit(0.0)).alias(f"d{k}") for k in range(steps)]).first()
-        settled = next((k for k in range(steps) if moved[k] < epsilon), None)
-        if settled is not None:
-            return ranks.select("id", F.get("h", F.lit(settled + 1)).alias("r"))
-    return ranks.select("id", F.element_at("h", -1).alias("r"))
+        steps = min(size, block, max_iterations - done)
+        before, name = state, f"rank-state-{done}"
+        state, moved, left = _steps(made, given, before, steps, name)
+        stop = next((k for k, m in enumerate(moved) if m < epsilon), None)
+        if stop is not None and any(moved[stop + 1 :]):  # it went on a little: up to the step that settled
+            state, _, _ = _steps(made, given, before, stop + 1, f"{name}-again")
+        if last and last not in settled:
+            made.drop(last)
+        done, size, last = done + steps, 2 * size, name
+        if stop is not None or not left:
+            break
+        if done < max_iterations and left != moving:  # peel
+            rest, over = state.where("d > 0"), state.where("d = 0").select("k", "r")
+            gain = given.join(over, "k").groupBy(F.col("v").alias("k")).agg(F.sum(F.col("share") * F.col("r")).alias("gain"))
+            add = F.when(F.col("share") == 0, F.col("add") + F.coalesce("gain", F.lit(0.0))).otherwise(F.col("add")).alias("add")
+            given = made.bucketed(given.join(rest.select("k"), "k", "left_semi").join(gain, "k", "left").select("k", "v", "share", add), "k", parts, f"rank-edges-{done}")
+            made.drop(*[x for x in list(made.tables) if x != f"rank-edges-{done}"])
+            state, settled[name], moving = rest, over, left
+    ranks = state.select("k", "r")
+    for part in settled.values():
+        ranks = ranks.unionByName(part)
+    out = made.write(names.join(ranks, "k").select("id", "r"), "rank")
+    made.drop_all(but="rank")
+    return spark.read.schema(out.schema).parquet(made.paths["rank"])
+
+
+def stepped(given: DataFrame, state: DataFrame) -> DataFrame:
+    """(k, r, d) one step on, along given(k, v, share, add)."""
+    r, d = F.sum(F.col("r") * F.col("share") + F.col("add")), F.sum(F.col("d") * F.col("share"))
+    return given.join(state.hint("shuffle_hash"), "k").groupBy(F.col("v").alias("k")).agg(r.alias("r"), d.alias("d"))
+
+
+def _steps(made: Scratch, given: DataFrame, state: DataFrame, steps: int, name: str) -> tuple[DataFrame, list[float], int]:
+    """The state after so many steps, written; the largest move of each step; and how many nodes moved in the last."""
+    seen = [Observation() for _ in range(steps)]
+    watched = [F.max("d").alias("most"), F.count_if(F.col("d") > 0).alias("moved")]
+    for x in seen:
+        state = stepped(given, state).observe(x, *watched)
+    state = made.write(state, name)
+    return state, [x.get["most"] or 0.0 for x in seen], seen[-1].get["moved"]
 
 
 def has_converged(before: DataFrame, after: DataFrame, epsilon: float = 1e-6) -> bool:

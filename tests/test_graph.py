@@ -63,6 +63,37 @@ def test_rank_against_plain_python(spark, seed):
     assert ranks(spark, pairs, max_iterations=13, epsilon=0.01) == pytest.approx(want)
 
 
+def test_rank_peels_chains_off_cycles(spark):
+    """A chain longer than the iterations, one that leads into a cycle, and one that leads out of it."""
+    pairs = [(f"c{k}", f"c{k + 1}") for k in range(30)] + [(f"i{k}", f"i{k + 1}") for k in range(7)] + [("i7", "x"), ("x", "y"), ("y", "x"), ("y", "o0"), *((f"o{k}", f"o{k + 1}") for k in range(9))]
+    for steps in (3, 25):
+        got = {r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), steps).collect()}
+        assert got == pytest.approx(plain_rank(pairs, steps, 1e-6))
+
+
+def test_rank_stops_inside_a_plan(spark):
+    """Moves get small slowly: the settling step is found among those of one plan."""
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "e"), ("b", "z")]
+    for epsilon in (0.3, 0.1, 0.01):
+        got = {r["id"]: r["r"] for r in graph.rank(edges(spark, pairs), 60, epsilon).collect()}
+        assert got == pytest.approx(plain_rank(pairs, 60, epsilon))
+
+
+def test_rank_steps_have_one_exchange_each(spark):
+    from riskweave.lineage import Scratch
+
+    own = spark.newSession()
+    for setting, value in (("adaptive.enabled", "false"), ("shuffle.partitions", "3"), ("autoBroadcastJoinThreshold", "-1")):
+        own.conf.set(f"spark.sql.{setting}", value)
+    made = Scratch(spark)
+    given = made.bucketed(own.createDataFrame([(0, 1, 1.0, 0.0), (1, 0, 1.0, 0.0)], "k long, v long, share double, add double"), "k", 3, "edges")
+    state = own.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 1.0)], "k long, r double, d double")
+    for _ in range(5):
+        state = graph.stepped(given, state)
+    assert state._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 5 + 1  # the last is that of the first state
+    made.drop_all()
+
+
 def plain_tree(pairs, root, depth):
     def below(at, level, way):
         out = []
