@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from riskweave.functions.text import path_uri
 from riskweave.model import Settings
 from riskweave.operators import graph, resolution, symbols
 from riskweave.plans import providers
-from riskweave.sources import coverage, extract, files, tools
+from riskweave.sources import coverage, extract, files, listing, tools
 
 
 @dataclass(frozen=True)
@@ -99,26 +100,21 @@ class RiskEngine:
         by_line, by_name = registry.tables(documents) if registry else (None, None)
         return self.analyze(documents, statements, edges, by_line, by_name, churn=churn)
 
-    def reports(self, root: str, jacoco: bool = False, limit: int = 50) -> DataFrame | None:
-        """The statements of the LCOV reports below root and, where asked for, of JaCoCo reports after them, at most `limit` of each kind."""
-        found = self._texts(root, self.settings.coverage.lcov_glob, limit)
-        statements = None if found is None else coverage.at_uris(coverage.lcov_statements(found), root)
-        if jacoco and (found := self._texts(root, self.settings.coverage.jacoco_glob, limit)) is not None:
-            more = coverage.suffix_uris(coverage.jacoco_statements(found), files.discover(self.spark, root, self.settings.max_files, False))
-            statements = more if statements is None else coverage.merged(statements, more)
-        return statements
-
-    def _texts(self, root: str, pattern: str, limit: int) -> DataFrame | None:
-        """report, content of the files of a pattern such as **/folder/name, by path; none if the folder can't be read as text."""
-        from pyspark.errors import AnalysisException
-
+    def reports(self, roots: str | list[str], jacoco: bool = False, limit: int = 50) -> DataFrame | None:
+        """The statements of the LCOV reports below each root and, where asked for, of JaCoCo reports after them, at most `limit` of each kind a
+        root; a report's relative paths are those of its own root."""
+        statements = []
+        for root in [roots] if isinstance(roots, str) else roots:
+            if paths := self._report_paths(root, self.settings.coverage.lcov_glob, limit):
+                statements.append(coverage.at_uris(coverage.lcov_statements(coverage.report_lines(self.spark, paths)), root))
+            if jacoco and (paths := self._report_paths(root, self.settings.coverage.jacoco_glob, limit)):
+                known = files.found_paths(self.spark, root, self.settings.max_files, False).select("uri")
+                statements.append(coverage.suffix_uris(coverage.jacoco_statements(coverage.report_tags(self.spark, paths)), known))
+        return coverage.merged(*statements) if statements else None
+
+    def _report_paths(self, root: str, pattern: str, limit: int) -> list[str]:
+        """The first files by path, `limit` at most, of a pattern such as **/folder/name."""
         *above, name = pattern.split("/")
-        folder = above[-1] if above and above[-1] != "**" else None
-        report = F.col("_metadata.file_path")
-        try:
-            found = self.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-        except AnalysisException:
-            return None
-        wanted = report.rlike(f"/{folder}/[^/]*$") if folder else F.lit(True)
-        texts = found.where(wanted & ~report.contains("/node_modules/")).select(report.alias("report"), F.col("value").alias("content"))
-        return texts.orderBy("report").limit(limit)
+        folder = rf"(^|/){re.escape(above[-1])}/" if above and above[-1] != "**" else "(^|/)"
+        found = listing.listed(self.spark, root, rf"{folder}{re.escape(name)}$", ("node_modules",), True, limit)
+        return [r["path"] for r in found.collect()]

@@ -22,7 +22,7 @@ from riskweave.operators import callers, graph, symbols
 from riskweave.plans import providers, views
 from riskweave.plans.engine import Analysis, RiskEngine
 from riskweave.queries import EVENT_METRICS, LAYOUT, SYMBOLS, TRANSITIONS, bodies, event_metrics, part_metrics, purchase_tree, q4, r4, registered, t, transitions
-from riskweave.sources import coverage, extract, files, tools
+from riskweave.sources import coverage, extract, files, listing, tools
 from riskweave.tools import Tools
 
 
@@ -416,53 +416,90 @@ def assistant_tools(spark, d):
 # ---------------------------------------------------------------- folders
 
 
-def write_file(spark: SparkSession, path: str, text: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+#: Files of a made project for each nation <n>: most source files, some that discovery passes over, reports.
+PROJECT = ["src/n<n>.ts", "src/n<n>.test.ts", "src/_n<n>.tsx", "src/_lib/l<n>.ts", "src/__tests__/t<n>.ts", "pkg<n>/__init__.py", "gen/g<n>.py", ".hid/h<n>.ts", "node_modules/x/i<n>.js", "dist/o<n>.js", "docs/d<n>.md"]
 
 
 def project_folder(spark: SparkSession, d: str) -> str:
-    """A folder with files for each of the nations (25 at every scale), below the session's shared folder."""
-    root = f"{lineage.shared_folder(spark)}/project-{uuid.uuid4().hex}".removeprefix("file:")
-    for r in t(spark, d, "nation").limit(100).collect():
-        n = r["n_nationkey"]
-        for path in (f"src/n{n}.ts", f"src/n{n}.test.ts", f"node_modules/x/i{n}.js", f"dist/o{n}.js", f"gen/g{n}.py", f"docs/d{n}.md"):
-            write_file(spark, f"{root}/{path}", f"export function f{n}(a) {{\n  return a;\n}}\n" if path.endswith("ts") else "x = 1\n")
-        write_file(spark, f"{root}/p{n}/coverage/lcov.info", f"SF:src/n{n}.ts\nDA:1,1\nDA:2,{n % 2}\nend_of_record\n")
-    write_file(spark, f"{root}/.gitignore", "gen/\n")
-    return "/" + root.lstrip("/")
-
-
-TREE_FILES = """SELECT 'src/n' || n_nationkey || '.ts' AS p FROM nation UNION ALL SELECT 'src/n' || n_nationkey || '.test.ts' FROM nation UNION ALL SELECT 'gen/g' || n_nationkey || '.py' FROM nation"""
-EDITOR_FILES = TREE_FILES + " UNION ALL SELECT 'dist/o' || n_nationkey || '.js' FROM nation"
-
-
-@registered(f"SELECT p AS path, CASE WHEN p LIKE '%.py' THEN 'python' ELSE 'typescript' END AS language FROM (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ({TREE_FILES})) WHERE i <= 60 AND p NOT LIKE '%.test.ts'")
+    """A folder with files for each of the nations, written by the executors below the session's shared folder."""
+    root = "/" + f"{lineage.shared_folder(spark)}/project-{uuid.uuid4().hex}".removeprefix("file:").lstrip("/")
+    n = t(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("n"), F.when(F.col("n_nationkey") % 2 == 1, "_p").otherwise("p").alias("folder"))
+    script = F.concat(F.lit("export function f"), "n", F.lit("(a) {\n  return a;\n}\n"))
+    sources = [F.struct(F.replace(F.lit(p), F.lit("<n>"), F.col("n")).alias("path"), (script if p.endswith(("ts", "tsx")) else F.lit("x = 1\n")).alias("text")) for p in PROJECT]
+    lcov = F.concat(F.lit("SF:src/n"), "n", F.lit(".ts\nDA:1,1\nDA:2,"), (F.col("n_nationkey") % 2).cast("string"), F.lit("\nend_of_record\n"))
+    line = lambda k, hits: F.concat(F.lit(f'<line nr="{k}" mi="1" ci="'), hits.cast("string"), F.lit('" mb="0" cb="0"/>'))
+    jacoco = F.concat(F.lit('<report><package name="com/acme"><sourcefile name="F'), "n", F.lit('.java">'), line(1, F.lit(2)), line(2, F.col("n_nationkey") % 2), F.lit("</sourcefile></package></report>"))
+    java = F.concat(F.lit("class F"), "n", F.lit(" {\n  void run() {\n  }\n}\n"))
+    reports = [
+        F.struct(F.concat("folder", "n", F.lit("/coverage/lcov.info")).alias("path"), lcov.alias("text")),
+        F.struct(F.concat("folder", "n", F.lit("/target/jacoco.xml")).alias("path"), jacoco.alias("text")),
+        F.struct(F.concat("folder", "n", F.lit("/target/com/acme/F"), "n", F.lit(".java")).alias("path"), java.alias("text")),
+    ]
+    listing.written_files(n.select(F.inline(F.array(*sources, *reports))), root)
+    listing.written_files(spark.createDataFrame([(".gitignore", "gen/\n")], "path string, text string"), root)
+    return root
+
+
+def _files_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{x.replace('<n>', chr(39) + ' || n_nationkey || ' + chr(39))}' AS p FROM nation" for x in names)
+
+
+_FOLDER = "CASE WHEN n_nationkey % 2 = 1 THEN '_p' ELSE 'p' END || n_nationkey"
+TREE_FILES = _files_sql(*PROJECT[:7]) + f" UNION ALL SELECT {_FOLDER} || '/target/com/acme/F' || n_nationkey || '.java' FROM nation"
+EDITOR_FILES = f"{TREE_FILES} UNION ALL {_files_sql('.hid/h<n>.ts', 'dist/o<n>.js')}"
+_NO_TEST = "p NOT LIKE '%.test.ts' AND p NOT LIKE '%/\\_\\_tests\\_\\_/%' ESCAPE '\\'"
+
+
+@registered(f"""SELECT p AS path, CASE WHEN p LIKE '%.py' THEN 'python' WHEN p LIKE '%.java' THEN 'java' WHEN p LIKE '%.tsx' THEN 'typescriptreact' ELSE 'typescript' END AS language
+FROM (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ({TREE_FILES})) WHERE i <= 150 AND {_NO_TEST}""")
 def discovered_files(spark, d):
-    """The first 60 by path, of which tests are then left out."""
+    """The first 150 by path, of which tests are then left out; names with a leading underscore count, those with a dot don't."""
     root = project_folder(spark, d)
-    return files.discover(spark, root, 60).select(X.relative_path(F.col("uri"), root).alias("path"), F.col("language_id").alias("language"))
+    return files.discover(spark, root, 150).select(X.relative_path(F.col("uri"), root).alias("path"), F.col("language_id").alias("language"))
 
 
-@registered(f"SELECT p AS path FROM (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ({EDITOR_FILES})) WHERE i <= 80 AND p NOT LIKE '%.test.ts' AND p NOT LIKE 'gen/%' ORDER BY p LIMIT 40")
+@registered(f"SELECT p AS path FROM (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ({EDITOR_FILES})) WHERE i <= 200 AND {_NO_TEST} AND p NOT LIKE 'gen/%' ORDER BY p LIMIT 100")
 def discovered_in_editor(spark, d):
-    """Twice as many by path, filtered by tests and the ignore file, then the first 40."""
+    """Twice as many by path, filtered by tests and the ignore file, then the first 100; names with a leading dot count too."""
     root = project_folder(spark, d)
-    return files.discover(spark, root, 40, respect_gitignore=True, editor=True).select(X.relative_path(F.col("uri"), root).alias("path"))
+    return files.discover(spark, root, 100, respect_gitignore=True, editor=True).select(X.relative_path(F.col("uri"), root).alias("path"))
 
 
-@registered("""SELECT 'src/n' || n_nationkey || '.ts' AS path, start_line, CAST(n_nationkey % 2 = 1 OR start_line = 0 AS BOOLEAN) AS executed FROM
-  (SELECT n_nationkey, row_number() OVER (ORDER BY 'p' || n_nationkey || '/') AS i FROM nation) CROSS JOIN (VALUES (0), (1)) v(start_line) WHERE i <= 10""")
+_LCOV = f"""SELECT 'src/n' || n_nationkey || '.ts' AS path, start_line, CAST(n_nationkey % 2 = 1 OR start_line = 0 AS BOOLEAN) AS executed FROM
+  (SELECT n_nationkey, row_number() OVER (ORDER BY {_FOLDER} || '/') AS i FROM nation) CROSS JOIN (VALUES (0), (1)) v(start_line) WHERE i <= 15"""
+
+
+@registered(_LCOV)
 def discovered_reports(spark, d):
-    """The statements of the first 10 of the folder's LCOV reports."""
+    """The statements of the first 15 of the folder's LCOV reports, some of them in folders with a leading underscore."""
     root = project_folder(spark, d)
-    return RiskEngine(spark).reports(root, limit=10).select(X.relative_path(F.col("uri"), root).alias("path"), "start_line", "executed")
+    return RiskEngine(spark).reports(root, limit=15).select(X.relative_path(F.col("uri"), root).alias("path"), "start_line", "executed")
+
+
+@registered(f"SELECT root, path, start_line, executed FROM ({_LCOV}) CROSS JOIN (VALUES (0), (1)) v(root)")
+def reports_of_roots(spark, d):
+    """Several workspace folders: 15 reports of each, whose relative paths are below their own folder."""
+    roots = [project_folder(spark, d), project_folder(spark, d)]
+    found = RiskEngine(spark).reports(roots, limit=15)
+    first = F.col("uri").startswith(f"file://{roots[0]}/")
+    path = F.when(first, X.relative_path(F.col("uri"), roots[0])).otherwise(X.relative_path(F.col("uri"), roots[1]))
+    return found.select(F.when(first, 0).otherwise(1).alias("root"), path.alias("path"), "start_line", "executed")
+
+
+@registered(f"""SELECT 'src/n' || n_nationkey || '.ts' AS path, start_line, CAST(n_nationkey % 2 = 1 OR start_line = 0 AS BOOLEAN) AS executed FROM nation CROSS JOIN (VALUES (0), (1)) v(start_line)
+UNION ALL SELECT {_FOLDER} || '/target/com/acme/F' || n_nationkey || '.java', start_line, CAST(n_nationkey % 2 = 1 OR start_line = 0 AS BOOLEAN) FROM nation CROSS JOIN (VALUES (0), (1)) v(start_line)""")
+def jacoco_discovered(spark, d):
+    """LCOV and JaCoCo reports of a folder, the latter at the Java files whose paths end in their keys."""
+    root = project_folder(spark, d)
+    return RiskEngine(spark).reports(root, jacoco=True).select(X.relative_path(F.col("uri"), root).alias("path"), "start_line", "executed")
+
+
+_REPORTED = _files_sql("src/n<n>.ts", "src/_n<n>.tsx", "src/_lib/l<n>.ts")
 
 
-@registered("""SELECT 'src/n' || n_nationkey || '.ts' AS path, 'f' || n_nationkey AS name, CAST(1 AS DOUBLE) AS cc,
-  (SELECT count(*) FROM nation) AS files FROM nation""")
+@registered(f"""WITH f AS (SELECT p AS path, 'f' || regexp_extract(p, '([0-9]+)[.][a-z]+$', 1) AS name FROM ({_REPORTED})
+  UNION ALL SELECT {_FOLDER} || '/target/com/acme/F' || n_nationkey || '.java', 'run' FROM nation)
+SELECT path, name, CAST(1 AS DOUBLE) AS cc, (SELECT count(*) FROM f) AS files FROM f""")
 def cli_report(spark, d):
     """The command line's JSON report, written to a file of its own: files by descending rollup, the time as ISO text."""
     root = project_folder(spark, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.text import LANGUAGES, is_test_file, language_of, path_uris
 from riskweave.lineage import placed
+from riskweave.sources import listing
 from riskweave.sources.ignore import is_ignored
 
 #: Folders that discovery never enters, for the command line and for editors.
@@ -14,23 +15,25 @@ IGNORED_FOLDERS = ("node_modules", "out", "dist", ".git")
 IGNORED_IN_EDITOR = ("node_modules",)
 
 
-def _listed(spark: SparkSession, root: str, ignored: tuple[str, ...], hidden: bool = False) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    base = root.rstrip("/") + "/"
-    relative = F.substr(path, F.lit(len(base) + 1))
-    wanted = relative.rlike(rf"\.({'|'.join(LANGUAGES)})$") & ~relative.rlike(rf"(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in ignored)})/")
-    return files.select(path.alias("path"), "content").where(wanted)
+def _local(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
 
 
 def discover(spark: SparkSession, root: str, max_files: int = 400, exclude_tests: bool = True, respect_gitignore: bool = False, scope: str | None = None, editor: bool = False) -> DataFrame:
     """ord, uri, language_id, lines of the source files below root, by path.
 
     The command line takes the first max_files and filters those; editors filter first, among twice as many, and take max_files then.
-    scope limits both to a folder.
+    scope limits both to a folder.  Names may begin with an underscore; those that begin with a dot are found in editors only, as patterns of the
+    command line pass over them.  Only files that are left in the end are opened.
     """
-    found = _listed(spark, scope or root, IGNORED_IN_EDITOR if editor else IGNORED_FOLDERS).orderBy("path").limit(2 * max_files if editor else max_files)
-    files = found.select("path", path_uris(F.col("path")).alias("uri"), F.col("content").cast("string").alias("text"))
+    return numbered(_documents(found_paths(spark, root, max_files, exclude_tests, respect_gitignore, scope, editor), scope or root))
+
+
+def found_paths(spark: SparkSession, root: str, max_files: int = 400, exclude_tests: bool = True, respect_gitignore: bool = False, scope: str | None = None, editor: bool = False) -> DataFrame:
+    """path, uri of the files that discover reads."""
+    ignored = IGNORED_IN_EDITOR if editor else IGNORED_FOLDERS
+    found = listing.listed(spark, scope or root, rf"\.({'|'.join(LANGUAGES)})$", ignored, editor, 2 * max_files if editor else max_files)
+    files = found.select("path", path_uris(_local(F.col("path"))).alias("uri"))
     keep: Column = F.lit(True)
     if exclude_tests:
         keep = keep & ~is_test_file(F.col("uri"))
@@ -39,8 +42,14 @@ def discover(spark: SparkSession, root: str, max_files: int = 400, exclude_tests
 
         keep = keep & ~is_ignored(F.col("uri"), path_uri(root.rstrip("/")), text)
     files = files.where(keep)
-    files = files.orderBy("path").limit(max_files) if editor else files
-    return numbered(files.select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), F.split("text", "\r?\n").alias("lines")))
+    return files.orderBy("path").limit(max_files) if editor else files
+
+
+def _documents(paths: DataFrame, root: str) -> DataFrame:
+    """uri, language_id, lines of the files; the paths are dealt over the tasks before any is opened."""
+    read = listing.contents(paths.repartition("path"), root)
+    text = F.split(F.col("content").cast("string"), "\r?\n")
+    return read.select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), text.alias("lines"))
 
 
 def ignore_text(spark: SparkSession, root: str) -> str:

@@ -154,3 +154,63 @@ def test_extraction_survives_odd_files(spark):
     docs = spark.createDataFrame([(0, "a.py", "python", ["def ("]), (1, "b.ts", "typescript", ["function ("]), (2, "c", "unknown", ["x"]), (3, "d.java", "java", None), (4, "e.py", "python", ["def f(): pass"])], "ord long, uri string, language_id string, lines array<string>")
     assert [(r["uri"], r["name"]) for r in extract.functions(docs).collect()] == [("e.py", "f")]
     assert extract.calls(docs).count() == 0 and extract.fields(docs).count() == 0 and extract.imports(docs).count() == 0
+
+
+def plain_jacoco(text):
+    """The files of a report by regular expressions over the whole text."""
+    import re
+
+    out = {}
+    for p in re.finditer(r'<package\s+name="([^"]*)"[^>]*>', text):
+        body = text[p.start() :].split("</package>")[0]
+        for s in re.finditer(r'<sourcefile\s+name="([^"]*)"[^>]*>(.*?)</sourcefile>', body, re.S):
+            lines = [(int(n) - 1, int(c) > 0) for n, c in re.findall(r'<line\s+nr="(\d+)"\s+mi="\d+"\s+ci="(\d+)"[^/]*/>', s[2]) if int(n)]
+            if lines:
+                out[f"{p[1]}/{s[1]}" if p[1] else s[1]] = lines
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reports_scanned_in_parts(spark, tmp_path, seed, monkeypatch):
+    """Reports cut at any byte, files and packages going on over the cuts, give what a plain reader of the whole text gives."""
+    import random
+
+    rng = random.Random(seed)
+    sources = lambda: "".join(rng.choice([f'<sourcefile name="{rng.choice("ABC")}.java">\n', "</sourcefile>", '<sourcefile name="E.java"/>', *[f'<line nr="{rng.randrange(9)}" mi="0" ci="{rng.randrange(2)}" mb="0" cb="0"/>'] * 4, "<counter/>", "\n "]) for _ in range(rng.randrange(60)))
+    text = "<report>" + "".join(f'<package name="{rng.choice(["p/q", "r", ""])}">{sources()}</package>{sources()}' for _ in range(6)) + f'<package name="z">{sources()}'
+    (tmp_path / "jacoco.xml").write_text(text)
+    lcov = "".join(rng.choice([f"SF:{rng.choice('abc')}.ts\n", "end_of_record\n", "TN:\r\n", *[f"DA:{rng.randrange(9)},{rng.randrange(2)}\r\n"] * 5]) for _ in range(300))
+    (tmp_path / "lcov.info").write_bytes(lcov.encode())
+    file, want = "", []
+    for line in lcov.replace("\r", "").split("\n"):
+        file = line[3:] if line.startswith("SF:") else "" if line == "end_of_record" else file
+        n, hits = map(int, line[3:].split(",")) if line.startswith("DA:") else (0, 0)
+        want += [(file, n - 1, hits > 0)] * (n > 0 and file != "")
+    monkeypatch.setattr(coverage, "PART_ROWS", 7)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        lines = coverage.report_lines(spark, [str(tmp_path / "lcov.info")])
+        assert lines.select("part").distinct().count() > 8
+        for reports_ in (lines, reports(spark, lcov)):
+            got = coverage.lcov_statements(reports_).orderBy("ord").collect()
+            assert [(r["file"], r["start_line"], r["executed"]) for r in got] == want
+        for reports_ in (coverage.report_tags(spark, [str(tmp_path / "jacoco.xml")]), reports(spark, text)):
+            got = {}
+            for r in coverage.jacoco_statements(reports_).orderBy("file", "ord").collect():
+                got.setdefault(r["file"], []).append((r["start_line"], r["executed"]))
+            assert got == plain_jacoco(text)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_files_of_one_name(spark):
+    """A key meets the one file that ends in it, though a hundred thousand others have its name."""
+    from riskweave.sources import coverage as C
+
+    files = spark.range(100_000).select(F.format_string("file:///w/m%d/src/p%d/index.java", "id", "id").alias("uri"))
+    keys = spark.range(0, 100_000, 50).select(F.format_string("p%d/index.java", "id").alias("file"), F.lit(True).alias("executed"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    out = C.suffix_uris(keys.unionByName(keys.limit(1).withColumn("file", F.lit("other/index.java"))), files)
+    assert out.count() == 2000 and out.select("uri").distinct().count() == 2000
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "_h" in line]
+    assert joins and all("_h" in j and "_n" in j for j in joins)
