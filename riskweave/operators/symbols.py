@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import metrics as M
 from riskweave.functions.text import estimated_cc, symbol_id
 
-LINES_PER_BUCKET = 256
+#: Places of a file whose sums run in one window; a file with more has several.
+PART_PLACES = 50_000
+
+
+def running(rows: DataFrame, key: str, at: str, sums: list[str], part: int = PART_PLACES) -> DataFrame:
+    """rows(key, at, sums...), a row for each key and whole number at: every sum becomes that of the key's rows up to and with at.
 
+    A window holds `part` numbers of a key only, and what its earlier ones sum to, a row each, is added."""
+    dealt = rows.withColumn("_part", F.floor(F.col(at) / part))
+    inner = Window.partitionBy(key, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(key, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    parts = parts.select(key, "_part", *[F.coalesce(F.sum(f"_{c}").over(outer), F.lit(0)).alias(f"_{c}") for c in sums])
+    within = dealt.withColumns({c: F.sum(c).over(inner) for c in sums})
+    return within.join(parts, [key, "_part"]).select(key, at, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
 
-def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0, bucket: int = LINES_PER_BUCKET) -> DataFrame:
+
+def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0, part: int = PART_PLACES) -> DataFrame:
     """bodies(id, uri, body_start, body_end) and statements(uri, executed, start_line, end_line): id, covered, total, t.
 
-    A statement counts if its lines overlap the body's, and t is the share of executed ones, else fallback_t within 0 and 1.  The range
-    join is an equi-join on (uri, bucket of lines), so that a file with very many statements is dealt over many keys; a pair is
-    taken in the first bucket that both share only.
+    A statement counts if its lines overlap the body's, and t is the share of executed ones, else fallback_t within 0 and 1.
+
+    No pair of a body and a statement is made.  What overlaps a body are the statements of its file that begin at its last line or before,
+    less those that end before its first line: two numbers that are read off running sums over the lines.  Statements are summed by line
+    before that, and a file's lines are dealt over windows, so neither a long statement nor a file with very many costs more
+    than its rows.  Statements and bodies that end before they begin overlap nothing, nor do those without a file or a line.
+    Several bodies of one id count together.
     """
-    body = bodies.select("id", "uri", "body_start", "body_end").withColumn("_k", F.explode(F.sequence(F.floor(F.col("body_start") / bucket), F.floor(F.greatest("body_start", "body_end") / bucket))))
-    stmt = statements.select("uri", "executed", "start_line", "end_line").withColumn("_k", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.greatest("start_line", "end_line") / bucket))))
-    overlap = (F.col("start_line") <= F.col("body_end")) & (F.col("body_start") <= F.col("end_line"))
-    once = F.col("_k") == F.floor(F.greatest("start_line", "body_start") / bucket)
-    hits = body.join(stmt, ["uri", "_k"]).where(overlap & once).groupBy("id").agg(F.count("*").alias("total"), F.count_if("executed").alias("covered"))
+    zero, one, hit = F.lit(0).cast("long"), F.lit(1).cast("long"), F.coalesce("executed", F.lit(False)).cast("long")
+    counts = ["begun", "begun_hit", "ended", "ended_hit"]
+    point = lambda at, *values: F.struct(at.alias("at"), *[v.alias(c) for c, v in zip(counts, values or [zero] * 4)])
+    first, last = 2 * F.col("body_start").cast("long") - 1, 2 * F.col("body_end").cast("long")
+    # lines are even places, and what ends on a line does so at the odd place behind it
+    begins, ends = point(2 * F.col("start_line").cast("long"), one, hit, zero, zero), point(2 * F.col("end_line").cast("long") + 1, zero, zero, one, hit)
+    marks = statements.where("start_line <= end_line and uri is not null").select("uri", F.inline(F.array(begins, ends)))
+    asking = bodies.where("body_start <= body_end and uri is not null").select("id", "uri", first.alias("first"), last.alias("last"))
+    asked = asking.select("uri", F.inline(F.array(point(F.col("first")), point(F.col("last")))))
+    points = marks.unionByName(asked).groupBy("uri", "at").agg(*[F.sum(c).alias(c) for c in counts])
+    sums = running(points, "uri", "at", counts, part)
+    found = asking.join(sums.select("uri", F.col("at").alias("first"), "ended", "ended_hit"), ["uri", "first"]).join(sums.select("uri", F.col("at").alias("last"), "begun", "begun_hit"), ["uri", "last"])
+    hits = found.groupBy("id").agg(F.sum(F.col("begun") - F.col("ended")).alias("total"), F.sum(F.col("begun_hit") - F.col("ended_hit")).alias("covered"))
     share = F.when(F.coalesce(F.col("total"), F.lit(0)) > 0, F.col("covered") / F.col("total")).otherwise(M.clamp01(F.lit(float(fallback_t))))
-    zero = F.lit(0).cast("bigint")
     return bodies.select("id").distinct().join(hits, "id", "left").select("id", F.coalesce("covered", zero).alias("covered"), F.coalesce("total", zero).alias("total"), share.alias("t"))
 
 
@@ -110,8 +139,63 @@ def last_by_id(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("id").agg(F.max_by(F.struct(*columns), "ord").alias("_m")).select("id", "_m.*")
 
 
-def at_cursor(functions: DataFrame, metrics: DataFrame, cursors: DataFrame) -> DataFrame:
-    """cursors(uri, line): the first function with metrics whose lines, from its name to its body's end, hold the cursor."""
+#: Lines of a file that one sweep goes over, and how often parts are dealt in parts themselves: lines are below 2^31.
+SWEEP_LINES, SWEEP_LEVELS = 20_000, 2
+_WHO = "struct<ord:bigint,id:string,name:string>"
+
+
+def at_cursor(functions: DataFrame, metrics: DataFrame, cursors: DataFrame, part: int = SWEEP_LINES) -> DataFrame:
+    """cursors(uri, line): the first function, by ord, with metrics whose lines, from its name to its body's end, hold the cursor.
+
+    Null lines hold nothing and are in nothing; of functions with one ord the first by id counts; a cursor that is in no function has no row, repeated
+    cursors have one."""
     known = functions.withColumn("id", symbol_id(F.col("uri"), F.col("sel_line"), F.col("sel_char"))).join(metrics.select("id").distinct(), "id")
-    x = cursors.join(known, "uri").where(F.col("line").between(F.col("sel_line"), F.col("body_end")))
-    return x.groupBy("uri", "line").agg(F.min_by("id", "ord").alias("id"), F.min_by("name", "ord").alias("name"))
+    ranges = known.where("sel_line <= body_end").select("uri", F.struct("ord", "id", "name").cast(_WHO).alias("who"), F.col("sel_line").cast("long").alias("a"), F.col("body_end").cast("long").alias("b"))
+    asked = cursors.select("uri", F.col("line").cast("long").alias("at")).where("uri is not null and at is not null").distinct()
+    found = first_over(ranges, asked, part)
+    return found.select("uri", F.col("at").cast(dict(cursors.dtypes)["line"]).alias("line"), "who.id", "who.name")
+
+
+def first_over(ranges: DataFrame, asked: DataFrame, part: int = SWEEP_LINES, levels: int = SWEEP_LEVELS) -> DataFrame:
+    """ranges(uri, who, a, b) and asked(uri, at), without repetitions: uri, at, who, the least who of the ranges that hold a place.
+
+    A sweep.  A file's places are cut into parts, and a part's ranges and places are gone over in order, with the open ranges on a heap.  A range is in
+    the parts of its two ends only: of the ranges that hold a part as a whole the least is all that counts, and which that is, is the same
+    question about the parts.  So however long ranges are, and however many there are in a file, each is two rows a level.
+    """
+    if not levels:  # few places are left
+        return ranges.select("uri", "who", F.explode(F.sequence("a", "b")).alias("at")).groupBy("uri", "at").agg(F.min("who").alias("who")).join(asked, ["uri", "at"], "left_semi")
+    at = lambda c: F.floor(F.col(c) / part)
+    ranges = ranges.withColumn("pa", at("a")).withColumn("pb", at("b"))
+    asked = asked.withColumn("part", at("at"))
+    parts = asked.select("uri", F.col("part").alias("at")).distinct()
+    over = first_over(ranges.where("pb - pa >= 2").select("uri", "who", (F.col("pa") + 1).alias("a"), (F.col("pb") - 1).alias("b")), parts, part, levels - 1)
+    begin, end = F.col("part") * part, (F.col("part") + 1) * part - 1
+    near = ranges.select("uri", "who", "a", "b", F.explode(F.array_distinct(F.array("pa", "pb"))).alias("part")).select("uri", "part", "who", F.greatest("a", begin).alias("a"), F.least("b", end).alias("b"))
+    near = near.unionByName(over.withColumnRenamed("at", "part").select("uri", "part", "who", begin.alias("a"), end.alias("b")))
+    near = near.join(parts.withColumnRenamed("at", "part"), ["uri", "part"], "left_semi")  # where something is asked
+    places = asked.select("uri", "part", F.lit(None).cast(ranges.schema["who"].dataType).alias("who"), F.col("at").alias("a"), F.lit(None).cast("long").alias("b"))
+    # part by part; at one place ranges come first
+    rows = near.unionByName(places).repartition("uri", "part").sortWithinPartitions("uri", "part", "a", F.col("who").isNull())
+    found = rows.select("uri", "part", "a", "b", F.col("who").isNull().alias("asks"), "who.*").mapInArrow(_swept, "uri string, at long, ord long, id string, name string")
+    return found.select("uri", "at", F.struct("ord", "id", "name").cast(_WHO).alias("who"))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place, open_ = None, []
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            if (r["uri"], r["part"]) != place:
+                place, open_ = (r["uri"], r["part"]), []
+            if not r["asks"]:
+                heapq.heappush(open_, (r["ord"], r["id"], r["name"] is not None, r["name"] or "", r["b"]))
+                continue
+            while open_ and open_[0][-1] < r["a"]:
+                heapq.heappop(open_)
+            if open_:
+                ord_, id_, named, name, _ = open_[0]
+                found.append((r["uri"], r["a"], ord_, id_, name if named else None))
+        columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["uri", "at", "ord", "id", "name"])
