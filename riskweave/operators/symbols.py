@@ -57,20 +57,20 @@ def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0,
     return bodies.select("id").distinct().join(hits, "id", "left").select("id", F.coalesce("covered", zero).alias("covered"), F.coalesce("total", zero).alias("total"), share.alias("t"))
 
 
-def resolved_cc(functions: DataFrame, by_line: DataFrame, by_name: DataFrame, text: Column) -> DataFrame:
-    """functions(uri, name, sel_line, ...): adds cc, that of a tool for the line, else for line and name, else an estimate from text.
+def resolved_cc(functions: DataFrame, by_line: DataFrame | None, by_name: DataFrame | None, text: Column | None = None, estimate: Column | None = None) -> DataFrame:
+    """functions(uri, name, sel_line, ...): adds cc, that of a tool for the line, else for line and name, else the estimate, which is made from text
+    if none is given.
 
     A tool's 0 counts.  The tools' lines are 1-based.
     """
-    lines = by_line.groupBy(F.col("uri").alias("_u1"), F.col("line1").alias("_l1")).agg(F.max("cc").alias("_c1"))
-    names = by_name.groupBy(F.col("uri").alias("_u2"), F.col("key").alias("_k2")).agg(F.max("cc").alias("_c2"))
-    line1 = F.col("sel_line") + 1
-    return (
-        functions.join(lines, (F.col("uri") == F.col("_u1")) & (line1 == F.col("_l1")), "left")
-        .join(names, (F.col("uri") == F.col("_u2")) & (F.concat_ws(":", line1.cast("string"), F.col("name")) == F.col("_k2")), "left")
-        .withColumn("cc", F.coalesce("_c1", "_c2", estimated_cc(text)))
-        .drop("_u1", "_l1", "_c1", "_u2", "_k2", "_c2")
-    )
+    line1, out, found = F.col("sel_line") + 1, functions, []
+    if by_line is not None:
+        lines = by_line.groupBy(F.col("uri").alias("_u1"), F.col("line1").alias("_l1")).agg(F.max("cc").alias("_c1"))
+        out, found = out.join(lines, (F.col("uri") == F.col("_u1")) & (line1 == F.col("_l1")), "left"), ["_c1"]
+    if by_name is not None:
+        names = by_name.groupBy(F.col("uri").alias("_u2"), F.col("key").alias("_k2")).agg(F.max("cc").alias("_c2"))
+        out, found = out.join(names, (F.col("uri") == F.col("_u2")) & (F.concat_ws(":", line1.cast("string"), F.col("name")) == F.col("_k2")), "left"), [*found, "_c2"]
+    return out.withColumn("cc", F.coalesce(*found, estimated_cc(text) if estimate is None else estimate)).drop("_u1", "_l1", "_c1", "_u2", "_k2", "_c2")
 
 
 def slice_text(lines: Column, first: Column, last: Column) -> Column:
@@ -101,15 +101,22 @@ def first_selected(metrics: DataFrame, ids: list[str]) -> DataFrame:
     return last_by_id(metrics).where(wanted > 0).orderBy(wanted).limit(1)
 
 
-def symbol_inputs(documents: DataFrame, functions: DataFrame, statements: DataFrame, by_line: DataFrame, by_name: DataFrame, fallback_t: float = 0.0) -> DataFrame:
-    """One row a function of a known document: id, uri, name, cc, t, file order and function order."""
-    own = functions.join(documents.select("uri", F.col("ord").alias("file_ord"), "lines"), "uri")
-    own = own.withColumn("id", symbol_id(F.col("uri"), F.col("sel_line"), F.col("sel_char")))
-    own = resolved_cc(own, by_line, by_name, slice_text(F.col("lines"), F.col("body_start"), F.col("body_end"))).drop("lines")
-    key = F.struct("uri", "ord")
-    bodies = own.select(F.to_json(key).alias("id"), "uri", "body_start", "body_end")
-    t = coverage(bodies, statements, fallback_t).select(F.col("id").alias("_key"), "t")
-    return own.withColumn("_key", F.to_json(key)).join(t, "_key").select("file_ord", "ord", "id", "uri", "name", "cc", "t", "sel_line", "body_start", "body_end")
+def symbol_inputs(documents: DataFrame | None, functions: DataFrame, statements: DataFrame | None, by_line: DataFrame | None, by_name: DataFrame | None, fallback_t: float = 0.0) -> DataFrame:
+    """One row a function of a known document: id, uri, name, cc, t, file order and function order.  Functions that carry file_ord and estimate, as
+    those of scanned sources do, need no documents."""
+    if "estimate" in functions.columns:
+        own = functions.withColumn("id", symbol_id(F.col("uri"), F.col("sel_line"), F.col("sel_char")))
+        own = resolved_cc(own, by_line, by_name, estimate=F.col("estimate")).drop("estimate")
+    else:
+        own = functions.join(documents.select("uri", F.col("ord").alias("file_ord"), "lines"), "uri")
+        own = own.withColumn("id", symbol_id(F.col("uri"), F.col("sel_line"), F.col("sel_char")))
+        own = resolved_cc(own, by_line, by_name, slice_text(F.col("lines"), F.col("body_start"), F.col("body_end"))).drop("lines")
+    columns = ["file_ord", "ord", "id", "uri", "name", "cc", "t", "sel_line", "body_start", "body_end"]
+    if statements is None:
+        return own.withColumn("t", M.clamp01(F.lit(float(fallback_t)))).select(*columns)
+    key = F.to_json(F.struct("uri", "ord"))
+    t = coverage(own.select(key.alias("id"), "uri", "body_start", "body_end"), statements, fallback_t).select(F.col("id").alias("_key"), "t")
+    return own.withColumn("_key", key).join(t, "_key").select(*columns)
 
 
 def symbol_metrics(symbols: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -150,7 +157,7 @@ def at_cursor(functions: DataFrame, metrics: DataFrame, cursors: DataFrame, part
     Null lines hold nothing and are in nothing; of functions with one ord the first by id counts; a cursor that is in no function has no row, repeated
     cursors have one."""
     known = functions.withColumn("id", symbol_id(F.col("uri"), F.col("sel_line"), F.col("sel_char"))).join(metrics.select("id").distinct(), "id")
-    ranges = known.where("sel_line <= body_end").select("uri", F.struct("ord", "id", "name").cast(_WHO).alias("who"), F.col("sel_line").cast("long").alias("a"), F.col("body_end").cast("long").alias("b"))
+    ranges = known.where("sel_line <= body_end").select("uri", F.struct(F.coalesce(F.col("ord").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), "id", "name").cast(_WHO).alias("who"), F.col("sel_line").cast("long").alias("a"), F.col("body_end").cast("long").alias("b"))
     asked = cursors.select("uri", F.col("line").cast("long").alias("at")).where("uri is not null and at is not null").distinct()
     found = first_over(ranges, asked, part)
     return found.select("uri", F.col("at").cast(dict(cursors.dtypes)["line"]).alias("line"), "who.id", "who.name")

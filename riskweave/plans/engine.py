@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave import model
 from riskweave.functions.text import path_uri
+from riskweave.lineage import cut
 from riskweave.model import Settings
 from riskweave.operators import graph, resolution, symbols
 from riskweave.plans import providers
@@ -53,16 +54,11 @@ class RiskEngine:
         edges may be empty to skip the call graph: then every symbol has rank 1.  churn only counts if the settings enable it.
         """
         s = self.settings
-        functions = extract.functions(documents) if functions is None else functions
+        if functions is None or edges is None:
+            documents = documents if "functions" in documents.columns else cut(extract.scanned(documents))
+        functions = extract.estimated_functions(documents) if functions is None else functions
         edges = self.call_graph(documents) if edges is None else edges
-        inputs = symbols.symbol_inputs(
-            documents,
-            functions,
-            self._empty(model.STATEMENTS) if statements is None else statements,
-            self._empty(model.CC_BY_LINE) if cc_by_line is None else cc_by_line,
-            self._empty(model.CC_BY_NAME) if cc_by_name is None else cc_by_name,
-            s.coverage.fallback_t,
-        )
+        inputs = symbols.symbol_inputs(documents, functions, statements, cc_by_line, cc_by_name, s.coverage.fallback_t)
         inputs = inputs.select((F.shiftleft("file_ord", 20) + F.col("ord")).alias("ord"), "id", "uri", "name", "cc", "t")
         return self.measured(inputs, edges, churn)
 
@@ -73,11 +69,12 @@ class RiskEngine:
         metrics = symbols.symbol_metrics(inputs, ranks)
         if s.churn.enabled and churn is not None:
             metrics = symbols.apply_churn(metrics, churn)
-        metrics = metrics.select(*[c.split()[0] for c in model.METRICS.split(", ")])
+        metrics = cut(metrics.select(*[c.split()[0] for c in model.METRICS.split(", ")]))  # everything is asked of it
         return Analysis(metrics, symbols.file_rollup(metrics, s.file_rollup), edges)
 
     def call_graph(self, documents: DataFrame) -> DataFrame:
-        """Script edges, then Java edges."""
+        """Script edges, then Java edges; documents that are not scanned yet are scanned once."""
+        documents = documents if "functions" in documents.columns else cut(extract.scanned(documents))
         declared, called = extract.declarations(documents), extract.calls(documents)
         script = resolution.script_edges(declared, called, extract.imports(documents))
         return resolution.united(script, resolution.java_edges(declared, called, extract.fields(documents)))
@@ -89,14 +86,18 @@ class RiskEngine:
         say nothing, it is estimated.
         """
         s = self.settings
-        documents = files.discover(self.spark, root, s.max_files, s.exclude_tests, s.file_filter.respect_gitignore, scope)
-        whole = files.discover(self.spark, root, s.max_files, not with_tests_in_graph, False, scope)
+        # one discovery and one scan for both: each file is marked as analyzed, as part of the call graph, or both
+        found = files.found_paths(self.spark, root, s.max_files, False, False, scope)
+        analyzed, linked = files.kept(self.spark, root, s.exclude_tests, s.file_filter.respect_gitignore), files.kept(self.spark, root, not with_tests_in_graph, False)
+        found = found.withColumns({"analyzed": analyzed, "linked": linked}).where("analyzed or linked")
+        sources = cut(extract.scanned(files.numbered(files.documents(found, scope or root))))
+        documents = sources.where("analyzed")
         statements = self.reports(root)
         churn = None
         if s.churn.enabled:
             since = providers.cutoff(s.churn.lookback_days, now or datetime.datetime.now())
             churn = providers.churn_or_none(lambda: tools.commit_counts(tools.commit_log(self.spark, root, since.isoformat()), path_uri(root.rstrip("/"))))
-        edges = self.call_graph(whole) if call_graph else self._empty(model.EDGES)
+        edges = self.call_graph(sources.where("linked")) if call_graph else self._empty(model.EDGES)
         by_line, by_name = registry.tables(documents) if registry else (None, None)
         return self.analyze(documents, statements, edges, by_line, by_name, churn=churn)
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import SCRIPT_LANGUAGES
-from riskweave.model import FUNCTIONS
 
 CALLS = "file_ord long, uri string, language string, class_name string, line int, character int, call int, receiver string, name string"
 DECLARATIONS = "file_ord long, uri string, language string, class_name string, ord int, name string, line int, character int, linked boolean"
@@ -17,116 +16,131 @@ FIELDS = "file_ord long, uri string, name string, type string"
 IMPORTS = "uri string, local string, module string, exported string"
 
 
+#: What a source file is scanned into: a row a file, an array a kind.
+PARTS = {
+    "functions": "ord int, name string, sel_line int, sel_char int, body_start int, body_end int",
+    "declarations": "class_name string, ord int, name string, line int, character int, linked boolean",
+    "calls": "class_name string, line int, character int, call int, receiver string, name string",
+    "fields": "name string, type string",
+    "imports": "local string, module string, exported string",
+}
+SCANNED = ", ".join(f"{k} array<struct<{v.replace(' ', ':').replace(',:', ',')}>>" for k, v in PARTS.items())
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
 def _family(language: str) -> str | None:
     return "script" if language in SCRIPT_LANGUAGES else language if language in ("python", "java") else None
 
 
-def _extractors():
-    from riskweave.sources import java_code, python_code, script_code
+def _java(source: str, _uri: str) -> dict[str, list[tuple]]:
+    from riskweave.sources import java_code
 
-    return {"script": script_code.functions, "java": java_code.functions, "python": python_code.functions}
+    j = java_code.parse(source)
+    if not j.class_name:
+        return {"functions": java_code.functions(source)}
+    calls = [(m, receiver, name) for m in j.methods for receiver, name in m.calls]
+    return {
+        "functions": java_code.functions(source),
+        "declarations": [(j.class_name, k, m.name, m.line, 0, True) for k, m in enumerate(j.methods)],
+        "calls": [(j.class_name, m.line, 0, k, receiver, name) for k, (m, receiver, name) in enumerate(calls)],
+        "fields": list(j.fields),
+    }
 
 
-def functions(documents: DataFrame) -> DataFrame:
-    """documents(uri, language_id, lines): the functions of each file, as FUNCTIONS; files that can't be read as their language have none."""
+def _script(source: str, uri: str) -> dict[str, list[tuple]]:
+    from riskweave.sources import script_code
+
+    script = script_code.parse(source)
+    out = {
+        "functions": [(f.name, f.line, f.character, f.line, f.end_line) for f in script.functions],
+        "imports": [(local, module, exported) for local, (module, exported) in script.imports.items()],
+    }
+    if not uri.endswith(".d.ts"):
+        out["declarations"] = [(f.class_name, k, f.name, f.line, f.character, f.linked) for k, f in enumerate(script.functions)]
+        out["calls"] = [(owner, f.line, f.character, k, receiver, name) for k, f, owner, receiver, name in script_code.placed_calls(script)]
+    return out
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = _extractors(), [c.split()[0] for c in FUNCTIONS.split(", ")]
-        for batch in batches:
-            rows = []
-            for d in batch.to_pylist():
-                read = known.get(_family(d["language_id"]))
-                try:
-                    found = read("\n".join(d["lines"])) if read and d["lines"] else []
-                except (IndexError, RecursionError):
-                    found = []
-                rows += [dict(zip(names, (d["uri"], k, *f))) for k, f in enumerate(found)]
-            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, types))))
 
-    return documents.select("uri", "language_id", "lines").mapInArrow(extract, FUNCTIONS)
+def _python(source: str, _uri: str) -> dict[str, list[tuple]]:
+    from riskweave.sources import python_code
 
+    return {"functions": python_code.functions(source)}
 
-def _rows(documents: DataFrame, schema: str, read) -> DataFrame:
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-        fields = [(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))]
+
+_READERS = {"script": _script, "java": _java, "python": _python}
+
+
+def scanned(documents: DataFrame) -> DataFrame:
+    """documents(ord, uri, language_id, lines, ...): each file read once; the columns of documents and the arrays of PARTS.
+
+    Files that can't be read as their language have empty arrays, and so have those of other languages."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + f", {SCANNED}"
+    kinds = {k: pa.list_(pa.struct([(n, _KINDS[t]) for n, t in (c.split() for c in v.split(", "))])) for k, v in PARTS.items()}
+    names = {k: [c.split()[0] for c in v.split(", ")] for k, v in PARTS.items()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d in batch.to_pylist():
+            made = {k: [] for k in PARTS}
+            rows = batch.select(["uri", "language_id", "lines"]).to_pylist()
+            for d in rows:
+                reader = _READERS.get(_family(d["language_id"]))
                 try:
-                    rows += read(d)
+                    found = reader("\n".join(d["lines"]), d["uri"] or "") if reader and d["lines"] else {}
                 except (IndexError, RecursionError):
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+                    found = {}
+                if "functions" in found:
+                    found["functions"] = [(k, *f) for k, f in enumerate(found["functions"])]
+                for k in PARTS:
+                    made[k].append([dict(zip(names[k], x, strict=True)) for x in found.get(k, [])])
+            yield pa.record_batch([*batch.columns, *(pa.array(made[k], kinds[k]) for k in PARTS)], [*batch.schema.names, *PARTS])
 
-    return documents.select("ord", "uri", "language_id", "lines").mapInArrow(extract, schema)
+    return documents.mapInArrow(read, schema)
 
 
-def declarations(documents: DataFrame) -> DataFrame:
-    """What calls can lead to: Java methods of files with a class, script functions."""
+def _of(documents: DataFrame) -> DataFrame:
+    """Scanned sources as they are; documents are scanned."""
+    if "functions" in documents.columns:
+        return documents
+    return scanned(documents if "ord" in documents.columns else documents.withColumn("ord", F.lit(0).cast("long")))
 
-    def read(d: dict) -> list[dict]:
-        from riskweave.sources import java_code, script_code
 
-        family, source = _family(d["language_id"]), "\n".join(d["lines"] or [])
-        base = {"file_ord": d["ord"], "uri": d["uri"], "language": family}
-        if family == "java" and (j := java_code.parse(source)).class_name:
-            return [base | {"class_name": j.class_name, "ord": k, "name": m.name, "line": m.line, "character": 0, "linked": True} for k, m in enumerate(j.methods)]
-        if family == "script" and not d["uri"].endswith(".d.ts"):
-            return [base | {"class_name": f.class_name, "ord": k, "name": f.name, "line": f.line, "character": f.character, "linked": f.linked} for k, f in enumerate(script_code.parse(source).functions)]
-        return []
+def functions(documents: DataFrame) -> DataFrame:
+    """Documents, or scanned sources: the functions of each file, as FUNCTIONS."""
+    return _of(documents).select("uri", F.inline("functions"))
 
-    return _rows(documents, DECLARATIONS, read)
 
+def estimated_functions(sources: DataFrame) -> DataFrame:
+    """The functions of scanned sources with file_ord and estimate, the complexity estimated from the lines of each, which go no further."""
+    from riskweave.functions.text import estimated_cc
+    from riskweave.operators.symbols import slice_text
+
+    each = sources.select("uri", F.col("ord").alias("file_ord"), "lines", F.inline("functions"))
+    return each.withColumn("estimate", estimated_cc(slice_text(F.col("lines"), F.col("body_start"), F.col("body_end")))).drop("lines")
 
-def calls(documents: DataFrame) -> DataFrame:
-    """The calls inside functions, with the calling function's place."""
 
-    def read(d: dict) -> list[dict]:
-        from riskweave.sources import java_code, script_code
+def declarations(documents: DataFrame) -> DataFrame:
+    """What calls can lead to: Java methods of files with a class, script functions."""
+    return _parts(documents, "declarations", DECLARATIONS)
 
-        family, source = _family(d["language_id"]), "\n".join(d["lines"] or [])
-        base = {"file_ord": d["ord"], "uri": d["uri"], "language": family}
-        if family == "java" and (j := java_code.parse(source)).class_name:
-            found = [(m, receiver, name) for m in j.methods for receiver, name in m.calls]
-            return [base | {"class_name": j.class_name, "line": m.line, "character": 0, "call": k, "receiver": r, "name": n} for k, (m, r, n) in enumerate(found)]
-        if family == "script" and not d["uri"].endswith(".d.ts"):
-            script, out = script_code.parse(source), []
-            for k, (place, receiver, name) in enumerate(script.calls):
-                around = [f for f in script.functions if f.linked and f.start <= place <= f.end]
-                if around:
-                    f = around[-1]
-                    owner = next((g.class_name for g in reversed(around) if g.class_name), None)
-                    out.append(base | {"class_name": owner, "line": f.line, "character": f.character, "call": k, "receiver": receiver, "name": name})
-            return out
-        return []
 
-    return _rows(documents, CALLS, read)
+def calls(documents: DataFrame) -> DataFrame:
+    """The calls inside functions, with the calling function's place."""
+    return _parts(documents, "calls", CALLS)
 
 
 def fields(documents: DataFrame) -> DataFrame:
     """The fields of Java files with a class; the first of a name counts."""
-
-    def read(d: dict) -> list[dict]:
-        from riskweave.sources import java_code
-
-        if d["language_id"] != "java" or not (j := java_code.parse("\n".join(d["lines"] or []))).class_name:
-            return []
-        return [{"file_ord": d["ord"], "uri": d["uri"], "name": n, "type": t} for n, t in j.fields]
-
-    return _rows(documents, FIELDS, read)
+    return _parts(documents, "fields", FIELDS)
 
 
 def imports(documents: DataFrame) -> DataFrame:
-    def read(d: dict) -> list[dict]:
-        from riskweave.sources import script_code
+    return _parts(documents, "imports", IMPORTS)
 
-        if _family(d["language_id"]) != "script":
-            return []
-        return [{"uri": d["uri"], "local": k, "module": m, "exported": e} for k, (m, e) in script_code.parse("\n".join(d["lines"] or [])).imports.items()]
 
-    return _rows(documents, IMPORTS, read)
+def _parts(documents: DataFrame, kind: str, schema: str) -> DataFrame:
+    sources = _of(documents)
+    language = F.when(F.col("language_id").isin(*SCRIPT_LANGUAGES), "script").otherwise(F.col("language_id"))
+    return sources.select(F.col("ord").alias("file_ord"), "uri", language.alias("language"), F.inline(kind)).select(*[c.split()[0] for c in schema.split(", ")])
 
 
 def by_family(documents: DataFrame, family: str) -> DataFrame:

@@ -26,7 +26,7 @@ def discover(spark: SparkSession, root: str, max_files: int = 400, exclude_tests
     scope limits both to a folder.  Names may begin with an underscore; those that begin with a dot are found in editors only, as patterns of the
     command line pass over them.  Only files that are left in the end are opened.
     """
-    return numbered(_documents(found_paths(spark, root, max_files, exclude_tests, respect_gitignore, scope, editor), scope or root))
+    return numbered(documents(found_paths(spark, root, max_files, exclude_tests, respect_gitignore, scope, editor), scope or root))
 
 
 def found_paths(spark: SparkSession, root: str, max_files: int = 400, exclude_tests: bool = True, respect_gitignore: bool = False, scope: str | None = None, editor: bool = False) -> DataFrame:
@@ -34,6 +34,12 @@ def found_paths(spark: SparkSession, root: str, max_files: int = 400, exclude_te
     ignored = IGNORED_IN_EDITOR if editor else IGNORED_FOLDERS
     found = listing.listed(spark, scope or root, rf"\.({'|'.join(LANGUAGES)})$", ignored, editor, 2 * max_files if editor else max_files)
     files = found.select("path", path_uris(_local(F.col("path"))).alias("uri"))
+    files = files.where(kept(spark, root, exclude_tests, respect_gitignore))
+    return files.orderBy("path").limit(max_files) if editor else files
+
+
+def kept(spark: SparkSession, root: str, exclude_tests: bool, respect_gitignore: bool) -> Column:
+    """Whether a file, by uri, is left by the filters."""
     keep: Column = F.lit(True)
     if exclude_tests:
         keep = keep & ~is_test_file(F.col("uri"))
@@ -41,15 +47,14 @@ def found_paths(spark: SparkSession, root: str, max_files: int = 400, exclude_te
         from riskweave.functions.text import path_uri
 
         keep = keep & ~is_ignored(F.col("uri"), path_uri(root.rstrip("/")), text)
-    files = files.where(keep)
-    return files.orderBy("path").limit(max_files) if editor else files
+    return keep
 
 
-def _documents(paths: DataFrame, root: str) -> DataFrame:
-    """uri, language_id, lines of the files; the paths are dealt over the tasks before any is opened."""
-    read = listing.contents(paths.repartition("path"), root)
+def documents(paths: DataFrame, root: str) -> DataFrame:
+    """uri, language_id, lines of paths(path, uri, ...), with their other columns; they are dealt over the tasks before any is opened."""
+    others = [c for c in paths.columns if c not in ("path", "uri")]
     text = F.split(F.col("content").cast("string"), "\r?\n")
-    return read.select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), text.alias("lines"))
+    return listing.contents(paths.repartition("path"), root).select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), text.alias("lines"), *others)
 
 
 def ignore_text(spark: SparkSession, root: str) -> str:

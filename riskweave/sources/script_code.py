@@ -315,3 +315,16 @@ def parse(source: str) -> Script:
 
 def functions(source: str) -> list[tuple[str, int, int, int, int]]:
     return [(f.name, f.line, f.character, f.line, f.end_line) for f in parse(source).functions]
+
+
+def placed_calls(script: Script) -> list[tuple[int, Function, str | None, str | None, str]]:
+    """(number, innermost linked function around, nearest class, receiver, name) of the calls inside functions."""
+    out, linked, around, next_ = [], [f for f in script.functions if f.linked], [], 0
+    for k, (place, receiver, name) in enumerate(sorted(script.calls, key=lambda c: c[0])):
+        while next_ < len(linked) and linked[next_].start <= place:
+            around.append(linked[next_])
+            next_ += 1
+        around = [f for f in around if f.end >= place]
+        if around:
+            out.append((k, around[-1], next((f.class_name for f in reversed(around) if f.class_name), None), receiver, name))
+    return out
