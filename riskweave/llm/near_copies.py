@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, lean
@@ -204,15 +204,15 @@ def prefixes(docs: DataFrame, orders: Orders, percent: int = 80) -> DataFrame:
 
 
 def _postings(docs: DataFrame, orders: Orders, percent: int, made: Tables) -> DataFrame:
-    """token, salt, parts, cls, n, at (the place under order 1) of the tokens in the prefixes of several classes."""
-    sketched = made.write(prefixes(docs, orders, percent), "near-prefixes")
-    posted = sketched.select("cls", "n", "parts", F.posexplode("tokens").alias("at", "token"))
+    """token, salt, parts, cls, n, at (the place under order 1) of the tokens in prefixes; those of a single class only where their list is dealt over
+    several parts, which can't be told from one of them.  The tokens are exchanged once: copies and lists of one class are left out where they meet."""
+    posted = prefixes(docs, orders, percent).select("cls", "n", "parts", F.posexplode("tokens").alias("at", "token"))
     posted = posted.withColumn("parts", F.greatest(F.coalesce(F.get("parts", F.col("at")), F.lit(1)), F.lit(1)))
-    posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    lists = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("parts").alias("parts")).where("low <> high")
-    found = made.write(posted.join(_salted(lists.select("token", "parts")), ["token", "salt"]).distinct(), "near-postings")
-    made.drop("near-prefixes")
-    return found
+    posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select("token", "salt", "parts", "cls", "n", "at")
+    dealt = posted.repartition("token", "salt").distinct()
+    one = Window.partitionBy("token", "salt")
+    shared = (F.col("parts") > 1) | (F.min("cls").over(one) != F.max("cls").over(one))
+    return made.write(dealt.withColumn("_shared", shared).where("_shared").drop("_shared"), "near-postings")
 
 
 def _salted(lists: DataFrame) -> DataFrame:
