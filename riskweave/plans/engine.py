@@ -76,7 +76,7 @@ class RiskEngine:
         """Script edges, then Java edges; documents that are not scanned yet are scanned once."""
         documents = documents if "functions" in documents.columns else cut(extract.scanned(documents))
         declared, called = extract.declarations(documents), extract.calls(documents)
-        script = resolution.script_edges(declared, called, extract.imports(documents))
+        script = resolution.script_edges(declared, called, extract.imports(documents), extract.exports(documents), extract.classes(documents), extract.bindings(documents))
         return resolution.united(script, resolution.java_edges(declared, called, extract.fields(documents)))
 
     def analyze_folder(self, root: str, call_graph: bool = True, with_tests_in_graph: bool = True, now: datetime.datetime | None = None, scope: str | None = None, registry: providers.CcRegistry | None = None) -> Analysis:

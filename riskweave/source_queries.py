@@ -171,6 +171,48 @@ def edges_count(spark, d):
     return spark.createDataFrame([(Analysis(edges, edges, edges).edges_count(),)], "edges long")
 
 
+#: Modules of a supplier, each passing on the one before it, and one that calls through all of them into the next supplier's.
+CHAIN = {
+    "l0": "export function f(a) { return a; }",
+    "l1": "export { f as f1 } from './l0';",
+    "l2": "export * from './l1';",
+    "l3": "import { f1 as g } from './l2';\nexport { g as f3 };",
+    "l4/index": "export * from '../l3';",
+    "main": "import { f3 } from '../c<next>/l4';\nfunction run() { return f3(1); }",
+}
+#: A class that extends another supplier's, and one that calls it through a parameter, fields and a variable.
+TYPED = {
+    "r": "import { R as Up } from './r<up>';\nexport class R extends Up {\n  own() { return this.base0(); }\n<more>}",
+    "u": "import { R } from './r<k>';\nclass U {\n  private field: R;\n  made = new R();\n  run(p: R) { p.own(); this.field.base0(); }\n  more() { const x = new R(); x.base0(); this.made.own(); }\n}",
+}
+
+
+def supplier_modules(spark: SparkSession, d: str, modules: dict[str, str], path: str) -> DataFrame:
+    """Documents of all suppliers, one for each of the modules, at paths with <k> and <name>."""
+    k = F.col("s_suppkey")
+    given = {"next": k + 1, "up": F.floor(k / 2), "k": k, "more": F.when(k <= 1, "  base0() { return 1; }\n").otherwise("")}
+    made = [F.struct(F.lit(i).alias("i"), F.replace(F.replace(F.lit(path), F.lit("<k>"), k.cast("string")), F.lit("<name>"), F.lit(name)).alias("uri"), filled(text, **given).alias("lines")) for i, (name, text) in enumerate(modules.items())]
+    docs = t(spark, d, "supplier").select("s_suppkey", F.inline(F.array(*made)))
+    return docs.select((k * len(modules) + F.col("i")).alias("ord"), "uri", F.lit("typescript").alias("language_id"), "lines")
+
+
+@registered("""SELECT 'file:///c/c' || s_suppkey || '/main.ts#1:0' AS caller, 'file:///c/c' || (s_suppkey + 1) || '/l0.ts#0:0' AS callee FROM supplier WHERE s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)""")
+def reexported_calls(spark, d):
+    """Calls through chains of five modules: named exports, renamed ones, stars, an import passed on, the index of a folder."""
+    return RiskEngine(spark).call_graph(supplier_modules(spark, d, CHAIN, "file:///c/c<k>/<name>.ts")).select("caller", "callee")
+
+
+_ROOT = "'file:///r/r' || least(s_suppkey, 1) || '.ts#3:2'"
+
+
+@registered(f"""SELECT 'file:///r/u' || s_suppkey || '.ts#' || spot AS caller, 'file:///r/r' || s_suppkey || '.ts#2:2' AS callee FROM supplier CROSS JOIN (VALUES ('4:2'), ('5:2')) v(spot)
+UNION ALL SELECT 'file:///r/u' || s_suppkey || '.ts#' || spot, {_ROOT} FROM supplier CROSS JOIN (VALUES ('4:2'), ('5:2')) v(spot)
+UNION ALL SELECT 'file:///r/r' || s_suppkey || '.ts#2:2', {_ROOT} FROM supplier""")
+def typed_calls(spark, d):
+    """Calls through parameters, fields, variables and this, into classes and into those they extend over files."""
+    return RiskEngine(spark).call_graph(supplier_modules(spark, d, TYPED, "file:///r/<name><k>.ts")).select("caller", "callee")
+
+
 # run: if, another through the text of a string and no more; step: while
 @registered(f"""WITH one AS ({JAVA_EDGES}) SELECT 'file:///j/S' || s_suppkey || '.java#' || line || ':0' AS id, name, CAST(cc AS DOUBLE) AS cc, CAST(t AS DOUBLE) AS t
 FROM supplier CROSS JOIN (VALUES (4, 'run', 2, 0.5), (10, 'step', 2, 0.25)) v(line, name, cc, t)""")

@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.text import SCRIPT_LANGUAGES
 
-CALLS = "file_ord long, uri string, language string, class_name string, line int, character int, call int, receiver string, name string"
+CALLS = "file_ord long, uri string, language string, class_name string, line int, character int, call int, receiver string, name string, place int"
 DECLARATIONS = "file_ord long, uri string, language string, class_name string, ord int, name string, line int, character int, linked boolean"
 FIELDS = "file_ord long, uri string, name string, type string"
 IMPORTS = "uri string, local string, module string, exported string"
+EXPORTS = "uri string, exported string, local string, module string"
+CLASSES = "uri string, name string, base string"
+BINDINGS = "uri string, name string, type string, first int, last int"
 
 
 #: What a source file is scanned into: a row a file, an array a kind.
 PARTS = {
     "functions": "ord int, name string, sel_line int, sel_char int, body_start int, body_end int",
     "declarations": "class_name string, ord int, name string, line int, character int, linked boolean",
-    "calls": "class_name string, line int, character int, call int, receiver string, name string",
+    "calls": "class_name string, line int, character int, call int, receiver string, name string, place int",
     "fields": "name string, type string",
     "imports": "local string, module string, exported string",
+    "exports": "exported string, local string, module string",
+    "classes": "name string, base string",
+    "bindings": "name string, type string, first int, last int",
 }
 SCANNED = ", ".join(f"{k} array<struct<{v.replace(' ', ':').replace(',:', ',')}>>" for k, v in PARTS.items())
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -42,7 +48,7 @@ def _java(source: str, _uri: str) -> dict[str, list[tuple]]:
     return {
         "functions": java_code.functions(source),
         "declarations": [(j.class_name, k, m.name, m.line, 0, True) for k, m in enumerate(j.methods)],
-        "calls": [(j.class_name, m.line, 0, k, receiver, name) for k, (m, receiver, name) in enumerate(calls)],
+        "calls": [(j.class_name, m.line, 0, k, receiver, name, None) for k, (m, receiver, name) in enumerate(calls)],
         "fields": list(j.fields),
     }
 
@@ -57,7 +63,9 @@ def _script(source: str, uri: str) -> dict[str, list[tuple]]:
     }
     if not uri.endswith(".d.ts"):
         out["declarations"] = [(f.class_name, k, f.name, f.line, f.character, f.linked) for k, f in enumerate(script.functions)]
-        out["calls"] = [(owner, f.line, f.character, k, receiver, name) for k, f, owner, receiver, name in script_code.placed_calls(script)]
+        out["calls"] = [(owner, f.line, f.character, k, receiver, name, place) for k, f, owner, receiver, name, place in script_code.placed_calls(script)]
+        out["exports"], out["bindings"] = script.exports, script.bindings
+        out["classes"] = [(name, base) for name, base, _, _ in script.classes]
     return out
 
 
@@ -137,6 +145,20 @@ def imports(documents: DataFrame) -> DataFrame:
     return _parts(documents, "imports", IMPORTS)
 
 
+def exports(documents: DataFrame) -> DataFrame:
+    """Names that script files pass on: exported (* for all), local (* for a whole module), module (null for the file itself)."""
+    return _parts(documents, "exports", EXPORTS)
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    return _parts(documents, "classes", CLASSES)
+
+
+def bindings(documents: DataFrame) -> DataFrame:
+    """Variables, parameters and fields (this.name) of script files with the names of their types, and the tokens where they hold."""
+    return _parts(documents, "bindings", BINDINGS)
+
+
 def _parts(documents: DataFrame, kind: str, schema: str) -> DataFrame:
     sources = _of(documents)
     language = F.when(F.col("language_id").isin(*SCRIPT_LANGUAGES), "script").otherwise(F.col("language_id"))

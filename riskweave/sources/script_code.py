@@ -19,6 +19,8 @@ _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _BEFORE_REGEX = frozenset("return typeof case in of delete void instanceof new do else throw await yield".split())
 _MODIFIERS = frozenset("public private protected static readonly abstract override async declare export default accessor".split())
 _NO_CALLS = frozenset("if for while switch catch function return typeof await super with import delete void in of instanceof do else case throw yield".split())
+#: Names of types that have no methods of a project.
+_NO_TYPES = frozenset("string number boolean any unknown never void object symbol bigint null undefined this typeof keyof readonly new infer unique".split())
 
 
 @dataclass
@@ -41,6 +43,12 @@ class Script:
     calls: list[tuple[int, str | None, str]] = field(default_factory=list)
     #: local name -> (module, exported name)
     imports: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: (exported name, local name, module or None); * for all names of a module
+    exports: list[tuple[str, str, str | None]] = field(default_factory=list)
+    #: (name, name behind extends, first and last token of the body)
+    classes: list[tuple[str, str | None, int, int]] = field(default_factory=list)
+    #: (variable, parameter or this.field, name of its type, first and last token of its scope)
+    bindings: list[tuple[str, str, int, int]] = field(default_factory=list)
 
 
 def tokens(source: str) -> list[tuple[str, str, int, int]]:
@@ -237,10 +245,15 @@ class _Scanner:
             if kind == "name" and text == "class" and before != ".":
                 j = i + 1
                 name = self.at(j) if j < n and t[j][0] == "name" and self.at(j) not in ("extends", "implements") else None
+                base = None
                 while j < n and self.at(j) != "{":
+                    if self.at(j) == "extends" and j + 1 < n and t[j + 1][0] == "name" and self.at(j + 2) != ".":
+                        base = self.at(j + 1)
                     j = self.pair.get(j, self.angle(j) - 1 if self.at(j) == "<" else j) + 1
                 if j < n:
                     self.members(j, name, True)
+                    if name:
+                        self.out.classes.append((name, base, j, self.pair.get(j, n - 1)))
             elif kind == "name" and text == "function" and before not in (".", "=", "(", ",", ":", "=>", "return", "?", "||", "&&", "??", "[", "new", "!", "async=") and not (before == "async" and self.at(i - 2) in ("=", "(", ",", ":", "=>", "return", "?")):
                 j = i + 1
                 j += self.at(j) == "*"
@@ -262,12 +275,85 @@ class _Scanner:
                 receiver = self.at(i - 3) if self.at(i - 2) in (".", "?.") else None
                 if self.at(i - 2) in (".", "?.") and (i < 3 or t[i - 3][0] != "name"):
                     receiver = ""
+                elif receiver and self.at(i - 4) in (".", "?."):  # a field; of what else than this, is not known
+                    receiver = f"this.{receiver}" if self.at(i - 5) == "this" else ""
                 self.out.calls.append((i, receiver, before))
             elif kind == "name" and text == "import":
                 self._import(i)
+            elif kind == "name" and text == "export" and before != ".":
+                self._export(i)
+        self._bindings()
         self.out.functions.sort(key=lambda f: (f.start, -f.end))
         return self.out
 
+    def _export(self, i: int) -> None:
+        """Names that an export statement passes on; declarations are exported under their own names anyway."""
+        j = i + 1 + (self.at(i + 1) == "type")
+        if self.at(j) == "default":
+            k = j + 1 + (self.at(j + 1) == "async")
+            k += self.at(k) in ("function", "class", "abstract")
+            k += self.at(k) in ("*", "class")
+            if k < len(self.t) and self.t[k][0] == "name" and self.at(k) != "new":
+                self.out.exports.append(("default", self.at(k), None))
+            return
+        if self.at(j) == "*":
+            named = self.at(j + 2) if self.at(j + 1) == "as" else "*"
+            k = j + 1 + 2 * (named != "*")
+            if self.at(k) == "from" and k + 1 < len(self.t) and self.t[k + 1][0] == "string":
+                self.out.exports.append((named, "*", self.at(k + 1)[1:-1]))
+        elif self.at(j) == "{":
+            close = self.pair.get(j, len(self.t))
+            module = self.at(close + 2)[1:-1] if self.at(close + 1) == "from" else None
+            k = j + 1
+            while k < close:
+                k += self.at(k) == "type" and self.at(k + 1) not in ("as", ",", "}")
+                self.out.exports.append((self.at(k + 2) if self.at(k + 1) == "as" else self.at(k), self.at(k), module))
+                while k < close and self.at(k) != ",":
+                    k += 1
+                k += 1
+
+    def _type(self, i: int) -> tuple[str | None, int]:
+        """The plain name of a type that begins at i, null and undefined beside it left out, and where it ends."""
+        if i >= len(self.t) or self.t[i][0] != "name" or self.at(i) in _NO_TYPES:
+            return None, i
+        name, end = self.at(i), self.angle(i + 1)
+        while self.at(end) == "|" and self.at(end + 1) in ("null", "undefined"):
+            end += 2
+        return (name, end) if self.at(end) in (",", ")", "=", ";", "}") or end >= len(self.t) or self.t[end][0] == "name" else (None, end)
+
+    def _bindings(self) -> None:
+        """Variables, parameters and fields with a named type or made by new."""
+        bodies = {open_: close for _, _, open_, close in self.out.classes}
+        open_: list[int] = []
+        for i, (kind, text, *_) in enumerate(self.t):
+            if kind == "mark" and i in self.pair:
+                open_.append(i)
+            while open_ and self.pair[open_[-1]] <= i:
+                open_.pop()
+            if kind != "name" or not open_ and self.at(i - 1) not in ("const", "let", "var"):
+                continue
+            j = i + 1 + (self.at(i + 1) in ("?", "!"))
+            type_, end = self._type(j + 1) if self.at(j) == ":" else (None, j)
+            if type_ is None and self.at(j) == "=" and self.at(j + 1) == "new" and j + 2 < len(self.t) and self.t[j + 2][0] == "name":
+                type_ = self.at(j + 2)
+            if type_ is None or self.at(i - 1) in (".", "?."):
+                continue
+            around = open_[-1] if open_ else None
+            if self.at(i - 1) in ("const", "let", "var"):
+                blocks = [x for x in open_ if self.at(x) == "{"]
+                scope = (blocks[-1], self.pair[blocks[-1]]) if blocks else (0, len(self.t))
+                self.out.bindings.append((text, type_, *scope))
+            elif around is not None and self.at(around) == "(" and self.at(j) == ":":
+                body = self.body_after(around)
+                last = self.pair.get(body) if body is not None else self.arrow_or_function(around)
+                if last is not None:
+                    self.out.bindings.append((text, type_, around, last))
+                    owner = [x for x in open_ if x in bodies]
+                    if self.at(i - 1) in _MODIFIERS and self.at(around - 1) == "constructor" and owner:
+                        self.out.bindings.append((f"this.{text}", type_, owner[-1], bodies[owner[-1]]))
+            elif around in bodies:
+                self.out.bindings.append((f"this.{text}", type_, around, bodies[around]))
+
     def _declares(self, i: int) -> bool:
         """Whether the comma before i separates declarations."""
         depth_from = i - 1
@@ -317,8 +403,8 @@ def functions(source: str) -> list[tuple[str, int, int, int, int]]:
     return [(f.name, f.line, f.character, f.line, f.end_line) for f in parse(source).functions]
 
 
-def placed_calls(script: Script) -> list[tuple[int, Function, str | None, str | None, str]]:
-    """(number, innermost linked function around, nearest class, receiver, name) of the calls inside functions."""
+def placed_calls(script: Script) -> list[tuple[int, Function, str | None, str | None, str, int]]:
+    """(number, innermost linked function around, nearest class, receiver, name, token) of the calls inside functions."""
     out, linked, around, next_ = [], [f for f in script.functions if f.linked], [], 0
     for k, (place, receiver, name) in enumerate(sorted(script.calls, key=lambda c: c[0])):
         while next_ < len(linked) and linked[next_].start <= place:
@@ -326,5 +412,5 @@ def placed_calls(script: Script) -> list[tuple[int, Function, str | None, str |
             next_ += 1
         around = [f for f in around if f.end >= place]
         if around:
-            out.append((k, around[-1], next((f.class_name for f in reversed(around) if f.class_name), None), receiver, name))
+            out.append((k, around[-1], next((f.class_name for f in reversed(around) if f.class_name), None), receiver, name, place))
     return out
