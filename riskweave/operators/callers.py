@@ -6,7 +6,6 @@ depth-first order.  Trees of many roots may stand in one table.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +57,23 @@ def rooted_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
 def counted_nodes(tree: DataFrame) -> DataFrame:
     """The nodes that count as affected: walking depth first, a node whose id was met before is left out with all below it.
 
-    An id's callers are thus those of its first place, even if that one stands at the depth limit.  The walk is ordered and sees one
-    tree at a time; trees are bounded by their depth.
+    An id's callers are thus those of its first place, even if that one stands at the depth limit.  A node counts if its parent does and no node
+    before it with its id does.  As both are said of earlier nodes, only one choice of nodes fulfils it; it is found by taking all at first and
+    choosing anew by joins, with parents and with the first place of each id, until nothing changes: about as often as trees are deep.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_p=[tuple(p) for p in rows["path"]]).sort_values("_p", kind="stable")
-        met, kept, skip = set(), [], None
-        for path, node in zip(rows["_p"], rows["id"]):
-            if skip is not None and path[: len(skip)] == skip:
-                kept.append(False)
-                continue
-            skip = path if node in met else None
-            kept.append(skip is None)
-            met.add(node)
-        return rows[kept].drop(columns="_p")
-
-    schema = "root string, path array<bigint>, id string, depth int"
-    return tree.select("root", "path", "id", "depth").groupBy("root").applyInPandas(walk, schema)
+    at = F.struct("path", "id")
+    above = F.struct(F.slice("path", 1, F.size("path") - 1).alias("path"), F.col("parent_id").alias("id"))
+    rows = cut(tree.select("root", "path", "id", "depth", above.alias("_above"), at.alias("_at"), F.lit(True).alias("_kept")))
+    columns, changed = [c for c in rows.columns if c != "_kept"], True
+    while changed:
+        chosen = rows.where("_kept")
+        first = chosen.groupBy("root", "id").agg(F.min("_at").alias("_first"))
+        parents = chosen.select("root", F.col("_at").alias("_above"), F.lit(True).alias("_held")).distinct()
+        met = rows.join(first, ["root", "id"], "left").join(parents, ["root", "_above"], "left")
+        fits = (F.coalesce("_held", F.lit(False)) | (F.col("depth") == 1)) & ~F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))
+        rows = cut(met.select(*columns, fits.alias("_kept"), F.col("_kept").alias("_was")))
+        changed = not rows.where("_kept <> _was").isEmpty()
+    return rows.where("_kept").select("root", "path", "id", "depth")
 
 
 def impact_summary(tree: DataFrame, metrics: DataFrame | None = None) -> DataFrame:

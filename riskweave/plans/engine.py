@@ -101,7 +101,7 @@ class RiskEngine:
         by_line, by_name = registry.tables(documents) if registry else (None, None)
         return self.analyze(documents, statements, edges, by_line, by_name, churn=churn)
 
-    def reports(self, roots: str | list[str], jacoco: bool = False, limit: int = 50) -> DataFrame | None:
+    def reports(self, roots: str | list[str], jacoco: bool = False, limit: int = 50) -> DataFrame:
         """The statements of the LCOV reports below each root and, where asked for, of JaCoCo reports after them, at most `limit` of each kind a
         root; a report's relative paths are those of its own root."""
         statements = []
@@ -111,7 +111,7 @@ class RiskEngine:
             if jacoco and (paths := self._report_paths(root, self.settings.coverage.jacoco_glob, limit)):
                 known = files.found_paths(self.spark, root, self.settings.max_files, False).select("uri")
                 statements.append(coverage.suffix_uris(coverage.jacoco_statements(coverage.report_tags(self.spark, paths)), known))
-        return coverage.merged(*statements) if statements else None
+        return coverage.merged(*statements) if statements else self._empty(model.STATEMENTS)
 
     def _report_paths(self, root: str, pattern: str, limit: int) -> list[str]:
         """The first files by path, `limit` at most, of a pattern such as **/folder/name."""

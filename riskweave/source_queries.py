@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import subprocess
 import sys
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from riskweave import cli, lineage
 from riskweave.functions import metrics as M
 from riskweave.functions import text as X
-from riskweave.model import Settings
+from riskweave.model import CcSettings, Settings
 from riskweave.operators import callers, graph, symbols
 from riskweave.plans import providers, views
 from riskweave.plans.engine import Analysis, RiskEngine
@@ -341,12 +344,13 @@ def hybrid_edges(spark, d):
     return first.select(F.lit("primary").alias("source"), "caller", "callee").unionByName(second.select(F.lit("fallback").alias("source"), "caller", "callee"))
 
 
-@registered(f"SELECT 'none' AS failed, count(*) AS files FROM (SELECT DISTINCT event_type FROM events)")
+@registered("SELECT event_type AS uri, count(*) AS commits FROM events GROUP BY 1")
 def churn_or_none(spark, d):
-    """A provider that fails gives no churn and a warning, one that works its table."""
+    """A provider that fails gives no churn and a warning, one that works its table: what is left of the two."""
     counts = t(spark, d, "events").groupBy(F.col("event_type").alias("uri")).agg(F.count("*").alias("commits"))
-    failed = providers.churn_or_none(lambda: spark.read.parquet(f"{d}/no-such-table.parquet"))
-    return spark.createDataFrame([("none" if failed is None else "some", providers.churn_or_none(lambda: counts).count())], "failed string, files long")
+    found = [providers.churn_or_none(lambda: spark.read.parquet(f"{d}/no-such-table.parquet")), providers.churn_or_none(lambda: counts)]
+    (left,) = [x for x in found if x is not None]
+    return left
 
 
 @registered("""SELECT * FROM (VALUES ('coverage.fallback_t', '0.5'), ('rank.max_iterations', '7'), ('cc.eslint_path', 'eslint'), ('churn.enabled', 'False'), ('file_rollup', 'max'), ('max_files', '400')) v(name, setting)""")
@@ -357,6 +361,52 @@ def settings_loaded(spark, d):
     return spark.createDataFrame([(n, str(v)) for n, v in rows], "name string, setting string")
 
 
+#: Stands in for a complexity tool: it counts conditions in all files that it is given, and prints what radon would.
+TOOL = """import json, sys
+out = {}
+for path in sys.argv[3:]:
+    with open(path) as f:
+        out[path] = [{"name": "f", "lineno": 1, "complexity": 1 + f.read().count("if ")}]
+print(json.dumps(out))
+"""
+
+
+@registered("SELECT s_suppkey, CAST(1 + s_suppkey % 5 AS DOUBLE) AS cc FROM supplier")
+def tool_complexity(spark, d):
+    """Files of all suppliers, measured by a program that the executors run on batches of them, through the registry of tools."""
+    root = "/" + f"{lineage.shared_folder(spark)}/tools-{uuid.uuid4().hex}".removeprefix("file:").lstrip("/")
+    s = t(spark, d, "supplier")
+    text = F.concat(F.lit("def f(x):\n"), F.repeat(F.lit("    if x: pass\n"), (F.col("s_suppkey") % 5).cast("int")), F.lit("    return x\n"))
+    path = F.concat(F.lit("m/s"), F.col("s_suppkey").cast("string"), F.lit(".py"))
+    listing.written_files(s.select(path.alias("path"), text.alias("text")), root)
+    listing.written_files(spark.createDataFrame([("radon.py", TOOL)], "path string, text string"), root)
+    documents = s.select(F.concat(F.lit(f"file://{root}/"), path).alias("uri"), F.lit("python").alias("language_id"))
+    settings = Settings(cc=CcSettings(python_path=sys.executable))
+    _, by_name = providers.tool_registry(spark, settings, cwd=root).tables(documents)
+    return by_name.where("key = '1:f'").select(F.regexp_extract("uri", "s([0-9]+)[.]py$", 1).cast("bigint").alias("s_suppkey"), "cc")
+
+
+@registered("SELECT 'file:///w/src/n' || n_nationkey || '.ts' AS uri, 1 + n_nationkey % 3 AS commits FROM nation")
+def commits_of_repository(spark, d):
+    """The commit log of a repository in which each nation's file was changed one to three times, read by the version control program."""
+    from riskweave.functions.text import path_uri
+
+    root = tempfile.mkdtemp(prefix="riskweave-repository-")  # the driver's own: git runs there
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b.c", *a], cwd=root, check=True, capture_output=True)
+    git("init", "-q")
+    keys = [r[0] for r in t(spark, d, "nation").select("n_nationkey").collect()]
+    os.makedirs(f"{root}/src")
+    for turn in range(3):
+        for k in keys:
+            if turn <= k % 3:
+                with open(f"{root}/src/n{k}.ts", "a") as f:
+                    f.write(f"{turn}\n")
+        git("add", "-A")
+        git("commit", "-q", "-m", f"turn {turn}")
+    counts = tools.commit_counts(tools.commit_log(spark, root, "2000-01-01"), path_uri("/w"))
+    return counts
+
+
 # ---------------------------------------------------------------- views
 
 
@@ -404,12 +454,18 @@ def edges_placed(spark, d):
     return x.groupBy("from", "to").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@registered("SELECT true AS same, true AS close, false AS apart, true AS nothing")
+_MOVED = "SELECT p_partkey % 7 AS g, max(abs(p_retailprice * 1e-9 * (p_partkey % 7))) AS most FROM part GROUP BY 1"
+
+
+@registered(f"SELECT CAST(g AS INT) AS g, most < 1e-6 AS settled, true AS same FROM ({_MOVED})")
 def converged(spark, d):
-    r = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_retailprice").alias("r"))
-    moved = lambda by: r.withColumn("r", F.col("r") + F.when(F.col("id") == "7", by).otherwise(0.0))
-    rows = graph.has_converged(r, r), graph.has_converged(r, moved(1e-7)), graph.has_converged(r, moved(0.5)), graph.has_converged(r.limit(0), r.limit(0))
-    return spark.createDataFrame([rows], "same boolean, close boolean, apart boolean, nothing boolean")
+    """Ranks moved by a share of themselves, group by group: those whose largest move is small have settled."""
+    r = t(spark, d, "part").select((F.col("p_partkey") % 7).cast("int").alias("g"), F.col("p_partkey").cast("string").alias("id"), F.col("p_retailprice").alias("r"))
+    rows = []
+    for g in range(7):
+        before = r.where(F.col("g") == g).select("id", "r")
+        rows.append((g, graph.has_converged(before, before.withColumn("r", F.col("r") + F.col("r") * 1e-9 * g)), graph.has_converged(before, before)))
+    return spark.createDataFrame(rows, "g int, settled boolean, same boolean")
 
 
 def supplier_analysis(spark: SparkSession, d: str) -> Analysis:

@@ -182,3 +182,27 @@ def test_layout_of_a_small_tree(spark):
     box = callers.file_groups(nodes).first()
     assert (box["node_ids"], box["x"], box["y"], box["width"], box["height"]) == (["A", "B"], 70.0, 70.0, 170.0, 200.0)
     assert callers.layout_size(nodes).first()[1:] == (420.0, 340.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ordered_walk_against_recursion(spark, seed):
+    """Several roots at once, ids that repeat at all depths, equal edges, cycles."""
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(16)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    roots = ["n0", "n1", "n2"]
+    tree = callers.caller_tree(spark.createDataFrame([(r,) for r in roots], "root string"), edges(spark, pairs), 4)
+    got = {r["root"]: r["count"] for r in callers.counted_nodes(tree).groupBy("root").count().collect()}
+    want = {r: affected(plain_tree(pairs, r, 4), set()) for r in roots}
+    assert got == {r: n for r, n in want.items() if n}
+
+
+def test_ordered_walk_of_a_large_tree(spark):
+    """One root with 120,000 nodes: 300 callers, each with the same 400, of which each counts once, below the first."""
+    first = [(k, f"a{k}", "R") for k in range(300)]
+    second = [(300 + k * 400 + j, f"b{j}", f"a{k}") for k in range(300) for j in range(400)]
+    found = callers.caller_tree(spark.createDataFrame([("R",)], "root string"), spark.createDataFrame(first + second, EDGES), 2)
+    kept = callers.counted_nodes(found)
+    assert kept.count() == 700
+    assert {tuple(r["path"])[0] for r in kept.where("depth = 2").collect()} == {0}
+    assert "Pandas" not in kept._jdf.queryExecution().toString()

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave import model
@@ -98,3 +99,35 @@ def test_tools_run_by_language(spark, tmp_path):
     off = Settings(cc=CcSettings(str(tool), "no-such-tool", str(tool), use_eslint_for_ts_js=False), exclude_tests=False)
     found = RiskEngine(spark, off).analyze_folder(str(root), registry=providers.tool_registry(spark, off)).symbols
     assert {r["name"]: r["cc"] for r in found.collect()} == {"f": 1, "g": 1, "h": 9}
+
+
+def test_a_process_has_many_files(spark, tmp_path):
+    """Reports are dealt out to files; a batch that can't be is asked again one by one, and a file that fails takes no other's report away."""
+    import json
+    import os
+    import sys
+
+    tool = tmp_path / "tool"
+    tool.write_text(
+        f"#!{sys.executable}\nimport json, os, sys\nopen({str(tmp_path / 'log')!r}, 'a').write('x')\n"
+        "if any('bad' in p for p in sys.argv[2:]): sys.exit(2)\nprint(json.dumps({p: [{'name': 'f', 'lineno': 1, 'complexity': len(p)}] for p in sys.argv[2:]}))\n"
+    )
+    os.chmod(tool, 0o755)
+    docs = lambda names: spark.createDataFrame([(f"file:///w/{n}.py",) for n in names], "uri string").coalesce(1)
+    reports = lambda names, n: {r["uri"]: json.loads(r["content"]) for r in providers.tool_reports(docs(names), str(tool), (["cc", "<file>"], 20.0), split=providers.radon_split, batch_files=n).collect()}
+    names = [f"é{k}" for k in range(10)]
+    got = reports(names, 4)
+    assert len(got) == 10 and all(list(x) == [u.removeprefix("file://")] for u, x in got.items())
+    assert len((tmp_path / "log").read_text()) == 3
+    got = reports([*names, "bad"], 4)
+    assert len(got) == 10 and len((tmp_path / "log").read_text()) == 3 + 3 + 3  # the last batch again, file by file
+
+
+def test_reports_are_dealt_out():
+    eslint = '[{"filePath": "/b", "messages": [1]}, {"filePath": "/a", "messages": []}]'
+    assert providers.eslint_split(eslint, ["/a", "/b"]) == {"/a": '[{"filePath": "/a", "messages": []}]', "/b": '[{"filePath": "/b", "messages": [1]}]'}
+    assert list(providers.eslint_split('[{"messages": []}, {"messages": [2]}]', ["/a", "/b"])) == ["/a", "/b"]
+    assert providers.pmd_split('<pmd><file name="/a&amp;b"><violation x="1">y</violation></file><file name="/c"/></pmd>', ["/a&b", "/d"]) == {"/a&b": '<pmd><file name="/a&amp;b"><violation x="1">y</violation></file></pmd>'}
+    for split, text in ((providers.eslint_split, '[{"messages": []}]'), (providers.eslint_split, "x"), (providers.radon_split, "[]"), (providers.pmd_split, "")):
+        with pytest.raises(ValueError):
+            split(text, ["/a", "/b"])
