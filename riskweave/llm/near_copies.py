@@ -209,10 +209,10 @@ def _postings(docs: DataFrame, orders: Orders, percent: int, made: Tables) -> Da
     posted = prefixes(docs, orders, percent).select("cls", "n", "parts", F.posexplode("tokens").alias("at", "token"))
     posted = posted.withColumn("parts", F.greatest(F.coalesce(F.get("parts", F.col("at")), F.lit(1)), F.lit(1)))
     posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select("token", "salt", "parts", "cls", "n", "at")
-    dealt = posted.repartition("token", "salt").distinct()
+    dealt = posted.repartition("token", "salt")
     one = Window.partitionBy("token", "salt")
     shared = (F.col("parts") > 1) | (F.min("cls").over(one) != F.max("cls").over(one))
-    return made.write(dealt.withColumn("_shared", shared).where("_shared").drop("_shared"), "near-postings")
+    return made.write(dealt.withColumn("_shared", shared).where("_shared").drop("_shared").distinct(), "near-postings")
 
 
 def _salted(lists: DataFrame) -> DataFrame:
