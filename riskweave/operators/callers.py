@@ -48,6 +48,55 @@ def caller_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
     return out
 
 
+def cyclic_core(edges: DataFrame, rounds: int) -> DataFrame:
+    """id of the nodes that are left when those without callers or without callees are taken away, so often: all that are on cycles, and perhaps more."""
+    left = cut(edges.select("caller", "callee").where("caller <> callee").distinct())
+    size = left.count()
+    for _ in range(rounds):
+        if not size:
+            break
+        called, calling = left.select(F.col("callee").alias("caller")).distinct(), left.select(F.col("caller").alias("callee")).distinct()
+        left = cut(left.join(called, "caller", "left_semi").join(calling, "callee", "left_semi"))
+        before, size = size, left.count()
+        if size == before:
+            break
+    # a self-call is a cycle too
+    return left.select(F.col("caller").alias("id")).union(left.select("callee")).union(edges.where("caller = callee").select("caller")).distinct()
+
+
+def compact_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """The nodes of the caller trees without their paths: root, id, depth, recursive, n, the number of nodes of caller_tree that are alike.
+
+    What is below a node hangs on its id, on its depth, and on those nodes of the way to it that it could meet again, which are on cycles.  Nodes that
+    agree in these have equal subtrees, and go on as one with their number (decimal, as there can be more than a long holds).  Without cycles
+    there are at most as many rows as ids times levels, however many paths there are.
+    """
+    core = cut(cyclic_core(edges, max(max_depth, 1)).withColumn("_core", F.lit(True)))
+    step = cut(edges.select("caller", F.col("callee").alias("id")).groupBy("caller", "id").agg(F.count("*").cast("decimal(38,0)").alias("_m")).join(core.withColumnRenamed("id", "caller"), "caller", "left"))
+    way = F.array().cast("array<string>")
+    level = roots.join(core.withColumnRenamed("id", "root"), "root", "left").select("root", F.col("root").alias("id"), F.when(F.col("_core"), F.array("root")).otherwise(way).alias("_way"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    levels, depth = [], 1
+    while True:
+        on = F.when(F.col("_core"), F.array_sort(F.array_union("_way", F.array("caller")))).otherwise(F.col("_way"))
+        found = level.join(step, "id").select("root", F.col("caller").alias("id"), F.array_contains("_way", F.col("caller")).alias("recursive"), on.alias("_way"), (F.col("n") * F.col("_m")).cast("decimal(38,0)").alias("n"))
+        found = cut(found.groupBy("root", "id", "recursive", "_way").agg(F.sum("n").cast("decimal(38,0)").alias("n")).withColumn("depth", F.lit(depth)))
+        levels.append(found)
+        depth += 1
+        if depth > max_depth or found.isEmpty():
+            break
+        level = found.where("not recursive").select("root", "id", "_way", "n")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("root", "id", "depth", "recursive").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
+def level_sizes(compact: DataFrame) -> DataFrame:
+    """root, depth, n: how many nodes stand in each row of a layout, the root at depth 0 included."""
+    own = compact.select("root", F.lit(0).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("n")).distinct()
+    return compact.groupBy("root", "depth").agg(F.sum("n").cast("decimal(38,0)").alias("n")).unionByName(own)
+
+
 def rooted_tree(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """The variant that has the root at depth 0 and tests for recursion before depth: leaves at max_depth, nothing but the root for 0."""
     own = roots.select("root", F.array().cast("array<bigint>").alias("path"), F.col("root").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit(False).alias("recursive"))
@@ -135,7 +184,8 @@ def layout_edges(tree: DataFrame) -> DataFrame:
 
 
 def layout_size(nodes: DataFrame) -> DataFrame:
-    rows = nodes.groupBy("root", "depth").agg(F.count("*").alias("n"))
+    """root, width, height of layout_nodes, or of level_sizes."""
+    rows = nodes if "n" in nodes.columns else nodes.groupBy("root", "depth").agg(F.count("*").alias("n"))
     return rows.groupBy("root").agg(
         (2 * PADDING + (F.max("n") - 1) * SPACING_X).cast("double").alias("width"), (2 * PADDING + F.max("depth") * SPACING_Y).cast("double").alias("height")
     )

@@ -577,7 +577,20 @@ def graph_layout(spark, d):
 
 @registered(f"{LAYOUT} SELECT CAST(200 + (max(n) - 1) * 220 AS DOUBLE) AS width, CAST(200 + 140 * max(depth) AS DOUBLE) AS height FROM nodes")
 def layout_size(spark, d):
-    return callers.layout_size(callers.layout_nodes(purchase_tree(spark, d), event_metrics(spark, d))).select("width", "height")
+    roots = spark.createDataFrame([("purchase",)], "root string")
+    return callers.layout_size(callers.level_sizes(callers.compact_tree(roots, transitions(spark, d), DEPTH))).select("width", "height")
+
+
+_LEVELS = ", ".join(f"l{k} AS (SELECT l.root, e.caller AS id, sum(l.n) AS n FROM l{k - 1} l JOIN e ON e.callee = l.id GROUP BY 1, 2)" for k in range(1, 5))
+
+
+@registered(f"""WITH e AS ({SUPPLY}), l0 AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, CAST(1 AS DECIMAL(38,0)) AS n FROM region), {_LEVELS}
+{' UNION ALL '.join(f"SELECT root, CAST({k} AS INT) AS depth, CAST(sum(n) AS BIGINT) AS n, count(*) AS ids FROM l{k} GROUP BY 1" for k in range(1, 5))}""")
+def caller_counts(spark, d):
+    """The caller trees of all regions over nations, suppliers, parts and customers, counted level by level without a path being made."""
+    roots = t(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    found = callers.compact_tree(roots, supply_edges(spark, d), 4)
+    return found.groupBy("root", "depth").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("ids"))
 
 
 @registered(f"{TREE} SELECT id AS \"from\", parent_id AS \"to\", count(*) AS n FROM tree GROUP BY 1, 2")

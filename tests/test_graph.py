@@ -206,3 +206,28 @@ def test_ordered_walk_of_a_large_tree(spark):
     assert kept.count() == 700
     assert {tuple(r["path"])[0] for r in kept.where("depth = 2").collect()} == {0}
     assert "Pandas" not in kept._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_compact_trees_count_paths(spark, seed):
+    """Graphs with cycles, self-calls and equal edges: as many nodes as the tree with all paths has."""
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(8)}", f"n{rng.randrange(8)}") for _ in range(14)] + [("n0", "n0")] * seed
+    roots = spark.createDataFrame([("n0",), ("n1",), ("none",)], "root string")
+    for depth in (0, 4):
+        want = {}
+        for r in callers.caller_tree(roots, edges(spark, pairs), depth).collect():
+            key = r["root"], r["id"], r["depth"], r["recursive"]
+            want[key] = want.get(key, 0) + 1
+        got = {(r["root"], r["id"], r["depth"], r["recursive"]): int(r["n"]) for r in callers.compact_tree(roots, edges(spark, pairs), depth).collect()}
+        assert got == want
+
+
+def test_compact_tree_of_many_paths(spark):
+    """Twelve layers of ten nodes, each called by all of the next: 10^12 paths in 120 rows."""
+    pairs = [(f"l{k + 1}_{a}", f"l{k}_{b}") for k in range(11) for a in range(10) for b in range(10)] + [(f"l0_{b}", "root") for b in range(10)]
+    found = callers.compact_tree(spark.createDataFrame([("root",)], "root string"), edges(spark, pairs), 12)
+    rows = found.collect()
+    assert len(rows) == 120 and sum(int(r["n"]) for r in rows if r["depth"] == 12) == 10**12 and sum(int(r["n"]) for r in rows if r["depth"] == 1) == 10
+    size = callers.layout_size(callers.level_sizes(found)).first()
+    assert (size["width"], size["height"]) == (200 + (10.0**12 - 1) * 220, 200 + 12 * 140)
