@@ -190,12 +190,12 @@ TYPED = {
 }
 
 
-def supplier_modules(spark: SparkSession, d: str, modules: dict[str, str], path: str) -> DataFrame:
-    """Documents of all suppliers, one for each of the modules, at paths with <k> and <name>."""
-    k = F.col("s_suppkey")
+def supplier_modules(spark: SparkSession, d: str, modules: dict[str, str], path: str, table: str = "supplier", key: str = "s_suppkey") -> DataFrame:
+    """Documents of all suppliers, or rows of another table, one for each of the modules, at paths with <k> and <name>."""
+    k = F.col(key)
     given = {"next": k + 1, "up": F.floor(k / 2), "k": k, "more": F.when(k <= 1, "  base0() { return 1; }\n").otherwise("")}
     made = [F.struct(F.lit(i).alias("i"), F.replace(F.replace(F.lit(path), F.lit("<k>"), k.cast("string")), F.lit("<name>"), F.lit(name)).alias("uri"), filled(text, **given).alias("lines")) for i, (name, text) in enumerate(modules.items())]
-    docs = t(spark, d, "supplier").select("s_suppkey", F.inline(F.array(*made)))
+    docs = t(spark, d, table).select(key, F.inline(F.array(*made)))
     return docs.select((k * len(modules) + F.col("i")).alias("ord"), "uri", F.lit("typescript").alias("language_id"), "lines")
 
 
@@ -416,23 +416,31 @@ def lens_titles(spark, d):
     return m.select("doc_id", M.lens_title().alias("title"))
 
 
-@registered("""SELECT doc_id, '**Risk**  F=' || n_chars || '.0  (R×CRAP)' || chr(10) || chr(10) || '- R (rank): ' || printf('%.3f', doc_id / 4) || chr(10) || '- CRAP: ' || (n_chars // 2) || CASE WHEN n_chars % 2 = 1 THEN '.50' ELSE '.00' END
-  || chr(10) || '- CC: ' || (doc_id % 9) || chr(10) || '- T (coverage): ' || (doc_id % 2 * 100) || '%' || chr(10) || chr(10) AS head FROM documents""")
+_NAMES = {name: text.replace("'", "''") for name, text in M.INSIGHTS.items()}
+
+
+@registered(f"""WITH m AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS f, doc_id / 4 AS r, n_chars / 2 AS crap, doc_id % 13 AS cc, doc_id % 2 AS t, 1 + doc_id % 3 AS g, n_chars FROM documents)
+SELECT doc_id, '**Risk**  F=' || n_chars || '.0  (R×CRAP)' || chr(10) || chr(10) || '- R (rank): ' || printf('%.3f', r) || chr(10) || '- CRAP: ' || (n_chars // 2) || CASE WHEN n_chars % 2 = 1 THEN '.50' ELSE '.00' END
+  || chr(10) || '- CC: ' || cc || chr(10) || '- T (coverage): ' || (t * 100) || '%' || chr(10) || chr(10) || concat_ws('  ' || chr(10),
+  CASE WHEN cc >= 10 AND t < 0.5 THEN '{_NAMES["untested"]}' WHEN cc >= 10 AND t >= 0.8 THEN '{_NAMES["tested"]}' END,
+  CASE WHEN r >= 3 AND crap >= 30 THEN '{_NAMES["cascade"]}' WHEN r >= 5 THEN '{_NAMES["popular"]}' END,
+  CASE WHEN f >= 100 AND g > 2 THEN '{_NAMES["urgent"]}' END) AS hover FROM m""")
 def hover_texts(spark, d):
+    """The whole text, insights included."""
     m = t(spark, d, "documents").select(
-        "doc_id", F.col("n_chars").cast("double").alias("f"), (F.col("doc_id") / 4).alias("r"), (F.col("n_chars") / 2).alias("crap"), (F.col("doc_id") % 9).cast("double").alias("cc"), (F.col("doc_id") % 2).cast("double").alias("t"), F.lit(1.0).alias("g"),
+        "doc_id", F.col("n_chars").cast("double").alias("f"), (F.col("doc_id") / 4).alias("r"), (F.col("n_chars") / 2).alias("crap"), (F.col("doc_id") % 13).cast("double").alias("cc"), (F.col("doc_id") % 2).cast("double").alias("t"), (1 + F.col("doc_id") % 3).cast("double").alias("g"),
     )
-    return m.select("doc_id", F.regexp_extract(M.hover_text(), r"(?s)^(.*%\n\n)", 1).alias("head"))
+    return m.select("doc_id", M.hover_text().alias("hover"))
 
 
-@registered(f"{SYMBOLS} SELECT 'p' || p_partkey || '#' || p_size || ':0' AS id, p_size AS line FROM part")
+@registered("""SELECT 'p' || p_partkey || '#' || p_size || ':0' AS id, p_size AS line, 'Risk F=' || (p_partkey % 1000) || '  R=' || printf('%.2f', p_size / 4) || '  CRAP=' || p_size || '.0' AS title FROM part""")
 def lenses(spark, d):
-    """Functions that have metrics, with their lines; functions of another file have none."""
+    """Functions that have metrics, with their lines and titles; functions of another file have none."""
     b = bodies(spark, d)
     fn = b.select("uri", F.col("body_start").alias("sel_line"), F.lit(0).alias("sel_char"))
     other = fn.withColumn("uri", F.concat("uri", F.lit("x")))
-    m = b.select(X.symbol_id(F.col("uri"), F.col("body_start"), F.lit(0)).alias("id"), "ord", *[F.lit(1.0).alias(c) for c in ("f", "r", "crap")])
-    return views.lenses(fn.unionByName(other), m).select("id", "line")
+    m = b.select(X.symbol_id(F.col("uri"), F.col("body_start"), F.lit(0)).alias("id"), "ord", (F.col("ord") % 1000).cast("double").alias("f"), (F.col("cc") / 4).alias("r"), F.col("cc").alias("crap"))
+    return views.lenses(fn.unionByName(other), m).select("id", "line", "title")
 
 
 @registered(f"{SYMBOLS} SELECT id, {q4('f')} AS f FROM sym WHERE uri = 'Brand#3'")
@@ -608,3 +616,18 @@ def cli_report(spark, d):
     scores = [x["rollupScore"] for x in report["files"]]
     assert scores == sorted(scores, reverse=True) and report["timestamp"].endswith("Z")
     return spark.createDataFrame([(x["path"], s["name"], float(s["cc"]), report["summary"]["filesAnalyzed"]) for x in report["files"] for s in x["symbols"]], "path string, name string, cc double, files long")
+
+
+_NEXT = "(SELECT min(n_nationkey) + 1 FROM nation)"
+
+
+@registered(f"""SELECT * FROM (VALUES (1, 'IMPACT TREE: f'), (2, 'File: c/c' || {_NEXT} || '/l0.ts'), (3, 'Risk: LOW (F=4.0)'), (4, ''), (5, '└─ run [F=2.0]'), (6, ''), (7, 'IMPACT SUMMARY:'), (8, '  Direct callers: 1'), (9, '  Total affected: 1')) v(line, text)""")
+def cli_callers(spark, d):
+    """The command line's caller tree as text: a function that another folder's module reaches through five modules."""
+    root = "/" + f"{lineage.shared_folder(spark)}/chains-{uuid.uuid4().hex}".removeprefix("file:").lstrip("/")
+    files_ = supplier_modules(spark, d, CHAIN, "c/c<k>/<name>.ts", "nation", "n_nationkey")
+    listing.written_files(files_.select(F.col("uri").alias("path"), F.array_join("lines", "\n").alias("text")), root)
+    k = t(spark, d, "nation").agg(F.min("n_nationkey")).first()[0] + 1
+    out, errors = io.StringIO(), io.StringIO()
+    assert cli.main(["callers", "--root", root, "--file", f"c/c{k}/l0.ts", "--symbol", "f", "--format", "text"], spark, out, errors) == 0, errors.getvalue()
+    return spark.createDataFrame(list(enumerate(out.getvalue().rstrip("\n").split("\n"), 1)), "line int, text string")
