@@ -137,7 +137,10 @@ class Pseudonyms:
     # Longer formats stand first; of overlapping matches the earlier start, then the earlier kind wins.  Addresses come before all,
     # then IBANs, then cards.
     PATTERNS = {
-        "phone": re.compile(r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])"),
+        # Codes that begin with 0 or 1 are not given out; numbers that have them and are yet written as phones count too.
+        "phone": re.compile(
+            r"(?<![A-Za-z0-9])(?:(?:\+?1[ .-]?)?(?:(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}|\([0-9]{3}\) ?[0-9]{3})|\+1[ .-]?[0-9]{3}[ .-][0-9]{3})[ .-][0-9]{4}(?![A-Za-z0-9])"
+        ),
         "e164": re.compile(r"(?<![A-Za-z0-9+])\+(?:[1-9][0-9]{7,14}|[2-9][0-9]{0,2}(?:[ .-]\(?[0-9]{1,4}\)?){2,5})(?![A-Za-z0-9])"),
         "ssn": re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
         "ipv4": re.compile(r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])"),
@@ -280,18 +283,21 @@ class Pseudonyms:
         return self._fill(v, whole(f.permute(int(digits[:-1]), lambda x: len(set(whole(x))) > 1)))
 
     def phone(self, v: str) -> str | None:
+        """Area code, exchange and the rest as one number; codes that begin with 0 or 1 stay such codes, and others others."""
         digits = re.sub("[^0-9]", "", v)
         n = digits[-10:]
-        x = ((int(n[:3]) - 200) * 800 + int(n[3:6]) - 200) * 10_000 + int(n[6:])
-        x = self._feistel("phone", 6_400_000_000).permute(x)
-        return self._fill(v, f"{digits[:-10]}{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}")
+        (first, a), (second, b) = [(0, 200) if code < "200" else (200, 800) for code in (n[:3], n[3:6])]
+        x = ((int(n[:3]) - first) * b + int(n[3:6]) - second) * 10_000 + int(n[6:])
+        x = self._feistel({(200, 200): "phone", (0, 200): "phone-area", (200, 0): "phone-exchange", (0, 0): "phone-both"}[first, second], a * b * 10_000).permute(x)
+        x, rest = divmod(x, 10_000)
+        return self._fill(v, f"{digits[:-10]}{x // b + first:03d}{x % b + second:03d}{rest:04d}")
 
     def e164(self, v: str) -> str | None:
         """Numbers with a country code, however they are grouped; one of the North American plan is the same value as without the code."""
         digits = re.sub("[^0-9]", "", v)
         if not 8 <= len(digits) <= 15:
             return None
-        if re.fullmatch("1[2-9][0-9]{2}[2-9][0-9]{6}", digits):
+        if re.fullmatch("1[0-9]{10}", digits):
             return self.phone(v)
         n = len(digits) - 1
         return self._fill(v, f"{digits[0]}{self._feistel('e164', 10**n).permute(int(digits[1:])):0{n}d}")
@@ -315,7 +321,7 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, v: str) -> str | None:
-        """The day is permuted, whatever its layout, so that one day stays one in all of them.  Month first is only read where day first can't be;
+        """The day is permuted, whatever its layout, so that one day stays one in all of them; days from 1900 to 2099 stay such days.  Month first is only read where day first can't be;
         for that, days after the twelfth stay such days, and others others."""
         sep = v[4] if v[4] == "-" else "/" if "/" in v else "."
         fields = v.split(sep)
@@ -326,10 +332,12 @@ class Pseudonyms:
             except ValueError:
                 continue
             x = day.toordinal() - _FIRST_DAY
-            if not 0 <= x < _DAYS:
-                return None
-            of = lambda x: datetime.date.fromordinal(x + _FIRST_DAY)
-            new = of(self._feistel("date", _DAYS).permute(x, lambda x: (of(x).day > 12) == (day.day > 12)))
+            if 0 <= x < _DAYS:
+                name, size, of = "date", _DAYS, lambda x: datetime.date.fromordinal(x + _FIRST_DAY)
+            else:  # days of all other years are a class of their own
+                x = x + _FIRST_DAY - 1 - (_DAYS if x > 0 else 0)
+                name, size, of = "date-far", datetime.date.max.toordinal() - _DAYS, lambda x: datetime.date.fromordinal(x + 1 + (_DAYS if x + 1 >= _FIRST_DAY else 0))
+            new = of(self._feistel(name, size).permute(x, lambda x: (of(x).day > 12) == (day.day > 12)))
             wide = 2 if sep == "-" or len(fields[0]) == len(fields[1]) == 2 else 1
             text = {"y": f"{new.year:04d}", "m": f"{new.month:0{wide}d}", "d": f"{new.day:0{wide}d}"}
             return sep.join(text[c] for c in order)
