@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from riskweave.lineage import Scratch
+from riskweave.lineage import Scratch, cut
 
 
 def edges_from_callees(rows: DataFrame) -> DataFrame:
@@ -46,11 +46,13 @@ def incoming(edges: DataFrame) -> DataFrame:
 
 
 def preferred(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """The edges of a better source, such as a language server's, or those of the other where it has none or fails."""
+    """The edges of a better source, such as a language server's, or those of the other where it has none or fails.  The better source is asked once:
+    its edges are written and read again."""
     from pyspark.errors import PySparkException
 
     try:
-        return fallback if primary.isEmpty() else primary
+        found = cut(primary)
+        return fallback if found.isEmpty() else found
     except PySparkException:
         return fallback
 

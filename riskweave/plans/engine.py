@@ -90,7 +90,8 @@ class RiskEngine:
         found = files.found_paths(self.spark, root, s.max_files, False, False, scope)
         analyzed, linked = files.kept(self.spark, root, s.exclude_tests, s.file_filter.respect_gitignore), files.kept(self.spark, root, not with_tests_in_graph, False)
         found = found.withColumns({"analyzed": analyzed, "linked": linked}).where("analyzed or linked")
-        sources = cut(extract.scanned(files.numbered(files.documents(found, scope or root))))
+        tasks = 2 * self.spark.sparkContext.defaultParallelism  # scanning takes far longer than reading
+        sources = cut(extract.scanned(files.numbered(files.documents(found, scope or root)).repartition(tasks, "uri")))
         documents = sources.where("analyzed")
         statements = self.reports(root)
         churn = None

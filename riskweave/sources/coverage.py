@@ -144,5 +144,8 @@ def suffix_uris(statements: DataFrame, files: DataFrame) -> DataFrame:
 
 def stored(statements: DataFrame, uri: str, ignore_case: bool = False) -> DataFrame:
     """The statements of a file; where paths know no case, those that differ in case only are taken if none is equal."""
-    exact = statements.where(F.col("uri") == uri)
-    return statements.where(F.lower("uri") == uri.lower()) if ignore_case and exact.isEmpty() else exact
+    if not ignore_case:
+        return statements.where(F.col("uri") == uri)
+    alike = statements.where(F.lower("uri") == uri.lower())
+    some = alike.agg(F.coalesce(F.max(F.col("uri") == uri), F.lit(False)).alias("_some"))  # one row
+    return alike.crossJoin(F.broadcast(some)).where((F.col("uri") == uri) | ~F.col("_some")).drop("_some")

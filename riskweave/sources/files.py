@@ -53,8 +53,9 @@ def kept(spark: SparkSession, root: str, exclude_tests: bool, respect_gitignore:
 def documents(paths: DataFrame, root: str) -> DataFrame:
     """uri, language_id, lines of paths(path, uri, ...), with their other columns; they are dealt over the tasks before any is opened."""
     others = [c for c in paths.columns if c not in ("path", "uri")]
+    tasks = 2 * paths.sparkSession.sparkContext.defaultParallelism  # not fewer where paths are few bytes: files are far larger
     text = F.split(F.col("content").cast("string"), "\r?\n")
-    return listing.contents(paths.repartition("path"), root).select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), text.alias("lines"), *others)
+    return listing.contents(paths.repartition(tasks, "path"), root).select("uri", language_of(F.col("uri"), "plaintext").alias("language_id"), text.alias("lines"), *others)
 
 
 def ignore_text(spark: SparkSession, root: str) -> str:

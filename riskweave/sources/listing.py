@@ -91,8 +91,16 @@ class FolderReader(DataSourceReader):
             widest = min((i for i, (_, is_folder) in enumerate(units) if is_folder), key=lambda i: (units[i][0].count("/"), i), default=k)
             units[widest : widest + 1] = self.wanted.entries(system, units[widest][0].rstrip("/") or "/")
             opened_ += 1
-        size = max(1, -(-len(units) // TASKS))  # neighbours go together, so that a task's paths are in order
-        return [FolderPart(units[k : k + size]) for k in range(0, len(units), size)] or [FolderPart([])]
+        # neighbours go together, so that a task's paths are in order; what is listed already takes no task of its own
+        folders = sum(is_folder for _, is_folder in units)
+        size, parts, held = max(1, -(-folders // TASKS)), [[]], 0
+        for unit in units:
+            if unit[1] and held == size:
+                parts.append([])
+                held = 0
+            parts[-1].append(unit)
+            held += unit[1]
+        return [FolderPart(x) for x in parts]
 
     def read(self, part: FolderPart) -> Iterator[pa.RecordBatch]:
         system, root = self._root()

@@ -38,6 +38,7 @@ def test_folders_are_dealt_over_tasks(spark, tree):
     parts = reader.partitions()
     assert 8 < len(parts) <= listing.TASKS
     given = [[x for batch in reader.read(p) for x in batch.column(0).to_pylist()] for p in parts]
+    assert len(listing.FolderReader({"path": f"{root}/_lib", "pattern": ""}).partitions()) == 1
     assert max(map(len, given)) <= 3 and all(x == sorted(x) for x in given)  # a task stops when it has given enough
 
 
