@@ -33,7 +33,7 @@ from .common import lean, written
 WINDOW = 13
 BLOCK_WORDS = 200_000
 ITEM_WORDS = 1_000_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Upper-case ASCII is lowered, other ASCII than digits and letters becomes a space, the bytes of other characters stay.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX_SCHEMA = "doc_ids array<long>, doc_starts binary, n_words long, terms binary, list_starts binary, places binary"

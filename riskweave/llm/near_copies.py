@@ -49,7 +49,7 @@ MET_CLASSES = 1_000_000
 #: Words end at ASCII white space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _MIX, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 class _Hashes(dict):
@@ -357,7 +357,7 @@ class Verifier:
         """pairs with columns of whole for a or b, named a_n and so on; a class with many partners is dealt over several parts."""
         whole = self.whole.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
         count = pairs.count()
-        if count <= BROADCAST_IDS:  # only sets that are asked for are exchanged
+        if "tokens" in columns and count <= BROADCAST_IDS:  # only whole sets that are asked for are exchanged
             whole = whole.join(F.broadcast(pairs.select(side).distinct()), side, "left_semi")
         if count <= self.frequent:
             return pairs.join(whole, side)
