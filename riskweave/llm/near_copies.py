@@ -232,8 +232,7 @@ def near_copies(docs: DataFrame, percent: int = 80, frequent: int = PART_MEMBERS
     orders = Orders(counts, frequent)
     classes = made.write(sets.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep")), "near-classes")
     postings = _postings(docs, orders, percent, made)
-    own = sets.join(classes, (sets.cls == classes.cls) & sets.doc.eqNullSafe(classes.rep)).groupBy(classes.cls).agg(F.count("*").alias("rows"))
-    verify = Verifier(docs, classes, orders, percent, made, frequent, not own.where("rows > 1").isEmpty())
+    verify = Verifier(docs, classes, orders, percent, made, frequent)
 
     # 1. the most central member of each list, offered to the others
     centre = postings.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"), F.max("parts").alias("parts"))
@@ -294,10 +293,9 @@ def _possible(percent: int):
 class Verifier:
     """Candidates of order 1 against orders 2 and 3 and then the whole sets; remembers what has been tested, fetched and linked."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, orders: Orders, percent: int, made: Tables, frequent: int = PART_MEMBERS, repeated: bool = True):
-        """repeated: whether a class may have several rows with its smallest id."""
+    def __init__(self, docs: DataFrame, classes: DataFrame, orders: Orders, percent: int, made: Tables, frequent: int = PART_MEMBERS):
         self.docs, self.classes, self.orders, self.percent, self.made, self.frequent = docs, classes, orders, percent, made, frequent
-        self.turn, self.tested, self.whole, self.repeated = 0, None, None, repeated
+        self.turn, self.tested, self.whole = 0, None, None
         self.edges = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def test(self, offers: DataFrame) -> bool:
@@ -348,8 +346,7 @@ class Verifier:
 
         found = texts.mapInArrow(lean(sets), "cls long, n int, second array<int>, third array<int>, bits array<long>, tokens array<long>")
         # rows may share an id with a wanted one, and null ids name no row of their own
-        found = found.join(hint(ids.select("cls")), "cls", "left_semi")
-        found = found.dropDuplicates(["cls"]) if self.repeated else found
+        found = found.join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])  # and the table's writers don't run beside Python
         found = self.made.write(found, f"near-whole-{k}")
         self.whole = found if self.whole is None else self.whole.union(found)
 
