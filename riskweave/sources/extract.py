@@ -31,6 +31,8 @@ PARTS = {
     "bindings": "name string, type string, first int, last int",
 }
 SCANNED = ", ".join(f"{k} array<struct<{v.replace(' ', ':').replace(',:', ',')}>>" for k, v in PARTS.items())
+#: Scanning tasks a core: files differ in length.
+TASKS_A_CORE = 4
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -81,7 +83,8 @@ _READERS = {"script": _script, "java": _java, "python": _python}
 def scanned(documents: DataFrame) -> DataFrame:
     """documents(ord, uri, language_id, lines, ...): each file read once; the columns of documents and the arrays of PARTS.
 
-    Files that can't be read as their language have empty arrays, and so have those of other languages."""
+    Files that can't be read as their language have empty arrays, and so have those of other languages.  A table of many files may be small, and one task's
+    to read, so they are dealt over all cores first."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + f", {SCANNED}"
     kinds = {k: pa.list_(pa.struct([(n, _KINDS[t]) for n, t in (c.split() for c in v.split(", "))])) for k, v in PARTS.items()}
     names = {k: [c.split()[0] for c in v.split(", ")] for k, v in PARTS.items()}
@@ -102,7 +105,12 @@ def scanned(documents: DataFrame) -> DataFrame:
                     made[k].append([dict(zip(names[k], x, strict=True)) for x in found.get(k, [])])
             yield pa.record_batch([*batch.columns, *(pa.array(made[k], kinds[k]) for k in PARTS)], [*batch.schema.names, *PARTS])
 
-    return documents.mapInArrow(read, schema)
+    return dealt(documents).mapInArrow(read, schema)
+
+
+def dealt(documents: DataFrame) -> DataFrame:
+    """The rows of documents(uri, ...) over TASKS_A_CORE tasks a core, for work that takes far longer than reading them."""
+    return documents.repartition(TASKS_A_CORE * documents.sparkSession.sparkContext.defaultParallelism, "uri")
 
 
 def _of(documents: DataFrame) -> DataFrame:

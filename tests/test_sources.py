@@ -214,3 +214,12 @@ def test_many_files_of_one_name(spark):
     assert out.count() == 2000 and out.select("uri").distinct().count() == 2000
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "_h" in line]
     assert joins and all("_h" in j and "_n" in j for j in joins)
+
+
+def test_scanning_is_dealt_over_cores(spark):
+    """A small table of many files is one task's to read, but not to scan."""
+    text = F.split(F.concat(F.lit("function f"), F.col("id").cast("string"), F.lit("() { return 1; }")), "\n")
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("ord"), F.concat(F.lit("file:///m"), F.col("id").cast("string"), F.lit(".ts")).alias("uri"), F.lit("typescript").alias("language_id"), text.alias("lines"))
+    found = extract.functions(docs).select("name", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r["name"] for r in found) == sorted(f"f{k}" for k in range(400))
+    assert len({r["part"] for r in found}) >= spark.sparkContext.defaultParallelism
