@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskweave import model
 from riskweave.functions.text import SCRIPT_LANGUAGES, decoded_path
 from riskweave.sources import tools
+from riskweave.sources.extract import dealt
 from riskweave.sources.tools import run_tool
 
 #: documents -> (cc by line, cc by name)
@@ -54,8 +55,8 @@ BATCH_FILES = 50
 
 
 def tool_reports(documents: DataFrame, program: str, call: tuple[list[str], float], cwd: str | None = None, split: Callable[[str, list[str]], dict[str, str]] | None = None, batch_files: int = BATCH_FILES) -> DataFrame:
-    """documents(uri): uri, path, content, what a tool prints for each file.  The tool runs on the executors, which must see the files; documents
-    that are no files, and files for which it prints nothing, have no row.
+    """documents(uri): uri, path, content, what a tool prints for each file.  The tool runs on the executors, over all their cores, which must see the files;
+    documents that are no files, and files for which it prints nothing, have no row.
 
     With split, which deals what is printed for many files out to them, a process gets batch_files files and as much time for each as for one
     alone; a batch that runs out of time or can't be dealt out is asked again file by file, so that one file can't take the others' reports away.
@@ -81,7 +82,7 @@ def tool_reports(documents: DataFrame, program: str, call: tuple[list[str], floa
                 yield part.assign(content=reports(list(part["path"])))
 
     paths = documents.where(F.col("uri").startswith("file:")).select("uri", decoded_path(F.col("uri")).alias("path"))
-    return paths.mapInPandas(run, "uri string, path string, content string").where("content <> ''")
+    return dealt(paths).mapInPandas(run, "uri string, path string, content string").where("content <> ''")
 
 
 def _json(text: str):

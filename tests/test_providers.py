@@ -131,3 +131,13 @@ def test_reports_are_dealt_out():
     for split, text in ((providers.eslint_split, '[{"messages": []}]'), (providers.eslint_split, "x"), (providers.radon_split, "[]"), (providers.pmd_split, "")):
         with pytest.raises(ValueError):
             split(text, ["/a", "/b"])
+
+
+def test_tools_are_dealt_over_cores(spark, tmp_path):
+    """The files of a table with one partition go to processes of all cores."""
+    echo = tmp_path / "echo.py"
+    echo.write_text("import os, sys\nprint(os.path.basename(sys.argv[1]))\n")
+    docs = spark.range(0, 24, 1, 1).select(F.concat(F.lit("file:///m"), F.col("id").cast("string"), F.lit(".py")).alias("uri"))
+    found = providers.tool_reports(docs, "python3", ([str(echo), "<file>"], 15.0)).select("content", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r["content"].strip() for r in found) == sorted(f"m{k}.py" for k in range(24))
+    assert len({r["part"] for r in found}) >= spark.sparkContext.defaultParallelism
