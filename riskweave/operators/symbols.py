@@ -16,17 +16,23 @@ from riskweave.functions.text import estimated_cc, symbol_id
 PART_PLACES = 50_000
 
 
-def running(rows: DataFrame, key: str, at: str, sums: list[str], part: int = PART_PLACES) -> DataFrame:
-    """rows(key, at, sums...), a row for each key and whole number at: every sum becomes that of the key's rows up to and with at.
-
-    A window holds `part` numbers of a key only, and what its earlier ones sum to, a row each, is added."""
-    dealt = rows.withColumn("_part", F.floor(F.col(at) / part))
-    inner = Window.partitionBy(key, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy(key, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    parts = parts.select(key, "_part", *[F.coalesce(F.sum(f"_{c}").over(outer), F.lit(0)).alias(f"_{c}") for c in sums])
+def running(rows: DataFrame, key: str | list[str], at: str, sums: list[str], part: int = PART_PLACES, asks: str | None = None) -> DataFrame:
+    """rows(key, at, sums..., asks), at being a whole number: every sum becomes that of the key's rows up to and with at; with asks only the rows
+    stay where it isn't null.
+
+    A window holds `part` numbers of a key only, and what its earlier ones sum to, a row each, is added.  Both are made of one exchange."""
+    keys = [key] if isinstance(key, str) else key
+    window = F.floor(F.col(at) / part)
+    dealt = rows.repartition(*keys, window).withColumn("_part", window).where(" and ".join(f"{k} is not null" for k in [*keys, "_part"]))
+    inner = Window.partitionBy(*keys, "_part").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.count(asks) if asks else F.count("*")
+    parts = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums], wanted.alias("_asks"))
+    # first windows have none before them: for files of one window nothing is left to join
+    parts = parts.select(*keys, "_part", "_asks", *[F.sum(f"_{c}").over(outer).alias(f"_{c}") for c in sums]).where(F.col("_asks") > 0).where(F.coalesce(*[F.col(f"_{c}") for c in sums]).isNotNull())
     within = dealt.withColumns({c: F.sum(c).over(inner) for c in sums})
-    return within.join(parts, [key, "_part"]).select(key, at, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
+    within = within if asks is None else within.where(F.col(asks).isNotNull())
+    return within.join(parts.drop("_asks"), [*keys, "_part"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums}).select(*rows.columns)
 
 
 def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0, part: int = PART_PLACES) -> DataFrame:
@@ -35,24 +41,22 @@ def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0,
     A statement counts if its lines overlap the body's, and t is the share of executed ones, else fallback_t within 0 and 1.
 
     No pair of a body and a statement is made.  What overlaps a body are the statements of its file that begin at its last line or before,
-    less those that end before its first line: two numbers that are read off running sums over the lines.  Statements are summed by line
-    before that, and a file's lines are dealt over windows, so neither a long statement nor a file with very many costs more
-    than its rows.  Statements and bodies that end before they begin overlap nothing, nor do those without a file or a line.
-    Several bodies of one id count together.
+    less those that end before its first line: two running sums over the lines, which the bodies read as rows among the statements, so that
+    both are dealt and sorted once.  Statements are summed by their lines before that, and a file's lines are dealt over windows of `part` places,
+    to which what the earlier windows sum to is added, so neither a long statement nor a file with very many costs more than its rows.  Statements
+    and bodies that end before they begin overlap nothing, nor do those without a file or a line.  Several bodies of one id count together.
     """
-    zero, one, hit = F.lit(0).cast("long"), F.lit(1).cast("long"), F.coalesce("executed", F.lit(False)).cast("long")
-    counts = ["begun", "begun_hit", "ended", "ended_hit"]
-    point = lambda at, *values: F.struct(at.alias("at"), *[v.alias(c) for c, v in zip(counts, values or [zero] * 4)])
-    first, last = 2 * F.col("body_start").cast("long") - 1, 2 * F.col("body_end").cast("long")
+    zero = F.lit(0).cast("long")
     # lines are even places, and what ends on a line does so at the odd place behind it
-    begins, ends = point(2 * F.col("start_line").cast("long"), one, hit, zero, zero), point(2 * F.col("end_line").cast("long") + 1, zero, zero, one, hit)
-    marks = statements.where("start_line <= end_line and uri is not null").select("uri", F.inline(F.array(begins, ends)))
-    asking = bodies.where("body_start <= body_end and uri is not null").select("id", "uri", first.alias("first"), last.alias("last"))
-    asked = asking.select("uri", F.inline(F.array(point(F.col("first")), point(F.col("last")))))
-    points = marks.unionByName(asked).groupBy("uri", "at").agg(*[F.sum(c).alias(c) for c in counts])
-    sums = running(points, "uri", "at", counts, part)
-    found = asking.join(sums.select("uri", F.col("at").alias("first"), "ended", "ended_hit"), ["uri", "first"]).join(sums.select("uri", F.col("at").alias("last"), "begun", "begun_hit"), ["uri", "last"])
-    hits = found.groupBy("id").agg(F.sum(F.col("begun") - F.col("ended")).alias("total"), F.sum(F.col("begun_hit") - F.col("ended_hit")).alias("covered"))
+    begin, end = 2 * F.col("start_line").cast("long"), 2 * F.col("end_line").cast("long") + 1
+    first, last = 2 * F.col("body_start").cast("long") - 1, 2 * F.col("body_end").cast("long")
+    lines = statements.where("start_line <= end_line and uri is not null").groupBy("uri", "start_line", "end_line").agg(F.count("*").alias("n"), F.count_if("executed").alias("hit"))
+    marks = lines.select("uri", F.explode(F.array(begin, end)).alias("at"), "n", "hit", F.lit(None).cast(bodies.schema["id"].dataType).alias("id"))
+    asked = bodies.where("body_start <= body_end and uri is not null and id is not null").select("uri", F.explode(F.array(first, last)).alias("at"), zero.alias("n"), zero.alias("hit"), "id")
+    points = marks.unionByName(asked).withColumn("odd", F.col("at").bitwiseAND(1))
+    sums = running(points, ["uri", "odd"], "at", ["n", "hit"], part, "id")
+    signed = lambda c: F.sum((1 - 2 * F.col("odd")) * F.col(c))
+    hits = sums.groupBy("id").agg(signed("n").alias("total"), signed("hit").alias("covered"))
     share = F.when(F.coalesce(F.col("total"), F.lit(0)) > 0, F.col("covered") / F.col("total")).otherwise(M.clamp01(F.lit(float(fallback_t))))
     return bodies.select("id").distinct().join(hits, "id", "left").select("id", F.coalesce("covered", zero).alias("covered"), F.coalesce("total", zero).alias("total"), share.alias("t"))
 

@@ -82,3 +82,14 @@ def test_cursors_in_one_hot_file(spark):
     assert got.count() == n
     assert got.where(line != F.least(F.col("line"), F.lit(2 * n) - F.col("line"), F.lit(n - 1))).count() == 0
     assert symbols.at_cursor(functions.limit(0), metrics, cursors).count() == 0
+
+
+def test_coverage_deals_statements_once(spark):
+    """Statements are read once, and what bodies ask for and what earlier windows sum to come from one exchange of them."""
+    statements = spark.range(200).select(F.lit("x").alias("uri"), (F.col("id") % 2 == 0).alias("executed"), F.col("id").cast("int").alias("start_line"), F.col("id").cast("int").alias("end_line"))
+    found = symbols.coverage(spark.createDataFrame([("a", "x", 10, 19), ("b", "x", 190, 400)], BODIES), statements, 0.0, 50)
+    assert {r["id"]: (r["covered"], r["total"]) for r in found.collect()} == {"a": (5, 10), "b": (5, 10)}
+    final = found._jdf.queryExecution().executedPlan()
+    found._jdf.collectToPython()
+    plan = final.toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("Range (0, 200") == 1
