@@ -47,10 +47,11 @@ class Scratch:
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-        """df with a file for each bucket of key: joins and groups by key with as many shuffle partitions need no exchange of it."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, dealt: bool = False) -> DataFrame:
+        """df with a file for each bucket of key: joins and groups by key with as many shuffle partitions need no exchange of it.  dealt: its
+        partitions are the buckets already."""
         self.tables[name] = table = f"riskweave_{uuid.uuid4().hex}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", self._new(name)).format("parquet").saveAsTable(table)
+        (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", self._new(name)).format("parquet").saveAsTable(table)
         return df.sparkSession.table(table)
 
     def drop(self, *names: str) -> None:
@@ -74,10 +75,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 def placed(df: DataFrame, *by, name: str = "place", first: int = 0) -> DataFrame:
     """Adds each row's place in the order `by`, without gaps.
 
-    Rows are range-partitioned and sorted once; a place is the rows of earlier partitions plus the place in the own one, so that no task
+    Rows are written before they are range-partitioned, which reads them twice, and sorted once; a place is the rows of earlier partitions plus the place in the own one, so that no task
     sees all rows.
     """
-    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
+    dealt = cut(cut(df).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
     part = F.shiftright("_row", 33)
     counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

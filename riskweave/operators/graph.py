@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from riskweave.lineage import Scratch, cut
@@ -76,8 +77,10 @@ def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
 
 #: Edges of a partition, and partitions at most.
 EDGES_PER_PART, MOST_PARTS = 200_000, 20_000
-#: Steps of the first plan; each later one has twice as many, up to `block`.
-FIRST_STEPS = 4
+#: Steps of the first plan; each later one has twice as many, up to `block`.  Few: most edges of a graph without cycles go with the first peel.
+FIRST_STEPS = 2
+#: Up to so many nodes (8 bytes each) that still move are broadcast.
+FEW_NODES = 500_000
 #: Up to so many edges plans are interpreted: compiling twenty steps takes longer than running them.
 FEW_EDGES = 1_000_000
 
@@ -91,15 +94,15 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
 
     A node carries its rank r and its last move d.  Both follow from its callers' by the same sum; what doesn't come from callers, 1 at
     first, is a row (k, k, share 0, add) among the edges.  So a step is one join of the edges, bucketed by caller, and one sum by callee, which is the
-    only exchange; steps are chained to one plan.  A node that no longer moves has a rank that is final, as its callers' are: after each plan
-    these nodes are peeled off with their edges, and what they give is added once to the row of the nodes that they call.  What is left in
-    the end are cycles and what they reach.
+    only exchange; steps are chained to one plan.  Nodes are told by hashes of 64 bits, others where two
+    ids share one.  A node that no longer moves has a rank that is final, as its callers' are: after each plan these nodes are peeled off with their
+    edges, and what they give is added once to the row of the nodes that they call.  What is left in the end are cycles and what they reach.
     """
     if max_iterations < 0 or block < 1:
         raise ValueError("max_iterations must not be negative and block must be positive")
     spark = edges.sparkSession
     made = Scratch(spark)
-    pairs = made.write(edges.select("caller", "callee").where("caller is not null and callee is not null").distinct(), "rank-pairs")
+    pairs = made.write(edges.select("caller", "callee").where("caller is not null and callee is not null"), "rank-pairs")
     total = pairs.count()
     if not max_iterations or not total:
         return node_ids(pairs).select("id", F.lit(1.0).alias("r"))
@@ -108,11 +111,14 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
     for setting, value in {"adaptive.enabled": False, "shuffle.partitions": parts, "codegen.wholeStage": total > FEW_EDGES, "autoBroadcastJoinThreshold": -1}.items():
         own.conf.set(f"spark.sql.{setting}", str(value).lower())
     pairs = own.read.schema(pairs.schema).parquet(made.paths["rank-pairs"])
-    degree = pairs.groupBy(F.col("caller").alias("id")).agg(F.count("*").alias("degree"))
-    names = made.write(node_ids(pairs).join(degree, "id", "left").withColumn("k", F.monotonically_increasing_id()), "rank-names")
-    given = pairs.join(names.select(F.col("id").alias("caller"), "k", (1 / F.col("degree")).alias("share")), "caller")
-    given = given.join(names.select(F.col("id").alias("callee"), F.col("k").alias("v")), "callee").select("k", "v", "share", F.lit(0.0).alias("add"))
-    given = made.bucketed(given.unionByName(names.select("k", F.col("k").alias("v"), F.lit(0.0).alias("share"), F.lit(1.0).alias("add"))), "k", parts, "rank-edges-0")
+    names, seed = _hashed_names(made, pairs)
+    rows = pairs.select(node_hash("caller", seed).alias("k"), node_hash("callee", seed).alias("v"), F.lit(0.0).alias("add"))
+    rows = rows.unionByName(names.select("k", F.col("k").alias("v"), F.lit(1.0).alias("add"))).repartition(parts, "k")
+    # repeated edges stand side by side, so that the one exchange and one sort serve for leaving them out and for counting callees
+    before = F.lag("v").over(Window.partitionBy("k").orderBy("add", "v"))
+    rows = rows.withColumn("_before", F.when(F.col("add") == 0, before)).where("_before is null or _before <> v")
+    share = F.when(F.col("add") == 0, 1 / F.count_if(F.col("add") == 0).over(Window.partitionBy("k"))).otherwise(0.0)
+    given = made.bucketed(rows.select("k", "v", share.alias("share"), "add"), "k", parts, "rank-edges-0", dealt=True)
     state, settled, done, size, moving, last = names.select("k", F.lit(1.0).alias("r"), F.lit(1.0).alias("d")), {}, 0, FIRST_STEPS, None, None
     while done < max_iterations:
         steps = min(size, block, max_iterations - done)
@@ -128,9 +134,12 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
             break
         if done < max_iterations and left != moving:  # peel
             rest, over = state.where("d > 0"), state.where("d = 0").select("k", "r")
-            gain = given.join(over, "k").groupBy(F.col("v").alias("k")).agg(F.sum(F.col("share") * F.col("r")).alias("gain"))
+            # what still moves is mostly little of the graph: edges that lead elsewhere go before they are summed
+            moves = F.broadcast(rest.select("k")) if left <= FEW_NODES else rest.select("k").hint("shuffle_hash")
+            inner = given.join(moves.withColumnRenamed("k", "v"), "v", "left_semi") if left <= FEW_NODES else given
+            gain = inner.join(over.hint("shuffle_hash"), "k").groupBy(F.col("v").alias("k")).agg(F.sum(F.col("share") * F.col("r")).alias("gain"))
             add = F.when(F.col("share") == 0, F.col("add") + F.coalesce("gain", F.lit(0.0))).otherwise(F.col("add")).alias("add")
-            given = made.bucketed(given.join(rest.select("k"), "k", "left_semi").join(gain, "k", "left").select("k", "v", "share", add), "k", parts, f"rank-edges-{done}")
+            given = made.bucketed(given.join(moves, "k", "left_semi").join(gain, "k", "left").select("k", "v", "share", add), "k", parts, f"rank-edges-{done}")
             made.drop(*[x for x in list(made.tables) if x != f"rank-edges-{done}"])
             state, settled[name], moving = rest, over, left
     ranks = state.select("k", "r")
@@ -141,6 +150,19 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
     return spark.read.schema(out.schema).parquet(made.paths["rank"])
 
 
+def node_hash(id_: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_))
+
+
+def _hashed_names(made: Scratch, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, k) of all nodes, k being a hash that tells them apart, and its seed."""
+    ids = made.write(node_ids(pairs), "rank-ids")
+    for seed in itertools.count():
+        names = ids.select("id", node_hash("id", seed).alias("k"))
+        if names.groupBy("k").count().where("count > 1").isEmpty():
+            return names, seed
+
+
 def stepped(given: DataFrame, state: DataFrame) -> DataFrame:
     """(k, r, d) one step on, along given(k, v, share, add)."""
     r, d = F.sum(F.col("r") * F.col("share") + F.col("add")), F.sum(F.col("d") * F.col("share"))

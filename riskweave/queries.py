@@ -59,11 +59,16 @@ def supply_parts(spark: SparkSession, d: str) -> list[DataFrame]:
     ]
 
 
-def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+def supply_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the supply graph with repetitions, which a rank leaves out itself."""
     first, *rest = supply_parts(spark, d)
     for more in rest:
         first = first.unionByName(more)
-    return first.distinct()
+    return first
+
+
+def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+    return supply_purchases(spark, d).distinct()
 
 
 SUPPLY = """
@@ -90,7 +95,7 @@ def rank_ctes(edges: str, steps: int) -> str:
 
 @registered(f"WITH {rank_ctes(SUPPLY, 6)} SELECT id, {q4('r')} AS r FROM r6")
 def rank_dag(spark, d):
-    return graph.rank(supply_edges(spark, d)).select("id", r4(F.col("r")).alias("r"))
+    return graph.rank(supply_purchases(spark, d)).select("id", r4(F.col("r")).alias("r"))
 
 
 @registered(f"WITH e AS ({SUPPLY}) SELECT caller, count(DISTINCT callee) AS degree FROM e GROUP BY 1")
@@ -185,7 +190,7 @@ def part_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.symbol_metrics(part_symbols(spark, d), graph.rank(supply_edges(spark, d)))
+    return symbols.symbol_metrics(part_symbols(spark, d), graph.rank(supply_purchases(spark, d)))
 
 
 def churn_counts(spark: SparkSession, d: str) -> DataFrame:

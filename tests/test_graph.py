@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.operators import callers, graph
 
@@ -231,3 +232,24 @@ def test_compact_tree_of_many_paths(spark):
     assert len(rows) == 120 and sum(int(r["n"]) for r in rows if r["depth"] == 12) == 10**12 and sum(int(r["n"]) for r in rows if r["depth"] == 1) == 10
     size = callers.layout_size(callers.level_sizes(found)).first()
     assert (size["width"], size["height"]) == (200 + (10.0**12 - 1) * 220, 200 + 12 * 140)
+
+
+def test_rank_tells_nodes_apart_whose_hashes_are_equal(spark, monkeypatch):
+    """Another hash is taken where two ids share one; repeated edges count once whichever it is."""
+    real = graph.node_hash
+    monkeypatch.setattr(graph, "node_hash", lambda id_, seed: F.length(id_).cast("long") if seed < 2 else real(id_, seed))
+    pairs = [("a", "b"), ("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("c", "c")]
+    assert ranks(spark, pairs, max_iterations=5) == pytest.approx(plain_rank(pairs, 5, 1e-6))
+
+
+def test_rank_deals_edges_once(spark, monkeypatch):
+    """Edges are bucketed from one exchange, by their callers: no joins with names, no exchange for leaving out repetitions."""
+    plans, bucketed = [], graph.Scratch.bucketed
+
+    def watched(self, df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return bucketed(self, df, *args, **options)
+
+    monkeypatch.setattr(graph.Scratch, "bucketed", watched)
+    assert {r["id"]: r["r"] for r in graph.rank(edges(spark, [("a", "b"), ("a", "b"), ("b", "c")])).collect()} == {"a": 1, "b": 2, "c": 3}
+    assert plans[0].count("Exchange") == 1 and "Join" not in plans[0]
