@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What goes to a Python worker at once: the JVM and the worker hold a batch several times, for each core.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession):
+    """Jobs that run meanwhile send batches of about BATCH_BYTES to Python."""
+    return setting(spark, BATCH, str(BATCH_BYTES))
+
+
 class Tables:
     """Tables in the shared folder that a computation drops itself as soon as it needs them no more."""
 
@@ -74,12 +91,8 @@ class Tables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table; a table of the same name is forgotten but stays until the driver's Python ends."""
         path = scratch(self.spark, name)
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")  # Spark removes the shuffle files of this write at its end
-        try:
+        with setting(self.spark, CLEANUP, "true"), small_batches(self.spark):  # Spark removes the shuffle files of this write at its end
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -106,3 +106,21 @@ def test_one_stored_index_answers_for_any_items(spark):
     whole = decontaminate.decontaminate(df, spark.createDataFrame(items, ITEMS), item_words=25).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in whole if r["doc_id"] != 77), key=str) == brute(short, items)
     assert [(r["n_words"], 5 in r["item_ids"]) for r in whole if r["doc_id"] == 77] == [(60_002, True)]
+
+
+def test_batches_for_python_are_small(spark):
+    """Tables are written with batches of bounded bytes, as index blocks are large; the session's setting stays as it was."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from riskweave.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("b"))
+    before = spark.conf.get(common.BATCH)
+    found = common.written(rows.mapInArrow(sizes, "n long"), "sizes")
+    assert found.agg(F.max("n")).first()[0] <= common.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get(common.BATCH) == before
