@@ -16,14 +16,17 @@ from riskweave.functions.text import estimated_cc, symbol_id
 PART_PLACES = 50_000
 
 
-def running(rows: DataFrame, key: str | list[str], at: str, sums: list[str], part: int = PART_PLACES, asks: str | None = None) -> DataFrame:
+def running(rows: DataFrame, key: str | list[str], at: str, sums: list[str] | dict[str, Column], part: int = PART_PLACES, asks: str | None = None) -> DataFrame:
     """rows(key, at, sums..., asks), at being a whole number: every sum becomes that of the key's rows up to and with at; with asks only the rows
-    stay where it isn't null.
+    stay where it isn't null.  Sums may be made of other columns, as name: column, which is done after the exchange.
 
     A window holds `part` numbers of a key only, and what its earlier ones sum to, a row each, is added.  Both are made of one exchange."""
     keys = [key] if isinstance(key, str) else key
     window = F.floor(F.col(at) / part)
-    dealt = rows.repartition(*keys, window).withColumn("_part", window).where(" and ".join(f"{k} is not null" for k in [*keys, "_part"]))
+    dealt = rows.repartition(*keys, window)
+    dealt = dealt.withColumns(sums) if isinstance(sums, dict) else dealt
+    columns = dealt.columns
+    dealt = dealt.withColumn("_part", window).where(" and ".join(f"{k} is not null" for k in [*keys, "_part"]))
     inner = Window.partitionBy(*keys, "_part").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.count(asks) if asks else F.count("*")
@@ -32,7 +35,7 @@ def running(rows: DataFrame, key: str | list[str], at: str, sums: list[str], par
     parts = parts.select(*keys, "_part", "_asks", *[F.sum(f"_{c}").over(outer).alias(f"_{c}") for c in sums]).where(F.col("_asks") > 0).where(F.coalesce(*[F.col(f"_{c}") for c in sums]).isNotNull())
     within = dealt.withColumns({c: F.sum(c).over(inner) for c in sums})
     within = within if asks is None else within.where(F.col(asks).isNotNull())
-    return within.join(parts.drop("_asks"), [*keys, "_part"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums}).select(*rows.columns)
+    return within.join(parts.drop("_asks"), [*keys, "_part"], "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums}).select(*columns)
 
 
 def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0, part: int = PART_PLACES) -> DataFrame:
@@ -41,22 +44,22 @@ def coverage(bodies: DataFrame, statements: DataFrame, fallback_t: float = 0.0,
     A statement counts if its lines overlap the body's, and t is the share of executed ones, else fallback_t within 0 and 1.
 
     No pair of a body and a statement is made.  What overlaps a body are the statements of its file that begin at its last line or before,
-    less those that end before its first line: two running sums over the lines, which the bodies read as rows among the statements, so that
-    both are dealt and sorted once.  Statements are summed by their lines before that, and a file's lines are dealt over windows of `part` places,
+    less those that end before its first line: running sums over the lines, which the bodies read as rows among the statements.  A statement goes
+    through one exchange, as one row, or two if it ends on another line than it begins.  A file's lines are dealt over windows of `part` lines,
     to which what the earlier windows sum to is added, so neither a long statement nor a file with very many costs more than its rows.  Statements
     and bodies that end before they begin overlap nothing, nor do those without a file or a line.  Several bodies of one id count together.
     """
-    zero = F.lit(0).cast("long")
-    # lines are even places, and what ends on a line does so at the odd place behind it
-    begin, end = 2 * F.col("start_line").cast("long"), 2 * F.col("end_line").cast("long") + 1
-    first, last = 2 * F.col("body_start").cast("long") - 1, 2 * F.col("body_end").cast("long")
-    lines = statements.where("start_line <= end_line and uri is not null").groupBy("uri", "start_line", "end_line").agg(F.count("*").alias("n"), F.count_if("executed").alias("hit"))
-    marks = lines.select("uri", F.explode(F.array(begin, end)).alias("at"), "n", "hit", F.lit(None).cast(bodies.schema["id"].dataType).alias("id"))
-    asked = bodies.where("body_start <= body_end and uri is not null and id is not null").select("uri", F.explode(F.array(first, last)).alias("at"), zero.alias("n"), zero.alias("hit"), "id")
-    points = marks.unionByName(asked).withColumn("odd", F.col("at").bitwiseAND(1))
-    sums = running(points, ["uri", "odd"], "at", ["n", "hit"], part, "id")
-    signed = lambda c: F.sum((1 - 2 * F.col("odd")) * F.col(c))
-    hits = sums.groupBy("id").agg(signed("n").alias("total"), signed("hit").alias("covered"))
+    zero, line = F.lit(0).cast("long"), lambda c: F.col(c).cast("long")
+    # a row has one small number until it is dealt: what begins or ends on its line, whether that was executed, or which end of a body asks
+    begins, ends, hit, last, first = 1, 2, 4, 8, 16
+    row = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    marks = statements.where("start_line <= end_line and uri is not null").withColumn("_m", F.when(F.col("start_line") == F.col("end_line"), F.array(row(line("start_line"), begins | ends))).otherwise(F.array(row(line("start_line"), begins), row(line("end_line"), ends))))
+    marks = marks.select("uri", F.explode("_m").alias("_m"), F.when(F.col("executed"), hit).otherwise(0).alias("hit")).select("uri", "_m.at", (F.col("_m.kind") + F.col("hit")).alias("kind"), F.lit(None).cast(bodies.schema["id"].dataType).alias("id"))
+    asked = bodies.where("body_start <= body_end and uri is not null and id is not null").select("uri", F.explode(F.array(row(line("body_end"), last), row(line("body_start") - 1, first))).alias("_m"), "id").select("uri", "_m.at", "_m.kind", "id")
+    marked = lambda bits: (F.col("kind").bitwiseAND(bits) == bits).cast("long")
+    sums = running(marks.unionByName(asked), "uri", "at", {"begun": marked(begins), "begun_hit": marked(begins | hit), "over": marked(ends), "over_hit": marked(ends | hit)}, part, "id")
+    within = lambda plus, less: F.sum(F.when(F.col("kind") == last, F.col(plus)).otherwise(-F.col(less)))
+    hits = sums.groupBy("id").agg(within("begun", "over").alias("total"), within("begun_hit", "over_hit").alias("covered"))
     share = F.when(F.coalesce(F.col("total"), F.lit(0)) > 0, F.col("covered") / F.col("total")).otherwise(M.clamp01(F.lit(float(fallback_t))))
     return bodies.select("id").distinct().join(hits, "id", "left").select("id", F.coalesce("covered", zero).alias("covered"), F.coalesce("total", zero).alias("total"), share.alias("t"))
 

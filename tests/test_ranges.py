@@ -42,6 +42,17 @@ def test_long_statement_and_large_file(spark):
     assert points.withColumn("_part", F.floor(F.col("at") / 1000)).groupBy("_part").count().agg(F.max("count")).first()[0] == 1000
 
 
+def test_coverage_deals_a_statement_once(spark, tmp_path):
+    """One row and one exchange for a statement on a line; two rows where it ends on another."""
+    rows = [("x", k % 2 == 0, k, k) for k in range(1000)] + [("x", True, 5, 900)]
+    spark.createDataFrame(rows, STATEMENTS).write.parquet(str(tmp_path / "s"))
+    found = symbols.coverage(spark.createDataFrame([("a", "x", 10, 19), ("b", "x", 950, 1100)], BODIES), spark.read.parquet(str(tmp_path / "s")))
+    assert {r["id"]: (r["covered"], r["total"]) for r in found.collect()} == {"a": (6, 11), "b": (25, 50)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [uri") == 2  # the windows and what comes before them, which is one exchange that is used twice
+    assert not any("start_line" in x for x in plan.splitlines() if "Aggregate [" in x)
+
+
 def all_pairs(functions, known, cursors):
     out = {}
     for uri, line in cursors:
