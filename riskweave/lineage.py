@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Of tables that are as large as the input.
+CODEC = "zstd"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,16 +44,17 @@ class Scratch:
         atexit.register(_remove, self.spark, path)
         return path
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+        """df as a table, with so many rows a file at most if a number is given."""
         path = self._new(name)
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path, compression=CODEC)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, dealt: bool = False) -> DataFrame:
         """df with a file for each bucket of key: joins and groups by key with as many shuffle partitions need no exchange of it.  dealt: its
         partitions are the buckets already."""
         self.tables[name] = table = f"riskweave_{uuid.uuid4().hex}"
-        (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", self._new(name)).format("parquet").saveAsTable(table)
+        (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("compression", CODEC).option("path", self._new(name)).format("parquet").saveAsTable(table)
         return df.sparkSession.table(table)
 
     def drop(self, *names: str) -> None:

@@ -75,8 +75,9 @@ def direct_callers(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("callee") == symbol).select("ord", "caller")
 
 
-#: Edges of a partition, and partitions at most.
-EDGES_PER_PART, MOST_PARTS = 200_000, 20_000
+#: Edges of a partition where all cores have four, else up to so many more; and partitions at most.  A step deals from each partition to each, so
+#: partitions of a fixed small size make for as many blocks as the square of the edges, and sum little before the exchange.
+EDGES_PER_PART, MOST_EDGES_PER_PART, MOST_PARTS = 200_000, 1_000_000, 20_000
 #: Steps of the first plan; each later one has twice as many, up to `block`.  Few: most edges of a graph without cycles go with the first peel.
 FIRST_STEPS = 2
 #: Up to so many nodes (8 bytes each) that still move are broadcast.
@@ -92,33 +93,34 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
     first step after which no rank has moved by epsilon or more is the last.  Nothing damps the ranks, so they grow in
     cycles for as long as there are iterations.  Edges with a null end are none.
 
-    A node carries its rank r and its last move d.  Both follow from its callers' by the same sum; what doesn't come from callers, 1 at
-    first, is a row (k, k, share 0, add) among the edges.  So a step is one join of the edges, bucketed by caller, and one sum by callee, which is the
-    only exchange; steps are chained to one plan.  Nodes are told by hashes of 64 bits, others where two
-    ids share one.  A node that no longer moves has a rank that is final, as its callers' are: after each plan these nodes are peeled off with their
-    edges, and what they give is added once to the row of the nodes that they call.  What is left in the end are cycles and what they reach.
+    A node carries its rank r and its last move d, 1 at first.  Its next move is the sum of its callers' moves over their callees, and its
+    rank grows by it, so a caller that no longer moves has nothing to send.  A node's own rank comes back to it by a row (k, k, share 0) among the
+    edges.  So a step is one join of the edges, bucketed by caller, and one sum by callee, which is the only exchange; steps are chained to one plan.
+    Nodes are told by hashes of 64 bits, others where two ids share one.  Once a node doesn't move its rank is final, as its callers' are: after
+    each plan these nodes are peeled off with their edges.  What is left in the end are cycles and what they reach.
     """
     if max_iterations < 0 or block < 1:
         raise ValueError("max_iterations must not be negative and block must be positive")
     spark = edges.sparkSession
     made = Scratch(spark)
-    pairs = made.write(edges.select("caller", "callee").where("caller is not null and callee is not null"), "rank-pairs")
+    pairs = made.write(edges.select("caller", "callee").where("caller is not null and callee is not null"), "rank-pairs", MOST_EDGES_PER_PART)
     total = pairs.count()
     if not max_iterations or not total:
         return node_ids(pairs).select("id", F.lit(1.0).alias("r"))
-    parts = min(MOST_PARTS, math.ceil(total / EDGES_PER_PART))
+    parts = partitions(total, spark.sparkContext.defaultParallelism)
     own = spark.newSession()  # for settings of its own
-    for setting, value in {"adaptive.enabled": False, "shuffle.partitions": parts, "codegen.wholeStage": total > FEW_EDGES, "autoBroadcastJoinThreshold": -1}.items():
+    # a task reads one file of the pairs or a few small ones, so that it can sort them in memory
+    for setting, value in {"files.maxPartitionBytes": 8 << 20, "adaptive.enabled": False, "shuffle.partitions": parts, "codegen.wholeStage": total > FEW_EDGES, "autoBroadcastJoinThreshold": -1}.items():
         own.conf.set(f"spark.sql.{setting}", str(value).lower())
     pairs = own.read.schema(pairs.schema).parquet(made.paths["rank-pairs"])
     names, seed = _hashed_names(made, pairs)
-    rows = pairs.select(node_hash("caller", seed).alias("k"), node_hash("callee", seed).alias("v"), F.lit(0.0).alias("add"))
-    rows = rows.unionByName(names.select("k", F.col("k").alias("v"), F.lit(1.0).alias("add"))).repartition(parts, "k")
+    rows = pairs.select(node_hash("caller", seed).alias("k"), node_hash("callee", seed).alias("v"))
+    rows = rows.unionByName(names.select("k", F.lit(None).cast("long").alias("v"))).sortWithinPartitions("k").repartition(parts, "k")  # equal callers side by side: they compress
     # repeated edges stand side by side, so that the one exchange and one sort serve for leaving them out and for counting callees
-    before = F.lag("v").over(Window.partitionBy("k").orderBy("add", "v"))
-    rows = rows.withColumn("_before", F.when(F.col("add") == 0, before)).where("_before is null or _before <> v")
-    share = F.when(F.col("add") == 0, 1 / F.count_if(F.col("add") == 0).over(Window.partitionBy("k"))).otherwise(0.0)
-    given = made.bucketed(rows.select("k", "v", share.alias("share"), "add"), "k", parts, "rank-edges-0", dealt=True)
+    before = F.lag("v").over(Window.partitionBy("k").orderBy("v"))
+    rows = rows.withColumn("_before", before).where("v is null or _before is null or _before <> v")
+    share = F.when(F.col("v").isNotNull(), 1 / F.count("v").over(Window.partitionBy("k"))).otherwise(0.0)
+    given = made.bucketed(rows.select("k", F.coalesce("v", "k").alias("v"), share.alias("share")), "k", parts, "rank-edges-0", dealt=True)
     state, settled, done, size, moving, last = names.select("k", F.lit(1.0).alias("r"), F.lit(1.0).alias("d")), {}, 0, FIRST_STEPS, None, None
     while done < max_iterations:
         steps = min(size, block, max_iterations - done)
@@ -134,12 +136,8 @@ def rank(edges: DataFrame, max_iterations: int = 100, epsilon: float = 1e-6, blo
             break
         if done < max_iterations and left != moving:  # peel
             rest, over = state.where("d > 0"), state.where("d = 0").select("k", "r")
-            # what still moves is mostly little of the graph: edges that lead elsewhere go before they are summed
             moves = F.broadcast(rest.select("k")) if left <= FEW_NODES else rest.select("k").hint("shuffle_hash")
-            inner = given.join(moves.withColumnRenamed("k", "v"), "v", "left_semi") if left <= FEW_NODES else given
-            gain = inner.join(over.hint("shuffle_hash"), "k").groupBy(F.col("v").alias("k")).agg(F.sum(F.col("share") * F.col("r")).alias("gain"))
-            add = F.when(F.col("share") == 0, F.col("add") + F.coalesce("gain", F.lit(0.0))).otherwise(F.col("add")).alias("add")
-            given = made.bucketed(given.join(moves, "k", "left_semi").join(gain, "k", "left").select("k", "v", "share", add), "k", parts, f"rank-edges-{done}")
+            given = made.bucketed(given.join(moves, "k", "left_semi"), "k", parts, f"rank-edges-{done}", dealt=True)
             made.drop(*[x for x in list(made.tables) if x != f"rank-edges-{done}"])
             state, settled[name], moving = rest, over, left
     ranks = state.select("k", "r")
@@ -163,10 +161,17 @@ def _hashed_names(made: Scratch, pairs: DataFrame) -> tuple[DataFrame, int]:
             return names, seed
 
 
+def partitions(edges: int, cores: int) -> int:
+    """How many partitions so many edges are dealt over."""
+    return min(MOST_PARTS, max(min(math.ceil(edges / EDGES_PER_PART), 4 * cores), math.ceil(edges / MOST_EDGES_PER_PART)))
+
+
 def stepped(given: DataFrame, state: DataFrame) -> DataFrame:
-    """(k, r, d) one step on, along given(k, v, share, add)."""
-    r, d = F.sum(F.col("r") * F.col("share") + F.col("add")), F.sum(F.col("d") * F.col("share"))
-    return given.join(state.hint("shuffle_hash"), "k").groupBy(F.col("v").alias("k")).agg(r.alias("r"), d.alias("d"))
+    """(k, r, d) one step on, along given(k, v, share): edges from nodes that don't move send nothing."""
+    own = F.sum(F.when(F.col("share") == 0, F.col("r")))
+    sent = given.join(state.hint("shuffle_hash"), "k").where("share = 0 or d > 0")
+    sums = sent.groupBy(F.col("v").alias("k")).agg(own.alias("own"), F.sum(F.col("d") * F.col("share")).alias("d"))
+    return sums.select("k", (F.col("own") + F.col("d")).alias("r"), "d")
 
 
 def _steps(made: Scratch, given: DataFrame, state: DataFrame, steps: int, name: str) -> tuple[DataFrame, list[float], int]:

@@ -253,3 +253,29 @@ def test_rank_deals_edges_once(spark, monkeypatch):
     monkeypatch.setattr(graph.Scratch, "bucketed", watched)
     assert {r["id"]: r["r"] for r in graph.rank(edges(spark, [("a", "b"), ("a", "b"), ("b", "c")])).collect()} == {"a": 1, "b": 2, "c": 3}
     assert plans[0].count("Exchange") == 1 and "Join" not in plans[0]
+
+
+def test_rank_settled_nodes_send_nothing(spark):
+    """A node that doesn't move keeps its rank by its own row, and its edges don't reach the exchange."""
+    given = spark.createDataFrame([(0, 0, 0.0), (1, 1, 0.0), (2, 2, 0.0), (0, 1, 0.5), (0, 2, 0.5), (1, 2, 1.0)], "k long, v long, share double")
+    state = spark.createDataFrame([(0, 1.0, 0.0), (1, 1.5, 0.5), (2, 2.5, 1.5)], "k long, r double, d double")
+    assert {tuple(r) for r in graph.stepped(given, state).collect()} == {(0, 1.0, 0.0), (1, 1.5, 0.0), (2, 3.0, 0.5)}
+
+
+def test_rank_partitions_grow_slower_than_their_square(spark):
+    """Cores are busy with few edges; a hundred times the edges aren't ten thousand times the blocks of an exchange."""
+    assert [graph.partitions(n, 12) for n in (1, 7_200_000, 72_000_000, 432_000_000)] == [1, 36, 72, 432]
+
+
+def test_rank_moves_no_edges_when_peeling(spark, monkeypatch):
+    """What is left after a peel stays in its buckets, and what the peeled nodes give isn't summed again."""
+    plans, bucketed = [], graph.Scratch.bucketed
+
+    def watched(self, df, key, buckets, name, dealt=False):
+        plans.append((dealt, df._jdf.queryExecution().executedPlan().toString()))
+        return bucketed(self, df, key, buckets, name, dealt)
+
+    monkeypatch.setattr(graph.Scratch, "bucketed", watched)
+    pairs = [(f"c{k}", f"c{k + 1}") for k in range(9)]
+    assert {r["id"]: r["r"] for r in graph.rank(edges(spark, pairs)).collect()} == {f"c{k}": k + 1 for k in range(10)}
+    assert len(plans) > 1 and all(dealt and "Exchange hashpartitioning" not in plan and "Aggregate" not in plan for dealt, plan in plans[1:])
