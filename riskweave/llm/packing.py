@@ -28,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, lean, written
@@ -94,15 +95,16 @@ class WordIds:
             self.words = {"": b""}
         if len(self.runs) + len(words) > self.limit:
             self.runs = {}
+        letters = [w for w in words if w.isascii() and w.isalpha()]
         plain, other = [], []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                plain.append((w, w.lower(), ""))
-            elif (m := _PLAIN.fullmatch(w)) and not _marked(m[2]):
+        for w in set(words).difference(letters):
+            if (m := _PLAIN.fullmatch(w)) and not _marked(m[2]):
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
-        self._learn_runs(list({run for _, run, _ in plain if run not in self.runs}))
+        lower = [w.lower() for w in letters]
+        self._learn_runs(list(set(lower).union(run for _, run, _ in plain).difference(self.runs)))
+        self.words.update(zip(letters, map(self.runs.__getitem__, lower)))
         for w, run, tail in plain:
             if tail and tail not in self.runs:
                 self.runs[tail] = self._one(tail)
@@ -111,16 +113,28 @@ class WordIds:
             self.words[w] = self._one(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        asked = set().union(*split)
-        new = asked - self.words.keys()
-        if new:
-            self._learn(list(asked if len(self.words) + len(new) > self.limit else new))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
-
-
-def _groups(texts: list[str | None], characters: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+        """The ids of each text; null counts as empty.  Words are looked up once each, and their ids are gathered by number."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        asked, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        packed = list(map(self.words.get, asked))
+        missing = [i for i, x in enumerate(packed) if x is None]
+        if missing:
+            whole = len(self.words) + len(missing) > self.limit
+            self._learn(asked if whole else [asked[i] for i in missing])
+            for i in range(len(asked)) if whole else missing:
+                packed[i] = self.words[asked[i]]
+        ids, many = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first, length = (np.cumsum(many) - many)[at], many[at]
+        end = np.cumsum(length)
+        out = ids[np.repeat(first - end + length, length) + np.arange(end[-1])]
+        cuts = np.concatenate([[0], end])[split.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in itertools.pairwise(cuts.tolist())]
+
+
+def _groups(texts: list[str | None], characters: int = 3_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in groups of about so many characters, with the number of the first, so that few words are held at once."""
     first, size = 0, 0
     for i, text in enumerate(texts):
@@ -154,7 +168,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             columns = [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(lean(pieces), "doc long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(pieces, 2000), "doc long, piece int, start long, length long, ids_crc32 long")
 
 
 Link = tuple[int, int, int, int, int]
@@ -262,7 +276,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         order = F.col("value").desc(), F.col("slot").desc(), F.col("id"), F.col("k")
         found = made.write(_sweep(rows.repartitionByRange(*order).sortWithinPartitions(*order)), f"pack-swept-{turn}")
         # 2. the same sweep across partitions: three rows a partition
-        counted = {(r["part"], r["what"]): r for r in found.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("length").alias("low"), F.max("length").alias("high")).collect()}
+        counted = {(r["part"], r["what"]): r for r in found.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("length").alias("low"), F.max("length").alias("high"), F.sum("length").alias("tokens")).collect()}
         parts, left = sorted({p for p, _ in counted}), {k: r["n"] for k, r in counted.items()}
         links = across([(p, left.get((p, "d"), 0), left.get((p, "s"), 0)) for p in parts])
         first = dict.fromkeys(parts, 0)
@@ -277,19 +291,21 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         before = F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), zero)
         inside = taken.withColumn("before", before).withColumn("more", F.sum("length").over(Window.partitionBy("seq")))
         now = gaps.join(inside, "seq", "left")
+        rest = sum(left.get((p, "d"), 0) - first[p] for p in parts)
+        shortest = min([counted[p, "d"]["low"] for p in parts if left.get((p, "d"), 0) > first[p]], default=capacity)
         news = F.array(F.struct(F.lit(True).alias("piece"), "rid", (F.col("used") + F.col("before")).alias("at")), F.when(F.coalesce("before", zero) == 0, F.struct(F.lit(False).alias("piece"), F.lit(None).cast("long").alias("rid"), (F.col("used") + F.coalesce("more", zero)).alias("at"))))
-        state = made.write(now.select("seq", F.explode(news).alias("x")).where("x is not null and (x.rid is not null or not x.piece)").select("seq", "x.*"), f"pack-state-{turn}")
+        # what was put where, and what room is left for the pieces that wait on, is summed while the table is written: no further job a round
+        sums, gap = Observation(), F.when(~F.col("piece"), capacity - F.col("at"))
+        filled = F.sum(F.when(F.col("piece"), F.col("length"))).alias("filled"), F.sum(F.when(gap >= shortest, gap)).alias("room")
+        state = now.select("seq", "length", F.explode(news).alias("x")).where("x is not null and (x.rid is not null or not x.piece)").select("seq", "length", "x.*")
+        state = made.write(state.observe(sums, *filled).drop("length"), f"pack-state-{turn}")
         gaps = state.where(f"not piece and at < {capacity}").select("seq", F.col("at").alias("used"))
         placed = placed.unionByName(state.where("piece").select("rid", F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
         # 4. the pieces that wait on, and those that open sequences
-        rest = sum(left.get((p, "d"), 0) - first[p] for p in parts)
         if not rest:
             break
-        shortest = min(counted[p, "d"]["low"] for p in parts if left.get((p, "d"), 0) > first[p])
-        room = gaps.where(capacity - F.col("used") >= shortest).agg(F.coalesce(F.sum(capacity - F.col("used")), zero)).first()[0]
-        starts = spark.createDataFrame(list(first.items()), "part long, first long")
-        tokens = pieces_left.join(F.broadcast(starts), "part").where("place >= first").agg(F.sum("length")).first()[0]
-        need = needed(tokens, rest, room, rest < many, capacity)
+        tokens = sum(r["tokens"] or 0 for r in counted.values()) - (sums.get["filled"] or 0)
+        need = needed(tokens, rest, sums.get["room"] or 0, rest < many, capacity)
         cut = opening([(p, first[p], left.get((p, "d"), 0)) for p in parts], need)
         cuts = spark.createDataFrame(cut, "part long, first long, end long")
         tail = pieces_left.select("part", "place", "rid", "length").join(F.broadcast(cuts), "part")

@@ -150,6 +150,24 @@ def test_best_fit(spark, coalesced):
     assert len(held) <= 1.02 * best_fit_decreasing(lengths, 100) + 1
 
 
+def test_rounds_run_no_job_for_room_and_tokens(spark, monkeypatch):
+    """What waits and what room is left is summed by the jobs that write a round's tables, and is right."""
+    rng = random.Random(9)
+    lengths = [rng.randint(1, 60) for _ in range(800)]
+    asked, needed, firsts = [], packing.needed, []
+    monkeypatch.setattr(packing, "needed", lambda tokens, pieces, room, placed, capacity: asked.append((tokens, pieces, room)) or needed(tokens, pieces, room, placed, capacity))
+    kind = type(spark.range(0))
+    real = kind.first
+    monkeypatch.setattr(kind, "first", lambda self: firsts.append(self) or real(self))
+    placed = packing.best_fit(spark.createDataFrame(list(enumerate(lengths)), "rid long, length long"), 100)
+    assert len(asked) > 1 and len(firsts) == 1
+    assert sorted(r["rid"] for r in placed.collect()) == list(range(800))
+    short = [x for x in lengths if x <= 50]
+    tokens, pieces, room = asked[0]
+    opened = [x for x in lengths if x > 50]
+    assert 0 < tokens <= sum(short) and pieces < len(short) and 0 <= room <= sum(100 - x for x in opened) - (sum(short) - tokens)
+
+
 def test_bad_lengths(spark):
     pieces = spark.createDataFrame([(1, 11)], "rid long, length long")
     assert packing.best_fit(pieces.limit(0), 10).count() == 0
