@@ -68,6 +68,21 @@ def corpus(n, seed=0):
     return out
 
 
+def test_labelling_has_the_states_of_training():
+    net = language_id.BiGRU(["a", "b"], 4)
+    for k in ("cf", "cb"):
+        net.p[k] += 0.3
+    x = np.random.default_rng(1).integers(0, 256, (6, 40)).astype(np.uint8)
+    for d in "fb":
+        np.testing.assert_allclose(net._states(x.T, d), net._run(x.T, d, []), atol=1e-5)
+    one_length = net.label(x)
+    several = net.label(np.concatenate([x, x]), np.array([40] * 6 + [25] * 6))
+    np.testing.assert_allclose(one_length, several[:, :6], atol=1e-5)
+    net.p["xf"] *= 1e4  # exponentials overflow
+    states = net._states(x.T, "f")
+    assert np.isfinite(states).all() and np.abs(states).max() <= 1
+
+
 def test_held_out_accuracy(spark):
     rows = corpus(240)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", language_id.held_out()).withColumn("score_", F.lit(1))
