@@ -66,6 +66,13 @@ def test_set_algebra():
     assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_sets_are_sorted_and_distinct_and_no_words_are_kept():
+    s = near_copies.Shingler()
+    found = s.set_of("a b c d e " * 50 + "f")
+    assert found.tolist() == sorted(set(found.tolist())) and len(found) == 6
+    assert vars(s) == {"words": near_copies.SHINGLE}  # workers' memory doesn't grow with the words they meet
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
