@@ -348,13 +348,15 @@ class Verifier:
         count = pairs.count()
         if "tokens" in columns and count <= BROADCAST_IDS:  # only whole sets that are asked for are exchanged
             whole = whole.join(F.broadcast(pairs.select(side).distinct()), side, "left_semi")
+        # bare pairs go to the sets, which then are exchanged for the second side only
+        first = F.broadcast if len(pairs.columns) == 2 and count <= BROADCAST_IDS else lambda x: x
         if count <= self.frequent:
-            return pairs.join(whole, side)
+            return first(pairs).join(whole, side)
         hot = pairs.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > self.frequent).select(side, F.ceil(F.col("m") / self.frequent).cast("int").alias("parts"))
         hot = self.made.write(hot, f"near-hot-{side}")
         many = hot.limit(BROADCAST_IDS + 1).count()
         if not many:
-            return pairs.join(whole, side)
+            return first(pairs).join(whole, side)
         hot = F.broadcast(hot) if many <= BROADCAST_IDS else hot
         parts = F.coalesce("parts", F.lit(1))
         other = "b" if side == "a" else "a"

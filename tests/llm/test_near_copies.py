@@ -73,6 +73,22 @@ def test_sets_are_sorted_and_distinct_and_no_words_are_kept():
     assert vars(s) == {"words": near_copies.SHINGLE}  # workers' memory doesn't grow with the words they meet
 
 
+def test_whole_sets_are_not_exchanged_for_the_first_side_of_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    whole = spark.createDataFrame([(k, k, [k]) for k in (1, 2, 3)], "cls long, n int, tokens array<long>")
+    verify = near_copies.Verifier(pairs, pairs, None, 80, None)
+    verify.whole = whole
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = verify._with(pairs, "a", ["n"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.select("a", "b", "a_n").collect())) == [(1, 2, 1), (1, 3, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
