@@ -38,16 +38,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each component of linked documents the one with the smallest id stays.
 
-    Rows get keys of their own, as ids may be null or repeated: of rows with one id the first stays, one without an id only where none of its
-    component has one."""
+    Ids may be null or repeated, so rows go by a hash (64 bits) of all their columns, for which no copy of the documents is written: of rows with one id
+    that with the smallest hash stays, one without an id only where none of its component has one.  Rows with one hash are equal; of those with words
+    one stays."""
     made, row = Tables(spark), free_name(docs, "_row")
-    keyed = made.write(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
-    found = made.write(near_copies.near_copies(keyed.select(F.col(row).alias("doc"), "text")).select(F.col("doc").alias("_k"), "component_id"), "pipeline-components")
-    named = found.join(keyed.select(F.col(row).alias("_k"), F.col("doc_id").alias("_d")), "_k")
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    keyed = docs.withColumn(row, F.xxhash64(*columns, *[c.isNull() for c in columns]))  # a null alone leaves a hash as it is
+    found = near_copies.near_copies(keyed.select(F.col(row).alias("doc"), "text")).groupBy(F.col("doc").alias("_k"))
+    found = made.write(found.agg(F.min("component_id").alias("component_id"), (F.max("n_shingles") > 0).alias("worded"), F.count("*").alias("m")), "pipeline-components")
+    named = found.join(keyed.select(F.col(row).alias("_k"), F.col("doc_id").alias("_d")).distinct(), "_k")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull().alias("unnamed"), "_d", "_k")).alias("x")).select(F.col("x._k").alias("_k"))
     gone = made.write(found.join(kept, "_k", "left_anti").select(F.col("_k").alias(row)), "pipeline-copies")  # by rows: a component may be large
+    equal = made.write(found.where("worded and m > 1").join(kept, "_k", "left_semi").select(F.col("_k").alias(row)), "pipeline-equal")
     made.drop("pipeline-components")
-    return _without(keyed, gone, row).drop(row)
+    left = _without(keyed, gone, row)
+    if not equal.isEmpty():  # their rows only are exchanged
+        left = _without(left, equal, row).unionByName(left.join(equal, row, "left_semi").dropDuplicates([row]))
+    return left.drop(row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

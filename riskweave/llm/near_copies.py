@@ -46,6 +46,8 @@ PART_AVERAGES = 8
 CENTRES = 2
 BROADCAST_IDS = 2_000_000
 MET_CLASSES = 1_000_000
+#: Columns of a member of a posting list.
+MEMBER = ["token", "salt", "parts", "cls", "n", "at"]
 #: Words end at ASCII white space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _MIX, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -197,14 +199,30 @@ def prefixes(docs: DataFrame, orders: Orders, percent: int = 80) -> DataFrame:
 
 def _postings(docs: DataFrame, orders: Orders, percent: int, made: Tables) -> DataFrame:
     """token, salt, parts, cls, n, at (the place under order 1) of the tokens in prefixes; those of a single class only where their list is dealt over
-    several parts, which can't be told from one of them.  The tokens are exchanged once: copies and lists of one class are left out where they meet."""
+    several parts, which can't be told from one of them.  The tokens are exchanged once: copies and lists of one class are left out where they meet,
+    and a part of a list gets its rows' number, copies counted, as met and its most central member as c_cls, c_n, c_at."""
     posted = prefixes(docs, orders, percent).select("cls", "n", "parts", F.posexplode("tokens").alias("at", "token"))
     posted = posted.withColumn("parts", F.greatest(F.coalesce(F.get("parts", F.col("at")), F.lit(1)), F.lit(1)))
     posted = posted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select("token", "salt", "parts", "cls", "n", "at")
     dealt = posted.repartition("token", "salt")
     one = Window.partitionBy("token", "salt")
     shared = (F.col("parts") > 1) | (F.min("cls").over(one) != F.max("cls").over(one))
-    return made.write(dealt.withColumn("_shared", shared).where("_shared").drop("_shared").distinct(), "near-postings")
+    # what only shared lists need is counted after the others have gone, in the same order
+    kept = dealt.withColumn("_shared", shared).where("_shared").withColumns({"met": F.count("*").over(one), "_c": _central().over(one)})
+    return made.write(kept.select(*MEMBER, "met", *[F.col(f"_c.{x}").alias(f"c_{x}") for x in ("cls", "n", "at")]).distinct(), "near-postings")
+
+
+def _central():
+    """The most central of a list's members."""
+    return F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at"))
+
+
+def _central_offers(postings: DataFrame, percent: int) -> DataFrame:
+    """The members of each list with its most central one: the postings have it beside them, but for lists that are dealt over several parts."""
+    dealt = postings.where("parts > 1").select(*MEMBER)
+    centre = dealt.groupBy("token").agg(_central().alias("c"), F.max("parts").alias("parts"))
+    beside = postings.where("parts = 1").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c_cls").alias("b"), F.col("c_n").alias("nb"), F.col("c_at").alias("ib"))
+    return beside.where("a <> b").where(_possible(percent)).union(_meetings(dealt, _salted(centre), percent))
 
 
 def _salted(lists: DataFrame) -> DataFrame:
@@ -227,8 +245,7 @@ def near_copies(docs: DataFrame, percent: int = 80, frequent: int = PART_MEMBERS
     verify = Verifier(docs, classes, orders, percent, made, frequent)
 
     # 1. the most central member of each list, offered to the others
-    centre = postings.groupBy("token").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("part"), "cls", "n", "at")).alias("c"), F.max("parts").alias("parts"))
-    verify.test(_meetings(postings, _salted(centre), percent))
+    verify.test(_central_offers(postings, percent))
     comps = components(verify.edges)
     # 2. members outside a list's largest component meet other members of it
     for turn in range(CENTRES):
@@ -268,8 +285,10 @@ def _meetings(members: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_lists(postings: DataFrame, comps: DataFrame, made: Tables) -> tuple[DataFrame, DataFrame]:
-    """The members, with comp, of lists of three or more (a pair has met already) in several components, and the lists' largest ones."""
-    members = postings.join(comps, postings.cls == comps.node, "left").select(*postings.columns, F.coalesce("label", "cls").alias("comp"))
+    """The members, with comp, of lists of three or more (a pair has met already) in several components, and the lists' largest ones.  Pairs, of which
+    most lists are, stay where they are, and components are broadcast, so that what is exchanged is long lists."""
+    comps = F.broadcast(comps) if comps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else comps
+    members = postings.where("met > 2 or parts > 1").join(comps, F.col("cls") == F.col("node"), "left").select(*MEMBER, F.coalesce("label", "cls").alias("comp"))
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
     lists = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("x"), F.max("parts").alias("parts"))
     main = made.write(_salted(lists.where("comps > 1 and all > 2").select("token", F.col("x.comp").alias("main"), "parts")), "near-main")
@@ -346,7 +365,8 @@ class Verifier:
         """pairs with columns of whole for a or b, named a_n and so on; a class with many partners is dealt over several parts."""
         whole = self.whole.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
         count = pairs.count()
-        if "tokens" in columns and count <= BROADCAST_IDS:  # only whole sets that are asked for are exchanged
+        # only sets that are asked for are exchanged; the first sketches all are
+        if ("tokens" in columns or self.turn > 1) and count <= BROADCAST_IDS:
             whole = whole.join(F.broadcast(pairs.select(side).distinct()), side, "left_semi")
         # bare pairs go to the sets, which then are exchanged for the second side only
         first = F.broadcast if len(pairs.columns) == 2 and count <= BROADCAST_IDS else lambda x: x

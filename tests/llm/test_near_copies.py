@@ -110,6 +110,29 @@ def test_components(spark, seed):
     assert got == {k: v for k, v in parent.items() if v is not None}
 
 
+def test_only_long_lists_meet_again_and_components_are_broadcast(spark):
+    """A list of two, one of three in two components, and one of two that is dealt over two parts: centres stand beside, only long lists meet again."""
+    rows = [(1, 0, 1, 10, 90, 0, 2, 10, 90, 0), (1, 0, 1, 11, 90, 1, 2, 10, 90, 0)]
+    rows += [(2, 0, 1, c, 90, k, 3, 10, 90, 0) for k, c in enumerate((10, 11, 12))] + [(3, 0, 2, 20, 90, 0, 1, 20, 90, 0), (3, 1, 2, 21, 90, 1, 1, 21, 90, 1)]
+    postings = spark.createDataFrame(rows, "token long, salt int, parts int, cls long, n int, at int, met long, c_cls long, c_n int, c_at int")
+    comps = spark.createDataFrame([(10, 10), (11, 10)], "node long, label long")
+
+    class Made:
+        def write(self, df, name):
+            return df
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(tuple, near_copies._central_offers(postings, 80).select("a", "b").collect())) == [(11, 10), (11, 10), (12, 10), (21, 20)]
+        members, main = near_copies._open_lists(postings, comps, Made())
+        assert sorted((r["token"], r["main"]) for r in main.collect()) == [(2, 10)] and sorted(r["cls"] for r in members.collect()) == [10, 11, 12]
+        assert "hashpartitioning(cls" not in members._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+
 def test_no_edges(spark):
     assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 

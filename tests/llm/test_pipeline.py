@@ -67,6 +67,23 @@ def test_copies_go_by_row(spark, tmp_path):
     assert left == sorted([(3, same), (5, other), (None, third), (7, None), (7, None), (8, "alone here")], key=str)
 
 
+def test_copies_go_without_a_copy_of_the_documents(spark, tmp_path, monkeypatch):
+    """No scratch table of the stage holds the texts; rows that are equal in all columns are one, those that differ in a null are not."""
+    same = "a b c d e f g"
+    rows = [(None, same, None, "s"), (None, same, None, "s"), (None, same, "s", None), (1, "h i j k l", "x", "y"), (1, "h i j k l", "x", "y"), (2, " ", "x", "y"), (2, " ", "x", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(path := f"{tmp_path}/docs")
+    tables, once = [], C.Tables.write
+
+    def write(self, df, name):
+        tables.append((name, df.columns))
+        return once(self, df, name)
+
+    monkeypatch.setattr(C.Tables, "write", write)
+    left = [tuple(r) for r in C.deduplicated(spark, spark.read.parquet(path), str(tmp_path)).collect()]
+    assert tables and not [name for name, columns in tables if "text" in columns]
+    assert sorted(r[0] or 0 for r in left) == [0, 1, 2, 2] and {r[1] for r in left} == {same, "h i j k l", " "} and all(r in rows for r in left)
+
+
 def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     for _, stage in C.STAGES:
